@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+from tidewell.session import ship
 
 #: Bytes of text that one vectorised step looks at; a longer text is a step of its own.
 SLICE_BYTES = 1 << 20
@@ -37,6 +40,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidewell-{name}-{uuid.uuid4().hex}"
 
 
+def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """mapInArrow() on workers that have this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a checkpoint in the shared folder, which outlives lost executors."""
     shared_dir(df.sparkSession)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import text_slices, word_bounds
+from tidewell.llm.common import map_arrow, text_slices, word_bounds
 
 #: Words of a window; a benchmark item with fewer is one window.
 WINDOW = 10
@@ -203,7 +203,7 @@ def find_contamination(
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(scan, f"id {kind}, n_words long, n_hit long, items array<string>, hit_spans array<struct<first: long, end: long>>")
+    out = map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), scan, f"id {kind}, n_words long, n_hit long, items array<string>, hit_spans array<struct<first: long, end: long>>")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -233,4 +233,4 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                             clean[lo + int(np.searchsorted(bounds, start, "right")) - 1] = False
             yield batch.filter(pa.array(clean))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return map_arrow(docs, keep, docs.schema)
