@@ -4,15 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewell.llm import decontam, near_dedup
+from tidewell.llm import decontam, langid, near_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _in_fold(parts: int, held: int) -> Column:
+    """Whether crc32(doc_id as text) mod parts is held; null ids are in no fold."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == held, F.lit(False))
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", _in_fold(4, 2).alias("held_out"))
+    net = langid.fit(docs.where("NOT held_out AND doc_id IS NOT NULL"))
+    return langid.identify(docs, net, ["doc_id", "held_out"])
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -35,6 +47,13 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.a = w.doc_id
 """
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", _in_fold(3, 1).alias("held_out"))
+    scorer = toxicity.fit(docs.where("NOT held_out"), _table(spark, sf_dir, "labels").where(~_in_fold(3, 1)))
+    scored = toxicity.score(docs, scorer, ["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination_digest(decontam.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
@@ -64,7 +83,9 @@ FROM w LEFT JOIN h USING (rid) LEFT JOIN n USING (rid)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_language": op2_language,
         "op5_near_dedup": op5_near_dedup,
+        "op8_toxicity": op8_toxicity,
         "op10_decontaminate": op10_decontaminate,
     }
 
