@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import map_arrow, materialise, mix64, shingle_hashes, text_slices, word_hashes
 from tidewell.llm.components import connected_components
+from tidewell.session import ship
 
 #: MinHash values of half a key, and the chance to miss a pair at the threshold itself.
 HALF = 3
 MISS = 1e-4
+#: Members of a table on one side of a comparison in blocks, and shingles that are compared at once.
+BLOCK = 128
+SHINGLE_BLOCK = 8192
 
 
 def collection_size(percent: int, half: int = HALF, miss: float = MISS) -> int:
@@ -106,6 +110,56 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_arrow(pairs.join(left, "u").join(right, "v").select("u", "v", "set_u", "set_v"), verify, "u long, v long")
 
 
+def _links_left(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between members of one table that are in different components.
+
+    members: key, ka (the half of the key from the first collection), node, component, without the tables' smallest nodes, which
+    have been compared with the others. Tables of one half are taken together. In each, the members outside of its smallest
+    component make up the left side and all members the right side; both are dealt into blocks of about BLOCK, and each pair
+    of blocks is worked on by itself: a row for each member and opposite block is sent, never one for each pair of members.
+    """
+    open_keys = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+    rest = materialise(members.join(open_keys, "key", "left_semi").select("ka", "node", "component").distinct())
+    sizes = rest.groupBy("ka").agg(F.min("component").alias("main"), F.count("*").alias("n"))
+    rest = rest.join(sizes, "ka")
+    others = rest.where("component <> main").groupBy("ka").agg(F.count("*").alias("m"))
+    rest = materialise(rest.join(others, "ka"))
+    left_of, right_of = F.ceil(F.col("m") / BLOCK), F.ceil(F.col("n") / BLOCK)
+    left = rest.where("component <> main").select("ka", F.pmod(F.xxhash64("node"), left_of).alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), right_of - 1)).alias("y"), F.lit(True).alias("is_left"), "node", "component")
+    right = rest.select("ka", F.explode(F.sequence(F.lit(0).cast("long"), left_of - 1)).alias("x"), F.pmod(F.xxhash64("node", F.lit(1)), right_of).alias("y"), F.lit(False).alias("is_left"), "node", "component")
+
+    def compare(table: pa.Table) -> pa.Table:
+        side = np.asarray(table["is_left"].combine_chunks())
+        node, component = (table[c].to_numpy() for c in ("node", "component"))
+        members = [np.frombuffer(s.as_buffer(), np.uint64) for s in table["shingles"]]
+        rows, columns = np.flatnonzero(side), np.flatnonzero(~side)
+        size = np.array([len(x) for x in members])
+        common = np.zeros((len(rows), len(columns)), np.float32)
+        known = np.unique(np.concatenate([members[i] for i in rows] or [np.zeros(0, np.uint64)]))
+        for lo in range(0, len(known), SHINGLE_BLOCK):
+            some = known[lo : lo + SHINGLE_BLOCK]
+
+            def spread(which: np.ndarray, some: np.ndarray = some) -> np.ndarray:
+                out = np.zeros((len(which), len(some)), np.float32)
+                for k, i in enumerate(which):
+                    x = members[i]
+                    x = x[np.searchsorted(x, some[0]) : np.searchsorted(x, some[-1], "right")]
+                    at = np.searchsorted(some, x)
+                    out[k, at[some[at] == x]] = 1
+                return out
+
+            common += spread(rows) @ spread(columns).T
+        union = size[rows][:, None] + size[columns][None, :] - common
+        good = (100 * common.astype(np.float64) >= percent * union) & (component[rows][:, None] != component[columns][None, :])
+        r, c = np.nonzero(good)
+        u, v = node[rows][r], node[columns][c]
+        return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+
+    ship(members.sparkSession)
+    work = left.union(right).join(sets, "node").select("ka", "x", "y", "is_left", "node", "component", "shingles")
+    return work.groupBy("ka", "x", "y").applyInArrow(compare, "u long, v long").distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", half: int = HALF) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest id reachable over links) and kept.
 
@@ -128,7 +182,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     first = classes.select("node", F.explode("a").alias("ka"))
     shared = first.groupBy("ka").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("ka")
     met = first.join(shared, "ka", "left_semi").join(classes.select("node", "b"), "node")
-    tables = met.select("node", "ka", F.explode("b").alias("kb")).select(F.xxhash64("ka", "kb").alias("key"), "node")
+    tables = met.select("node", "ka", F.explode("b").alias("kb")).select(F.xxhash64("ka", "kb").alias("key"), "ka", "node")
     heads = tables.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("y")).where("head < y").select("key", "head")
     members = materialise(tables.join(heads, "key").where("node <> head"))
 
@@ -139,12 +193,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     found = materialise(connected_components(links))
 
     own = lambda c: F.coalesce("component", F.col(c)).alias("component")
-    placed = members.join(found, "node", "left").select("key", "node", own("node"), "head")
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    rest = placed.join(open_keys, "key", "left_semi")
-    left, right = (rest.select("key", F.col("node").alias(n), F.col("component").alias(f"c_{n}")) for n in ("u", "v"))
-    more = left.join(right, "key").where("u < v AND c_u <> c_v").select("u", "v").distinct().join(pairs, ["u", "v"], "left_anti")
-    late = materialise(confirmed(more, sets, percent))
+    late = materialise(_links_left(members.join(found, "node", "left").select("key", "ka", "node", own("node")), sets, percent))
     if not late.isEmpty():
         found = materialise(connected_components(links.union(late)))
 
