@@ -20,10 +20,12 @@ from tidewell.llm.decontam import folded
 GRAMS = (3, 4, 5, 6)
 BITS = 20
 #: The bound on what a model is fitted to: rows of each label, and bytes of a text that may be among them.
-SAMPLE_ROWS = {1: 1200, 0: 2400}
-SAMPLE_BYTES = 1 << 15
+SAMPLE_ROWS = {1: 900, 0: 1800}
+SAMPLE_BYTES = 1 << 14
 ROUNDS = 50
 THRESHOLD = 0.7
+#: Texts whose gradient is taken together.
+PART = 100
 
 _FACTORS = np.random.Generator(np.random.PCG64(5)).integers(0, 2**31, max(GRAMS), np.uint32) * np.uint32(2) + np.uint32(1)
 
@@ -96,19 +98,24 @@ def train(texts: list[str], labels: np.ndarray, prior: float, rounds: int = ROUN
     used = np.flatnonzero(ratio)
     number = np.full(size, -1, np.int32)
     number[used] = np.arange(len(used))
-    known = [number[r] >= 0 for r in rows]
-    lengths = np.array([k.sum() for k in known])
-    index = np.concatenate([number[r][k] for r, k in zip(rows, known, strict=True)])
-    value = ratio[used][index].astype(np.float32) * np.concatenate([v[k] for v, k in zip(values, known, strict=True)])
-    owner = np.repeat(np.arange(len(rows)), lengths)
+    for i, r in enumerate(rows):  # in place, so that each text is held once
+        known = number[r] >= 0
+        rows[i] = number[r[known]]
+        values[i] = values[i][known] * ratio[used[rows[i]]].astype(np.float32)
+    parts = [slice(i, i + PART) for i in range(0, len(rows), PART)]
+    owners = [np.repeat(np.arange(len(rows[k])), [len(r) for r in rows[k]]).astype(np.int32) for k in parts]
+    rows, values = ([np.concatenate(x[k]) for k in parts] for x in (rows, values))
     ones = labels.mean()
     weight = np.where(labels == 1, prior / max(ones, 1e-9), (1 - prior) / max(1 - ones, 1e-9)) / len(labels)
     w, bias = np.zeros(len(used)), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
     first, second, b1, b2, decay = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0, 1e-3
     for step in range(1, rounds + 1):
-        z = np.bincount(owner, value * w[index], minlength=len(rows)) + bias
-        g = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - labels) * weight
-        d, db = np.bincount(index, value * g[owner], minlength=len(used)) + decay * w, g.sum()
+        d, db = decay * w, 0.0
+        for k, owner, index, value in zip(parts, owners, rows, values, strict=True):
+            z = np.bincount(owner, value * w[index], minlength=len(labels[k])) + bias
+            g = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - labels[k]) * weight[k]
+            d += np.bincount(index, value * g[owner], minlength=len(used))
+            db += g.sum()
         first += 0.1 * (d - first)
         second += 0.01 * (d * d - second)
         b1 += 0.1 * (db - b1)
