@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import decontam, langid, near_dedup, toxicity
+from tidewell.llm import decontam, langid, mixing, near_dedup, quality, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,55 @@ def _in_fold(parts: int, held: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == held, F.lit(False))
 
 
+def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(_table(spark, sf_dir, "documents"), 16)
+
+
+OP1_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, text, coalesce(octet_length(encode(text)), 0) + 1 AS size, coalesce(('0x' || substr(md5(text), 1, 15))::BIGINT, -1) AS key,
+    coalesce(substr(md5(doc_id::VARCHAR), 1, 3), '') AS bucket
+  FROM documents),
+g AS (SELECT key, sum(size)::BIGINT AS size FROM d GROUP BY key),
+p AS (SELECT key, (sum(size) OVER (ORDER BY key))::BIGINT AS upto, size FROM g),
+ladder AS (SELECT list_concat([0::BIGINT], list(upto ORDER BY upto)) AS sums, max(upto) AS total FROM p),
+search AS (
+  SELECT ceil(total / 16)::BIGINT AS low, total AS high, (ceil(total / 16)::BIGINT + total) // 2 AS mid, 0::BIGINT AS pos, 0 AS k FROM ladder
+  UNION ALL
+  SELECT low2, high2, CASE WHEN over THEN (low2 + high2) // 2 ELSE mid END, CASE WHEN over THEN 0 ELSE nxt END, CASE WHEN over THEN 0 ELSE k + 1 END
+  FROM (
+    SELECT *, CASE WHEN pos < total AND k = 16 THEN mid + 1 ELSE low END AS low2, CASE WHEN pos = total THEN mid ELSE high END AS high2
+    FROM (SELECT search.*, total, pos = total OR k = 16 AS over, list_max(list_filter(sums, lambda x: x <= pos + mid)) AS nxt FROM search, ladder WHERE low < high)
+  )),
+cap AS (SELECT min(high) AS c FROM search WHERE low >= high),
+far AS (
+  SELECT 0 AS k, 0::BIGINT AS f UNION ALL
+  SELECT k + 1, list_max(list_filter(sums, lambda x: x <= least(f + c, total))) FROM far, cap, ladder WHERE k < 16),
+near AS (
+  SELECT 16 AS k, total AS b FROM ladder UNION ALL
+  SELECT k - 1, list_min(list_filter(sums, lambda x: x >= greatest(b - c, 0))) FROM near, cap, ladder WHERE k > 0),
+cut AS (
+  SELECT 0 AS k, 0::BIGINT AS pos UNION ALL
+  SELECT k, least(greatest(CASE WHEN share - below <= above - share THEN below ELSE above END, low), high)
+  FROM (
+    SELECT cut.k + 1 AS k, (cut.k + 1) * total // 16 AS share, greatest(near.b, pos) AS low, least(far.f, list_max(list_filter(sums, lambda x: x <= least(pos + c, total)))) AS high,
+      list_max(list_filter(sums, lambda x: x <= (cut.k + 1) * total // 16)) AS below, list_min(list_filter(sums, lambda x: x >= (cut.k + 1) * total // 16)) AS above
+    FROM cut, cap, ladder, near, far WHERE cut.k < 15 AND near.k = cut.k + 1 AND far.k = cut.k + 1
+  )),
+crc AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(0, 256)) AS i)),
+h AS (SELECT doc_id, key, size, bucket, text, string_split(hex(encode(text)), '') AS x FROM d),
+b AS (SELECT doc_id, key, size, bucket, text, CASE WHEN size = 1 THEN []::BIGINT[] ELSE list_transform(range(1, len(x), 2), lambda i: (strpos('0123456789ABCDEF', x[i]) * 16 + strpos('0123456789ABCDEF', x[i + 1]) - 17)::BIGINT) END AS bytes FROM h),
+s AS (
+  SELECT doc_id, b.size, key, bucket, CASE WHEN text IS NOT NULL THEN xor(4294967295, list_reduce(list_concat([4294967295], bytes), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1]))) END AS text_crc32,
+    (SELECT count(*) FROM cut WHERE cut.k > 0 AND p.upto - p.size >= cut.pos)::INTEGER AS shard
+  FROM b JOIN p USING (key), crc)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id, key, size) - 1 AS slot, NULL::INTEGER AS grown_shard
+FROM s
+"""
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", _in_fold(4, 2).alias("held_out"))
     net = langid.fit(docs.where("NOT held_out AND doc_id IS NOT NULL"))
@@ -47,6 +96,29 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.a = w.doc_id
 """
 
 
+def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE c AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+t AS (SELECT sum(n) AS rows, sum(pow(n, 0.5)) AS shares FROM c),
+r AS (SELECT source, pow(n, 0.5) * (rows::DOUBLE / shares) / n AS rate FROM c, t),
+m AS (SELECT source, rate, greatest(ceil(rate / 16), 1)::BIGINT AS parts, rate / greatest(ceil(rate / 16), 1) AS mean FROM r),
+f AS (
+  SELECT source, mean, 0 AS k, exp(-mean) AS p, exp(-mean) AS c FROM m UNION ALL
+  SELECT source, mean, k + 1, p * mean / (k + 1), c + p * mean / (k + 1) FROM f WHERE k < 72),
+l AS (SELECT source, list(c ORDER BY k) AS cdf FROM f GROUP BY source),
+n AS (
+  SELECT d.*, m.rate AS mix_rate,
+    list_sum(list_transform(range(1, parts + 1), lambda j: len(list_filter(cdf, lambda x: x <= ('0x' || substr(md5('tidewell:' || coalesce(d.doc_id::VARCHAR, '') || ':' || j::VARCHAR), 1, 13))::BIGINT::DOUBLE / 4503599627370496))))::BIGINT AS mix_copies
+  FROM documents d JOIN m ON d.source IS NOT DISTINCT FROM m.source JOIN l ON l.source IS NOT DISTINCT FROM m.source),
+e AS (SELECT *, unnest(range(1, mix_copies + 1)) AS mix_replica FROM n WHERE mix_copies > 0)
+SELECT *, ('0x' || substr(md5('tidewell:' || coalesce(doc_id::VARCHAR, '') || ':' || mix_replica::VARCHAR || ':order'), 1, 15))::BIGINT AS mix_key
+FROM e
+"""
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", _in_fold(3, 1).alias("held_out"))
     scorer = toxicity.fit(docs.where("NOT held_out"), _table(spark, sf_dir, "labels").where(~_in_fold(3, 1)))
@@ -54,6 +126,34 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.clean_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.length("clean_text").cast("long").alias("clean_chars"))
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, string_split(t, chr(10)) AS all_lines FROM d),
+x AS (SELECT rid, i, hash(list_slice(ws, i, i + 7)) AS h FROM (SELECT rid, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
+y AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, h) AS n FROM x) WHERE n > 1),
+z AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 8)) AS p FROM y) GROUP BY rid),
+good AS (
+  SELECT rid, list_filter(all_lines, lambda x: NOT regexp_matches(x, '[^\x20\x09-\x0D]') OR (
+    greatest(length(x) - length(translate(x, '#*$%&|<>', '')), length(x) - length(replace(x, '!!', ''))) * 100 <= length(x) * 10
+    AND regexp_matches(x, '[.!?\x{2026}\x{3002}][''")\]\x{00BB}\x{201D}\x{2019}]*([\x20\x09-\x0D]|\z)')
+    AND NOT regexp_matches(x, '[|\x{00BB}\x{203A}>].*[|\x{00BB}\x{203A}>]|(?i)\A[\x20\x09-\x0D]*(home|menu|search|next|previous|back|share|contact|about us|site ?map)[\x20\x09-\x0D]*\z')
+    AND NOT regexp_matches(x, '(?i)cookie|javascript|terms of (use|service)|privacy policy|all rights reserved|click here|read more|sign up|log in|lorem ipsum|subscribe to'))) AS good
+  FROM w),
+f AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, length(t) - length(translate(t, '#*$%&|<>', ''))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(z.n, 0)::BIGINT AS n_repeat_words,
+    length(array_to_string(lines, '')) AS before, length(array_to_string(list_filter(good, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')), '')) AS after, length(array_to_string(good, chr(10))) AS clean_chars
+  FROM w LEFT JOIN z USING (rid) JOIN good USING (rid)),
+v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (before - after) * 100 <= before * 50 AS kept, coalesce(clean_chars, 0)::BIGINT AS clean_chars
+FROM v
+"""
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination_digest(decontam.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
@@ -83,15 +183,21 @@ FROM w LEFT JOIN h USING (rid) LEFT JOIN n USING (rid)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_shard": op1_shard,
         "op2_language": op2_language,
         "op5_near_dedup": op5_near_dedup,
+        "op6_mix": op6_mix,
         "op8_toxicity": op8_toxicity,
+        "op9_quality": op9_quality,
         "op10_decontaminate": op10_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_shard": OP1_SQL,
         "op5_near_dedup": OP5_SQL,
+        "op6_mix": OP6_SQL,
+        "op9_quality": OP9_SQL,
         "op10_decontaminate": OP10_SQL,
     }
