@@ -121,7 +121,7 @@ def _links_left(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     open_keys = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
     rest = materialise(members.join(open_keys, "key", "left_semi").select("ka", "node", "component").distinct())
     sizes = rest.groupBy("ka").agg(F.min("component").alias("main"), F.count("*").alias("n"))
-    rest = rest.join(sizes, "ka")
+    rest = materialise(rest.join(sizes, "ka"))
     others = rest.where("component <> main").groupBy("ka").agg(F.count("*").alias("m"))
     rest = materialise(rest.join(others, "ka"))
     left_of, right_of = F.ceil(F.col("m") / BLOCK), F.ceil(F.col("n") / BLOCK)
