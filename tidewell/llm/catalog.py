@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import decontam, langid, mixing, near_dedup, quality, sharding, toxicity
+from tidewell.llm import decontam, langid, license_scan, line_dedup, mixing, near_dedup, quality, sharding, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,36 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, net, ["doc_id", "held_out"])
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.drop_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("clean_chars"), F.md5("text").alias("clean_md5"))
+
+
+OP3_SQL = r"""
+WITH l AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS n, i, ls[i] AS line
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))
+  WHERE regexp_matches(ls[i], '[^\x20\x09-\x0D]')),
+w AS (SELECT * FROM (SELECT doc_id, n, line AS a, lead(line) OVER d AS b, lead(line, 2) OVER d AS c FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY n)) WHERE c IS NOT NULL),
+f AS (SELECT *, first_value(doc_id) OVER o AS d0, first_value(n) OVER o AS n0 FROM w WINDOW o AS (PARTITION BY a, b, c ORDER BY doc_id, n)),
+g AS (
+  SELECT DISTINCT doc_id, unnest(range(CASE WHEN doc_id = d0 THEN greatest(n, n0 + 3) ELSE n END, n + 3)) AS n
+  FROM f WHERE doc_id <> d0 OR n <> n0),
+k AS (
+  SELECT d.doc_id, d.text, d.ls, list(l.i) FILTER (WHERE g.n IS NOT NULL) AS gone, count(l.n) AS n_lines, count(g.n) AS n_removed
+  FROM (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents) d LEFT JOIN l USING (doc_id) LEFT JOIN g ON g.doc_id = l.doc_id AND g.n = l.n GROUP BY d.doc_id, d.text, d.ls),
+t AS (
+  SELECT doc_id, n_lines, n_removed, CASE WHEN n_removed = 0 THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT list_contains(gone, i)), lambda i: ls[i] || CASE WHEN i < len(ls) THEN chr(10) ELSE '' END), '') END AS t
+  FROM k)
+SELECT doc_id, n_lines, n_removed, CASE WHEN t = '' THEN 0 ELSE length(t) END::BIGINT AS clean_chars, md5(t) AS clean_md5
+FROM t
+"""
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.shared_passages(_table(spark, sf_dir, "documents"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -119,6 +149,27 @@ FROM e
 """
 
 
+def op7_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
+def _license_sql() -> str:
+    def canonical(text: str) -> str:
+        out = f"regexp_replace(translate({text}, '{license_scan.UPPER}', '{license_scan.LOWER}'), '{license_scan.COPYRIGHT_LINE}', chr(10), 'g')"
+        out = f"' ' || regexp_replace({out}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F\\x{{00A0}}-\\x{{00BF}}\\x{{2010}}-\\x{{2027}}]+', ' ', 'g') || ' '"
+        for one, other in license_scan.SPELLINGS:
+            out = f"replace({out}, '{one}', '{other}')"
+        return f"trim(regexp_replace({out}, '  +', ' ', 'g'), ' ')"
+
+    quoted = ", ".join("('" + i + "', '" + t.replace("'", "''") + "')" for i, t in license_scan.KNOWN)
+    return f"""
+WITH k AS (SELECT sha256({canonical("t")}) AS digest, min(i) AS license_id FROM (VALUES {quoted}) AS v(i, t) GROUP BY 1),
+d AS (SELECT doc_id, {canonical("text")} AS form FROM documents)
+SELECT doc_id, coalesce(length(form), 0)::BIGINT AS canonical_chars, CASE WHEN form <> '' THEN sha256(form) END AS digest, license_id
+FROM d LEFT JOIN k ON form <> '' AND sha256(form) = k.digest
+"""
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", _in_fold(3, 1).alias("held_out"))
     scorer = toxicity.fit(docs.where("NOT held_out"), _table(spark, sf_dir, "labels").where(~_in_fold(3, 1)))
@@ -185,8 +236,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_shard": op1_shard,
         "op2_language": op2_language,
+        "op3_line_dedup": op3_line_dedup,
+        "op4_substring_dedup": op4_substring_dedup,
         "op5_near_dedup": op5_near_dedup,
         "op6_mix": op6_mix,
+        "op7_license": op7_license,
         "op8_toxicity": op8_toxicity,
         "op9_quality": op9_quality,
         "op10_decontaminate": op10_decontaminate,
@@ -196,8 +250,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_shard": OP1_SQL,
+        "op3_line_dedup": OP3_SQL,
         "op5_near_dedup": OP5_SQL,
         "op6_mix": OP6_SQL,
+        "op7_license": _license_sql(),
         "op9_quality": OP9_SQL,
         "op10_decontaminate": OP10_SQL,
     }
