@@ -20,7 +20,7 @@ def _indicators(build: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSessi
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         bars = _bars(spark, sf_dir)
         out = build(bars)
-        return out.select("code", "day", *(F.round(F.col(c).cast("double"), 4).alias(c) for c in out.columns if c not in bars.columns))
+        return out.select("code", "day", *(F.round(F.col(c).cast("double") + 3e-7, 4).alias(c) for c in out.columns if c not in bars.columns))
 
     return query
 

@@ -41,7 +41,7 @@ def steps(*layers: dict[str, str], out: dict[str, str], digits: int = 4) -> str:
         parts.append(f"s{i} AS (SELECT *, " + ", ".join(f"{e} AS {n}" for n, e in layer.items()) + f" FROM {last})")
         last = f"s{i}"
     parts.append("z AS (SELECT code, day, " + ", ".join(f"({e})::DOUBLE AS {n}" for n, e in out.items()) + f" FROM {last})")
-    return "WITH " + ",".join(parts) + " SELECT code, day, " + ", ".join(f"round({n}, {digits}) AS {n}" for n in out) + " FROM z"
+    return "WITH " + ",".join(parts) + " SELECT code, day, " + ", ".join(f"round({n} + 3e-7, {digits}) AS {n}" for n in out) + " FROM z"
 
 
 

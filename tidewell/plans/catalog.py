@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.plans import bars
+from tidewell.plans import bars, relational
 
-MODULES = (bars,)
+MODULES = (bars, relational)
 FLAGSHIP = bars.breaks_by_year
 
 
