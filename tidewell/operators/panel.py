@@ -10,7 +10,11 @@ from tidewell.functions.scalar import fill_ratio, gap_percent
 
 #: Rows of the high, share of them that must hold a price, rows without a new high before a fresh break, rows of the outcome.
 HIGH_ROWS, COVERAGE, COOLDOWN, HORIZON = 368, 0.5, 20, 20
-C, O, H, L, V, VA = (F.col(c) for c in ("c", "o", "h", "l", "v", "va"))
+
+
+def bar_columns() -> tuple[Column, ...]:
+    """Close, open, high, low, volume and turnover."""
+    return tuple(F.col(c) for c in ("c", "o", "h", "l", "v", "va"))
 
 
 def bars_frames() -> Frames:
@@ -23,6 +27,7 @@ def price_panel(bars: DataFrame, rows: int = HIGH_ROWS, coverage: float = COVERA
     A high holds from the row on that is ``rows`` - 1 rows old, if enough of its closes are known. A fresh break is a new
     high with no other in the ``cooldown`` rows before it.
     """
+    C, _, _, _, V, _ = bar_columns()
     f = bars_frames()
     w = f.trailing(rows)
     high = F.when((f.row() >= rows) & (F.count(C).over(w) >= rows * coverage), F.max(C).over(w))
@@ -38,6 +43,7 @@ def forward_label(bars: DataFrame, horizon: int = HORIZON, rise: float = 0.1) ->
 
     All are null unless the whole horizon is known. label: the largest close reaches (1 + rise) * entry and the last is over entry.
     """
+    C, O, _, _, _, _ = bar_columns()
     f = bars_frames()
     out = bars.withColumns({"entry": f.lead(O), "max_ahead": f.ahead(C, horizon, F.max), "min_ahead": f.ahead(C, horizon, F.min), "end_close": f.lead(C, horizon)})
     out = out.withColumn("closes", F.when(F.col("max_ahead").isNotNull(), F.collect_list(C).over(f.by.rowsBetween(1, horizon))))
@@ -47,6 +53,7 @@ def forward_label(bars: DataFrame, horizon: int = HORIZON, rise: float = 0.1) ->
 
 def drawdown(bars: DataFrame, rows: int = 120) -> DataFrame:
     """bars with depth (percent below the largest close of the last rows) and high_age (rows since its last occurrence)."""
+    C, _, _, _, _, _ = bar_columns()
     f = bars_frames()
     w = f.trailing(rows)
     out = bars.withColumn("i", f.row())
@@ -63,6 +70,7 @@ def run_length(df: DataFrame, sign: Column, name: str, f: Frames) -> DataFrame:
 
 def moving_averages(bars: DataFrame) -> DataFrame:
     """Gaps to, slopes of and ratios between moving averages, their order, and how long the last crossing is ago."""
+    C, _, _, _, _, _ = bar_columns()
     f = bars_frames()
     sizes = (5, 10, 25, 50, 75, 100, 200)
     out = bars.withColumns({f"sma{n}": f.roll(C, n) for n in sizes})
@@ -76,6 +84,7 @@ def moving_averages(bars: DataFrame) -> DataFrame:
 
 def channels(bars: DataFrame) -> DataFrame:
     """Bollinger, Donchian, stochastic, Williams, Aroon, CCI and Ichimoku positions."""
+    C, _, H, L, _, _ = bar_columns()
     f = bars_frames()
     tp = (H + L + C) / 3
     hh, ll = {n: f.roll(H, n, F.max) for n in (9, 14, 20, 26, 52, 55)}, {n: f.roll(L, n, F.min) for n in (9, 14, 20, 26, 52, 55)}
@@ -106,6 +115,7 @@ def channels(bars: DataFrame) -> DataFrame:
 
 def momentum(bars: DataFrame) -> DataFrame:
     """Rates of change, Kaufman efficiency, CMO, DPO, KST, awesome and psychological lines, vortex, choppiness and regression slopes."""
+    C, _, H, L, _, _ = bar_columns()
     f = bars_frames()
     out = bars.withColumns({"i": f.row(), "pc": f.lag(C), "ph": f.lag(H), "pl": f.lag(L), "mp": (H + L) / 2})
     d = C - F.col("pc")
@@ -140,6 +150,7 @@ def momentum(bars: DataFrame) -> DataFrame:
 
 def volatility(bars: DataFrame) -> DataFrame:
     """Standard deviations of returns, downside deviation, Parkinson range volatility, the ulcer index and ratios between horizons."""
+    C, _, H, L, _, _ = bar_columns()
     f = bars_frames()
     out = bars.withColumns({"r": gap_percent(C, f.lag(C)), "hl": F.pow(F.log(H / L), 2), "dd": F.pow(gap_percent(C, f.roll(C, 14, F.max)), 2)})
     out = out.withColumn("down", F.pow(F.least("r", F.lit(0.0)), 2))
@@ -150,6 +161,7 @@ def volatility(bars: DataFrame) -> DataFrame:
 
 def volume(bars: DataFrame) -> DataFrame:
     """On-balance and money flows, volume-weighted gaps, volume ratios and turnover ratios."""
+    C, _, H, L, V, VA = bar_columns()
     f = bars_frames()
     tp, rng = (H + L + C) / 3, H - L
     out = bars.withColumns({"i": f.row(), "d": C - f.lag(C), "ptp": f.lag(tp)})
@@ -180,6 +192,7 @@ def volume(bars: DataFrame) -> DataFrame:
 
 def candles(bars: DataFrame) -> DataFrame:
     """Shapes of single bars and of the last few, and streaks."""
+    C, O, H, L, _, _ = bar_columns()
     f = bars_frames()
     rng = H - L
     out = bars.withColumns({"i": f.row(), "po": f.lag(O), "pc": f.lag(C), "ph": f.lag(H), "rng": rng})

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.plans import bars, relational
+from tidewell.plans import analytics, bars, relational
 
-MODULES = (bars, relational)
+MODULES = (bars, relational, analytics)
 FLAGSHIP = bars.breaks_by_year
 
 
