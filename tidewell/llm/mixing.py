@@ -59,13 +59,14 @@ def mix(docs: DataFrame, seed: str = "tidewell", weights: dict[str | None, float
     table = materialise(table.select(F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate"), F.col("parts").alias("mix_parts"), F.col("cdf").alias("mix_cdf")))
     if table.count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
-    name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    held = docs.select(F.struct(*docs.columns).alias("row"), F.col(source_col).alias("source"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("name"))
+    name = F.col("name")
     one = lambda j: F.size(F.filter("mix_cdf", lambda c: c <= _uniform(F.lit(seed), name, j.cast("string"))))
     copies = F.when(F.col("mix_parts") == 1, _count(_uniform(F.lit(seed), name, F.lit("1")))).otherwise(F.aggregate(F.sequence(F.lit(1), "mix_parts"), F.lit(0), lambda a, j: a + one(j)))
-    out = docs.join(table, F.col(source_col).eqNullSafe(F.col("mix_source"))).withColumn("mix_copies", copies.cast("long")).where("mix_copies > 0")
+    out = held.join(table, F.col("source").eqNullSafe(F.col("mix_source"))).withColumn("mix_copies", copies.cast("long")).where("mix_copies > 0")
     out = out.withColumn("mix_replica", F.explode(F.sequence(F.lit(1).cast("long"), "mix_copies")))
     order = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), name, F.col("mix_replica").cast("string"), F.lit("order"))), 1, 15), 16, 10).cast("long")
-    out = out.withColumn("mix_key", order).select(*docs.columns, *new)
+    out = out.withColumn("mix_key", order).select("row.*", *new)
     return out.repartition("mix_key").sortWithinPartitions("mix_key")
 
 
