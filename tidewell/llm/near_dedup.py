@@ -118,11 +118,11 @@ def _links_left(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     component make up the left side and all members the right side; both are dealt into blocks of about BLOCK, and each pair
     of blocks is worked on by itself: a row for each member and opposite block is sent, never one for each pair of members.
     """
-    open_keys = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+    open_keys = materialise(members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key"))
     rest = materialise(members.join(open_keys, "key", "left_semi").select("ka", "node", "component").distinct())
-    sizes = rest.groupBy("ka").agg(F.min("component").alias("main"), F.count("*").alias("n"))
+    sizes = materialise(rest.groupBy("ka").agg(F.min("component").alias("main"), F.count("*").alias("n")))
     rest = materialise(rest.join(sizes, "ka"))
-    others = rest.where("component <> main").groupBy("ka").agg(F.count("*").alias("m"))
+    others = materialise(rest.where("component <> main").groupBy("ka").agg(F.count("*").alias("m")))
     rest = materialise(rest.join(others, "ka"))
     left_of, right_of = F.ceil(F.col("m") / BLOCK), F.ceil(F.col("n") / BLOCK)
     left = rest.where("component <> main").select("ka", F.pmod(F.xxhash64("node"), left_of).alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), right_of - 1)).alias("y"), F.lit(True).alias("is_left"), "node", "component")
@@ -180,10 +180,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     classes = materialise(classes)
 
     first = classes.select("node", F.explode("a").alias("ka"))
-    shared = first.groupBy("ka").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("ka")
+    # what is summed by a key is written before it is joined by it: such a join can be split where a key is hot
+    shared = materialise(first.groupBy("ka").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("ka"))
     met = first.join(shared, "ka", "left_semi").join(classes.select("node", "b"), "node")
     tables = met.select("node", "ka", F.explode("b").alias("kb")).select(F.xxhash64("ka", "kb").alias("key"), "ka", "node")
-    heads = tables.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("y")).where("head < y").select("key", "head")
+    heads = materialise(tables.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("y")).where("head < y").select("key", "head"))
     members = materialise(tables.join(heads, "key").where("node <> head"))
 
     pairs = materialise(members.select(F.col("head").alias("u"), F.col("node").alias("v")).distinct())
