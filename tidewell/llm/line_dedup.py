@@ -69,12 +69,13 @@ def repeated_runs(docs: DataFrame, run: int = RUN, id_col: str = "doc_id", text_
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
     marks = materialise(fingerprints(docs, run))
-    shared = marks.groupBy("mark").agg(F.count("*").alias("n"), F.max(F.size("windows")).alias("m")).where("n > 1 OR m > 1").select("mark")
+    # what is summed by a mark is written before it is joined by it: such a join can be split where a mark is hot
+    shared = materialise(marks.groupBy("mark").agg(F.count("*").alias("n"), F.max(F.size("windows")).alias("m")).where("n > 1 OR m > 1").select("mark"))
     near = marks.join(shared, "mark", "left_semi").select("mark", "doc_id", "start", F.posexplode("windows").alias("i", "window")).select("mark", "window", "doc_id", (F.col("start") + F.col("i")).alias("start"))
     near = materialise(near)
-    earliest = near.groupBy("mark", "window").agg(F.min("doc_id").alias("x"), F.count("*").alias("n")).where("n > 1").drop("n")
-    placed = near.join(earliest, ["mark", "window"])
-    origin = placed.where("doc_id = x").groupBy("mark", "window").agg(F.min("start").alias("s"))
+    earliest = materialise(near.groupBy("mark", "window").agg(F.min("doc_id").alias("x"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    placed = materialise(near.join(earliest, ["mark", "window"]))
+    origin = materialise(placed.where("doc_id = x").groupBy("mark", "window").agg(F.min("start").alias("s")))
     later = placed.join(origin, ["mark", "window"]).where("doc_id > x OR start > s")
     spans = later.select("doc_id", F.when(F.col("doc_id") == F.col("x"), F.greatest("start", F.col("s") + run)).otherwise(F.col("start")).alias("first"), (F.col("start") + run).alias("end")).where("first < end").distinct()
     # at most one span begins at each line of a text, so these lists are no longer than the text
