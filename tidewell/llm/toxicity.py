@@ -17,12 +17,14 @@ from tidewell.llm.common import map_arrow, text_slices
 from tidewell.llm.decontam import folded
 
 #: Bytes of the n-grams, and the bits of their hashed feature numbers.
-GRAMS = (3, 4, 5, 6)
+GRAMS = (5, 6, 7, 8)
 BITS = 20
 #: The bound on what a model is fitted to: rows of each label, and bytes of a text that may be among them.
 SAMPLE_ROWS = {1: 900, 0: 1800}
-SAMPLE_BYTES = 1 << 14
-ROUNDS = 50
+SAMPLE_BYTES = 1 << 13
+ROUNDS = 40
+#: Texts that an n-gram occurs in at least.
+LEAST_DOCUMENTS = 3
 THRESHOLD = 0.7
 #: Texts whose gradient is taken together.
 PART = 100
@@ -78,7 +80,9 @@ class Scorer:
 
 
 def train(texts: list[str], labels: np.ndarray, prior: float, rounds: int = ROUNDS) -> Scorer:
-    """Logistic regression on x * r, r being log((p + 1) / |p|) - log((q + 1) / |q|) for each n-gram's document counts p and q.
+    """Logistic regression on x * r, r being log((p + 0.1) / |p|) - log((q + 0.1) / |q|) for each n-gram's counts p and q.
+
+    The counts are taken for each thousand n-grams of a document, so that long documents do not outweigh short ones.
 
     The labels are weighted so that label 1 has the share ``prior``.
     """
@@ -91,10 +95,13 @@ def train(texts: list[str], labels: np.ndarray, prior: float, rounds: int = ROUN
         values.append(value)
     labels = np.asarray(labels, np.float64)
     size = 1 << BITS
-    count = lambda which: np.bincount(np.concatenate([rows[i] for i in which] or [np.zeros(0, np.int32)]), minlength=size).astype(np.float64)
-    p, q = count(np.flatnonzero(labels == 1)), count(np.flatnonzero(labels == 0))
-    ratio = np.log((p + 1) / (p + 1).sum()) - np.log((q + 1) / (q + 1).sum())
-    ratio[p + q < 3] = 0
+    p, q, held = np.zeros(size), np.zeros(size), np.zeros(size)
+    for found, value, y in zip(rows, values, labels, strict=True):
+        count = np.expm1(value)
+        (p if y else q)[found] += 1000 * count / max(count.sum(), 1)
+        held[found] += 1
+    ratio = np.log((p + 0.1) / (p + 0.1).sum()) - np.log((q + 0.1) / (q + 0.1).sum())
+    ratio[held < LEAST_DOCUMENTS] = 0
     used = np.flatnonzero(ratio)
     number = np.full(size, -1, np.int32)
     number[used] = np.arange(len(used))
@@ -108,7 +115,7 @@ def train(texts: list[str], labels: np.ndarray, prior: float, rounds: int = ROUN
     ones = labels.mean()
     weight = np.where(labels == 1, prior / max(ones, 1e-9), (1 - prior) / max(1 - ones, 1e-9)) / len(labels)
     w, bias = np.zeros(len(used)), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
-    first, second, b1, b2, decay = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0, 1e-3
+    first, second, b1, b2, decay = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0, 1e-2
     for step in range(1, rounds + 1):
         d, db = decay * w, 0.0
         for k, owner, index, value in zip(parts, owners, rows, values, strict=True):
