@@ -52,6 +52,21 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, Callable[[], None]]:
+    """df as a table of the shared folder, and a function that removes it, for what is needed for some steps only.
+
+    As Parquet it takes a fraction of a checkpoint's space.
+    """
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+
+    def drop() -> None:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    return spark.read.parquet(path), drop
+
+
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Rows ``lo`` to ``hi`` of a string column with their UTF-8 bytes and the offsets of each text in these.
 
