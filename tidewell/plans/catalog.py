@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.plans import analytics, bars, relational
+from tidewell.plans import analytics, bars, relational, replays
 
-MODULES = (bars, relational, analytics)
+MODULES = (bars, relational, analytics, replays)
 FLAGSHIP = bars.breaks_by_year
 
 
