@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.plans import analytics, bars, relational, replays
+from tidewell.plans import analytics, bars, relational, replays, solved
 
-MODULES = (bars, relational, analytics, replays)
+MODULES = (bars, relational, analytics, replays, solved)
 FLAGSHIP = bars.breaks_by_year
 
 
