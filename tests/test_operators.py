@@ -94,3 +94,23 @@ def test_missing_table_is_empty(spark, tmp_path):
     assert table_or_empty(spark, f"file://{tmp_path}/none*", schema).count() == 0
     spark.range(2).selectExpr("id AS a").write.parquet(f"file://{tmp_path}/t_1")
     assert sorted(map(tuple, table_or_empty(spark, f"file://{tmp_path}/t_*", schema).collect())) == [(0, None), (1, None)]
+
+
+def test_storage_by_day_and_year(spark, tmp_path):
+    from tidewell.sources import sinks
+
+    days = spark.createDataFrame([(day(0), "b", 1), (day(0), "a", 2), (day(1), "a", 3)], "t date, k string, x int")
+    sinks.write_days(days, f"file://{tmp_path}/days", "t", ["k"])
+    sinks.write_days(spark.createDataFrame([(day(1), "c", 9)], "t date, k string, x int"), f"file://{tmp_path}/days", "t", ["k"], parts=2)
+    assert sorted((r.t, r.k, r.x) for r in spark.read.parquet(f"file://{tmp_path}/days").collect()) == [(day(0), "a", 2), (day(0), "b", 1), (day(1), "c", 9)]
+    first = spark.createDataFrame([("a", day(0), 1), ("b", day(400), 1)], "k string, t date, v int")
+    for _ in range(2):  # a repeated write changes nothing
+        sinks.upsert_years(first, f"file://{tmp_path}/years", ["k"], "t", ["v"])
+    sinks.upsert_years(spark.createDataFrame([("a", day(3), 2), ("c", day(5), 1)], "k string, t date, v int"), f"file://{tmp_path}/years", ["k"], "t", ["v"])
+    assert sorted((r.k, r.t, r.v) for r in spark.read.parquet(f"file://{tmp_path}/years").collect()) == [("a", day(3), 2), ("b", day(400), 1), ("c", day(5), 1)]
+    published = spark.createDataFrame([(day(0), 1), (day(9), 1)], "t date, v int")
+    fresh = spark.createDataFrame([(day(0), 5), (day(10), 5)], "t date, v int")
+    assert sorted(map(tuple, sinks.frozen(published, fresh, "t").collect())) == [(day(0), 1), (day(9), 1), (day(10), 5)]
+    assert sorted(map(tuple, sinks.first_snapshot(published, fresh, "t", 5).collect())) == [(day(9), 1), (day(10), 5)]
+    listing = spark.createDataFrame([("f", 1, 1), ("g", 2, 1), ("h", 3, 1)], "name string, size int, time int")
+    assert [r.name for r in sinks.changed_entries(listing, spark.createDataFrame([("f", 1, 1), ("g", 2, 2)], "name string, size int, time int"), "name", ["size", "time"]).orderBy("name").collect()] == ["g", "h"]

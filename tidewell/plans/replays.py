@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewell.operators import publication, simulate
 from tidewell.plans import bars_sql as sql
+from tidewell.sources import sinks
 from tidewell.sources.tables import daily_bars, table
 
 
@@ -98,6 +101,14 @@ def limited_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return publication.exact_or_asof_limit(b, "code", "day", "x", 3)
 
 
+def ingested_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written by day, each file sorted, and what the stored days hold."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidewell-days-")
+    path = f"{folder.rstrip('/')}/tidewell-days-{uuid.uuid4().hex}"
+    sinks.write_days(table(spark, sf_dir, "events"), path, "ts", ["user_id", "ts", "event_id"])
+    return sinks.day_stats(spark.read.parquet(path), "date", "user_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "entry_outcomes": outcomes,
@@ -114,11 +125,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "peer_means": peer_means,
         "month_ends": month_ends,
         "limited_fill": limited_fill,
+        "ingested_days": ingested_days,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "ingested_days": "SELECT ts::DATE AS date, count(*) AS n_rows, count(DISTINCT user_id) AS n_keys FROM events GROUP BY 1",
         "entry_outcomes": _outcomes_sql(),
         "versioned_percentile": _VERSIONED,
         "month_block_folds": "WITH m AS (SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS m FROM orders), f AS (SELECT m, ((row_number() OVER (PARTITION BY year(m) ORDER BY md5('0:' || m::VARCHAR)) - 1) % 5)::INTEGER AS fold FROM m) SELECT o_orderkey, o_orderdate::DATE AS day, fold FROM orders JOIN f ON date_trunc('month', o_orderdate)::DATE = m",
