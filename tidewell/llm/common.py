@@ -23,16 +23,14 @@ BLANKS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    Read from ``spark.checkpoint.dir``. Only where the session names none (a local test) is a temporary folder made.
+    Read from ``spark.checkpoint.dir``, or else what the context was given. Only where the session names none (a local test) is a
+    temporary folder made.
     """
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    own = getattr(spark.sparkContext, "_tidewell_dir", None)
-    if own is None:
-        own = "file://" + tempfile.mkdtemp(prefix="tidewell-")
-        spark.sparkContext._tidewell_dir = own
-        spark.sparkContext.setCheckpointDir(own)
+    own = "file://" + tempfile.mkdtemp(prefix="tidewell-")
+    spark.sparkContext.setCheckpointDir(own)
     return own
 
 
