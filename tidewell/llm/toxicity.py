@@ -26,6 +26,8 @@ ROUNDS = 40
 #: Texts that an n-gram occurs in at least.
 LEAST_DOCUMENTS = 3
 THRESHOLD = 0.7
+#: Label 1 counts for this share of the fit at least: at a rarer one the penalty would hold its n-grams back.
+LEAST_SHARE = 0.3
 #: Texts whose gradient is taken together.
 PART = 100
 
@@ -154,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     if len({r.label for r in sample}) < 2:
         return None
     sample = sorted(sample)
-    return train([r.text for r in sample], np.array([r.label for r in sample]), totals[1] / (totals[0] + totals[1]))
+    return train([r.text for r in sample], np.array([r.label for r in sample]), max(LEAST_SHARE, totals[1] / (totals[0] + totals[1])))
 
 
 def score(docs: DataFrame, scorer: Scorer | None, keep: list[str], text_col: str = "text") -> DataFrame:
