@@ -172,6 +172,21 @@ def test_passages(spark, messy, clashing, none):
     assert substring_dedup.shared_passages(none).count() == 0
 
 
+def test_passages_with_words_between(spark):
+    """Passages of one pair of documents, with other words between that are too many for one passage of 80 %."""
+    new = iter(range(10**6))
+    text = lambda n: [f"k{next(new) * 7919 % 10**6}" for _ in range(n)]
+    layouts = [(60, g, 60) for g in (40, 60, 100, 200, 300)] + [(300, 130, 100), (8, 22, 60)]
+    docs, want = [], set()
+    for i, (first, gap, second) in enumerate(layouts):
+        for k in range(5):
+            one, two, a, b = text(first), text(second), 20 * i + 4 * k, 20 * i + 4 * k + 2
+            docs += [(a, text(90) + one + text(gap) + two + text(70)), (b, text(110) + one + text(gap + 9) + two + text(40))]
+            want |= {(b, at, at + n) for n, at in ((first, 110), (second, 110 + first + gap + 9)) if n >= 50}
+    got = substring_dedup.shared_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in docs], "doc_id long, text string"))
+    assert {(r.doc_id, r.start, r.end) for r in got.collect()} == want
+
+
 def test_passages_find_exact_repeats(spark):
     docs = documents(spark, DATA.replace("sf0.001", "sf0.01"))
     found = {r.doc_id for r in substring_dedup.shared_passages(docs).collect()}
