@@ -187,6 +187,21 @@ def test_passages_with_words_between(spark):
     assert {(r.doc_id, r.start, r.end) for r in got.collect()} == want
 
 
+def test_passages_of_which_earlier_documents_hold_parts(spark):
+    """Of exact passages whose parts occur in earlier documents, each later document after the first that holds it all has the row."""
+    new = iter(range(10**6))
+    text = lambda n: [f"k{next(new) * 7919 % 10**6}" for _ in range(n)]
+    docs, want = [], set()
+    for case in range(60):
+        p, i = text(60 if case < 20 else 50), 10 * case
+        parts = [p[:20], p[20:40], p[40:]] if case < 20 else [p[:39]] if case < 40 else [p[:49], p[1:]]
+        docs += [(i + k, text(30) + part + text(30)) for k, part in enumerate(parts)]
+        docs += [(i + 4, text(37) + p + text(21)), (i + 5, text(11) + p + text(50))]
+        want.add((i + 5, 11, 11 + len(p), i + 4, 37, 37 + len(p)))
+    got = substring_dedup.shared_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in docs], "doc_id long, text string")).collect()
+    assert {tuple(r)[:6] for r in got} >= want and {r.doc_id % 10 for r in got if r.doc_id < 400} == {5}
+
+
 def test_passages_find_exact_repeats(spark):
     docs = documents(spark, DATA.replace("sf0.001", "sf0.01"))
     found = {r.doc_id for r in substring_dedup.shared_passages(docs).collect()}

@@ -147,6 +147,15 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix64((total[ends] - total[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
 
 
+def stretch_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """As run_hashes(), of each words[start:end], where words are hashes themselves."""
+    n = len(words)
+    powers, inverses = _powers(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(words * powers[:n], out=total[1:])
+    return mix64((total[ends] - total[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
+
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_WORD = np.ones(256, bool)
