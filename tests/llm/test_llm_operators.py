@@ -150,6 +150,43 @@ def test_lines(spark, messy, clashing, none):
     assert {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(docs).collect()} == {1: "p\nq\nr\ns", 2: "z\n\nt", 3: "y\nq\nr", 4: "x\nx\nx\n", None: "p\nq\nr\ns"}
 
 
+def cut_lines(docs, run, long):
+    """Brute force: every window against all earlier places."""
+    lines = {i: [x for x in t.split("\n") if words(x)] for i, t in docs}
+    window = lambda i, n: next((tuple(lines[i][n : n + k]) for k in range(1, run + 1) if (k == run or sum(len(words(x)) for x in lines[i][n : n + k]) >= long) and n + k <= len(lines[i])), None)
+    first, out = {}, {}
+    for i, _ in sorted(docs):
+        gone = set()
+        for n in range(len(lines[i])):
+            if w := window(i, n):
+                d, at = first.setdefault(w, (i, n))
+                gone |= set(range(max(n, at + len(w)) if d == i else n, n + len(w))) if (d, at) != (i, n) else set()
+        out[i] = [x for n, x in enumerate(lines[i]) if n not in gone]
+    return out
+
+
+def test_lines_are_brute_force(spark):
+    rng = np.random.default_rng(3)
+    pool = [" ".join(f"w{x}" for x in rng.integers(0, 500, int(n))) for n in rng.choice([1, 3, 9, 14, 40], 40)]
+    docs = [(i, "\n".join(pool[x] for x in rng.integers(0, 40 if i % 3 else 4, int(rng.integers(0, 30))))) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    for run, long in ((3, 25), (4, 12), (2, 1000)):
+        got = {r.doc_id: [x for x in r.text.split("\n") if words(x)] for r in line_dedup.drop_repeated_lines(df, run, long).collect()}
+        assert got == cut_lines(docs, run, long)
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    """Rows of one id with different texts are documents of their own: each row's result has lines of its own text only."""
+    shared = "\n".join(f"shared line {i}" for i in range(4))
+    texts = ["short a\nshort b", "\n".join(f"line {i} x" for i in range(20)) + "\n" + shared, "second\n" + shared, "third\n" + shared + "\nend", "second\n" + shared]
+    docs = spark.createDataFrame([(1, texts[0]), (0, shared), (1, texts[1]), (1, texts[2]), (1, texts[3]), (1, texts[4])], "doc_id long, text string").coalesce(1)
+    got = Counter(r.text.rstrip("\n") for r in line_dedup.drop_repeated_lines(docs).collect())
+    assert got == Counter([texts[0], shared, "\n".join(f"line {i} x" for i in range(20)), "second", "third\nend", "second"])
+    long = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(2, "x\n" + long + "\ny"), (3, long), (4, "a b\n" + long[:-1])], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(docs).collect()} == {2: "x\n" + long + "\ny", 3: "", 4: "a b\n" + long[:-1]}
+
+
 # 4 passages
 
 

@@ -84,10 +84,13 @@ WITH l AS (
   SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS n, i, ls[i] AS line
   FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))
   WHERE regexp_matches(ls[i], '[^\x20\x09-\x0D]')),
-w AS (SELECT * FROM (SELECT doc_id, n, line AS a, lead(line) OVER d AS b, lead(line, 2) OVER d AS c FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY n)) WHERE c IS NOT NULL),
-f AS (SELECT *, first_value(doc_id) OVER o AS d0, first_value(n) OVER o AS n0 FROM w WINDOW o AS (PARTITION BY a, b, c ORDER BY doc_id, n)),
+v AS (
+  SELECT doc_id, n, line AS a, lead(line) OVER d AS b, lead(line, 2) OVER d AS c, words AS x, lead(words) OVER d AS y
+  FROM (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM l) WINDOW d AS (PARTITION BY doc_id ORDER BY n)),
+w AS (SELECT * FROM (SELECT doc_id, n, a, CASE WHEN x >= 25 THEN 1 WHEN x + y >= 25 THEN 2 WHEN c IS NOT NULL THEN 3 END AS k, CASE WHEN k > 1 THEN b END AS b, CASE WHEN k > 2 THEN c END AS c FROM v) WHERE k IS NOT NULL),
+f AS (SELECT *, first_value(doc_id) OVER o AS d0, first_value(n) OVER o AS n0 FROM w WINDOW o AS (PARTITION BY k, a, b, c ORDER BY doc_id, n)),
 g AS (
-  SELECT DISTINCT doc_id, unnest(range(CASE WHEN doc_id = d0 THEN greatest(n, n0 + 3) ELSE n END, n + 3)) AS n
+  SELECT DISTINCT doc_id, unnest(range(CASE WHEN doc_id = d0 THEN greatest(n, n0 + k) ELSE n END, n + k)) AS n
   FROM f WHERE doc_id <> d0 OR n <> n0),
 k AS (
   SELECT d.doc_id, d.text, d.ls, list(l.i) FILTER (WHERE g.n IS NOT NULL) AS gone, count(l.n) AS n_lines, count(g.n) AS n_removed
