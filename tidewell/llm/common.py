@@ -13,8 +13,9 @@ from pyspark.sql.types import StructType
 
 from tidewell.session import ship
 
-#: Bytes of text that one vectorised step looks at; a longer text is a step of its own.
+#: Bytes of text that one vectorised step looks at. A longer text is a slice of its own, which the kernels go through in pieces.
 SLICE_BYTES = 1 << 20
+PIECE_BYTES = 4 << 20
 
 #: The bytes of [\x20\x09-\x0D].
 BLANKS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -23,12 +24,14 @@ BLANKS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    Read from ``spark.checkpoint.dir``, or else what the context was given. Only where the session names none (a local test) is a
-    temporary folder made.
+    Read from ``spark.checkpoint.dir``, or else what the context was given. Only a local session that names none (a test) gets a
+    temporary folder; on a cluster, where no machine's own folder would do, that is an error.
     """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = "file://" + tempfile.mkdtemp(prefix="tidewell-")
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -50,6 +53,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, Callable[[], None]]:
     """df as a table of the shared folder, and a function that removes it, for what is needed for some steps only.
 
@@ -58,11 +67,7 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, Callable[[], None]]:
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
     df.write.parquet(path)
 
-    def drop() -> None:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-    return spark.read.parquet(path), drop
+    return spark.read.parquet(path), lambda: remove(spark, path)
 
 
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -138,13 +143,31 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each data[start:end]: differences of one running polynomial, scaled back to position 0."""
-    n = len(data)
-    powers, inverses = _powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_CODES[data] * powers[:n], out=total[1:])
-    return mix64((total[ends] - total[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: int = PIECE_BYTES) -> np.ndarray:
+    """A 64-bit hash of each data[start:end]: differences of one running polynomial, scaled back to position 0.
+
+    The runs are in order and apart; they are gone through in pieces, so that memory stays a small multiple of the piece.
+    """
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + piece, "right")))
+        lo, hi = int(starts[i]), int(ends[j - 1])
+        if hi - lo > piece:  # one long run: the parts' polynomials, each moved to its place
+            total = np.uint64(0)
+            for at in range(lo, hi, piece):
+                part = data[at : min(at + piece, hi)]
+                moved = np.uint64(pow(int(_BASE), at - lo, 1 << 64))
+                with np.errstate(over="ignore"):
+                    total = total + (_BYTE_CODES[part] * _powers(len(part))[0]).sum(dtype=np.uint64) * moved
+            out[i] = mix64(np.array([total]) + np.uint64(hi - lo))[0]
+        else:
+            powers, inverses = _powers(hi - lo + 1)
+            sums = np.zeros(hi - lo + 1, np.uint64)
+            np.cumsum(_BYTE_CODES[data[lo:hi]] * powers[: hi - lo], out=sums[1:])
+            a, b = starts[i:j] - lo, ends[i:j] - lo
+            out[i:j] = mix64((sums[b] - sums[a]) * inverses[a] + (b - a).astype(np.uint64))
+        i = j
+    return out
 
 
 def stretch_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -165,7 +188,7 @@ _IS_WORD[list(BLANKS)] = False
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, and for each text its first word."""
     starts, ends, first = word_bounds(_IS_WORD[data], offsets)
-    return run_hashes(_LOWER[data], starts, ends), first
+    return run_hashes(_LOWER[data] if len(data) else data, starts, ends), first
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -30,18 +30,22 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-def _windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All windows of the texts as rows of bytes (filled up with 0), their texts and how many bytes they hold."""
+def _windows(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each window of the texts: its text, its start and how many bytes it holds."""
     step = WINDOW - max(WIDTHS) + 1
     sizes = np.diff(offsets)
     each = np.maximum(1, -(-(sizes - max(WIDTHS) + 1) // step)) * (sizes > 0)
     owner = np.repeat(np.arange(len(sizes)), each)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)
     start = offsets[:-1][owner] + place * step
-    held = np.minimum(WINDOW, offsets[1:][owner] - start)
+    return owner, start, np.minimum(WINDOW, offsets[1:][owner] - start)
+
+
+def _spell(data: np.ndarray, start: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Windows as rows of bytes, filled up with 0."""
     at = start[:, None] + np.arange(WINDOW)
     inside = np.arange(WINDOW) < held[:, None]
-    return np.where(inside, data[np.where(inside, at, 0)], 0).astype(np.uint8) if len(owner) else np.zeros((0, WINDOW), np.uint8), owner, held
+    return np.where(inside, data[np.where(inside, at, 0)], 0).astype(np.uint8)
 
 
 @dataclass
@@ -80,15 +84,11 @@ class ByteNet:
             np.maximum(best, now, out=best)
         return best, place
 
-    def probabilities(self, x: np.ndarray, tables: list[np.ndarray] | None = None) -> np.ndarray:
-        tables = tables or self.tables()
-        parts = []
-        for i in range(0, len(x), BATCH):
-            best, _ = self.pooled(x[i : i + BATCH], tables)
-            z = np.maximum(best + self.bias, 0) @ self.out + self.out_bias
-            z = np.exp(z - z.max(axis=1, keepdims=True))
-            parts.append(z / z.sum(axis=1, keepdims=True))
-        return np.concatenate(parts) if parts else np.zeros((0, len(self.classes)), np.float32)
+    def probabilities(self, x: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+        best, _ = self.pooled(x, tables)
+        z = np.maximum(best + self.bias, 0) @ self.out + self.out_bias
+        z = np.exp(z - z.max(axis=1, keepdims=True))
+        return z / z.sum(axis=1, keepdims=True)
 
 
 def train(x: np.ndarray, y: np.ndarray, classes: list[str], epochs: int = EPOCHS, seed: int = 11) -> ByteNet:
@@ -164,9 +164,11 @@ def _judge(net: ByteNet | None, tables: list[np.ndarray] | None, column: pa.Arra
     if net is None:
         return best, score
     for lo, hi, data, offsets in text_slices(column):
-        x, owner, held = _windows(data, offsets)
+        owner, start, held = _windows(offsets)
         total = np.zeros((hi - lo, len(net.classes)))
-        np.add.at(total, owner, net.probabilities(x, tables) * held[:, None])
+        for i in range(0, len(owner), BATCH):
+            some = slice(i, i + BATCH)
+            np.add.at(total, owner[some], net.probabilities(_spell(data, start[some], held[some]), tables) * held[some, None])
         total /= np.maximum(total.sum(axis=1, keepdims=True), 1e-30)
         best[lo:hi], score[lo:hi] = total.argmax(axis=1), np.minimum(total.max(axis=1), 1)
     best[~letters], score[~letters] = -1, 0

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import map_arrow, text_slices
+from tidewell.llm.common import PIECE_BYTES, map_arrow, text_slices
 from tidewell.llm.decontam import folded
 
 #: Bytes of the n-grams, and the bits of their hashed feature numbers.
@@ -64,6 +64,16 @@ def _of_text(features: list[np.ndarray], a: int, b: int) -> tuple[np.ndarray, np
     return found[ends], np.log1p(np.diff(ends, prepend=-1)).astype(np.float32)
 
 
+def _of_long_text(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As _of_text(), of a whole long text: counts of the pieces, which overlap by what n-grams reach over, are added up."""
+    counts = np.zeros(1 << BITS, np.int64)
+    for at in range(0, len(text), PIECE_BYTES):
+        for n, f in zip(GRAMS, _features(text[at : at + PIECE_BYTES + max(GRAMS) - 1]), strict=True):
+            counts += np.bincount(f[:PIECE_BYTES], minlength=1 << BITS)
+    found = np.flatnonzero(counts)
+    return found.astype(np.int32), np.log1p(counts[found]).astype(np.float32)
+
+
 @dataclass
 class Scorer:
     weights: np.ndarray
@@ -74,6 +84,10 @@ class Scorer:
         z = np.full(len(column), self.bias)
         for lo, _, data, offsets in text_slices(column):
             text, bounds = _fold(data, offsets)
+            if len(text) > PIECE_BYTES:  # a slice of one text
+                found, value = _of_long_text(text)
+                z[lo] += self.weights[found] @ value
+                continue
             features = _features(text)
             for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
                 found, value = _of_text(features, a, b)
