@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import map_arrow, text_slices, word_bounds
+from tidewell.llm.common import PIECE_BYTES, map_arrow, materialise, run_hashes, text_slices, word_bounds
 
 #: Words of a window; a benchmark item with fewer is one window.
 WINDOW = 10
-#: Benchmark text that one block of patterns is made from; larger benchmarks are searched in several blocks.
-BLOCK_BYTES = 8 << 20
+#: Benchmark text that one block of patterns is made from, and the bound on what is broadcast at once: a larger benchmark is searched in passes.
+BLOCK_BYTES = 4 << 20
+SENT_BYTES = 64 << 20
+#: Blocks whose tables a worker keeps, and the text that it reads before it goes through the blocks of a benchmark with more.
+KEPT_BLOCKS = 2
+HELD_BYTES = 32 << 20
 #: Patterns of similar length are searched together, since the shortest decides how far a search may skip.
 LENGTH_CLASSES = (1, 12, 28)
 #: Bytes that each cursor of a search covers.
@@ -32,7 +37,27 @@ _WORD[65:91] = True
 
 
 def folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Texts as " word word ... word ": their bytes and offsets, the place of each word, and each text's first word."""
+    """Texts as " word word ... word ": their bytes and offsets, the place of each word, and each text's first word.
+
+    A long text, which is a slice of its own, is gone through in pieces that end between words.
+    """
+    if len(data) <= PIECE_BYTES or len(offsets) != 2:
+        return _folded(data, offsets)
+    parts, places, at, done = [np.full(1, 0x20, np.uint8)], [], 0, 0
+    while at < len(data):
+        end = min(at + PIECE_BYTES, len(data))
+        while end < len(data) and _WORD[data[end - 1]]:
+            gap = np.flatnonzero(~_WORD[data[end : end + PIECE_BYTES]])
+            end = end + int(gap[0]) + 1 if len(gap) else min(end + PIECE_BYTES, len(data))
+        text, _, place, _ = _folded(data[at:end], np.array([0, end - at]))
+        parts.append(text[1:])
+        places.append(place + done)
+        at, done = end, done + len(text) - 1
+    places = np.concatenate(places)
+    return np.concatenate(parts), np.array([0, done + 1]), places, np.array([0, len(places)])
+
+
+def _folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     starts, ends, first = word_bounds(_WORD[data], offsets)
     words = np.diff(first)
     # one blank follows each word and one precedes each text, also a text without words
@@ -50,109 +75,186 @@ def folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, bounds, places, first
 
 
-def windows_of(text: str | None, window: int = WINDOW) -> list[bytes]:
-    """The distinct windows of an item, in the form of folded()."""
-    data = np.frombuffer((text or "").encode(), np.uint8)
-    out, _, places, _ = folded(data, np.array([0, len(data)]))
-    raw, n = out.tobytes(), len(places)
-    if n == 0:
-        return []
-    edge = [*places, len(raw)]
-    return list(dict.fromkeys(raw[edge[i] - 1 : edge[min(i + window, n)]] for i in range(max(1, n - window + 1))))
+class Windows:
+    """The distinct windows of benchmark items as stretches of one text, and the items of each."""
+
+    def __init__(self, items: list[tuple[str, str]], window: int):
+        raw = [t.encode() for _, t in items]
+        self.names = [i for i, _ in items]
+        bounds = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+        text, edges, places, first = _folded(np.frombuffer(b"".join(raw), np.uint8), bounds)
+        words = np.diff(first)
+        each = np.where(words > 0, np.maximum(words - window + 1, 1), 0)
+        owner = np.repeat(np.arange(len(words)), each)
+        at = first[:-1][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)
+        last = at + np.minimum(words[owner], window)
+        # from the blank before the first word to the one after the last, which is before the next word or ends the text
+        ends = np.where(last < first[1:][owner], np.append(places, 0)[np.minimum(last, len(places))], edges[1:][owner])
+        starts = places[at] - 1 if len(at) else at
+        # windows overlap, which run_hashes() does not take: every window-th of an item is apart from the others
+        code = np.empty(len(at), np.uint64)
+        phase = (np.arange(len(at)) - np.repeat(np.cumsum(each) - each, each)) % max(window, 1)
+        for k in range(min(window, int(phase.max()) + 1 if len(phase) else 0)):
+            some = phase == k
+            code[some] = run_hashes(text, starts[some] + 1, ends[some])
+        _, where, number = np.unique(code, return_index=True, return_inverse=True)
+        order = np.argsort(number, kind="stable")
+        self.text, self.raw = text, text.tobytes()
+        self.starts, self.ends, self.words = starts[where], ends[where], last[where] - at[where]
+        self.owners, self.owner_at = owner[order], np.searchsorted(number[order], np.arange(len(where) + 1))
+
+    def items(self, window: int) -> list[str]:
+        return [self.names[i] for i in self.owners[self.owner_at[window] : self.owner_at[window + 1]].tolist()]
 
 
 class WuManber:
-    """Patterns with block shift tables and suffix buckets; ``find`` moves one cursor per stretch of text, all in step."""
+    """Patterns with block shift tables and suffix buckets; ``find`` moves one cursor per stretch of text, all in step.
+
+    All tables are arrays: of the patterns, stretches of ``windows``, in the order of their suffixes.
+    """
 
-    def __init__(self, patterns: list[bytes]):
-        self.patterns = patterns
-        self.reach = min(map(len, patterns))
+    def __init__(self, windows: Windows, some: np.ndarray):
+        self.windows = windows
+        starts = windows.starts[some]
+        self.reach = int((windows.ends[some] - starts).min())
         self.block = min(8, max(1, self.reach // 2))
         most = self.reach - self.block + 1
+        padded = np.concatenate([windows.text, np.zeros(8, np.uint8)])
         self.shift = np.full(1 << TABLE_BITS, most, np.int64)
-        self.buckets: dict[int, list[int]] = defaultdict(list)
-        heads = np.frombuffer(b"".join(p[: self.reach] for p in patterns), np.uint8).reshape(len(patterns), self.reach)
         for at in range(most):  # the block that ends at + block bytes into the pattern
-            keys = self._slot(self._keys(heads[:, at : at + self.block]))
-            np.minimum.at(self.shift, keys, most - 1 - at)
-        suffixes = self._keys(heads[:, most - 1 :])
-        for i, key in enumerate(suffixes.tolist()):
-            self.buckets[key].append(i)
-        self.suffixes = np.unique(suffixes)
-
-    def _keys(self, blocks: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(blocks), np.uint64)
-        for j in range(self.block):
-            out |= blocks[:, j].astype(np.uint64) << np.uint64(8 * j)
-        return out
+            suffixes = self._keys(padded, starts + at)
+            np.minimum.at(self.shift, self._slot(suffixes), most - 1 - at)
+        order = np.argsort(suffixes, kind="stable")
+        self.patterns, self.suffixes = some[order], suffixes[order]
+
+    def _keys(self, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The block of bytes at each place."""
+        blocks = np.lib.stride_tricks.as_strided(padded, (len(padded) - 7, 8), (1, 1))
+        return np.ascontiguousarray(blocks[at]).view("<u8")[:, 0] & np.uint64((1 << 8 * self.block) - 1)
 
     @staticmethod
     def _slot(keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
     def find(self, data: np.ndarray, raw: bytes) -> list[tuple[int, int]]:
-        """(start, pattern) of every occurrence in the text, which raw repeats."""
+        """(start, window) of every occurrence in the text, which raw repeats."""
         n = len(data)
         if n < self.reach:
             return []
-        last = n - self.reach
+        last, tail = n - self.reach, self.reach - self.block
         cursor = np.arange(0, last + 1, STRIDE)
         stop = np.minimum(cursor + STRIDE, last + 1)
-        tail = self.reach - self.block
         padded = np.concatenate([data, np.zeros(8, np.uint8)])
-        blocks = np.lib.stride_tricks.as_strided(padded[: n + 1].view(np.uint8), (n + 1, 8), (1, 1))
-        mask = np.uint64((1 << 8 * self.block) - 1)
         found = []
         while len(cursor):
-            keys = np.ascontiguousarray(blocks[cursor + tail]).view("<u8")[:, 0] & mask
+            keys = self._keys(padded, cursor + tail)
             step = self.shift[self._slot(keys)]
             if not step.all():
                 hit = step == 0
                 at, suffix = cursor[hit], keys[hit]
-                near = np.minimum(np.searchsorted(self.suffixes, suffix), len(self.suffixes) - 1)
-                sure = self.suffixes[near] == suffix
-                found += zip(at[sure].tolist(), suffix[sure].tolist(), strict=True)
+                low, high = np.searchsorted(self.suffixes, suffix), np.searchsorted(self.suffixes, suffix, "right")
+                sure = low < high
+                found += zip(at[sure].tolist(), low[sure].tolist(), high[sure].tolist(), strict=True)
                 step = np.maximum(step, 1)
             cursor = cursor + step
             more = cursor < stop
             if not more.all():
                 cursor, stop = cursor[more], stop[more]
-        out = []
-        for start, suffix in found:
-            for i in self.buckets[suffix]:
-                p = self.patterns[i]
-                if raw.startswith(p, start):
+        w, out = self.windows, []
+        for start, low, high in found:
+            for i in self.patterns[low:high].tolist():
+                if raw.startswith(w.raw[w.starts[i] : w.ends[i]], start):
                     out.append((start, i))
         return out
 
 
-def _tables(items: list[tuple[str, str | None]], window: int) -> list[tuple[WuManber, list[list[str]]]]:
-    owners: dict[bytes, list[str]] = defaultdict(list)
-    for item_id, text in items:
-        for w in windows_of(text, window):
-            owners[w].append(item_id)
-    out = []
-    for low, high in zip(LENGTH_CLASSES, [*LENGTH_CLASSES[1:], 1 << 60], strict=True):
-        if some := [w for w in owners if low <= len(w) < high]:
-            out.append((WuManber(some), [owners[w] for w in some]))
-    return out
+def _machines(items: list[tuple[str, str]], window: int) -> tuple[Windows, list[WuManber]]:
+    windows = Windows(items, window)
+    length = windows.ends - windows.starts
+    kinds = [np.flatnonzero((length >= low) & (length < high)) for low, high in zip(LENGTH_CLASSES, [*LENGTH_CLASSES[1:], 1 << 60], strict=True)]
+    return windows, [WuManber(windows, k) for k in kinds if len(k)]
+
 
+#: Tables that this worker has built, by the broadcast's name, block and window: a worker serves many tasks.
+_built: dict[tuple[str, int, int], tuple[Windows, list[WuManber]]] = {}
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
-    block, size = [], 0
-    rows = benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).where(F.col(text_col).isNotNull())
+
+def _tables(sent: Broadcast, block: int, window: int) -> tuple[Windows, list[WuManber]]:
+    name, blocks = sent.value
+    key = (name, block, window)
+    if key not in _built:
+        while len(_built) >= KEPT_BLOCKS:
+            _built.pop(next(iter(_built)))
+        _built[key] = _machines(blocks[block], window)
+    return _built[key]
+
+
+def _passes(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int, sent_bytes: int) -> Iterator[list[list[tuple[str, str]]]]:
+    """The items in blocks, as many at a time as may be broadcast; none, once, if there are no items."""
+    blocks, block, size, total, any_sent = [], [], 0, 0, False
+    rows = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")), F.col(text_col)).where(F.col(text_col).isNotNull())
     for item_id, text in rows.toLocalIterator():
-        block.append(("" if item_id is None else item_id, text))
+        block.append((item_id, text))
         size += len(text.encode())
         if size >= block_bytes:
-            yield block
-            block, size = [], 0
+            blocks, block, total, size = [*blocks, block], [], total + size, 0
+        if total >= sent_bytes:
+            yield blocks
+            blocks, total, any_sent = [], 0, True
     if block:
-        yield block
+        blocks.append(block)
+    if blocks or not any_sent:
+        yield blocks
+
+
+class _Found:
+    """What occurs in the texts of one slice."""
+
+    def __init__(self, n: int, form: tuple[np.ndarray, ...]):
+        self.text, self.bounds, self.places, self.first = form
+        self.hit = np.zeros(len(self.places) + 1, np.int64)
+        self.items: list[set[str]] = [set() for _ in range(n)]
+
+    def search(self, windows: Windows, machines: list[WuManber]) -> None:
+        raw = self.text.tobytes()
+        for machine in machines:
+            for start, i in machine.find(self.text, raw):
+                word = int(np.searchsorted(self.places, start + 1))
+                self.hit[word] += 1
+                self.hit[word + int(windows.words[i])] -= 1
+                self.items[int(np.searchsorted(self.bounds, start, "right")) - 1].update(windows.items(i))
+
+    def spans(self) -> list[list[dict[str, int]]]:
+        on, out = (np.cumsum(self.hit)[:-1] > 0).astype(np.int64), []
+        for a, b, some in zip(self.first[:-1], self.first[1:], self.items, strict=True):
+            edge = np.diff(np.concatenate([[0], on[a:b], [0]])) if some or self.hit[a:b].any() else np.zeros(0, np.int64)
+            out.append([{"first": int(x), "end": int(y)} for x, y in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)])
+        return out
+
+
+def _searched(batches: Iterator[pa.RecordBatch], at: int, sent: Broadcast, blocks: int, window: int) -> Iterator[tuple[pa.RecordBatch, int, int, _Found]]:
+    """(batch, lo, hi, found) of each slice of the texts in column ``at``. Few slices are held at once: one where tables are kept, HELD_BYTES of text else."""
+
+    def work(held: list[tuple[pa.RecordBatch, int, int, _Found]]) -> list[tuple[pa.RecordBatch, int, int, _Found]]:
+        for block in range(blocks):
+            tables = _tables(sent, block, window)
+            for *_, found in held:
+                found.search(*tables)
+        return held
+
+    held, size = [], 0
+    for batch in batches:
+        for lo, hi, data, offsets in text_slices(batch.column(at)):
+            held.append((batch, lo, hi, _Found(hi - lo, folded(data, offsets))))
+            size += len(data)
+            if blocks <= KEPT_BLOCKS or size >= HELD_BYTES:
+                yield from work(held)
+                held, size = [], 0
+    yield from work(held)
 
 
 def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, sent_bytes: int = SENT_BYTES
 ) -> DataFrame:
     """One row per document: id, n_words, n_hit, items (sorted ids of items with an occurring window) and hit_spans.
 
@@ -162,49 +264,53 @@ def find_contamination(
     A null or empty text has no words. Repeated documents each get their row; columns other than the two named are
     not read. An empty benchmark hits nothing.
 
-    The benchmark is the stated query set. It is read in blocks of ``block_bytes``, each of which is broadcast by itself, so
-    that one block's tables are in a worker's memory at a time. Documents are never shuffled.
+    The benchmark is the stated query set. It is broadcast up to SENT_BYTES, in blocks of ``block_bytes`` of which a worker keeps few
+    tables; a larger one is searched in passes, each of which writes the few texts that it hits, by their digest. Documents are
+    never shuffled but to meet these hits where there is more than one pass.
     """
-    context = docs.sparkSession.sparkContext
-    sent = [context.broadcast(block) for block in _blocks(benchmark, item_col, item_text_col, block_bytes)]
+    kind = docs.schema[id_col].dataType.simpleString()
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    passes = _passes(benchmark, item_col, item_text_col, block_bytes, sent_bytes)
+    blocks = next(passes)
+    later = next(passes, None)
+    if later is None:
+        return map_arrow(docs, _scanner(docs, blocks, window, False), f"id {kind}, {_FOUND}").withColumnRenamed("id", id_col)
+    docs, hits = docs.select("id", "text", F.md5("text").alias("digest")), None
+    texts = docs.select("digest", "text")
+    while blocks is not None:
+        found = materialise(map_arrow(texts, _scanner(docs, blocks, window, True), f"digest string, {_FOUND}"))
+        hits = found if hits is None else hits.union(found)
+        blocks, later = later, next(passes, None)
+    hits = hits.dropDuplicates(["digest", "items", "hit_spans"])
+    # of all the passes' spans of a text, those that touch or overlap are one
+    merge = lambda a, s: F.when((F.size(a) > 0) & (F.element_at(a, -1)["end"] >= s["first"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["first"].alias("first"), F.greatest(F.element_at(a, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(a, F.array(s)))
+    spans = F.aggregate(F.array_sort(F.flatten(F.collect_list("hit_spans"))), F.array().cast(_SPANS), merge)
+    hits = hits.groupBy("digest").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), spans.alias("hit_spans"))
+    counts = map_arrow(docs, _scanner(docs, [], window, False), f"id {kind}, {_FOUND}, digest string")
+    out = counts.drop("n_hit", "items", "hit_spans").withColumn("key", F.coalesce("digest", F.md5(F.concat(F.lit("none"), F.col("id").cast("string"))), F.lit(""))).join(hits.withColumnRenamed("digest", "key"), "key", "left")
+    n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["first"])
+    out = out.select("id", "n_words", F.coalesce(n_hit, F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("hit_spans", F.array().cast(_SPANS)).alias("hit_spans"))
+    return out.withColumnRenamed("id", id_col)
+
+
+_SPANS = "array<struct<first: bigint, end: bigint>>"
+_FOUND = "n_words long, n_hit long, items array<string>, hit_spans array<struct<first: long, end: long>>"
+
+
+def _scanner(docs: DataFrame, blocks: list[list[tuple[str, str]]], window: int, hit_only: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From the columns (name, text, ...), a row of name, _FOUND, ... for each text, or for each in which something occurs."""
+    sent, n = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, blocks)), len(blocks)
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _tables(sent[0].value, window) if len(sent) == 1 else None
-        for batch in batches:
-            slices = list(text_slices(batch.column(1)))
-            forms = [folded(data, offsets) for _, _, data, offsets in slices]
-            hits = [np.zeros(len(places) + 1, np.int64) for _, _, places, _ in forms]
-            items: list[set[str]] = [set() for _ in range(batch.num_rows)]
-            for block in sent:
-                for machine, owners in tables if tables is not None else _tables(block.value, window):
-                    sizes = [p.count(b" ") - 1 for p in machine.patterns]
-                    for (lo, _, _, _), (text, bounds, places, _), hit in zip(slices, forms, hits, strict=True):
-                        for start, i in machine.find(text, text.tobytes()):
-                            word = int(np.searchsorted(places, start + 1))
-                            hit[word] += 1
-                            hit[word + sizes[i]] -= 1
-                            items[lo + int(np.searchsorted(bounds, start, "right")) - 1].update(owners[i])
-            n_words, n_hit, spans = [], [], []
-            for (_, _, _, first), hit in zip(forms, hits, strict=True):
-                on = (np.cumsum(hit)[:-1] > 0).astype(np.int64)
-                total = np.concatenate([[0], np.cumsum(on)])
-                n_words.append(np.diff(first))
-                n_hit.append(total[first[1:]] - total[first[:-1]])
-                for a, b, c in zip(first[:-1], first[1:], n_hit[-1], strict=True):
-                    if c == 0:
-                        spans.append([])
-                        continue
-                    edge = np.diff(np.concatenate([[0], on[a:b], [0]]))
-                    spans.append([{"first": int(x), "end": int(y)} for x, y in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)])
-            join = lambda xs: np.concatenate(xs) if xs else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(join(n_words), pa.int64()), pa.array(join(n_hit), pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))],
-                names=["id", "n_words", "n_hit", "items", "hit_spans"],
-            )
+        for batch, lo, hi, found in _searched(batches, 1, sent, n, window):
+            spans = found.spans()
+            columns = [np.diff(found.first), [sum(s["end"] - s["first"] for s in x) for x in spans], [sorted(x) for x in found.items], spans]
+            rest = batch.slice(lo, hi - lo)
+            out = pa.RecordBatch.from_arrays([rest.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), *rest.columns[2:]], names=[rest.schema.names[0], "n_words", "n_hit", "items", "hit_spans", *rest.schema.names[2:]])
+            yield out.filter(pa.array([bool(s) for s in spans])) if hit_only else out
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), scan, f"id {kind}, n_words long, n_hit long, items array<string>, hit_spans array<struct<first: long, end: long>>")
-    return out.withColumnRenamed("id", id_col)
+    return scan
 
 
 def contamination_digest(found: DataFrame) -> DataFrame:
@@ -212,25 +318,24 @@ def contamination_digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """The documents in which no benchmark window occurs, with all their columns.
 
-    The verdict is made in the same pass as the rows are read: a document is never joined back by its id.
+    The verdict is made in the same pass as the rows are read: a document is never joined back by its id. Null and empty texts
+    stay, and so do all if the benchmark is empty. A benchmark over SENT_BYTES takes a pass for each part of it.
     """
-    context = docs.sparkSession.sparkContext
-    sent = [context.broadcast(block) for block in _blocks(benchmark, "item_id", "text", BLOCK_BYTES)]
-    at = docs.columns.index("text")
+    at, first = docs.columns.index(text_col), True
+    for blocks in _passes(benchmark, item_col, item_text_col, block_bytes, sent_bytes):
+        docs = map_arrow(docs if first else materialise(docs), _filter(docs, blocks, at), docs.schema)
+        first = False
+    return docs
+
+
+def _filter(docs: DataFrame, blocks: list[list[tuple[str, str]]], at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    sent, n = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, blocks)), len(blocks)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _tables(sent[0].value, WINDOW) if len(sent) == 1 else None
-        for batch in batches:
-            clean = np.ones(batch.num_rows, bool)
-            slices = [(lo, *folded(data, offsets)[:2]) for lo, _, data, offsets in text_slices(batch.column(at))]
-            for block in sent:
-                for machine, _ in tables if tables is not None else _tables(block.value, WINDOW):
-                    for lo, text, bounds in slices:
-                        for start, _ in machine.find(text, text.tobytes()):
-                            clean[lo + int(np.searchsorted(bounds, start, "right")) - 1] = False
-            yield batch.filter(pa.array(clean))
-
-    return map_arrow(docs, keep, docs.schema)
+        for batch, lo, hi, found in _searched(batches, at, sent, n, WINDOW):
+            yield batch.slice(lo, hi - lo).filter(pa.array([not x for x in found.items], pa.bool_()))
+
+    return keep
