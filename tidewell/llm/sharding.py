@@ -132,25 +132,29 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
     return capacity, [keys[i] if (i := bisect_left(ladder.sums, at)) < len(keys) else 1 << KEY_BITS for at in places]
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, size (UTF-8 bytes of the text plus 1), text_crc32, law ("bytes"), shard, slot and grown_shard (null).
+def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, size (UTF-8 bytes of the text plus 1), text_crc32, law ("bytes"), shard, slot, grown_shard (null), and the columns ``carry``.
 
     Rows of equal texts are a group and stay together; groups are ordered by the leading 60 bits of their text's MD5, null texts
     first. Shards are runs of groups whose largest sum of sizes is as small as can be. slot numbers a shard's rows from 0
-    without gaps, in the order of the leading digits of the MD5 of their ids, then ids, then texts; equal rows in any order. A
-    null text has size 1 and a null text_crc32. Repeated rows and null ids get their slots like others. Shards may stay
-    empty where there are fewer groups. Only the two columns named are read.
+    without gaps, in the order of the leading digits of the MD5 of their ids and groups, then ids, then texts; equal rows in any
+    order. A null text has size 1 and a null text_crc32. Repeated rows and null ids get their slots like others. Shards may stay
+    empty where there are fewer groups. Columns named like one of these are not carried; without ``carry`` only the two columns
+    named are read. With it, docs is read twice: it should be a table.
     """
+    names = ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    carry = [c for c in carry or [] if c not in names]
     key = F.coalesce(F.conv(F.substring(F.md5(F.col(text_col)), 1, KEY_BITS // 4), 16, 10).cast("long"), F.lit(-1).cast("long"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.col(text_col)).alias("text_crc32"), key.alias("key"))
-    rows = materialise(rows)
+    rows = docs.select(F.col(id_col).alias("doc_id"), (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.col(text_col)).alias("text_crc32"), key.alias("key"), *([F.struct(*carry).alias("carried")] if carry else []))
+    rows = rows if carry else materialise(rows)  # what is carried would be written once more
     _, cuts = minimax_cuts(materialise(rows.groupBy("key").agg(F.sum("size").alias("size"))), shards)
     shard = F.lit(0)
     for at in cuts:
         shard = shard + (F.col("key") >= F.lit(at)).cast("int")
-    bucket = F.substring(F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("")), 1, BUCKET_DIGITS)
+    bucket = F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("key").cast("string"))), 1, BUCKET_DIGITS)
     rows = rows.withColumns({"shard": shard, "bucket": bucket})
     ahead = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("shard", "bucket").count().select("shard", "bucket", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("start"))
     place = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "key", "size"))
-    return rows.join(starts, ["shard", "bucket"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + place - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    out = rows.join(starts, ["shard", "bucket"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + place - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *(["carried"] if carry else []))
+    return out.select(*names, "carried.*") if carry else out
