@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+import textwrap
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -130,7 +133,8 @@ def test_language_edges(spark, messy, clashing, none):
 
 def test_windows_cover_every_byte():
     data = np.arange(1, 251, dtype=np.uint8).repeat(5)
-    x, owner, held = langid._windows(data, np.array([0, 0, 1, 4, 700, len(data)]))
+    owner, start, held = langid._windows(np.array([0, 0, 1, 4, 700, len(data)]))
+    x = langid._spell(data, start, held)
     for i, (a, b) in enumerate(((0, 0), (0, 1), (1, 4), (4, 700), (700, len(data)))):
         grams = {data[k : k + 4].tobytes() for k in range(a, b - 3)}
         seen = {w[k : k + 4].tobytes() for w, h in zip(x[owner == i], held[owner == i], strict=True) for k in range(h - 3)}
@@ -353,6 +357,15 @@ def test_mixing(spark, messy, clashing, none):
     assert mixing.mix(docs, weights={"a": 0, "b": 0, "c": 0}).count() == 0
 
 
+def test_mixing_without_ids(spark):
+    """Rows without an id, and rows that share one, draw by their texts: their source has its rate too."""
+    docs = spark.range(4000).select(F.when(F.col("id") % 2 == 0, F.lit(None)).otherwise(F.lit(7)).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.when(F.col("id") % 4 < 2, "a").otherwise("b").alias("source"))
+    got = mixing.mix(docs, weights={"a": 3, "b": 1}).groupBy("source").count().collect()
+    assert all(abs(r["count"] / 4000 - {"a": 0.75, "b": 0.25}[r.source]) < 0.04 for r in got) and len(got) == 2
+    many = {f"s{i}": float(i) for i in range(3000)}
+    assert mixing.mix(docs.withColumn("source", F.concat(F.lit("s"), F.length("text"))), weights=many | {None: 1.0}).count() > 3000
+
+
 # 7 licences
 
 
@@ -368,6 +381,38 @@ def test_licenses(spark, messy, clashing, none):
     assert {r.license_id for r in license_scan.scan(docs, known=license_scan.known_licenses(spark).where("false")).collect()} == {None}
 
 
+def test_license_copies_as_found(spark):
+    """Whole copies of licences as files have them: other titles, holders without a year, reserved rights, bullets, wrapped lines."""
+    text = {i: t for i, t in reversed(license_scan.KNOWN) if len(t) > 400}
+    wrap = lambda t: "\n".join(textwrap.fill(x, 60) for x in t.split("\n"))
+    copies = [
+        ("MIT", "The MIT License\n\nCopyright Jane Doe\n\n" + wrap(text["MIT"])),
+        ("MIT", "Copyright © 2011-2020 The Authors <a@b.example>\nCopyright (c) 2021 Others\n\n" + text["MIT"].upper().replace("LICENSE", "LICENCE")),
+        ("BSD-3-Clause", "Copyright (c) 2019, Somebody\nAll rights reserved.\n\n" + wrap(text["BSD-3-Clause"])),
+        ("BSD-3-Clause", "Copyright Somebody and Others\n\n" + re.sub(r"(?m)^[0-9]\\. ", " * ", text["BSD-3-Clause"])),
+        ("BSD-2-Clause", re.sub(r"(?m)^([0-9])\\. ", r"(\\1) ", text["BSD-2-Clause"])),
+        ("Zlib", "zlib License\n(C) 1995 Someone\n" + wrap(text["Zlib"])),
+        ("Unlicense", wrap(text["Unlicense"])),
+        (None, text["MIT"] + " And more."),
+        (None, text["MIT"].replace("free of charge", "for a fee")),
+    ]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(copies)], "doc_id long, text string")).collect()}
+    assert [got[i].license_id for i in range(len(copies))] == [n for n, _ in copies]
+
+
+FULL_TEXTS = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "BSD": "BSD-3-Clause-UC", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+
+
+def test_full_license_texts(spark):
+    """The digests of full texts are those of the copies that Debian systems hold, also wrapped elsewhere."""
+    at = Path("/usr/share/common-licenses")
+    here = [(i, (at / n).read_text(encoding="utf-8", errors="replace")) for n, i in FULL_TEXTS.items() if (at / n).exists()]
+    if not here:
+        pytest.skip("no licence texts on this machine")
+    got = license_scan.scan(spark.createDataFrame([*here, *((i, t.replace("\n", "\r\n").replace('"', "'")) for i, t in here)], "doc_id string, text string")).collect()
+    assert len(got) == 2 * len(here) and all(r.license_id == r.doc_id for r in got)
+
+
 # 8 toxicity
 
 
@@ -411,6 +456,19 @@ def test_quality(messy, clashing, none):
     assert quality.clean_lines(none).count() == 0
 
 
+def test_quality_of_prose_and_of_pages(spark):
+    """Quotations of several languages and prose that mentions a cookie stay; menus, crumbs and notices go."""
+    french = "\n".join(f"Elle répondit « oui, jour{i} » puis, après silence{i}, ajouta encore « non, nuit{i} » et partit{i}." for i in range(12))
+    german = "\n".join(f"Er sagte »ja, am Tag{i}« und nach Stunde{i} rief sie »nein, niemals{i}« durch das Haus{i}." for i in range(12))
+    prose = "The chef baked a cookie, and I will sign up for the class that starts next week, since nobody else in the whole town bakes anything half as good."
+    page = "Home | News | Sport | Contact\nhome > shop > shoes > red\nWe use cookies to improve your visit. Read more.\nCliquez ici!\nHome\nAll rights reserved.\n" * 3
+    page += "\n".join(f"Menu {i} » entry {i} » leaf {i}" for i in range(9))
+    got = {r.doc_id: r for r in quality.clean_lines(spark.createDataFrame(list(enumerate([french, german, prose, page, prose + "\nNo other bakery is open.\nWe use cookies."])), "doc_id long, text string")).collect()}
+    assert [got[i].kept for i in range(5)] == [True, True, True, False, True]
+    assert got[0].clean_text == french and got[1].clean_text == german and got[2].clean_text == prose and got[3].clean_text.strip() == ""
+    assert "cookies" not in got[4].clean_text
+
+
 # 10 decontamination
 
 
@@ -436,20 +494,51 @@ def test_decontamination(spark, messy, clashing, none):
     items = [("b", item), ("a", "Hello, WORLD"), ("c", ""), ("d", None), ("e", "..."), ("f", "漢字"), ("g", "one"), ("h", item + " tail"), ("i", "c d a")]
     bench = spark.createDataFrame(items, "item_id string, text string")
     want = search([(r[0], r[1]) for r in rows() if r[0] is not None and r[1] != LONG], items)
-    for block in (decontam.BLOCK_BYTES, 5):
-        got = decontam.find_contamination(messy, bench, block_bytes=block).collect()
+    for block, sent in ((decontam.BLOCK_BYTES, decontam.SENT_BYTES), (5, decontam.SENT_BYTES), (5, 60)):
+        got = decontam.find_contamination(messy, bench, block_bytes=block, sent_bytes=sent).collect()
         assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows())
         assert {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in got if r.doc_id in want} == want
         assert all(sum(s.end - s.first for s in r.hit_spans) == r.n_hit for r in got)
     same_rows(decontam.find_contamination(clashing, bench), decontam.find_contamination(messy, bench))
     assert decontam.find_contamination(none, bench).count() == 0
     assert sum(r.n_hit for r in decontam.find_contamination(messy, bench.where("false")).collect()) == 0
-    kept = decontam.remove_contaminated(clashing, bench)
-    assert kept.columns == clashing.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in rows()} - {i for i, x in want.items() if x[1]}
+    for block, sent in ((decontam.BLOCK_BYTES, decontam.SENT_BYTES), (5, 60)):
+        kept = decontam.remove_contaminated(clashing, bench, block_bytes=block, sent_bytes=sent)
+        assert kept.columns == clashing.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in rows()} - {i for i, x in want.items() if x[1]}
     digest = decontam.contamination_digest(decontam.find_contamination(messy, bench)).collect()
     assert all(r.items_sha256 == hashlib.sha256(",".join(want[r.doc_id][2]).encode()).hexdigest() for r in digest if r.doc_id in want)
 
 
+# long texts
+
+
+def test_kernels_take_long_texts_in_pieces():
+    """A text of 50 MB: the same windows, words, n-grams and hashes as from small parts, in bounded memory."""
+    rng = np.random.default_rng(9)
+    some = b" ".join(b"w%d" % x for x in rng.integers(0, 10**6, 40_000))
+    data = np.frombuffer(some + b" " + b"x" * (9 << 20) + b" " + some * 160, np.uint8)
+    assert len(data) > 50 << 20
+    offsets = np.array([0, len(data)])
+    tracemalloc.start()
+    hashes, first = common.word_hashes(data, offsets)
+    text, bounds, places, _ = decontam.folded(data, offsets)
+    scorer = toxicity.Scorer(rng.standard_normal(1 << toxicity.BITS).astype(np.float32), 0.0)
+    found, value = toxicity._of_long_text(text)
+    assert tracemalloc.get_traced_memory()[1] < 1200 << 20
+    tracemalloc.stop()
+    small = np.frombuffer(some, np.uint8)
+    want, _ = common.word_hashes(small, np.array([0, len(small)]))
+    assert first.tolist() == [0, len(hashes)] and (hashes[: len(want)] == want).all() and (hashes[-len(want) + 1 :] == want[1:]).all()
+    giant = common.run_hashes(data, np.array([len(some) + 1]), np.array([len(some) + 1 + (9 << 20)]))
+    assert hashes[len(want)] == giant[0] == common.run_hashes(data, np.array([len(some) + 1]), np.array([len(some) + 1 + (9 << 20)]), piece=1 << 24)[0]
+    assert len(places) == len(hashes) and bounds.tolist() == [0, len(text)] and bytes(text[:60]) == b" " + bytes(data[:59])
+    a, b = toxicity._of_text(toxicity._features(text[: 1 << 20]), 0, 1 << 20)
+    assert len(scorer.weights) > found.max() and np.isin(a, found).all() and value.max() >= b.max()
+    one = toxicity._of_long_text(text[: 9 << 20])
+    two = toxicity._of_text(toxicity._features(text[: 9 << 20]), 0, 9 << 20)
+    assert (one[0] == two[0]).all() and np.allclose(one[1], two[1])
+
+
 # the pipeline
 
 

@@ -26,7 +26,7 @@ def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, text, coalesce(octet_length(encode(text)), 0) + 1 AS size, coalesce(('0x' || substr(md5(text), 1, 15))::BIGINT, -1) AS key,
-    coalesce(substr(md5(doc_id::VARCHAR), 1, 3), '') AS bucket
+    substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(('0x' || substr(md5(text), 1, 15))::BIGINT, -1)::VARCHAR), 1, 3) AS bucket
   FROM documents),
 g AS (SELECT key, sum(size)::BIGINT AS size FROM d GROUP BY key),
 p AS (SELECT key, (sum(size) OVER (ORDER BY key))::BIGINT AS upto, size FROM g),
@@ -143,11 +143,11 @@ f AS (
   SELECT source, mean, k + 1, p * mean / (k + 1), c + p * mean / (k + 1) FROM f WHERE k < 72),
 l AS (SELECT source, list(c ORDER BY k) AS cdf FROM f GROUP BY source),
 n AS (
-  SELECT d.*, m.rate AS mix_rate,
-    list_sum(list_transform(range(1, parts + 1), lambda j: len(list_filter(cdf, lambda x: x <= ('0x' || substr(md5('tidewell:' || coalesce(d.doc_id::VARCHAR, '') || ':' || j::VARCHAR), 1, 13))::BIGINT::DOUBLE / 4503599627370496))))::BIGINT AS mix_copies
+  SELECT d.*, concat_ws(':', coalesce(d.doc_id::VARCHAR, ''), md5(d.text)) AS name, m.rate AS mix_rate,
+    list_sum(list_transform(range(1, parts + 1), lambda j: len(list_filter(cdf, lambda x: x <= ('0x' || substr(md5('tidewell:' || name || ':' || j::VARCHAR), 1, 13))::BIGINT::DOUBLE / 4503599627370496))))::BIGINT AS mix_copies
   FROM documents d JOIN m ON d.source IS NOT DISTINCT FROM m.source JOIN l ON l.source IS NOT DISTINCT FROM m.source),
 e AS (SELECT *, unnest(range(1, mix_copies + 1)) AS mix_replica FROM n WHERE mix_copies > 0)
-SELECT *, ('0x' || substr(md5('tidewell:' || coalesce(doc_id::VARCHAR, '') || ':' || mix_replica::VARCHAR || ':order'), 1, 15))::BIGINT AS mix_key
+SELECT * EXCLUDE (name), ('0x' || substr(md5('tidewell:' || name || ':' || mix_replica::VARCHAR || ':order'), 1, 15))::BIGINT AS mix_key
 FROM e
 """
 
@@ -158,15 +158,16 @@ def op7_license(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _license_sql() -> str:
     def canonical(text: str) -> str:
-        out = f"regexp_replace(translate({text}, '{license_scan.UPPER}', '{license_scan.LOWER}'), '{license_scan.COPYRIGHT_LINE}', chr(10), 'g')"
-        out = f"' ' || regexp_replace({out}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F\\x{{00A0}}-\\x{{00BF}}\\x{{2010}}-\\x{{2027}}]+', ' ', 'g') || ' '"
+        out = f"regexp_replace(regexp_replace({text}, '{license_scan.COPYRIGHT_LINE}', '', 'g'), '{license_scan.LIST_MARK}', '', 'g')"
+        out = f"' ' || regexp_replace(translate({out}, '{license_scan.UPPER}', '{license_scan.LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F\\x{{00A0}}-\\x{{00BF}}\\x{{2010}}-\\x{{2027}}]+', ' ', 'g') || ' '"
         for one, other in license_scan.SPELLINGS:
             out = f"replace({out}, '{one}', '{other}')"
         return f"trim(regexp_replace({out}, '  +', ' ', 'g'), ' ')"
 
+    digests = "".join(f" UNION ALL SELECT '{d}', '{i}'" for i, d in license_scan.KNOWN_DIGESTS)
     quoted = ", ".join("('" + i + "', '" + t.replace("'", "''") + "')" for i, t in license_scan.KNOWN)
     return f"""
-WITH k AS (SELECT sha256({canonical("t")}) AS digest, min(i) AS license_id FROM (VALUES {quoted}) AS v(i, t) GROUP BY 1),
+WITH k AS (SELECT sha256({canonical("t")}) AS digest, min(i) AS license_id FROM (VALUES {quoted}) AS v(i, t) GROUP BY 1{digests}),
 d AS (SELECT doc_id, {canonical("text")} AS form FROM documents)
 SELECT doc_id, coalesce(length(form), 0)::BIGINT AS canonical_chars, CASE WHEN form <> '' THEN sha256(form) END AS digest, license_id
 FROM d LEFT JOIN k ON form <> '' AND sha256(form) = k.digest
@@ -194,8 +195,8 @@ good AS (
   SELECT rid, list_filter(all_lines, lambda x: NOT regexp_matches(x, '[^\x20\x09-\x0D]') OR (
     greatest(length(x) - length(translate(x, '#*$%&|<>', '')), length(x) - length(replace(x, '!!', ''))) * 100 <= length(x) * 10
     AND regexp_matches(x, '[.!?\x{2026}\x{3002}][''")\]\x{00BB}\x{201D}\x{2019}]*([\x20\x09-\x0D]|\z)')
-    AND NOT regexp_matches(x, '[|\x{00BB}\x{203A}>].*[|\x{00BB}\x{203A}>]|(?i)\A[\x20\x09-\x0D]*(home|menu|search|next|previous|back|share|contact|about us|site ?map)[\x20\x09-\x0D]*\z')
-    AND NOT regexp_matches(x, '(?i)cookie|javascript|terms of (use|service)|privacy policy|all rights reserved|click here|read more|sign up|log in|lorem ipsum|subscribe to'))) AS good
+    AND NOT (regexp_matches(x, '{NAVIGATION}') OR (regexp_matches(x, '{SEPARATED}') AND NOT regexp_matches(x, '{QUOTED}') AND NOT regexp_matches(x, '{CLOSED}')))
+    AND NOT (regexp_matches(x, '{BOILERPLATE}') AND (length(x) - length(regexp_replace(x, '{BOILERPLATE}', '', 'g'))) * 100 > length(x) * 15))) AS good
   FROM w),
 f AS (
   SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, length(t) - length(translate(t, '#*$%&|<>', ''))::BIGINT AS n_symbols,
@@ -206,6 +207,8 @@ v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (before - after) * 100 <= before * 50 AS kept, coalesce(clean_chars, 0)::BIGINT AS clean_chars
 FROM v
 """
+for _name in ("NAVIGATION", "SEPARATED", "QUOTED", "CLOSED", "BOILERPLATE"):
+    OP9_SQL = OP9_SQL.replace("{" + _name + "}", getattr(quality, _name).replace("'", "''"))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

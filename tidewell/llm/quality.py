@@ -18,9 +18,22 @@ MOST_LOST_PERCENT = 50
 
 #: A line of prose has the end of a sentence somewhere.
 SENTENCE_END = r"""[.!?\x{2026}\x{3002}]['")\]\x{00BB}\x{201D}\x{2019}]*([\x20\x09-\x0D]|\z)"""
-#: Menus and bread crumbs: two or more separators between words, or nothing but a usual menu entry.
-NAVIGATION = r"[|\x{00BB}\x{203A}>].*[|\x{00BB}\x{203A}>]|(?i)\A[\x20\x09-\x0D]*(home|menu|search|next|previous|back|share|contact|about us|site ?map)[\x20\x09-\x0D]*\z"
-BOILERPLATE = r"(?i)cookie|javascript|terms of (use|service)|privacy policy|all rights reserved|click here|read more|sign up|log in|lorem ipsum|subscribe to"
+#: Menus and bread crumbs: two or more separators with blanks around them, in a line that does not close as a sentence and quotes nothing.
+SEPARATED = r"[\x20\x09][|\x{00BB}\x{203A}>\x{2022}\x{00B7}][\x20\x09].*[\x20\x09][|\x{00BB}\x{203A}>\x{2022}\x{00B7}][\x20\x09]"
+QUOTED = r"[\x{00AB}\x{2039}]"
+CLOSED = r"""[.!?\x{2026}\x{3002}]['")\]\x{00BB}\x{201D}\x{2019}]*[\x20\x09-\x0D]*\z"""
+#: Entries of menus, which are navigation where they are all of a line.
+MENU = ("home", "menu", "search", "next", "previous", "back", "share", "contact", "about us", "site ?map", "accueil", "recherche", "suivant", "pr[\\x{00E9}\\x{00C9}]c[\\x{00E9}\\x{00C9}]dent", "startseite", "suche", "weiter", "zur[\\x{00FC}\\x{00DC}]ck", "kontakt", "inicio", "buscar", "siguiente", "anterior", "contacto")
+#: What pages say about themselves.
+PHRASES = (
+    "we use cookies", "uses cookies", "cookie (policy|settings|preferences|consent|notice)", "accept (all )?cookies", "enable javascript", "javascript is (disabled|required)", "terms of (use|service)", "privacy policy",
+    "all rights reserved", "click here", "read more", "sign up", "log in", "lorem ipsum", "subscribe to", "share this", "tous droits r[\\x{00E9}\\x{00C9}]serv[\\x{00E9}\\x{00C9}]s", "politique de confidentialit[\\x{00E9}\\x{00C9}]",
+    "cliquez ici", "lire la suite", "alle rechte vorbehalten", "datenschutzerkl[\\x{00E4}\\x{00C4}]rung", "hier klicken", "weiterlesen", "todos los derechos reservados", "pol[\\x{00ED}\\x{00CD}]tica de privacidad", "haga clic aqu[\\x{00ED}\\x{00CD}]", "leer m[\\x{00E1}\\x{00C1}]s",
+)
+NAVIGATION = rf"(?i)\A[\x20\x09-\x0D]*({'|'.join(MENU)})[\x20\x09-\x0D]*\z"
+BOILERPLATE = rf"(?i)({'|'.join(PHRASES)})"
+#: A line is boilerplate if such phrases make up so much of it, in percent: prose may mention one.
+MOST_BOILERPLATE_PERCENT = 15
 #: The most of a line's characters, in percent, that may be symbols, or doubled exclamation marks.
 MOST_SYMBOLS_PERCENT = 10
 
@@ -30,9 +43,20 @@ def _without(text: Column, letters: str) -> Column:
 
 
 def line_passes(line: Column) -> Column:
-    """Whether a line passes the rules on punctuation, navigation and boilerplate."""
+    """Whether a line passes the rules on punctuation, navigation and boilerplate; null for a null line, false for an empty one.
+
+    It passes with the end of a sentence somewhere, few symbols and doubled exclamation marks, no menu, and little of it set phrases.
+    """
     odd = F.greatest(F.length(line) - F.length(_without(line, SYMBOLS)), F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit(""))))
-    return (odd * 100 <= F.length(line) * MOST_SYMBOLS_PERCENT) & line.rlike(SENTENCE_END) & ~line.rlike(NAVIGATION) & ~line.rlike(BOILERPLATE)
+    prose = (odd * 100 <= F.length(line) * MOST_SYMBOLS_PERCENT) & line.rlike(SENTENCE_END)
+    menu = line.rlike(NAVIGATION) | (line.rlike(SEPARATED) & ~line.rlike(QUOTED) & ~line.rlike(CLOSED))
+    phrases = F.when(line.rlike(BOILERPLATE), (F.length(line) - F.length(F.regexp_replace(line, BOILERPLATE, ""))) * 100 > F.length(line) * MOST_BOILERPLATE_PERCENT).otherwise(False)
+    return prose & ~menu & ~phrases
+
+
+def _doubled(hashes: Column, j: int) -> Column:
+    """The hash of each of the hashes and the j-th after it, as far as there is one."""
+    return F.transform(F.slice(hashes, 1, F.greatest(F.size(hashes) - j, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(hashes, i + j)))
 
 
 def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -52,8 +76,11 @@ def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lines = F.split("t", "\n", -1)
     out = out.select("doc_id", "t", F.transform(F.regexp_extract_all("t", F.lit(WORD), F.lit(0)), lambda x: F.xxhash64(x)).alias("w"), F.filter(lines, lambda x: x.rlike(WORD)).alias("lines"), lines.alias("all_lines"))
     n = F.size("w")
-    windows = F.when(n >= REPEAT_WINDOW, F.transform(F.sequence(F.lit(0), n - REPEAT_WINDOW), lambda i: F.xxhash64(*(F.get("w", i + j) for j in range(REPEAT_WINDOW))))).otherwise(F.array().cast("array<long>"))
-    out = out.select("doc_id", "t", n.cast("long").alias("n_words"), windows.alias("g"), "lines", F.filter("all_lines", lambda x: line_passes(x) | ~x.rlike(WORD)).alias("good"))
+    out = out.withColumns({"n_words": n.cast("long"), "good": F.filter("all_lines", lambda x: line_passes(x) | ~x.rlike(WORD))}).drop("all_lines")
+    # hashes of 2, 4 and 8 words, each of two of half as many
+    for j in (1, 2, 4):
+        out = out.withColumn("w", _doubled(F.col("w"), j))
+    out = out.withColumnRenamed("w", "g")
     repeats = F.size(F.array_distinct("g")) < F.size("g")
     out = out.withColumn("s", F.when(repeats, F.sort_array(F.transform("g", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))))
     twice = F.filter("s", lambda e, j: (F.get("s", j - 1)["x"] == e["x"]) | F.coalesce(F.get("s", j + 1)["x"] == e["x"], F.lit(False)))
