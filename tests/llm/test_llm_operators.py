@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import textwrap
 import tracemalloc
@@ -558,3 +559,62 @@ def test_pipeline_stages(spark, messy, none, tmp_path):
         assert not ids & {0, 1, 2, 3}
         assert i < 1 or not ids & {9, 13}
     assert [s for s, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "decontaminate", "mix", "shard"]
+
+
+def test_pipeline_keeps_what_plain_versions_keep(spark):
+    """run() over the whole table against each stage in plain Python, and its tables in the shared folder."""
+    docs, bench = documents(spark), spark.read.parquet(f"{DATA}/benchmark.parquet")
+    shared = Path(common.shared_dir(spark).removeprefix("file://"))
+    before = set(shared.glob("tidewell-pipeline-*"))
+    out = corpus_pipeline.run(spark, DATA).collect()
+    assert {p.name.split("-")[2] for p in set(shared.glob("tidewell-pipeline-*")) - before} == {"shard"}
+    rows = {r.doc_id: r for r in docs.collect()}
+    judged = {r.doc_id: r for r in langid.identify(docs, langid.fit(docs), ["doc_id"]).collect()}
+    kept = {i: r for i, r in rows.items() if re.search(r"[^\W\d_]", r.text or "") and judged[i].score >= corpus_pipeline.LEAST_SCORE}
+    near = brute([(i, r.text) for i, r in kept.items()], 5, 80)
+    kept = {i: r for i, r in kept.items() if near[i][1] == i}
+    grams = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
+    windows = defaultdict(set)
+    for r in bench.collect():
+        w = grams(r.text)
+        for j in range(max(1, len(w) - 9) if w else 0):
+            windows[min(10, len(w))].add(tuple(w[j : j + 10]))
+    hit = lambda w: any(tuple(w[j : j + k]) in some for k, some in windows.items() for j in range(len(w) - k + 1))
+    kept = {i: r for i, r in kept.items() if not hit(grams(r.text))}
+    n = Counter(r.source for r in kept.values())
+    scale = len(kept) / sum(v**0.5 for v in n.values())
+    want = Counter()
+    for i, r in kept.items():
+        rate = n[r.source] ** 0.5 * scale / n[r.source]
+        parts, copies = max(1, -int(-rate // 16)), 0
+        for j in range(1, parts + 1):
+            u = int(hashlib.md5(f"tidewell:{i}:{hashlib.md5(r.text.encode()).hexdigest()}:{j}".encode()).hexdigest()[:13], 16) / 2**52
+            p = c = math.exp(-rate / parts)
+            k = 0
+            while c <= u and k < 73:
+                k += 1
+                p *= rate / parts / k
+                c += p
+            copies += k
+        want[i] = copies
+    assert Counter(r.doc_id for r in out) == +want
+    assert all((r.text, r.lang, r.source) == (rows[r.doc_id].text, rows[r.doc_id].lang, rows[r.doc_id].source) for r in out)
+    total = Counter()
+    for r in out:
+        assert r["size"] == len(r.text.encode()) + 1
+        total[r.shard] += r["size"]
+    groups = Counter()
+    for r in out:
+        groups[hashlib.md5(r.text.encode()).hexdigest()[:15]] += r["size"]
+    assert max(total.values()) <= minimax([groups[k] for k in sorted(groups)], corpus_pipeline.SHARDS)
+    for k in total:
+        assert sorted(r.slot for r in out if r.shard == k) == list(range(sum(r.shard == k for r in out)))
+
+
+def test_pipeline_rejects_unknown_scripts(spark):
+    """A text in an alphabet of no labelled language goes; the labelled languages stay."""
+    net = langid.fit(documents(spark, DATA.replace("sf0.001", "sf0.01")))
+    japanese = "人は地上に住み、毎日働く。仕事は幸福に必要だからである。子供たちは学校へ行く。" * 5
+    english = next(r.text for r in documents(spark).where("lang = 'en' AND n_chars > 300").take(1))
+    docs = spark.createDataFrame([(1, japanese), (2, english), (3, "12 34 !")], "doc_id long, text string")
+    assert [r.doc_id for r in langid.keep_identified(docs, net, corpus_pipeline.LEAST_SCORE).collect()] == [2]
