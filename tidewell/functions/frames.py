@@ -20,9 +20,18 @@ class Frames:
         return self.by.rowsBetween(-(n - 1), 0)
 
     def roll(self, x: Column, n: int, agg: Agg = F.avg, least: int | None = None) -> Column:
-        """agg of the last n rows, null unless ``least`` of them (all, by default) hold a value."""
-        w = self.trailing(n)
-        return F.when(F.count(x).over(w) >= (n if least is None else least), agg(x).over(w))
+        """agg of the last n rows, null unless ``least`` of them (all, by default) hold a value.
+
+        Counts, sums and means are differences of running ones, which cost the same for each row however large n is; other
+        aggregates look at the whole frame.
+        """
+        count = self._rolled(x, n, F.count)
+        total = self._rolled(x, n, F.sum) if agg in (F.sum, F.avg) else agg(x).over(self.trailing(n))
+        return F.when(count >= (n if least is None else least), total / count if agg is F.avg else total)
+
+    def _rolled(self, x: Column, n: int, agg: Agg) -> Column:
+        so_far, before = (agg(x).over(self.by.rowsBetween(Window.unboundedPreceding, end)) for end in (0, -n))
+        return so_far - F.coalesce(before, F.lit(0))
 
     def ahead(self, x: Column, n: int, agg: Agg = F.max) -> Column:
         """agg of the next n rows, null unless all of them are there and hold a value: an open outcome is not a false one."""

@@ -12,8 +12,8 @@ def safe_ratio(a: Column, b: Column) -> Column:
 
 
 def gap_percent(a: Column, b: Column) -> Column:
-    """100 * (a / b - 1), null if b is 0."""
-    return F.when(b != 0, (a / b - 1) * 100)
+    """100 * (a / b - 1), null unless b > 0."""
+    return F.when(b > 0, (a / b - 1) * 100)
 
 
 def fill_ratio(a: Column, b: Column, fill: float | None = None) -> Column:

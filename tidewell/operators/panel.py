@@ -83,13 +83,13 @@ def moving_averages(bars: DataFrame) -> DataFrame:
 
 
 def channels(bars: DataFrame) -> DataFrame:
-    """Bollinger, Donchian, stochastic, Williams, Aroon, CCI and Ichimoku positions."""
+    """Bollinger, Donchian, stochastic, Williams, Aroon, CCI and Ichimoku positions; the cloud of a day is drawn 25 rows before it."""
     C, _, H, L, _, _ = bar_columns()
     f = bars_frames()
     tp = (H + L + C) / 3
     hh, ll = {n: f.roll(H, n, F.max) for n in (9, 14, 20, 26, 52, 55)}, {n: f.roll(L, n, F.min) for n in (9, 14, 20, 26, 52, 55)}
     out = bars.withColumns({"m20": f.roll(C, 20), "sd20": f.roll(C, 20, F.stddev_pop), "fast": 100 * fill_ratio(C - ll[14], hh[14] - ll[14], 0.5), "tp20": f.roll(tp, 20), "i": f.row(), "ten": (hh[9] + ll[9]) / 2, "kij": (hh[26] + ll[26]) / 2, "sb0": (hh[52] + ll[52]) / 2})
-    out = out.withColumns({"slow": f.roll(F.col("fast"), 3), "tps": F.collect_list(tp).over(f.trailing(20)), "top": F.max(F.struct(H.alias("x"), F.col("i"))).over(f.trailing(26)), "low": F.max(F.struct((-L).alias("x"), F.col("i"))).over(f.trailing(26)), "sa": f.lag((F.col("ten") + F.col("kij")) / 2, 26), "sb": f.lag(F.col("sb0"), 26)})
+    out = out.withColumns({"slow": f.roll(F.col("fast"), 3), "tps": F.collect_list(tp).over(f.trailing(20)), "top": F.max(F.struct(H.alias("x"), F.col("i"))).over(f.trailing(26)), "low": F.max(F.struct((-L).alias("x"), F.col("i"))).over(f.trailing(26)), "sa": f.lag((F.col("ten") + F.col("kij")) / 2, 25), "sb": f.lag(F.col("sb0"), 25), "c25": f.lag(C, 25)})
     mean_dev = F.aggregate("tps", F.lit(0.0), lambda a, x: a + F.abs(x - F.col("tp20"))) / 20
     over, under = F.greatest("sa", "sb"), F.least("sa", "sb")
     ready = F.col("sa").isNotNull() & F.col("sb").isNotNull()
@@ -108,16 +108,17 @@ def channels(bars: DataFrame) -> DataFrame:
         "tx_ichi_kijun_gap": gap_percent(C, F.col("kij")),
         "tx_ichi_cloud_pos": F.when(ready, F.when(C > over, (C - over) / C).when(C < under, (C - under) / C).otherwise(0.0) * 100),
         "tx_ichi_cloud_thick": (F.col("sa") - F.col("sb")) / C * 100,
-        "tx_ichi_chikou": gap_percent(C, f.lag(C, 26)),
+        "tx_ichi_chikou": gap_percent(C, F.col("c25")),
+        "tx_ichi_sanyaku": F.when(ready & F.col("ten").isNotNull() & F.col("kij").isNotNull() & F.col("c25").isNotNull(), (F.col("ten") > F.col("kij")).cast("int") + (C > over).cast("int") + (C > F.col("c25")).cast("int")).cast("double"),
     }
-    return out.withColumns(new).drop("m20", "sd20", "fast", "slow", "tp20", "tps", "i", "top", "low", "ten", "kij", "sb0", "sa", "sb")
+    return out.withColumns(new).drop("m20", "sd20", "fast", "slow", "tp20", "tps", "i", "top", "low", "ten", "kij", "sb0", "sa", "sb", "c25")
 
 
 def momentum(bars: DataFrame) -> DataFrame:
     """Rates of change, Kaufman efficiency, CMO, DPO, KST, awesome and psychological lines, vortex, choppiness and regression slopes."""
     C, _, H, L, _, _ = bar_columns()
     f = bars_frames()
-    out = bars.withColumns({"i": f.row(), "pc": f.lag(C), "ph": f.lag(H), "pl": f.lag(L), "mp": (H + L) / 2})
+    out = bars.withColumns({"i": f.row(), "pc": f.lag(C), "ph": f.lag(H), "pl": f.lag(L), "mp": (H + L) / 2, "y": F.log(C)})
     d = C - F.col("pc")
     out = out.withColumns({"d": d, "tr": F.greatest(H - L, F.abs(H - F.col("pc")), F.abs(L - F.col("pc"))), "up": F.greatest(d, F.lit(0.0)), "dn": F.greatest(-d, F.lit(0.0)), **{f"roc{n}": gap_percent(C, f.lag(C, n)) for n in (10, 15, 20, 30)}})
     total = lambda x, n: f.roll(x, n, F.sum)
@@ -125,9 +126,8 @@ def momentum(bars: DataFrame) -> DataFrame:
     i = F.col("i")
 
     def regression(k: int) -> tuple[Column, Column, Column]:
-        """Covariance of time and close, variance of time, variance of close."""
-        w = f.trailing(k)
-        return F.when(F.count(C).over(w) >= k, F.covar_pop(i.cast("double"), C).over(w)), F.lit((k * k - 1) / 12.0), f.roll(C, k, F.var_pop)
+        """Covariance of time and log close, variance of time, variance of log close."""
+        return F.when(i >= k, F.covar_pop(i.cast("double"), F.col("y")).over(f.trailing(k))), F.lit((k * k - 1) / 12.0), f.roll(F.col("y"), k, F.var_pop)
 
     c20, v20, _ = regression(20)
     c60, v60, y60 = regression(60)
@@ -140,12 +140,12 @@ def momentum(bars: DataFrame) -> DataFrame:
         "tx_psy_12": F.when(i > 12, 100 * f.roll((F.col("d") > 0).cast("int"), 12, F.sum) / 12),
         "tx_vortex_pos_14": fill_ratio(total(F.abs(H - F.col("pl")), 14), tr),
         "tx_vortex_neg_14": fill_ratio(total(F.abs(L - F.col("ph")), 14), tr),
-        "tx_linreg_slope_20": c20 / v20 / f.roll(C, 20) * 100,
-        "tx_linreg_slope_60": c60 / v60 / f.roll(C, 60) * 100,
+        "tx_linreg_slope_20": c20 / v20 * 100,
+        "tx_linreg_slope_60": c60 / v60 * 100,
         "tx_linreg_r2_60": fill_ratio(c60 * c60, v60 * y60, 0.0),
         "tx_chop_14": F.when(i > 14, 100 * F.log10(fill_ratio(tr, f.roll(H, 14, F.max) - f.roll(L, 14, F.min))) / F.log10(F.lit(14.0))),
     }
-    return out.withColumns(new).drop("i", "pc", "ph", "pl", "mp", "d", "tr", "up", "dn", "roc10", "roc15", "roc20", "roc30")
+    return out.withColumns(new).drop("i", "pc", "ph", "pl", "mp", "y", "d", "tr", "up", "dn", "roc10", "roc15", "roc20", "roc30")
 
 
 def volatility(bars: DataFrame) -> DataFrame:
@@ -195,9 +195,9 @@ def candles(bars: DataFrame) -> DataFrame:
     C, O, H, L, _, _ = bar_columns()
     f = bars_frames()
     rng = H - L
-    out = bars.withColumns({"i": f.row(), "po": f.lag(O), "pc": f.lag(C), "ph": f.lag(H), "rng": rng})
-    up = (C > O) & (C > F.col("pc"))
-    out = out.withColumns({"step": up.cast("int"), "bull": (C > O) & (F.col("pc") < F.col("po")) & (C >= F.col("po")) & (O <= F.col("pc")), "bear": (C < O) & (F.col("pc") > F.col("po")) & (C <= F.col("po")) & (O >= F.col("pc"))})
+    out = bars.withColumns({"i": f.row(), "po": f.lag(O), "pc": f.lag(C), "ph": f.lag(H), "pl": f.lag(L), "rng": rng})
+    up = (C > O) & (C > F.col("pc")) & (H > F.col("ph")) & (L > F.col("pl"))
+    out = out.withColumns({"step": up.cast("int"), "bull": (C > O) & (F.col("pc") < F.col("po")) & (C > F.col("po")) & (O < F.col("pc")), "bear": (C < O) & (F.col("pc") > F.col("po")) & (C < F.col("po")) & (O > F.col("pc"))})
     new = {
         "tx_body_ratio": fill_ratio(C - O, rng, 0.0),
         "tx_upper_shadow": fill_ratio(H - F.greatest(O, C), rng, 0.0),
@@ -211,4 +211,4 @@ def candles(bars: DataFrame) -> DataFrame:
         "tx_three_soldiers": F.when(F.col("i") > 3, ((F.col("step") == 1) & (f.lag(F.col("step"), 1) == 1) & (f.lag(F.col("step"), 2) == 1)).cast("int")).cast("double"),
     }
     out = run_length(out.withColumns(new), F.signum(C - O), "tx_candle_streak", f)
-    return run_length(out, F.signum(C - F.col("pc")), "tx_close_streak", f).drop("i", "po", "pc", "ph", "rng", "step", "bull", "bear")
+    return run_length(out, F.signum(C - F.col("pc")), "tx_close_streak", f).drop("i", "po", "pc", "ph", "pl", "rng", "step", "bull", "bear")

@@ -7,26 +7,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidewell.session import ship
 
-SCAN_COLUMNS = (
-    "tx_macd", "tx_macd_signal", "tx_macd_hist", "tx_adx_14", "tx_pdi_14", "tx_mdi_14", "tx_psar_gap", "tx_psar_days", "tx_trix_15", "tx_supertrend_gap", "tx_rsi_9", "tx_rsi_14", "tx_rsi_25", "tx_stoch_rsi_14", "tx_tsi",
-    "tx_connors_rsi", "tx_fisher_10", "tx_elder_bull", "tx_elder_bear", "tx_natr_14", "tx_atr_ratio_14_50", "tx_keltner_pos", "tx_squeeze", "tx_chaikin_vol_10", "tx_mass_index_25", "tx_chaikin_osc", "tx_force_13", "tx_klinger", "tx_range_atr",
-    "tx_rci_9", "tx_rci_26", "tx_bb_width_rank_120", "tx_ultimate_osc", "tx_vol_gk_20", "tx_eom_14", "tx_nvi_chg_60",
-)
-
-
 def ema(x: np.ndarray, alpha: float) -> np.ndarray:
-    """e[0] = x[0], e[i] = alpha * x[i] + (1 - alpha) * e[i - 1]; missing values are skipped over and missing in the result's head only."""
-    out, now = np.full(len(x), np.nan), np.nan
-    for i, v in enumerate(x.tolist()):
-        if v == v:
-            now = v if now != now else alpha * v + (1 - alpha) * now
-        out[i] = now
-    return out
+    """e = alpha * x + (1 - alpha) * e before, from the first value that is there; missing before it."""
+    return pd.Series(x).ewm(alpha=alpha, adjust=False, ignore_na=True).mean().to_numpy() if len(x) else x
 
 
 def span(x: np.ndarray, n: int) -> np.ndarray:
@@ -56,11 +45,12 @@ def _head(x: np.ndarray, k: int) -> np.ndarray:
     return np.where(np.arange(len(x)) < k, np.nan, x)
 
 
-def rsi(c: np.ndarray, n: int) -> np.ndarray:
-    """Wilder's RSI, 50 where nothing moved."""
-    d = np.diff(c, prepend=c[:1])
+def rsi(x: np.ndarray, n: int) -> np.ndarray:
+    """Wilder's RSI: averages of rises and falls from the first change on; 50 where nothing moved. Missing in the first n rows."""
+    d = x - _shift(x)
     up, down = wilder(np.maximum(d, 0), n), wilder(np.maximum(-d, 0), n)
-    return 100 * _div(up, up + down, 0.5)
+    out = 100 * _div(up, up + down, 0.5)
+    return _head(np.where(np.isnan(out), 50.0, out), n)
 
 
 def run_length(sign: np.ndarray) -> np.ndarray:
@@ -68,7 +58,7 @@ def run_length(sign: np.ndarray) -> np.ndarray:
     for i, s in enumerate(sign.tolist()):
         n = n + 1 if s == last else 1
         last = s
-        out[i] = n * s
+        out[i] = n * s  # missing where the sign is
     return out
 
 
@@ -94,30 +84,35 @@ def parabolic(h: np.ndarray, low: np.ndarray, step: float = 0.02, most: float =
 
 
 def supertrend(h: np.ndarray, low: np.ndarray, c: np.ndarray, atr: np.ndarray, width: float = 3.0) -> np.ndarray:
-    """The band that the close is not beyond: bands only tighten while the close stays inside."""
+    """The band on the other side of the trend, from the first row with a range on, where the trend is up if the close is not below the middle.
+
+    A band moves only towards the close while the close before was inside of it; the trend turns when the close leaves the
+    band of the row before.
+    """
     middle, out = (h + low) / 2, np.full(len(c), np.nan)
-    upper = lower = np.nan
-    up = True
-    for i in range(len(c)):
-        u, d = middle[i] + width * atr[i], middle[i] - width * atr[i]
-        if i and c[i - 1] <= upper:
-            u = min(u, upper)
-        if i and c[i - 1] >= lower:
-            d = max(d, lower)
-        upper, lower = u, d
-        up = c[i] >= lower if up else c[i] > upper
-        out[i] = lower if up else upper
+    first = np.flatnonzero(~np.isnan(atr))
+    if not len(first):
+        return out
+    top, bottom, i = middle + width * atr, middle - width * atr, int(first[0])
+    ceiling, floor, rising = top[i], bottom[i], c[i] >= middle[i]
+    out[i] = floor if rising else ceiling
+    for i in range(i + 1, len(c)):
+        rising = c[i] >= floor if rising else c[i] > ceiling
+        ceiling = min(top[i], ceiling) if c[i - 1] < ceiling else top[i]
+        floor = max(bottom[i], floor) if c[i - 1] > floor else bottom[i]
+        out[i] = floor if rising else ceiling
     return out
 
 
 def fisher(middle: np.ndarray, n: int = 10) -> np.ndarray:
+    """Fisher transform of the smoothed place in the last n rows' range; a smoothed place beyond 0.99 counts as 0.999."""
     high, low = _roll(middle, n, "max"), _roll(middle, n, "min")
-    raw, out, x, y = _div(middle - low, high - low, 0.5) - 0.5, np.full(len(middle), np.nan), 0.0, 0.0
-    for i, r in enumerate(raw.tolist()):
-        if r == r:
-            x = min(max(0.66 * r + 0.67 * x, -0.999), 0.999)
-            y = 0.5 * np.log((1 + x) / (1 - x)) + 0.5 * y
-            out[i] = y
+    raw, out, x, y = 2 * _div(middle - low, high - low, 0.5) - 1, np.full(len(middle), np.nan), 0.0, 0.0
+    for i in np.flatnonzero(~np.isnan(raw)).tolist():
+        x = 0.33 * raw[i] + 0.67 * x
+        x = x if abs(x) <= 0.99 else np.copysign(0.999, x)
+        y = np.arctanh(x) + 0.5 * y
+        out[i] = y
     return out
 
 
@@ -133,71 +128,97 @@ def rank_correlation(c: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def scan_key(bars: pd.DataFrame) -> pd.DataFrame:
-    """All of SCAN_COLUMNS for the bars of one key in the order of days."""
-    o, h, low, c, v = (bars[x].to_numpy(np.float64) for x in ("o", "h", "l", "c", "v"))
-    n = len(c)
-    pc = _shift(c)
-    tr = np.where(np.isnan(pc), h - low, np.fmax(h - low, np.fmax(np.abs(h - pc), np.abs(low - pc))))
-    atr = {k: wilder(tr, k) for k in (10, 14, 20, 50)}
-    d = np.diff(c, prepend=c[:1])
-    up, down = np.diff(h, prepend=h[:1]), -np.diff(low, prepend=low[:1])
-    plus, minus = np.where((up > down) & (up > 0), up, 0.0), np.where((down > up) & (down > 0), down, 0.0)
-    pdi, mdi = 100 * _div(wilder(plus, 14), atr[14]), 100 * _div(wilder(minus, 14), atr[14])
+class Key:
+    """The bars of one key in the order of days, and what several indicators need of them."""
+
+    def __init__(self, o: np.ndarray, h: np.ndarray, low: np.ndarray, c: np.ndarray, v: np.ndarray):
+        self.o, self.h, self.low, self.c, self.v = o, h, low, c, v
+        self.before, self.range, self.middle = _shift(c), h - low, (h + low) / 2
+        self.change = c - self.before
+        self.true_range = np.fmax(self.range, np.fmax(np.abs(h - self.before), np.abs(low - self.before)))
+
+    def atr(self, n: int) -> np.ndarray:
+        return wilder(self.true_range, n)
+
+
+def averages(k: Key) -> dict[str, np.ndarray]:
+    c, v20 = k.c, _roll(k.v, 20)
     macd = span(c, 12) - span(c, 26)
-    signal = span(macd, 9)
-    e3 = span(span(span(c, 15), 15), 15)
-    level, trend = parabolic(h, low)
-    r14 = rsi(c, 14)
-    streak = run_length(np.sign(d))
-    change = _head(100 * _div(d, c - d), 1)
-    share = np.full(n, np.nan)
-    if n > 100:
-        w = np.lib.stride_tricks.sliding_window_view(change, 101)
-        share[100:] = 100 * (w[:, :-1] < w[:, -1:]).mean(1)
-    rng, v20 = h - low, _roll(v, 20)
-    mfv = _div((c - low) - (h - c), rng, 0.0) * v
-    ad = np.cumsum(mfv)
-    m20, sd20, mid = _roll(c, 20), _roll(c, 20, "std"), span(c, 20)
-    hlr = span(rng, 10)
-    tp = (h + low + c) / 3
-    flow = np.where(np.isnan(_shift(tp)) | (tp == _shift(tp)), 0.0, np.sign(tp - _shift(tp))) * v
-    bp, ultimate = c - np.fmin(low, np.where(np.isnan(pc), low, pc)), {}
-    for k in (7, 14, 28):
-        ultimate[k] = _div(_roll(bp, k, "sum"), _roll(tr, k, "sum"), 0.5)
-    width = 100 * _div(4 * sd20, m20)
-    middle = (h + low) / 2
+    signal, e3, e13 = span(macd, 9), span(span(span(c, 15), 15), 15), span(c, 13)
+    typical = k.h + k.low + c
+    flow = np.where(typical > _shift(typical), k.v, -k.v)
+    flow[:1] = np.nan
+    return {
+        "tx_macd": _head(macd / c * 100, 25), "tx_macd_signal": _head(signal / c * 100, 34), "tx_macd_hist": _head((macd - signal) / c * 100, 34), "tx_trix_15": _head((_div(e3, _shift(e3)) - 1) * 100, 44),
+        "tx_tsi": _head(100 * _div(span(span(k.change, 25), 13), span(span(np.abs(k.change), 25), 13), 0.0), 38), "tx_elder_bull": _head((k.h - e13) / c * 100, 12), "tx_elder_bear": _head((k.low - e13) / c * 100, 12),
+        "tx_force_13": _head(100 * _div(span(k.change * k.v, 13), c * v20), 19), "tx_klinger": _head(_div(span(flow, 34) - span(flow, 55), v20), 55),
+    }
+
+
+def trends(k: Key) -> dict[str, np.ndarray]:
+    up, down, atr = k.h - _shift(k.h), _shift(k.low) - k.low, k.atr(14)
+    plus, minus = (np.where(np.isnan(up), np.nan, np.where((x > y) & (x > 0), x, 0.0)) for x, y in ((up, down), (down, up)))
+    pdi, mdi = 100 * _div(wilder(plus, 14), atr), 100 * _div(wilder(minus, 14), atr)
+    level, trend = parabolic(k.h, k.low)
+    return {
+        "tx_pdi_14": _head(pdi, 14), "tx_mdi_14": _head(mdi, 14), "tx_adx_14": _head(wilder(100 * _div(np.abs(pdi - mdi), pdi + mdi, 0.0), 14), 27), "tx_psar_gap": _head((k.c - level) / k.c * 100, 4), "tx_psar_days": _head(run_length(trend), 4),
+        "tx_supertrend_gap": (k.c - supertrend(k.h, k.low, k.c, _head(k.atr(10), 9))) / k.c * 100, "tx_natr_14": _head(atr / k.c * 100, 13), "tx_atr_ratio_14_50": _head(_div(atr, k.atr(50)), 49), "tx_range_atr": _head(_div(k.range, atr), 13),
+    }
+
+
+def strengths(k: Key) -> dict[str, np.ndarray]:
+    c, r14 = k.c, rsi(k.c, 14)
+    rate, share = (_div(c, k.before) - 1) * 100, np.full(len(c), np.nan)
+    if len(c) > 100:
+        w = np.lib.stride_tricks.sliding_window_view(rate, 101)
+        share[100:] = np.where(np.isnan(w).any(1), np.nan, (w[:, :-1] < w[:, -1:]).sum(1))
+    bought, part = c - np.fmin(k.low, k.before), {}
+    for n in (7, 14, 28):
+        part[n] = _div(_roll(bought, n, "sum"), _roll(k.true_range, n, "sum"), 0.5)
+    low, high = _roll(r14, 14, "min"), _roll(r14, 14, "max")
+    return {
+        "tx_rsi_9": rsi(c, 9), "tx_rsi_14": r14, "tx_rsi_25": rsi(c, 25), "tx_stoch_rsi_14": 100 * _div(r14 - low, high - low, 0.5), "tx_connors_rsi": _head((rsi(c, 3) + rsi(run_length(np.sign(k.change)), 2) + share) / 3, 101),
+        "tx_fisher_10": fisher(k.middle), "tx_rci_9": rank_correlation(c, 9), "tx_rci_26": rank_correlation(c, 26), "tx_ultimate_osc": 100 * (4 * part[7] + 2 * part[14] + part[28]) / 7,
+    }
+
+
+def ranges(k: Key) -> dict[str, np.ndarray]:
+    c, v, a10, a20 = k.c, k.v, _head(k.atr(10), 9), _head(k.atr(20), 19)
+    sd20, m20, middle, e9, spread = _roll(c, 20, "std"), _roll(c, 20), span(c, 20), span(k.range, 9), span(k.range, 10)
+    flow = np.cumsum(_div((c - k.low) - (k.h - c), k.range, 0.0) * v)
     with np.errstate(divide="ignore", invalid="ignore"):
-        gk = 0.5 * np.log(h / low) ** 2 - (2 * np.log(2) - 1) * np.log(c / o) ** 2
-        log_change = np.where(v < _shift(v), np.log(c / pc), 0.0)
-    s1, s2 = span(d, 25), span(np.abs(d), 25)
-    e9 = span(rng, 9)
-    out = {
-        "tx_macd": _head(macd / c * 100, 25), "tx_macd_signal": _head(signal / c * 100, 34), "tx_macd_hist": _head((macd - signal) / c * 100, 34),
-        "tx_pdi_14": _head(pdi, 14), "tx_mdi_14": _head(mdi, 14), "tx_adx_14": _head(wilder(100 * _div(np.abs(pdi - mdi), pdi + mdi, 0.0), 14), 27),
-        "tx_psar_gap": _head((c - level) / c * 100, 4), "tx_psar_days": _head(run_length(trend), 4), "tx_trix_15": _head((_div(e3, _shift(e3)) - 1) * 100, 44), "tx_supertrend_gap": _head((c - supertrend(h, low, c, atr[10])) / c * 100, 10),
-        "tx_rsi_9": _head(rsi(c, 9), 9), "tx_rsi_14": _head(r14, 14), "tx_rsi_25": _head(rsi(c, 25), 25),
-        "tx_stoch_rsi_14": _head(100 * _div(r14 - _roll(r14, 14, "min"), _roll(r14, 14, "max") - _roll(r14, 14, "min"), 0.5), 27),
-        "tx_tsi": _head(100 * _div(span(s1, 13), span(s2, 13), 0.0), 38), "tx_connors_rsi": _head((rsi(c, 3) + rsi(streak, 2) + share) / 3, 101), "tx_fisher_10": fisher(middle),
-        "tx_elder_bull": _head((h - span(c, 13)) / c * 100, 12), "tx_elder_bear": _head((low - span(c, 13)) / c * 100, 12), "tx_natr_14": _head(atr[14] / c * 100, 13), "tx_atr_ratio_14_50": _head(_div(atr[14], atr[50]), 49),
-        "tx_keltner_pos": _head(100 * _div(c - (mid - 2 * atr[10]), 4 * atr[10], 0.5), 19), "tx_squeeze": _head(np.where(np.isnan(sd20), np.nan, ((2 * sd20 < 1.5 * atr[20])).astype(float)), 19),
-        "tx_chaikin_vol_10": _head((_div(hlr, _shift(hlr, 10)) - 1) * 100, 19), "tx_mass_index_25": _head(_roll(_div(e9, span(e9, 9), 1.0), 25, "sum"), 41), "tx_chaikin_osc": _head(_div(span(ad, 3) - span(ad, 10), _roll(v, 10)), 9),
-        "tx_force_13": _head(100 * _div(span(d * v, 13), c * v20), 19), "tx_klinger": _head(_div(span(flow, 34) - span(flow, 55), v20), 55), "tx_range_atr": _head(_div(rng, atr[14]), 13),
-        "tx_rci_9": rank_correlation(c, 9), "tx_rci_26": rank_correlation(c, 26), "tx_bb_width_rank_120": 100 * pd.Series(width).rolling(120).rank(pct=True).to_numpy(),
-        "tx_ultimate_osc": 100 * (4 * ultimate[7] + 2 * ultimate[14] + ultimate[28]) / 7, "tx_vol_gk_20": np.sqrt(np.clip(_roll(gk, 20), 0, None)) * 100,
-        "tx_eom_14": _head(_roll(_div((middle - _shift(middle)) / c * 100 * (rng / c * 100), _div(v, v20), 0.0), 14), 33), "tx_nvi_chg_60": _head((np.exp(_roll(log_change, 60, "sum")) - 1) * 100, 60),
+        gk = 0.5 * np.log(k.h / k.low) ** 2 - (2 * np.log(2) - 1) * np.log(c / k.o) ** 2
+        quiet = np.where(v < _shift(v), np.log1p(np.nan_to_num(c / k.before - 1)), 0.0)
+    moved = (k.middle - _shift(k.middle)) / c * 100 * (k.range / c * 100)
+    return {
+        "tx_keltner_pos": _head(100 * _div(c - (middle - 2 * a10), 4 * a10, 0.5), 19), "tx_squeeze": np.where(np.isnan(sd20) | np.isnan(a20), np.nan, 2 * sd20 < 1.5 * a20), "tx_chaikin_vol_10": _head((_div(spread, _shift(spread, 10)) - 1) * 100, 19),
+        "tx_mass_index_25": _head(_roll(_div(e9, span(e9, 9), 1.0), 25, "sum"), 41), "tx_chaikin_osc": _head(_div(span(flow, 3) - span(flow, 10), _roll(v, 10)), 9), "tx_bb_width_rank_120": 100 * pd.Series(_div(4 * sd20, m20) * 100).rolling(120).rank(pct=True).to_numpy(),
+        "tx_vol_gk_20": np.sqrt(np.clip(_roll(gk, 20), 0, None)) * 100, "tx_eom_14": _head(_roll(_div(moved, _div(v, _roll(v, 20)), 0.0), 14), 33), "tx_nvi_chg_60": _head((np.exp(_roll(quiet, 60, "sum")) - 1) * 100, 60),
     }
-    return pd.DataFrame(out)[list(SCAN_COLUMNS)]
 
 
-def recursive_indicators(bars: DataFrame) -> DataFrame:
-    """code and day of the bars with SCAN_COLUMNS, null where they are not defined yet."""
+GROUPS = {"averages": averages, "trends": trends, "strengths": strengths, "ranges": ranges}
+#: The indicators by group.
+COLUMNS = {
+    "averages": ("tx_macd", "tx_macd_signal", "tx_macd_hist", "tx_trix_15", "tx_tsi", "tx_elder_bull", "tx_elder_bear", "tx_force_13", "tx_klinger"),
+    "trends": ("tx_pdi_14", "tx_mdi_14", "tx_adx_14", "tx_psar_gap", "tx_psar_days", "tx_supertrend_gap", "tx_natr_14", "tx_atr_ratio_14_50", "tx_range_atr"),
+    "strengths": ("tx_rsi_9", "tx_rsi_14", "tx_rsi_25", "tx_stoch_rsi_14", "tx_connors_rsi", "tx_fisher_10", "tx_rci_9", "tx_rci_26", "tx_ultimate_osc"),
+    "ranges": ("tx_keltner_pos", "tx_squeeze", "tx_chaikin_vol_10", "tx_mass_index_25", "tx_chaikin_osc", "tx_bb_width_rank_120", "tx_vol_gk_20", "tx_eom_14", "tx_nvi_chg_60"),
+}
+
+
+def recursive_indicators(bars: DataFrame, groups: tuple[str, ...] = tuple(GROUPS)) -> DataFrame:
+    """code and day of the bars with the COLUMNS of the groups, null where they are not defined yet."""
+    names = [c for g in groups for c in COLUMNS[g]]
 
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("day", kind="stable").reset_index(drop=True)
-        out = scan_key(rows).replace([np.inf, -np.inf], np.nan).astype(object)
-        return pd.concat([rows[["code", "day"]], out.where(out.notna(), None)], axis=1)
+    def work(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("day")
+        key, out = Key(*(rows[x].to_numpy().astype(np.float64) for x in ("o", "h", "l", "c", "v"))), {}
+        for g in groups:
+            out |= GROUPS[g](key)
+        columns = [pa.array(np.where(np.isfinite(out[c]), out[c], np.nan), pa.float64(), from_pandas=True) for c in names]
+        return pa.Table.from_arrays([rows["code"], rows["day"], *columns], names=["code", "day", *names])
 
     ship(bars.sparkSession)
-    schema = StructType([bars.schema["code"], bars.schema["day"], *(StructField(c, DoubleType()) for c in SCAN_COLUMNS)])
-    return bars.select("code", "day", "o", "h", "l", "c", "v").groupBy("code").applyInPandas(work, schema)
+    schema = StructType([bars.schema["code"], bars.schema["day"], *(StructField(c, DoubleType()) for c in names)])
+    return bars.select("code", "day", "o", "h", "l", "c", "v").groupBy("code").applyInArrow(work, schema)

@@ -30,12 +30,8 @@ def _r(c: str, digits: int = 6):
     return F.round(F.col(c) + 3e-9, digits).alias(c)
 
 
-def recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scans.recursive_indicators(_bars(spark, sf_dir))
-
-
 def macd_rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = scans.recursive_indicators(_bars(spark, sf_dir))
+    d = scans.recursive_indicators(_bars(spark, sf_dir), ("averages", "strengths", "trends"))
     return d.select("code", "day", *(F.round(F.col(c) + 3e-7, 4).alias(c) for c in ("tx_macd", "tx_macd_signal", "tx_rsi_14", "tx_natr_14")))
 
 
@@ -43,11 +39,11 @@ _MACD = f"""
 WITH RECURSIVE {sql.BARS},
 n AS (SELECT code, day, c, {sql.ROW} AS i, c - {sql.lag("c")} AS d, CASE WHEN {sql.lag("c")} IS NULL THEN h - l ELSE greatest(h - l, abs(h - {sql.lag("c")}), abs(l - {sql.lag("c")})) END AS tr FROM bars),
 e AS (
-  SELECT code, day, c, i, c AS e12, c AS e26, 0::DOUBLE AS sg, 0::DOUBLE AS up, 0::DOUBLE AS dn, tr AS atr FROM n WHERE i = 1
+  SELECT code, day, c, i, c AS e12, c AS e26, 0::DOUBLE AS sg, NULL::DOUBLE AS up, NULL::DOUBLE AS dn, tr AS atr FROM n WHERE i = 1
   UNION ALL
   SELECT n.code, n.day, n.c, n.i, n.c * (2 / 13.0) + e.e12 * (11 / 13.0), n.c * (2 / 27.0) + e.e26 * (25 / 27.0),
     (n.c * (2 / 13.0) + e.e12 * (11 / 13.0) - n.c * (2 / 27.0) - e.e26 * (25 / 27.0)) * 0.2::DOUBLE + e.sg * 0.8::DOUBLE,
-    greatest(n.d, 0) / 14 + e.up * (13 / 14.0), greatest(-n.d, 0) / 14 + e.dn * (13 / 14.0), n.tr / 14 + e.atr * (13 / 14.0)
+    CASE WHEN e.up IS NULL THEN greatest(n.d, 0) ELSE greatest(n.d, 0) / 14 + e.up * (13 / 14.0) END, CASE WHEN e.up IS NULL THEN greatest(-n.d, 0) ELSE greatest(-n.d, 0) / 14 + e.dn * (13 / 14.0) END, n.tr / 14 + e.atr * (13 / 14.0)
   FROM e JOIN n ON n.code = e.code AND n.i = e.i + 1)
 SELECT code, day, round(CASE WHEN i > 25 THEN (e12 - e26) / c * 100 END + 3e-7, 4) AS tx_macd, round(CASE WHEN i > 34 THEN sg / c * 100 END + 3e-7, 4) AS tx_macd_signal,
   round(CASE WHEN i > 14 THEN CASE WHEN up + dn = 0 THEN 50 ELSE 100 * up / (up + dn) END END + 3e-7, 4) AS tx_rsi_14, round(CASE WHEN i > 13 THEN atr / c * 100 END + 3e-7, 4) AS tx_natr_14
@@ -289,7 +285,6 @@ def stream_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "tech_recursive": recursive,
         "tech_macd_rsi": macd_rsi,
         "eval_auc": auc_by_source,
         "eval_within_auc": within_auc,

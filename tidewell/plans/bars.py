@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.operators import panel
+from tidewell.operators import panel, scans
 from tidewell.plans import bars_sql as sql
 from tidewell.sources.tables import daily_bars, table
 
@@ -67,6 +67,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "tech_volatility": _indicators(panel.volatility),
         "tech_volume": _indicators(panel.volume),
         "tech_candles": _indicators(panel.candles),
+        "tech_recursive": _indicators(scans.recursive_indicators),
+        **{f"tech_{g}": _indicators(lambda b, g=g: scans.recursive_indicators(b, (g,))) for g in scans.GROUPS},
     }
 
 
@@ -83,4 +85,6 @@ def oracle_sql() -> dict[str, str]:
         "tech_volatility": sql.volatility(),
         "tech_volume": sql.volume(),
         "tech_candles": sql.candles(),
+        "tech_recursive": sql.all_recursive(),
+        **{f"tech_{g}": build() for g, build in sql.RECURSIVE.items()},
     }
