@@ -324,6 +324,30 @@ def test_many_near_copies(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+@pytest.mark.parametrize("group", [64, 3])
+def test_links_beside_a_groups_first(spark, monkeypatch, group):
+    """Boilerplate that many documents share, with links between some of these only: by rare shingles, in pairs or in blocks."""
+    monkeypatch.setattr(near_dedup, "GROUP", group)
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    rng = np.random.default_rng(8)
+    base, docs = [f"b{i}" for i in range(100)], []
+    for i in range(160):
+        w = list(base[: int(rng.integers(70, 100))])
+        for j in rng.choice(len(w), int(rng.integers(0, 9)), replace=False):
+            w[j] = f"x{rng.integers(0, 12)}"
+        docs.append((i, " ".join(w + [f"own{i // 2}" for _ in range(3)])))
+    want = brute(docs, 3, 85)
+    assert 3 < len({c for _, c in want.values()}) < 160
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df, 3, 85).collect()} == want
+    # every member against all others, as if all were of one table
+    sets = common.materialise(near_dedup.shingle_sets(df, 3))
+    members = df.select(F.lit(1).alias("key"), F.col("doc_id").alias("node"), F.col("doc_id").alias("component"))
+    each = {i: {tuple(words(t)[j : j + 3]) for j in range(len(words(t)) - 2)} for i, t in docs}
+    links = {(i, j) for i in each for j in each if i < j and 100 * len(each[i] & each[j]) >= 85 * len(each[i] | each[j])}
+    assert {(r.u, r.v) for r in near_dedup._links_left(members, sets, 85).collect()} == links
+
+
 def test_components(spark):
     rng = np.random.default_rng(7)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1040)] + [(5, 5)]

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import map_arrow, materialise, mix64, shingle_hashes, text_slices, word_hashes
@@ -17,8 +17,11 @@ from tidewell.session import ship
 #: MinHash values of half a key, and the chance to miss a pair at the threshold itself.
 HALF = 3
 MISS = 1e-4
-#: Members of a table on one side of a comparison in blocks, and shingles that are compared at once.
+#: Members that share a rare shingle and are compared in pairs; of more, members and shingles on one side of a comparison in blocks, and
+#: shingles that are compared at once.
+GROUP = 64
 BLOCK = 128
+BLOCK_SHINGLES = 1 << 19
 SHINGLE_BLOCK = 8192
 
 
@@ -110,23 +113,84 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_arrow(pairs.join(left, "u").join(right, "v").select("u", "v", "set_u", "set_v"), verify, "u long, v long")
 
 
+def _prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """shingle, node, component, size and place of the rarest shingles of the members' sets: linked sets share one of these.
+
+    Shingles are ordered by how many of the members have them, then by their hash. Sets with a similarity of ``percent`` or more share
+    so many shingles that one of the first size - ceil(size * percent / 100) + 1 of either must be common. What all members
+    have comes last in this order, and is left out but for sets of little else.
+    """
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, component, shingles in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                x = np.frombuffer(shingles.as_buffer(), np.int64)
+                for lo in range(0, len(x), SHINGLE_BLOCK):
+                    part = x[lo : lo + SHINGLE_BLOCK]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), node)), pa.array(np.full(len(part), component)), pa.array(np.full(len(part), len(x))), pa.array(part)], names=["node", "component", "size", "shingle"])
+
+    held = members.join(sets, "node").select("node", "component", "shingles")
+    spelt = materialise(map_arrow(held, spell, "node long, component long, size long, shingle long"))
+    # summed before it is joined, so that the join can be split where a shingle is hot
+    known = materialise(spelt.groupBy("shingle").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")))
+    order = Window.partitionBy("node").orderBy("n", "shingle")
+    placed = spelt.join(known, "shingle").withColumn("place", F.row_number().over(order))
+    most = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
+    return materialise(placed.where((F.col("place") <= most) & (F.col("x") < F.col("y"))).select("shingle", "node", "component", "size", "place"))
+
+
 def _links_left(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) between members of one table that are in different components.
 
-    members: key, ka (the half of the key from the first collection), node, component, without the tables' smallest nodes, which
-    have been compared with the others. Tables of one half are taken together. In each, the members outside of its smallest
-    component make up the left side and all members the right side; both are dealt into blocks of about BLOCK, and each pair
-    of blocks is worked on by itself: a row for each member and opposite block is sent, never one for each pair of members.
+    members: key, node, component, without the tables' smallest nodes, which have been compared with the others. Only tables with
+    members in several components count. Of their members, those are compared that share one of their rarest shingles (see
+    _prefixes()), are of similar size, and are in different components. A shingle of up to GROUP members gives their pairs, each
+    once, by id only; the members of others are dealt into blocks of at most BLOCK members and BLOCK_SHINGLES shingles, by bands
+    of size, and each pair of blocks that may hold links is worked on by itself.
     """
     open_keys = materialise(members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key"))
-    rest = materialise(members.join(open_keys, "key", "left_semi").select("ka", "node", "component").distinct())
-    sizes = materialise(rest.groupBy("ka").agg(F.min("component").alias("main"), F.count("*").alias("n")))
-    rest = materialise(rest.join(sizes, "ka"))
-    others = materialise(rest.where("component <> main").groupBy("ka").agg(F.count("*").alias("m")))
-    rest = materialise(rest.join(others, "ka"))
-    left_of, right_of = F.ceil(F.col("m") / BLOCK), F.ceil(F.col("n") / BLOCK)
-    left = rest.where("component <> main").select("ka", F.pmod(F.xxhash64("node"), left_of).alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), right_of - 1)).alias("y"), F.lit(True).alias("is_left"), "node", "component")
-    right = rest.select("ka", F.explode(F.sequence(F.lit(0).cast("long"), left_of - 1)).alias("x"), F.pmod(F.xxhash64("node", F.lit(1)), right_of).alias("y"), F.lit(False).alias("is_left"), "node", "component")
+    rest = materialise(members.join(open_keys, "key", "left_semi").select("node", "component").distinct())
+    if rest.isEmpty():
+        return rest.select(F.col("node").alias("u"), F.col("node").alias("v"))
+    found = _prefixes(rest, sets, percent)
+    groups = materialise(found.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"))
+    found = materialise(found.join(groups, "shingle"))
+    some = found.where(F.col("n") <= GROUP)
+    left, right = (some.select("shingle", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "component", "size", "place"))) for s in "uv")
+    # from the first common shingle on, no more can be common than what the shorter rest has
+    common = 1 + F.least(F.col("size_u") - F.col("place_u"), F.col("size_v") - F.col("place_v"))
+    similar = (F.least("size_u", "size_v") * 100 >= F.greatest("size_u", "size_v") * percent) & (common * (100 + percent) >= percent * (F.col("size_u") + F.col("size_v")))
+    pairs = left.join(right, "shingle").where((F.col("node_u") < F.col("node_v")) & (F.col("component_u") != F.col("component_v")) & similar)
+    pairs = materialise(pairs.select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct())
+    links = confirmed(pairs, sets, percent)
+    hot = found.where(F.col("n") > GROUP)
+    return links if hot.isEmpty() else links.union(_links_in_blocks(hot, sets, percent)).distinct()
+
+
+def _links_in_blocks(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between the members (shingle, node, component, size) of groups of one shingle, by pairs of blocks.
+
+    Members are put into bands of size by which they can have links to their own and the next band only, and a band into
+    blocks. A row for each member and block that it meets is sent, never one for each pair of members.
+    """
+    band = F.floor(F.log(F.col("size").cast("double")) / math.log(100 / percent) - 1e-9).cast("long")
+    found = found.withColumn("band", band)
+    sizes = materialise(found.groupBy("shingle", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("blocks")))
+    found = materialise(found.join(sizes, ["shingle", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))))
+    above = sizes.select("shingle", (F.col("band") - 1).alias("band"), F.col("blocks").alias("over"))
+    below = sizes.select("shingle", (F.col("band") + 1).alias("band"), F.col("blocks").alias("under"))
+    steps = lambda first, n: F.when(n > first, F.sequence(first, n - 1)).otherwise(F.array().cast("array<long>"))
+    zero, block = F.lit(0).cast("long"), F.col("block")
+    own = found.select("shingle", "node", "component", "band", "block", "blocks")
+    row = lambda x, y, up, left: F.struct(x.alias("x"), y.alias("y"), up.alias("up"), left.alias("is_left"))
+    false, true = F.lit(False), F.lit(True)
+    # in its band a block meets itself and each later block; the left side is the earlier one
+    within = F.concat(F.transform(steps(block, F.col("blocks")), lambda y: row(block, y, false, true)), F.transform(steps(zero, block + 1), lambda x: row(x, block, false, false)))
+    upward = F.transform(steps(zero, F.coalesce("over", zero)), lambda y: row(block, y, true, true))
+    downward = F.transform(steps(zero, F.coalesce("under", zero)), lambda x: row(x, block, true, false))
+    sent = own.join(above, ["shingle", "band"], "left").join(below, ["shingle", "band"], "left")
+    sent = sent.select("shingle", "node", "component", "band", F.explode(F.concat(within, upward, downward)).alias("m"))
+    sent = sent.select("shingle", F.when(F.col("m.up") & ~F.col("m.is_left"), F.col("band") - 1).otherwise(F.col("band")).alias("band"), "m.*", "node", "component")
 
     def compare(table: pa.Table) -> pa.Table:
         side = np.asarray(table["is_left"].combine_chunks())
@@ -155,9 +219,9 @@ def _links_left(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         u, v = node[rows][r], node[columns][c]
         return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
 
-    ship(members.sparkSession)
-    work = left.union(right).join(sets, "node").select("ka", "x", "y", "is_left", "node", "component", "shingles")
-    return work.groupBy("ka", "x", "y").applyInArrow(compare, "u long, v long").distinct()
+    ship(found.sparkSession)
+    work = sent.join(sets, "node").select("shingle", "band", "up", "x", "y", "is_left", "node", "component", "shingles")
+    return work.groupBy("shingle", "band", "up", "x", "y").applyInArrow(compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", half: int = HALF) -> DataFrame:
@@ -170,8 +234,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     Documents of equal sets are one node. Nodes meet where they share a half key of the first collection, and of these only
     where they share one of the second also. In each table a node is compared with the table's smallest node, by whole sets;
-    then every pair of a table that is in different components still and that has not been compared is compared as well. So
-    groups of copies cost one comparison for each copy, while no link between components that met is lost.
+    then the members of tables that are in different components still are compared with each other where they share a rare
+    shingle, which linked ones must. So groups of copies cost one comparison for each copy, while no link between components that
+    met is lost.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     m = collection_size(percent, half)
@@ -183,7 +248,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     # what is summed by a key is written before it is joined by it: such a join can be split where a key is hot
     shared = materialise(first.groupBy("ka").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("ka"))
     met = first.join(shared, "ka", "left_semi").join(classes.select("node", "b"), "node")
-    tables = met.select("node", "ka", F.explode("b").alias("kb")).select(F.xxhash64("ka", "kb").alias("key"), "ka", "node")
+    tables = met.select("node", "ka", F.explode("b").alias("kb")).select(F.xxhash64("ka", "kb").alias("key"), "node")
     heads = materialise(tables.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("y")).where("head < y").select("key", "head"))
     members = materialise(tables.join(heads, "key").where("node <> head"))
 
@@ -194,12 +259,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     found = materialise(connected_components(links))
 
     own = lambda c: F.coalesce("component", F.col(c)).alias("component")
-    late = materialise(_links_left(members.join(found, "node", "left").select("key", "ka", "node", own("node")), sets, percent))
+    late = materialise(_links_left(members.join(found, "node", "left").select("key", "node", own("node")), sets, percent))
     if not late.isEmpty():
         found = materialise(connected_components(links.union(late)))
 
     by_class = classes.select("digest", "node").join(found, "node", "left").select("digest", own("node"))
-    out = signed.select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left")
+    out = signed.where("digest IS NOT NULL").select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left")
+    # rows without words have no digest: they pass by the join, which would hold them all in one task
+    out = out.unionByName(signed.where("digest IS NULL").select("doc_id", "n_shingles", "digest", F.lit(None).cast("long").alias("component")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
