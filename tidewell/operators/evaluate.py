@@ -47,7 +47,7 @@ def group_bootstrap(df: DataFrame, group: str, value: str, draws: int, seed: int
     Groups are summed first, so that only sums of groups are repeated for each draw.
     """
     sums = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.sum(value).alias("_s"), F.count("*").alias("_n"))
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col("draw"), F.col(group)), F.lit(1 << 40)).cast("double") / float(1 << 40)
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col(group).cast("string"))), 1, 12), 16, 10).cast("long").cast("double") / float(1 << 48)
     limits, total, term = [], 0.0, 2.718281828459045**-1
     for i in range(12):
         total += term

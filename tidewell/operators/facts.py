@@ -34,7 +34,12 @@ def quarterly(cumulative: DataFrame, entity: str, year: str, quarter: str, value
     wq = Window.partitionBy(entity, quarter).orderBy(year)
     base = F.when(F.lag(year).over(wq) == F.col(year) - 1, F.lag("single").over(wq))
     out = out.withColumn("yoy", F.when(base > 0, (F.col("single") / base - 1) * 100))
-    return out.drop("_i")
+    rose = F.when(contiguous, F.signum(F.col("single") - F.lag("single").over(w)))
+    out = out.withColumn("_s", rose)
+    steps = F.array(*(F.lag("_s", k).over(w) for k in range(4)))
+    # from this quarter back: how many steps in a row have the sign of the last one
+    run = F.aggregate(steps, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda a, x: F.struct((a["n"] + F.when(a["on"] & F.coalesce(x == F.col("_s"), F.lit(False)), 1).otherwise(0)).alias("n"), (a["on"] & F.coalesce(x == F.col("_s"), F.lit(False))).alias("on")), lambda a: a["n"])
+    return out.withColumn("rising", (run * F.col("_s")).cast("long")).drop("_i", "_s")
 
 
 def lag_available(df: DataFrame, key: str, on: str, value: str, k: int, max_days: int, name: str) -> DataFrame:
@@ -95,5 +100,4 @@ def table_diff(a: DataFrame, b: DataFrame, key: list[str], values: list[str], to
 def split_adjusted(df: DataFrame, key: str, on: str, price: str, factor: str) -> DataFrame:
     """df with adjusted: the price times the product of all later factors of its key (null factors are 1)."""
     w = Window.partitionBy(key).orderBy(F.col(on).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    later = F.aggregate(F.collect_list(F.coalesce(F.col(factor), F.lit(1.0))).over(w), F.lit(1.0), lambda a, x: a * x)
-    return df.withColumn("adjusted", F.col(price) * later)
+    return df.withColumn("adjusted", F.col(price) * F.coalesce(F.product(F.coalesce(F.col(factor), F.lit(1.0))).over(w), F.lit(1.0)))

@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of queries that one block has at most; each block is broadcast by itself.
-BLOCK_ROWS = 20_000
+from tidewell.session import ship
+
+#: Bytes of query vectors that one block has at most: each block is broadcast by itself.
+BLOCK_BYTES = 32 << 20
+#: Candidates beyond k that a matrix product leaves for the exact distance.
+SPARE = 8
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -18,27 +27,67 @@ def wasserstein(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(F.array_sort(a), F.array_sort(b), lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x) / F.size(a)
 
 
+def _distances(x: np.ndarray, q: np.ndarray, kind: str) -> np.ndarray:
+    """The exact distance of each row of x and the row of q beside it."""
+    return ((x - q) ** 2).sum(-1) if kind == "squared" else np.abs(x - q).mean(-1)
+
+
+def _rough(x: np.ndarray, q: np.ndarray, kind: str) -> np.ndarray:
+    """All distances between the rows of q and of x, squared ones up to rounding."""
+    if kind == "squared":
+        return (q * q).sum(1)[:, None] - 2 * (q @ x.T) + (x * x).sum(1)[None, :]
+    return np.stack([np.abs(x - one).mean(1) for one in q]) if len(q) else np.zeros((0, len(x)))
+
+
 def nearest(pool: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int, distance: str = "squared", apart: int = 0) -> DataFrame:
     """query_id, id, distance and place of the k nearest rows of pool for each row of queries, other than those within ``apart`` ids.
 
-    The query set is stated and meets the pool in blocks of BLOCK_ROWS rows. In each part of the pool only the k best of a query go on, so that
-    what is shuffled grows with the queries and the parts, not with the pool.
+    The query set is stated and meets the pool in blocks of BLOCK_BYTES, each broadcast by itself. A task scores its part of the pool in
+    Arrow batches (squared distances by one matrix product, the best of them again exactly) and keeps the k best of each query; so
+    what is shuffled grows with the queries and the tasks, not with the pool. Ties go by id. Rows with a null vector are left out.
     """
-    function = {"squared": squared_distance, "wasserstein": wasserstein}[distance]
-    blocks = -(-queries.count() // BLOCK_ROWS)
-    out = None
+    queries = queries.where(F.col(vector).isNotNull())
+    size = queries.agg(F.count("*").alias("n"), F.max(F.size(vector)).alias("width")).first()
+    blocks, out = -(-size.n * (size.width or 1) * 8 // BLOCK_BYTES), None
+    ship(pool.sparkSession)
     for i in range(blocks):
         block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == i)
-        q = F.broadcast(block.select(F.col(id_col).alias("query_id"), F.col(vector).alias("_q")))
-        pairs = pool.join(q, F.abs(F.col(id_col) - F.col("query_id")) > apart).select("query_id", F.col(id_col).alias("id"), function(F.col("_q"), F.col(vector)).alias("distance"))
-        best = pairs.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(64)))
-        order = [F.col("distance"), F.col("id")]
-        best = best.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "_part").orderBy(*order))).where(F.col("_n") <= k)
-        best = best.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("place") <= k).select("query_id", "id", "distance", "place")
-        out = best if out is None else out.union(best)
+        rows = block.select(F.col(id_col).cast("long"), F.col(vector)).collect()
+        sent = pool.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)))
+        found = pool.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long"), F.col(vector)).mapInArrow(_best_of(sent, k, distance, apart), "query_id long, id long, distance double")
+        found = found.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("place") <= k)
+        out = found if out is None else out.union(found)
     return out if out is not None else pool.sparkSession.createDataFrame([], "query_id long, id long, distance double, place int")
 
 
+def _best_of(sent: Broadcast, k: int, kind: str, apart: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, q = sent.value
+        q = q if kind == "squared" else np.sort(q, axis=1)
+        best_id, best = np.full((len(q), k), -1, np.int64), np.full((len(q), k), np.inf)
+        for batch in batches:
+            if not batch.num_rows or not len(q):
+                continue
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+            x = x if kind == "squared" else np.sort(x, axis=1)
+            for lo in range(0, len(ids), 4096):
+                part, some = x[lo : lo + 4096], ids[lo : lo + 4096]
+                rough = _rough(part, q, kind)
+                rough[np.abs(query_ids[:, None] - some[None, :]) <= apart] = np.inf
+                m = min(k + SPARE, len(some))
+                near = np.argpartition(rough, m - 1, axis=1)[:, :m] if m < len(some) else np.tile(np.arange(len(some)), (len(q), 1))
+                exact = _distances(part[near], q[:, None, :], kind)
+                exact[~np.isfinite(np.take_along_axis(rough, near, 1))] = np.inf
+                every, names = np.concatenate([best, exact], 1), np.concatenate([best_id, some[near]], 1)
+                order = np.lexsort((names, every), axis=1)[:, :k]
+                best, best_id = np.take_along_axis(every, order, 1), np.take_along_axis(names, order, 1)
+        i, j = np.nonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays([pa.array(query_ids[i]), pa.array(best_id[i, j]), pa.array(best[i, j])], names=["query_id", "id", "distance"])
+
+    return scan
+
+
 def graph_summary(edges: DataFrame, labels: DataFrame, id_col: str, label: str) -> DataFrame:
     """For each label of the source: edges, distinct targets, the largest distance, and the share of targets of the same label."""
     a, b = labels.select(F.col(id_col).alias("query_id"), F.col(label).alias("label")), labels.select(F.col(id_col).alias("id"), F.col(label).alias("_other"))

@@ -80,12 +80,28 @@ def versioned_percentile(facts: DataFrame, bucket: str, key: list[str], on: str,
 
 
 def permutation_test(df: DataFrame, stratum: str, label: str, value: str, tie: str, draws: int, seed: int = 0) -> DataFrame:
-    """draw (0: as observed) and diff: the mean of value where label is 1 less that where it is 0, labels being shuffled within strata."""
-    drawn = df.select(stratum, label, value, tie, F.explode(F.sequence(F.lit(0), F.lit(draws))).alias("draw"))
-    by = Window.partitionBy("draw", stratum)
-    mixed = drawn.withColumn("_r", F.row_number().over(by.orderBy(F.when(F.col("draw") == 0, -F.col(label).cast("long")).otherwise(F.xxhash64(F.lit(seed), "draw", tie)), tie))).withColumn("_k", F.sum(F.col(label).cast("long")).over(by))
-    one = F.col("_r") <= F.col("_k")
-    return mixed.groupBy("draw").agg((F.avg(F.when(one, F.col(value))) - F.avg(F.when(~one, F.col(value)))).alias("diff"))
+    """draw (0: as observed) and diff: the mean of value where label is 1 less that where it is 0, labels being shuffled within strata.
+
+    A draw gives label 1 to the rows of a stratum with the smallest hashes of seed, draw and tie, as many as have it. Rows are summed by the
+    hash's leading bits before anything is shuffled; only rows in the range that the border falls into are ranked. Rows with a
+    null in stratum, label or value are left out.
+    """
+    known = df.where(F.col(stratum).isNotNull() & F.col(label).isNotNull() & F.col(value).isNotNull()).select(F.col(stratum).alias("s"), F.col(label).cast("int").alias("y"), F.col(value).cast("double").alias("x"), F.col(tie).cast("string").alias("t"))
+    sizes = known.groupBy("s").agg(F.count("*").alias("n"), F.sum("y").alias("k"), F.sum("x").alias("total"), F.sum(F.when(F.col("y") == 1, F.col("x")).otherwise(0.0)).alias("seen"))
+    drawn = known.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), "t")))
+    drawn = drawn.withColumn("cell", F.conv(F.substring("h", 1, 2), 16, 10).cast("int"))
+    cells = drawn.groupBy("s", "draw", "cell").agg(F.count("*").alias("m"), F.sum("x").alias("sx")).join(sizes.select("s", "k"), "s")
+    ahead = F.coalesce(F.sum("m").over(Window.partitionBy("s", "draw").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.withColumn("ahead", ahead)
+    whole = cells.where(F.col("ahead") + F.col("m") <= F.col("k")).groupBy("draw").agg(F.sum("sx").alias("one"))
+    border = cells.where((F.col("ahead") < F.col("k")) & (F.col("ahead") + F.col("m") > F.col("k"))).select("s", "draw", "cell", (F.col("k") - F.col("ahead")).alias("more"))
+    ranked = drawn.join(border, ["s", "draw", "cell"]).withColumn("r", F.row_number().over(Window.partitionBy("s", "draw").orderBy("h", "t")))
+    rest = ranked.where(F.col("r") <= F.col("more")).groupBy("draw").agg(F.sum("x").alias("one"))
+    observed = sizes.agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum("total").alias("total"), F.sum("seen").alias("seen"))
+    ones = whole.union(rest).groupBy("draw").agg(F.sum("one").alias("one")).union(observed.select(F.lit(0), F.col("seen")))
+    ones = df.sparkSession.range(draws + 1).select(F.col("id").cast("int").alias("draw")).join(ones, "draw", "left").crossJoin(F.broadcast(observed))
+    one = F.coalesce("one", F.lit(0.0))
+    return ones.select("draw", F.when((F.col("k") > 0) & (F.col("k") < F.col("n")), one / F.col("k") - (F.col("total") - one) / (F.col("n") - F.col("k"))).alias("diff"))
 
 
 def block_folds(df: DataFrame, on: str, folds: int, seed: int = 0) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewell.operators import describe, evaluate, panel, profile, scans, scoring, similar, valuation
 from tidewell.plans import bars_sql as sql
+from tidewell.session import shared_folder
 from tidewell.sources.tables import daily_bars, table
 from tidewell.streaming import ticks as streams
 
@@ -67,7 +67,15 @@ def ndcg_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.group_bootstrap(_bars(spark, sf_dir), "day", "c", 200)
+    return evaluate.group_bootstrap(_bars(spark, sf_dir), "day", "c", 200).select("draw", F.round(F.col("mean") + 3e-7, 4).alias("mean"))
+
+
+_BOOTSTRAP = f"""
+WITH RECURSIVE {sql.BARS}, g AS (SELECT day, sum(c) AS s, count(*) AS n FROM bars GROUP BY day),
+p AS (SELECT 0 AS k, exp(-1::DOUBLE) AS t, exp(-1::DOUBLE) AS c UNION ALL SELECT k + 1, t / (k + 1), c + t / (k + 1) FROM p WHERE k < 11),
+l AS (SELECT list(c ORDER BY k) AS cdf FROM p),
+w AS (SELECT draw, s, n, len(list_filter(cdf, lambda x: x <= ('0x' || substr(md5('0:' || draw || ':' || day), 1, 12))::BIGINT::DOUBLE / 281474976710656)) AS w FROM g, l, range(200) v(draw))
+SELECT draw::INTEGER AS draw, round(sum(w * s) / sum(w * n) + 3e-7, 4) AS mean FROM w GROUP BY draw"""
 
 
 def folds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +128,25 @@ def volume_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def value_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_extendedprice") / F.col("l_quantity")).alias("px"), "l_quantity")
-    return profile.volume_profile(t, "l_suppkey", "px", "l_quantity")
+    out = profile.volume_profile(t, "l_suppkey", "px", "l_quantity")
+    return out.select("l_suppkey", "n_bins", *(F.round(F.col(c) + 3e-7, 4).alias(c) for c in ("width", "vwap", "poc", "value_low", "value_high")))
+
+
+_VALUE_AREA = """
+WITH RECURSIVE t AS (SELECT l_suppkey AS k, l_extendedprice / l_quantity AS p, l_quantity AS s FROM lineitem WHERE l_quantity > 0),
+g AS (SELECT k, (max(p) - min(p)) / 36 AS raw, sum(p * s) / sum(s) AS vwap FROM t GROUP BY 1),
+w AS (SELECT k, vwap, CASE WHEN raw <= 0 THEN 1 ELSE (SELECT min(m * b) FROM (VALUES (1), (2), (5), (10)) v(m) WHERE m * b >= raw) END AS width FROM (SELECT *, pow(10, floor(log10(raw))) AS b FROM g)),
+b AS (SELECT k, vwap, width, floor(p / width) AS bin, sum(s) AS s FROM t JOIN w USING (k) GROUP BY ALL),
+e AS (SELECT k, vwap, width, min(bin) AS lowest, max(bin) AS highest, count(*) AS n_bins, sum(s) AS total, arg_max(bin, (s, -bin)) AS top, map_from_entries(list((bin, s))) AS held FROM b GROUP BY ALL),
+r AS (
+  SELECT k, top AS lo, top AS hi, held[top] AS sum, 0 AS step FROM e
+  UNION ALL
+  SELECT k, CASE WHEN below >= above THEN lo - 1 ELSE lo END, CASE WHEN below >= above THEN hi ELSE hi + 1 END, sum + greatest(below, above), step + 1
+  FROM (SELECT r.*, total, CASE WHEN lo > lowest THEN coalesce(held[lo - 1], 0) ELSE -1 END AS below, CASE WHEN hi < highest THEN coalesce(held[hi + 1], 0) ELSE -1 END AS above FROM r JOIN e USING (k))
+  WHERE sum < 0.7 * total AND greatest(below, above) >= 0),
+f AS (SELECT k, max(step) AS step FROM r GROUP BY k)
+SELECT k AS l_suppkey, n_bins, round(width + 3e-7, 4) AS width, round(vwap + 3e-7, 4) AS vwap, round((top + 0.5) * width + 3e-7, 4) AS poc, round(lo * width + 3e-7, 4) AS value_low, round((hi + 1) * width + 3e-7, 4) AS value_high
+FROM r JOIN f USING (k, step) JOIN e USING (k)"""
 
 
 _PROFILE = """
@@ -208,8 +234,7 @@ def chars_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filled_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_custkey % 10 = 1").groupBy("o_custkey", F.col("o_orderdate").cast("date").alias("day")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("x"))
-    return describe.calendar_grid(o, "o_custkey", "day", ["x"], 3)
+    return describe.calendar_grid(_bars(spark, sf_dir).select("code", "day", "va"), "code", "day", ["va"], 3)
 
 
 def pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,8 +260,8 @@ def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hex_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").where("p_size % 7 <> 0").select(F.hex(F.col("p_partkey")).alias("code"))
-    return describe.code_runs(p, "code")
+    bars = _bars(spark, sf_dir).select(F.hex(F.col("code") * 4096 + F.datediff("day", F.lit("1995-01-01"))).alias("code"))
+    return describe.code_runs(bars, "code")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,8 +299,7 @@ SELECT code, day, round(CASE WHEN {sql.over("count(*)", -119, 0)} >= 60 THEN {sq
 
 def stream_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream's bars of all windows that the watermark has passed, once what is there has been processed."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidewell-stream-")
-    path = f"{folder.rstrip('/')}/tidewell-stream-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tidewell-stream-{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "events").schema
     stream = streams.tick_stream(spark, f"{sf_dir}/events.parquet*", schema).withColumn("ts", F.col("ts").cast("timestamp"))
     streams.run_available(streams.stream_bars(stream, "event_type", "ts", F.col("value").cast("decimal(18,4)")), f"{path}/rows", f"{path}/state")
@@ -339,6 +363,8 @@ def oracle_sql() -> dict[str, str]:
         "session_buckets": "WITH t AS (SELECT user_id, ts::DATE AS day, hour(ts) * 60 + minute(ts) AS m, value, json_extract(props, '$.k')::BIGINT AS k FROM events) SELECT user_id, day, CASE WHEN m < 540 THEN 'before' WHEN m < 690 THEN 'morning' WHEN m < 750 THEN 'break' WHEN m < 925 THEN 'afternoon' ELSE 'close' END AS session, count(*) AS n, sum(k)::BIGINT AS shares, round(sum(value * k) / nullif(sum(k), 0) + 3e-9, 6) AS vwap FROM t GROUP BY ALL",
         "minute_bars": "SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS at, arg_min(value, (ts, event_id)) AS o, max(value) AS h, min(value) AS l, arg_max(value, (ts, event_id)) AS c, sum(json_extract(props, '$.k')::BIGINT)::BIGINT AS v FROM events GROUP BY ALL",
         "volume_profile": _PROFILE,
+        "volume_value_area": _VALUE_AREA,
+        "eval_group_bootstrap": _BOOTSTRAP,
         "residual_income": _RI,
         "cash_flow_grid": _DCF,
         "axis_scores": _AXES,
@@ -347,11 +373,11 @@ def oracle_sql() -> dict[str, str]:
         "column_profile": _profile_sql(),
         "correlations": " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}) + 3e-9, 6) AS r FROM lineitem" for a, b in (("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_quantity", "l_tax"), ("l_extendedprice", "l_discount"), ("l_extendedprice", "l_tax"), ("l_discount", "l_tax"))),
         "histogram": "SELECT least(greatest(floor(n_chars / 500), 0), 19)::INTEGER AS bin, count(*) AS n FROM documents GROUP BY 1",
-        "calendar_grid": "WITH o AS (SELECT o_custkey, o_orderdate::DATE AS day, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS x FROM orders WHERE o_custkey % 10 = 1 GROUP BY ALL), g AS (SELECT o_custkey, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM o GROUP BY 1) SELECT o_custkey, day, last_value(x IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY day ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS x FROM g LEFT JOIN o USING (o_custkey, day)",
+        "calendar_grid": f"WITH {sql.BARS}, g AS (SELECT code, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM bars GROUP BY 1) SELECT code, day, last_value(va IGNORE NULLS) OVER (PARTITION BY code ORDER BY day ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS va FROM g LEFT JOIN bars USING (code, day)",
         "pivot": "SELECT year(o_orderdate)::INTEGER AS year, nullif(count(*) FILTER (WHERE o_orderstatus = 'F'), 0) AS F, nullif(count(*) FILTER (WHERE o_orderstatus = 'O'), 0) AS O, nullif(count(*) FILTER (WHERE o_orderstatus = 'P'), 0) AS P FROM orders GROUP BY 1",
         "sector_returns": _SECTOR,
         "nested_turns": "SELECT conv_id, count(*) AS n_turns, count(*) FILTER (WHERE role = 'user') AS n_user, max(length(text))::BIGINT AS longest, sum(length(text))::BIGINT AS n_chars, round(coalesce(sum(length(text)) FILTER (WHERE role = 'user'), 0) / nullif(sum(length(text)), 0) + 3e-9, 6) AS user_share, arg_min(role, turn) AS first_role FROM conversations GROUP BY conv_id",
-        "hex_runs": "WITH n AS (SELECT DISTINCT p_partkey AS n FROM part WHERE p_size % 7 <> 0), i AS (SELECT n, n >> 20 AS b, n - row_number() OVER (PARTITION BY n >> 20 ORDER BY n) AS i FROM n) SELECT min(n) AS first, max(n) AS last, count(*) AS size FROM i GROUP BY i, b",
+        "hex_runs": f"WITH {sql.BARS}, n AS (SELECT DISTINCT code * 4096 + (day - DATE '1995-01-01') AS n FROM bars), i AS (SELECT n, n >> 20 AS b, n - row_number() OVER (PARTITION BY n >> 20 ORDER BY n) AS i FROM n) SELECT min(n) AS first, max(n) AS last, count(*) AS size FROM i GROUP BY i, b",
         "page_titles": "SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host, contains(html, '<a ') AS has_link FROM pages",
         "event_json": "SELECT event_type, count(*) AS n, sum(json_extract(props, '$.k')::BIGINT)::BIGINT AS total, max(json_extract(props, '$.k')::BIGINT) AS top FROM events GROUP BY 1",
         "market_environment": f"WITH {sql.BARS}, m AS (SELECT day, avg(c) AS c, count(*) AS n FROM bars GROUP BY day) SELECT day, n, round(c + 3e-7, 3) AS level, round((c / lag(c, 20) OVER (ORDER BY day) - 1) * 100 + 3e-7, 3) AS ret_20, round((c / avg(c) OVER (ORDER BY day ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) - 1) * 100 + 3e-7, 3) AS gap_200 FROM m",

@@ -80,7 +80,7 @@ def _cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quarterly(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = facts.quarterly(_cumulative(spark, sf_dir), "entity", "fy", "q", "cum")
-    return out.select("entity", "fy", "q", "cum", *(F.round(F.col(c) + 3e-7, 2).alias(c) for c in ("single", "ttm", "yoy")))
+    return out.select("entity", "fy", "q", "cum", *(F.round(F.col(c) + 3e-7, 2).alias(c) for c in ("single", "ttm", "yoy")), "rising")
 
 
 _QUARTERLY = """
@@ -88,8 +88,10 @@ WITH p AS (SELECT o_custkey AS entity, year(o_orderdate)::INTEGER AS fy, quarter
 c AS (SELECT entity, fy, q, (sum(x) OVER (PARTITION BY entity, fy ORDER BY q))::DOUBLE AS cum, fy * 4 + q AS i FROM p),
 s AS (SELECT *, CASE WHEN q = 1 THEN cum WHEN lag(i) OVER w = i - 1 THEN cum - lag(cum) OVER w END AS single FROM c WINDOW w AS (PARTITION BY entity ORDER BY i)),
 t AS (SELECT *, CASE WHEN count(single) OVER w = 4 AND min(i) OVER w = i - 3 THEN sum(single) OVER w END AS ttm FROM s WINDOW w AS (PARTITION BY entity ORDER BY i ROWS BETWEEN 3 PRECEDING AND CURRENT ROW))
-SELECT t.entity, t.fy, t.q, t.cum, round(t.single + 3e-7, 2) AS single, round(ttm + 3e-7, 2) AS ttm, round(CASE WHEN b.single > 0 THEN (t.single / b.single - 1) * 100 END + 3e-7, 2) AS yoy
-FROM t LEFT JOIN s b ON b.entity = t.entity AND b.i = t.i - 4"""
+, u AS (SELECT entity, i, CASE WHEN lag(i) OVER w = i - 1 THEN sign(single - lag(single) OVER w) END AS s FROM s WINDOW w AS (PARTITION BY entity ORDER BY i)),
+v AS (SELECT entity, i, s * (1 + CASE WHEN lag(s) OVER w IS DISTINCT FROM s THEN 0 WHEN lag(s, 2) OVER w IS DISTINCT FROM s THEN 1 WHEN lag(s, 3) OVER w IS DISTINCT FROM s THEN 2 ELSE 3 END) AS rising FROM u WINDOW w AS (PARTITION BY entity ORDER BY i))
+SELECT t.entity, t.fy, t.q, t.cum, v.rising::BIGINT AS rising, round(t.single + 3e-7, 2) AS single, round(ttm + 3e-7, 2) AS ttm, round(CASE WHEN b.single > 0 THEN (t.single / b.single - 1) * 100 END + 3e-7, 2) AS yoy
+FROM t JOIN v ON v.entity = t.entity AND v.i = t.i LEFT JOIN s b ON b.entity = t.entity AND b.i = t.i - 4"""
 
 
 def lagged(spark: SparkSession, sf_dir: str) -> DataFrame:

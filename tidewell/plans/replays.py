@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewell.operators import publication, simulate
 from tidewell.plans import bars_sql as sql
+from tidewell.session import shared_folder
 from tidewell.sources import sinks
 from tidewell.sources.tables import daily_bars, table
 
@@ -40,6 +40,17 @@ def slot_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulate.slots(o, "book", ["start", "o_orderkey"], "start", "end", 3)
 
 
+_SLOTS = """
+WITH RECURSIVE o AS (SELECT o_orderpriority AS book, o_orderkey, o_orderdate::DATE AS d, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate::DATE, o_orderkey) AS i FROM orders WHERE o_totalprice > 300000),
+r AS (
+  SELECT book, o_orderkey, d, i, true AS taken, [d + 30] AS busy FROM o WHERE i = 1
+  UNION ALL
+  SELECT o.book, o.o_orderkey, o.d, o.i, len(list_filter(busy, lambda b: b >= o.d)) < 3,
+    CASE WHEN len(list_filter(busy, lambda b: b >= o.d)) < 3 THEN list_append(list_filter(busy, lambda b: b >= o.d), o.d + 30) ELSE list_filter(busy, lambda b: b >= o.d) END
+  FROM r JOIN o ON o.book = r.book AND o.i = r.i + 1)
+SELECT book, o_orderkey, d::VARCHAR AS start, (d + 30)::VARCHAR AS "end" FROM r WHERE taken"""
+
+
 def versioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _orders(spark, sf_dir).select((F.col("o_custkey") % 20).alias("bucket"), "o_custkey", "o_orderkey", F.datediff("day", F.lit("1990-01-01").cast("date")).alias("t"), "o_totalprice")
     return simulate.versioned_percentile(o, "bucket", ["o_custkey"], "t", "o_totalprice", "o_orderkey", 3).select("o_orderkey", F.round("pct", 6).alias("pct"))
@@ -53,7 +64,15 @@ SELECT o.o_orderkey, round(CASE WHEN n >= 3 THEN (a + b) / (2 * n) END, 6) AS pc
 
 def permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("source", F.col("quality").alias("label"), "n_chars", "doc_id")
-    return simulate.permutation_test(d, "source", "label", "n_chars", "doc_id", 100)
+    out = simulate.permutation_test(d, "source", "label", "n_chars", "doc_id", 100)
+    return out.select("draw", F.round(F.col("diff") + 3e-7, 4).alias("diff"))
+
+
+_PERMUTED = """
+WITH d AS (SELECT source, quality AS y, n_chars AS x, doc_id FROM documents JOIN labels USING (doc_id) WHERE source IS NOT NULL AND quality IS NOT NULL AND n_chars IS NOT NULL),
+k AS (SELECT source, sum(y) AS k FROM d GROUP BY source),
+r AS (SELECT draw, x, CASE WHEN draw = 0 THEN y = 1 ELSE row_number() OVER (PARTITION BY draw, source ORDER BY md5('0:' || draw || ':' || doc_id), doc_id::VARCHAR) <= k END AS one FROM d JOIN k USING (source), range(101) v(draw))
+SELECT draw::INTEGER AS draw, round(avg(x) FILTER (WHERE one) - avg(x) FILTER (WHERE NOT one) + 3e-7, 4) AS diff FROM r GROUP BY draw"""
 
 
 def month_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,8 +122,7 @@ def limited_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ingested_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written by day, each file sorted, and what the stored days hold."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidewell-days-")
-    path = f"{folder.rstrip('/')}/tidewell-days-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tidewell-days-{uuid.uuid4().hex}"
     sinks.write_days(table(spark, sf_dir, "events"), path, "ts", ["user_id", "ts", "event_id"])
     return sinks.day_stats(spark.read.parquet(path), "date", "user_id")
 
@@ -134,6 +152,8 @@ def oracle_sql() -> dict[str, str]:
         "ingested_days": "SELECT ts::DATE AS date, count(*) AS n_rows, count(DISTINCT user_id) AS n_keys FROM events GROUP BY 1",
         "entry_outcomes": _outcomes_sql(),
         "versioned_percentile": _VERSIONED,
+        "slot_portfolio": _SLOTS,
+        "permutation_test": _PERMUTED,
         "month_block_folds": "WITH m AS (SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS m FROM orders), f AS (SELECT m, ((row_number() OVER (PARTITION BY year(m) ORDER BY md5('0:' || m::VARCHAR)) - 1) % 5)::INTEGER AS fold FROM m) SELECT o_orderkey, o_orderdate::DATE AS day, fold FROM orders JOIN f ON date_trunc('month', o_orderdate)::DATE = m",
         "spearman_by_key": "WITH r AS (SELECT l_suppkey, rank() OVER (PARTITION BY l_suppkey ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_suppkey, l_quantity) - 1) / 2 AS a, rank() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_suppkey, l_extendedprice) - 1) / 2 AS b FROM lineitem) SELECT l_suppkey, count(*) AS n, round(corr(a, b) + 3e-9, 6) AS rho FROM r GROUP BY 1",
         "next_week_session": "WITH d AS (SELECT DISTINCT o_orderdate::DATE AS d FROM orders), k AS (SELECT d, date_trunc('week', d)::DATE AS w, row_number() OVER (PARTITION BY date_trunc('week', d) ORDER BY d) AS k FROM d) SELECT a.w AS week, coalesce(b.d, a.w + 8) AS available FROM (SELECT DISTINCT w FROM k) a LEFT JOIN k b ON b.w = a.w + 7 AND b.k = 2",

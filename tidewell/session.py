@@ -13,6 +13,7 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -21,6 +22,18 @@ def session(name: str = "tidewell", **more: str) -> SparkSession:
     return SparkSession.builder.appName(name).config(map=DEFAULTS | more).getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, of spark.checkpoint.dir. A local session that names none gets one of its own; a cluster must name one."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    own = "file://" + tempfile.mkdtemp(prefix="tidewell-")
+    spark.sparkContext.setCheckpointDir(own)
+    return own
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors' Python workers this package, once for each context, whatever their working folder is."""
     context = spark.sparkContext

@@ -36,7 +36,7 @@ def upsert_years(new: DataFrame, path: str, key: list[str], on: str, by: list[st
     """Merge new rows into a table by year: of each key the last by the columns ``by`` stays, a new row before an old equal one.
 
     Only the years that new holds are read and rewritten. They are staged beside the table first, since a table can't be read and replaced
-    in one job.
+    in one job. Files hold ranges of keys, however many rows a year has.
     """
     spark = new.sparkSession
     new = new.withColumn("year", F.year(on))
@@ -48,8 +48,8 @@ def upsert_years(new: DataFrame, path: str, key: list[str], on: str, by: list[st
         rows = spark.read.parquet(path).where(F.col("year").isin(years)).withColumn("_new", F.lit(0)).unionByName(rows)
     best = rows.groupBy("year", *key).agg(F.max_by(F.struct(*new.columns), F.struct(*by, "_new")).alias("r")).select("r.*")
     stage = f"{path.rstrip('/')}-stage-{uuid.uuid4().hex}"
-    best.repartition("year").sortWithinPartitions("year", *key).write.partitionBy("year").parquet(stage)
-    spark.read.parquet(stage).repartition("year").sortWithinPartitions("year", *key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
+    best.repartitionByRange("year", *key).sortWithinPartitions("year", *key).write.partitionBy("year").parquet(stage)
+    spark.read.parquet(stage).repartitionByRange("year", *key).sortWithinPartitions("year", *key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
     system.delete(spark._jvm.org.apache.hadoop.fs.Path(stage), True)
 
 
