@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.plans import analytics, bars, choices, relational, replays, solved, summaries
+from tidewell.plans import analytics, bars, choices, moves, relational, replays, solved, summaries
 
-MODULES = (bars, relational, analytics, replays, solved, choices, summaries)
+MODULES = (bars, relational, analytics, replays, solved, choices, summaries, moves)
 FLAGSHIP = bars.breaks_by_year
 
 
