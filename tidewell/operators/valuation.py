@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from itertools import product
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -39,3 +41,69 @@ def scenario_stats(df: DataFrame, by: list[str], value: str, least: float = 0.8)
     g = df.groupBy(*by).agg(F.count("*").alias("_n"), F.count(value).alias("n_valid"), F.min(value).alias("low"), F.max(value).alias("high"), F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("median"), F.stddev_pop(value).alias("std"))
     ok = F.col("n_valid") >= least * F.col("_n")
     return g.select(*by, "n_valid", *(F.when(ok, F.col(c)).alias(c) for c in ("low", "high", "mean", "median", "std")))
+
+
+def asset_stress(df: DataFrame, hair: dict[str, tuple[float, ...]], net: str, cap: str, price: str) -> DataFrame:
+    """df with stats of the price at net assets less haircuts: n, low, high, mean, median and deviation over all combinations of the cuts.
+
+    hair: column and the shares of it that may be lost. A net under 0 counts as 0; null without assets or market value.
+    """
+    values = F.array(*(F.greatest(F.col(net) - sum((F.col(c) * cut for c, cut in zip(hair, cuts, strict=True)), F.lit(0.0)), F.lit(0.0)) for cuts in product(*hair.values())))
+    ready = (F.col(cap) > 0) & (F.col(price) > 0) & F.col(net).isNotNull()
+    for c in hair:
+        ready = ready & (F.col(c) >= 0)
+    out = df.withColumn("_v", F.when(ready, F.array_sort(F.transform(values, lambda v: v / F.col(cap) * F.col(price)))))
+    n = F.size("_v")
+    mean = F.aggregate("_v", F.lit(0.0), lambda a, v: a + v) / n
+    middle = (F.get("_v", F.floor((n - 1) / 2).cast("int")) + F.get("_v", F.floor(n / 2).cast("int"))) / 2
+    return out.withColumns({"low": F.get("_v", F.lit(0)), "high": F.get("_v", n - 1), "mean": mean, "median": middle}).withColumn("deviation", F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, v: a + F.pow(v - F.col("mean"), 2)) / n)).drop("_v")
+
+
+def peer_prices(df: DataFrame, by: list[str], key: str, multiple: str, price: str, least: int) -> DataFrame:
+    """df with peers (others of the group with a multiple over 0) and the price at their multiples: low, high, mean, deviation, p10, p50, p90.
+
+    Means come from sums and places from the group's order, each looked up by number with the row itself left out: the group meets no row of its own
+    but in one sort and one join of a few places a row. Null under ``least`` peers.
+    """
+    known = df.where(F.col(multiple) > 0)
+    w = Window.partitionBy(*by)
+    known = known.withColumns({"_i": F.row_number().over(w.orderBy(multiple, key)) - 1, "_n": F.count("*").over(w) - 1, "_s": F.sum(multiple).over(w), "_q": F.sum(F.pow(F.col(multiple), 2)).over(w)})
+    x = F.col(multiple)
+    mean = (F.col("_s") - x) / F.col("_n")
+    square = (F.col("_q") - x * x) / F.col("_n") - mean * mean
+    places = {"low": 0.0, "p10": 0.1, "p50": 0.5, "p90": 0.9, "high": 1.0}
+    at = lambda p: F.lit(p) * (F.col("_n") - 1)
+    skip = lambda k: F.when(k >= F.col("_i"), k + 1).otherwise(k)
+    asks = known.where(F.col("_n") >= least).select(*by, key, F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.floor(at(p)).alias("a"), F.ceil(at(p)).alias("b"), (at(p) - F.floor(at(p))).alias("f")) for n, p in places.items()))).alias("k"), "_i")
+    asks = asks.select(*by, key, "k.name", "k.f", F.explode(F.array(F.struct(F.lit(0).alias("side"), skip(F.col("k.a")).alias("at")), F.struct(F.lit(1).alias("side"), skip(F.col("k.b")).alias("at")))).alias("e"))
+    order = known.select(*by, F.col("_i").cast("long").alias("at"), x.alias("v"))
+    found = asks.select(*by, key, "name", "f", "e.side", F.col("e.at").cast("long").alias("at")).join(order, [*by, "at"])
+    values = found.groupBy(*by, key).agg(*(F.sum(F.when(F.col("name") == n, F.col("v") * F.when(F.col("side") == 0, 1 - F.col("f")).otherwise(F.col("f")))).alias(n) for n in places))
+    scale = F.col(price) / x
+    out = known.join(values, [*by, key], "left").withColumns({n: F.col(n) * scale for n in places})
+    enough = F.col("_n") >= least
+    return out.withColumns({"peers": F.col("_n"), "mean": F.when(enough, mean * scale), "deviation": F.when(enough, F.sqrt(F.greatest(square, F.lit(0.0))) * scale)}).drop("_i", "_n", "_s", "_q")
+
+
+def reasons(rules: dict[str, Column], separator: str = "; ") -> Column:
+    """All the reasons that hold, in their order, as one text; empty where none does."""
+    return F.concat_ws(separator, *(F.when(rule, text) for text, rule in rules.items()))
+
+
+def flow(sales: Column, steps: list[tuple[str, Column]]) -> Column:
+    """From sales down to the last known profit: an array of (name, value, out, gain, loss), one for each known step, up to the first that is not over 0.
+
+    out is what went since the step before, gain what came in instead; a step at a loss takes all that was left. Null without sales over 0.
+    """
+    known = F.filter(F.array(*(F.struct(F.lit(n).alias("name"), v.cast("double").alias("value")) for n, v in steps)), lambda s: s["value"].isNotNull())
+    row = "array<struct<name: string, value: double, out: double, gain: double, loss: boolean>>"
+    start = F.struct(F.array().cast(row).alias("all"), sales.cast("double").alias("left"), F.lit(False).alias("end"))
+
+    def step(a: Column, s: Column) -> Column:
+        loss = s["value"] <= 0
+        went = F.when(loss, a["left"]).when(a["left"] > s["value"], a["left"] - s["value"])
+        came = F.when(~loss & (a["left"] < s["value"]), s["value"] - a["left"])
+        one = F.struct(s["name"].alias("name"), s["value"].alias("value"), went.alias("out"), came.alias("gain"), loss.alias("loss"))
+        return F.when(a["end"], a).otherwise(F.struct(F.concat(a["all"], F.array(one)).alias("all"), s["value"].alias("left"), loss.alias("end")))
+
+    return F.when((sales > 0) & (F.size(known) > 0), F.aggregate(known, start, step, lambda a: a["all"]))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.plans import analytics, bars, choices, judgements, moves, panels, relational, replays, solved, summaries
+from tidewell.plans import analytics, bars, choices, decisions, judgements, moves, panels, relational, replays, solved, summaries
 
-MODULES = (bars, relational, analytics, replays, solved, choices, summaries, moves, panels, judgements)
+MODULES = (bars, relational, analytics, replays, solved, choices, summaries, moves, panels, judgements, decisions)
 FLAGSHIP = bars.breaks_by_year
 
 
