@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -69,3 +69,31 @@ def changed_entries(listing: DataFrame, manifest: DataFrame, key: str, marks: li
     """The listed files that the manifest lacks or has with other marks (size, time)."""
     old = manifest.select(key, F.struct(*marks).alias("_old"))
     return listing.join(old, key, "left").where(~F.struct(*marks).eqNullSafe(F.col("_old"))).select(listing.columns)
+
+
+def write_mart(df: DataFrame, path: str, order: list[str], on: str) -> None:
+    """df as Parquet in ranges of ``order``, and beside it (path-info) what it holds: rows, first and last day, columns. The table is written first."""
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+    stored = df.sparkSession.read.parquet(path)
+    info = stored.agg(F.count("*").alias("n_rows"), F.min(on).cast("string").alias("first"), F.max(on).cast("string").alias("last")).withColumn("columns", F.array(*(F.lit(c) for c in stored.columns)))
+    info.coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}-info")
+
+
+def mart_info(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("n_rows long, first string, last string, columns array<string>").json(f"{path.rstrip('/')}-info")
+
+
+def forgotten(manifest: DataFrame, on: str, first: str, last: str | None = None) -> DataFrame:
+    """The manifest without the days from first on (up to last), so that they are fetched again."""
+    gone = F.col(on) >= F.lit(first).cast("date")
+    return manifest.where(~(gone & (F.col(on) <= F.lit(last).cast("date")) if last else gone))
+
+
+def readjusted(stored: DataFrame, factors: DataFrame, key: str, on: str, price: str, at: str, factor: str) -> DataFrame:
+    """stored with adjusted: the price times all of its key's factors that take effect after its day. One sort of both sides by key and day."""
+    shape = stored.select(F.struct("*")).schema[0].dataType
+    f = factors.groupBy(F.col(key).alias("_k"), F.col(at).alias("_t")).agg(F.product(F.coalesce(F.col(factor), F.lit(1.0))).alias("_f")).withColumn("_row", F.lit(None).cast(shape))
+    rows = stored.select(F.col(key).alias("_k"), F.col(on).alias("_t"), F.lit(1.0).alias("_f"), F.struct("*").alias("_row"))
+    later = Window.partitionBy("_k").orderBy(F.col("_t").desc(), F.col("_row").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    out = f.unionByName(rows).withColumn("_all", F.product("_f").over(later)).where("_row IS NOT NULL")
+    return out.select("_row.*", (F.col(f"_row.{price}") * F.col("_all")).alias("adjusted"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 
@@ -34,3 +38,36 @@ def upsert_available(stream: DataFrame, key: list[str], order: list[str], path:
         latest.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def merged_versions(spark: SparkSession, path: str, key: list[str], order: list[str]) -> DataFrame:
+    """The current view of what upsert_available() wrote: of each key the latest version of all batches, however late it came."""
+    rows = spark.read.parquet(path).drop("batch")
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*(c for c in rows.columns if c not in key)), F.struct(*order)).alias("r")).select(*key, "r.*")
+
+
+def stream_cooldown(ticks: DataFrame, key: str, ts: str, tie: str, seconds: int) -> DataFrame:
+    """The events of a stream that are at least ``seconds`` after the last one given out of their key; the state is that event's time.
+
+    Events of one trigger are taken in their order; one that comes later than an event already given out counts by its own time.
+    """
+
+    def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(batches)).sort_values([ts, tie], kind="stable")
+        keep = []
+        for at in rows[ts].astype("datetime64[us]").astype("int64").tolist():
+            ok = last is None or at - last >= seconds * 1_000_000
+            last = at if ok else last
+            keep.append(ok)
+        state.update((last,))
+        yield rows[keep]
+
+    return ticks.groupBy(key).applyInPandasWithState(step, ticks.schema, "last long", "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_live(changes: DataFrame, key: str, ts: str, value: str, days: int) -> DataFrame:
+    """Of a stream of positions the changes to their total: each counts from its day on and expires ``days`` later. Sum these up to a day for the total."""
+    start = changes.select(key, F.col(ts).cast("date").alias("day"), F.col(value).alias("change"))
+    end = changes.select(key, F.date_add(F.col(ts).cast("date"), days).alias("day"), (-F.col(value)).alias("change"))
+    return start.union(end)
