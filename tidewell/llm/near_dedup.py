@@ -145,8 +145,7 @@ def _links_left(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     members: key, node, component, without the tables' smallest nodes, which have been compared with the others. Only tables with
     members in several components count. Of their members, those are compared that share one of their rarest shingles (see
     _prefixes()), are of similar size, and are in different components. A shingle of up to GROUP members gives their pairs, each
-    once, by id only; the members of others are dealt into blocks of at most BLOCK members and BLOCK_SHINGLES shingles, by bands
-    of size, and each pair of blocks that may hold links is worked on by itself.
+    once, by id only; the members of others are dealt into blocks, see _links_in_blocks().
     """
     open_keys = materialise(members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key"))
     rest = materialise(members.join(open_keys, "key", "left_semi").select("node", "component").distinct())
@@ -170,27 +169,27 @@ def _links_left(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _links_in_blocks(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) between the members (shingle, node, component, size) of groups of one shingle, by pairs of blocks.
 
-    Members are put into bands of size by which they can have links to their own and the next band only, and a band into
-    blocks. A row for each member and block that it meets is sent, never one for each pair of members.
+    In each group the members outside of its largest component make up the left side, all members the right side: the members of
+    one component, be it all copies of a text, are not compared with each other. Both sides are put into bands of size, which can
+    have links with their own and the next bands only, and these into blocks. A row for each member and opposite block is sent.
     """
     band = F.floor(F.log(F.col("size").cast("double")) / math.log(100 / percent) - 1e-9).cast("long")
     found = found.withColumn("band", band)
-    sizes = materialise(found.groupBy("shingle", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("blocks")))
-    found = materialise(found.join(sizes, ["shingle", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))))
-    above = sizes.select("shingle", (F.col("band") - 1).alias("band"), F.col("blocks").alias("over"))
-    below = sizes.select("shingle", (F.col("band") + 1).alias("band"), F.col("blocks").alias("under"))
-    steps = lambda first, n: F.when(n > first, F.sequence(first, n - 1)).otherwise(F.array().cast("array<long>"))
-    zero, block = F.lit(0).cast("long"), F.col("block")
-    own = found.select("shingle", "node", "component", "band", "block", "blocks")
-    row = lambda x, y, up, left: F.struct(x.alias("x"), y.alias("y"), up.alias("up"), left.alias("is_left"))
-    false, true = F.lit(False), F.lit(True)
-    # in its band a block meets itself and each later block; the left side is the earlier one
-    within = F.concat(F.transform(steps(block, F.col("blocks")), lambda y: row(block, y, false, true)), F.transform(steps(zero, block + 1), lambda x: row(x, block, false, false)))
-    upward = F.transform(steps(zero, F.coalesce("over", zero)), lambda y: row(block, y, true, true))
-    downward = F.transform(steps(zero, F.coalesce("under", zero)), lambda x: row(x, block, true, false))
-    sent = own.join(above, ["shingle", "band"], "left").join(below, ["shingle", "band"], "left")
-    sent = sent.select("shingle", "node", "component", "band", F.explode(F.concat(within, upward, downward)).alias("m"))
-    sent = sent.select("shingle", F.when(F.col("m.up") & ~F.col("m.is_left"), F.col("band") - 1).otherwise(F.col("band")).alias("band"), "m.*", "node", "component")
+    per = found.groupBy("shingle", "component").agg(F.count("*").alias("m"))
+    main = materialise(per.groupBy("shingle").agg(F.max(F.struct("m", "component"))["component"].alias("main")))
+    found = materialise(found.join(main, "shingle").withColumn("outside", F.col("component") != F.col("main")))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("blocks")
+    sides = {"left": found.where("outside"), "right": found}
+    sizes = {k: materialise(v.groupBy("shingle", "band").agg(blocks)) for k, v in sides.items()}
+    sent = None
+    for own, other in (("left", "right"), ("right", "left")):
+        # each band of the other side is met by its own and its neighbours
+        met = sizes[other].select("shingle", F.col("band").alias("other_band"), F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band"), F.col("blocks").alias("others"))
+        rows = sides[own].join(sizes[own], ["shingle", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).join(met, ["shingle", "band"])
+        rows = rows.select("shingle", "band", "other_band", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)).alias("other"), "node", "component")
+        first, second = ("", "other_") if own == "left" else ("other_", "")
+        rows = rows.select("shingle", F.col(f"{first}band").alias("left_band"), F.col(f"{second}band").alias("right_band"), F.col("block" if own == "left" else "other").alias("x"), F.col("other" if own == "left" else "block").alias("y"), F.lit(own == "left").alias("is_left"), "node", "component")
+        sent = rows if sent is None else sent.unionByName(rows)
 
     def compare(table: pa.Table) -> pa.Table:
         side = np.asarray(table["is_left"].combine_chunks())
@@ -220,8 +219,8 @@ def _links_in_blocks(found: DataFrame, sets: DataFrame, percent: int) -> DataFra
         return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
 
     ship(found.sparkSession)
-    work = sent.join(sets, "node").select("shingle", "band", "up", "x", "y", "is_left", "node", "component", "shingles")
-    return work.groupBy("shingle", "band", "up", "x", "y").applyInArrow(compare, "u long, v long")
+    work = sent.join(sets, "node").select("shingle", "left_band", "right_band", "x", "y", "is_left", "node", "component", "shingles")
+    return work.groupBy("shingle", "left_band", "right_band", "x", "y").applyInArrow(compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", half: int = HALF) -> DataFrame:
