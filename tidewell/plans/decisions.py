@@ -137,7 +137,7 @@ def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each day of the calendar whether a run is due: on a session, or where the last session is not stored; with the reason."""
     b = _bars(spark, sf_dir)
-    stored = b.where("code % 2 = 0").groupBy("day").agg(F.count("*").alias("n"))
+    stored = b.where("v > 60").groupBy("day").agg(F.count("*").alias("n"))
     days = b.agg(F.explode(F.sequence(F.min("day"), F.max("day"))).alias("day"))
     out = days.join(b.select("day").distinct().withColumn("session", F.lit(True)), "day", "left").join(stored, "day", "left")
     w = Window.partitionBy(F.lit(0)).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)  # one row a day
@@ -147,7 +147,7 @@ def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = candidates(spark, sf_dir).where("code % 3 = 0").select("code", "day", F.when(F.col("id") % 13 == 0, "cancel").when(F.col("id") % 5 < 2, "sell").otherwise("buy").alias("kind"), F.col("id").alias("entry"), F.col("p1").alias("price"), F.when(F.col("id") % 13 == 0, F.col("id") + 7).alias("ref"))
+    c = candidates(spark, sf_dir).select("code", "day", F.when(F.col("id") % 13 == 0, "cancel").when(F.col("id") % 5 < 2, "sell").otherwise("buy").alias("kind"), F.col("id").alias("entry"), F.col("p1").alias("price"), F.when(F.col("id") % 13 == 0, F.col("id") + 7).alias("ref"))
     return positions.without_cancelled(c, "kind", "ref", "entry")
 
 
@@ -155,14 +155,14 @@ def from_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positions.matched_positions(_log(spark, sf_dir), "code", "day", "kind", "entry", "price")
 
 
-_LOG = f"""{_CANDIDATES}, lg0 AS (SELECT code, day, CASE WHEN id % 13 = 0 THEN 'cancel' WHEN id % 5 < 2 THEN 'sell' ELSE 'buy' END AS kind, id AS entry, p1 AS price, CASE WHEN id % 13 = 0 THEN id + 7 END AS ref FROM c WHERE code % 3 = 0),
+_LOG = f"""{_CANDIDATES}, lg0 AS (SELECT code, day, CASE WHEN id % 13 = 0 THEN 'cancel' WHEN id % 5 < 2 THEN 'sell' ELSE 'buy' END AS kind, id AS entry, p1 AS price, CASE WHEN id % 13 = 0 THEN id + 7 END AS ref FROM c),
 lg AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY day, kind = 'sell', entry) AS i FROM lg0 WHERE kind <> 'cancel' AND entry NOT IN (SELECT ref FROM lg0 WHERE ref IS NOT NULL))"""
 
 
 def limit_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positions bought at the close of the 7th of a month, with a limit of 8 % that becomes 4 % after 9 days."""
+    """Positions bought at the close of days of large volume, with a limit of 8 % that becomes 4 % after 9 days."""
     b = _bars(spark, sf_dir)
-    p = b.where(F.dayofmonth("day") == 7).select("code", (F.col("code") * 100000 + F.datediff("day", F.lit("1990-01-01"))).cast("long").alias("entry"), F.col("day").alias("bought"), F.col("c").alias("paid"))
+    p = b.where("v >= 60").select("code", (F.col("code") * 100000 + F.datediff("day", F.lit("1990-01-01"))).cast("long").alias("entry"), F.col("day").alias("bought"), F.col("c").alias("paid"))
     first = p.select("entry", F.col("bought").alias("day"), (F.col("paid") * 1.08).alias("limit"))
     later = p.select("entry", F.date_add("bought", 9).alias("day"), (F.col("paid") * 1.04).alias("limit"))
     return positions.paths(p, b, first.unionByName(later), "code", "entry", "bought", "paid", 10).select("entry", "day", "age", _r("limit"), "met", _r("gain"))
@@ -191,13 +191,13 @@ def oracle_sql() -> dict[str, str]:
 e AS (SELECT id, sales, l, unnest(range(1, len(l) + 1)) AS step FROM s WHERE sales > 0), p AS (SELECT id, step, l[step].n AS name, l[step].v AS value, CASE WHEN step = 1 THEN sales ELSE l[step - 1].v END AS b, CASE WHEN step > 1 THEN list_min(list_transform(l[1:step - 1], lambda x: x.v)) END AS worst FROM e)
 SELECT id, step, name, round(value + 3e-7, 4) AS value, round(CASE WHEN value <= 0 THEN b WHEN b > value THEN b - value END + 3e-7, 4) AS out, round(CASE WHEN value > 0 AND b < value THEN value - b END + 3e-7, 4) AS gain, value <= 0 AS loss FROM p WHERE worst IS NULL OR worst > 0""",
         "freshness": f"WITH {sql.BARS}, d AS (SELECT day, row_number() OVER (ORDER BY day) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT day FROM bars)), l AS (SELECT code, max(day) AS day FROM bars GROUP BY code) SELECT code, day, n - i AS age, n - i > 2 AS stale FROM l JOIN d USING (day)",
-        "run_gate": f"WITH {sql.BARS}, g AS (SELECT unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM bars), s AS (SELECT day, count_if(code % 2 = 0) > 0 AS stored FROM bars GROUP BY day), j AS (SELECT g.day, stored IS NOT NULL AS session, max(CASE WHEN stored IS NOT NULL THEN g.day END) OVER w AS ls, max(CASE WHEN stored THEN g.day END) OVER w AS lt FROM g LEFT JOIN s USING (day) WINDOW w AS (ORDER BY g.day)), r AS (SELECT day, CASE WHEN session THEN 'session' WHEN lt IS NULL OR lt < ls THEN 'behind' ELSE 'closed' END AS reason FROM j) SELECT day, reason, reason <> 'closed' AS run FROM r",
+        "run_gate": f"WITH {sql.BARS}, g AS (SELECT unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM bars), s AS (SELECT day, count_if(v > 60) > 0 AS stored FROM bars GROUP BY day), j AS (SELECT g.day, stored IS NOT NULL AS session, max(CASE WHEN stored IS NOT NULL THEN g.day END) OVER w AS ls, max(CASE WHEN stored THEN g.day END) OVER w AS lt FROM g LEFT JOIN s USING (day) WINDOW w AS (ORDER BY g.day)), r AS (SELECT day, CASE WHEN session THEN 'session' WHEN lt IS NULL OR lt < ls THEN 'behind' ELSE 'closed' END AS reason FROM j) SELECT day, reason, reason <> 'closed' AS run FROM r",
         "positions_from_log": f"""WITH RECURSIVE {_LOG}, r AS (
   SELECT code, i, day, entry, price, kind, CASE WHEN kind = 'buy' THEN [entry] ELSE []::BIGINT[] END AS held, NULL::BIGINT AS closes FROM lg WHERE i = 1
   UNION ALL
   SELECT lg.code, lg.i, lg.day, lg.entry, lg.price, lg.kind, CASE WHEN lg.kind = 'buy' THEN list_append(held, lg.entry) ELSE held[1:len(held) - 1] END, CASE WHEN lg.kind = 'sell' THEN held[len(held)] END FROM r JOIN lg ON lg.code = r.code AND lg.i = r.i + 1)
 SELECT b.code, b.entry, b.day AS bought, b.price, s.day AS sold, s.price AS sold_price FROM lg b LEFT JOIN r s ON s.closes = b.entry WHERE b.kind = 'buy'""",
-        "limit_paths": f"""WITH {sql.BARS}, b AS (SELECT code, day, h, c, {sql.ROW} AS i FROM bars), p AS (SELECT code, code * 100000 + (day - DATE '1990-01-01') AS entry, day AS bought, c AS paid, i FROM b WHERE day(day) = 7),
+        "limit_paths": f"""WITH {sql.BARS}, b AS (SELECT code, day, h, c, v, {sql.ROW} AS i FROM bars), p AS (SELECT code, code * 100000 + (day - DATE '1990-01-01') AS entry, day AS bought, c AS paid, i FROM b WHERE v >= 60),
 x AS (SELECT p.entry, b.day, b.i - p.i AS age, paid * CASE WHEN b.day >= bought + 9 THEN 1.04::DOUBLE ELSE 1.08::DOUBLE END AS lim, h, c, paid FROM p JOIN b ON b.code = p.code AND b.i BETWEEN p.i + 1 AND p.i + 10),
 m AS (SELECT *, coalesce(max(h >= lim) OVER (PARTITION BY entry ORDER BY age ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS over FROM x)
 SELECT entry, day, age, {_rounded('lim', '"limit"')}, h >= lim AS met, {_rounded('(CASE WHEN h >= lim THEN lim ELSE c END / paid - 1) * 100', 'gain')} FROM m WHERE NOT over""",

@@ -110,7 +110,7 @@ def exit_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge.held_states(_bars(spark, sf_dir), F.dayofmonth("day") == 7, 10).select("code", "day", "age", _r("ret"), _r("best"), _r("drop"), _r("change"))
+    return judge.held_states(_bars(spark, sf_dir), F.col("v") >= 60, 10).select("code", "day", "age", _r("ret"), _r("best"), _r("drop"), _r("change"))
 
 
 def in_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +166,7 @@ def oracle_sql() -> dict[str, str]:
 t AS (SELECT *, list_transform(range(1, 21), lambda i: greatest(entry, list_max(cs[1:i]))) AS tops FROM w),
 f AS (SELECT *, CASE WHEN len(cs) = 20 THEN coalesce(list_min(list_filter(range(1, 21), lambda i: cs[i] >= entry * (1 + 0.15) OR cs[i] < tops[i] * (1 - 0.2))), 20) END AS k FROM t)
 SELECT code, day, k AS held, {_rounded('(cs[k] / entry - 1) * 100', 'result')}, {_rounded('(tops[k] / entry - 1) * 100', 'best')}, {_rounded('CASE WHEN k IS NOT NULL THEN greatest(0, list_max(list_transform(range(1, k + 1), lambda i: 1 - cs[i] / tops[i]))) * 100 END', 'fall')} FROM f""",
-        "held_states": f"WITH {sql.BARS}, w AS (SELECT code, day, lead(o) OVER (PARTITION BY code ORDER BY day) AS entry, list(c) OVER (PARTITION BY code ORDER BY day ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS cs FROM bars), r AS (SELECT *, unnest(range(1, len(cs) + 1)) AS age FROM w WHERE day(day) = 7 AND entry IS NOT NULL), b AS (SELECT *, greatest(entry, list_max(cs[1:age])) AS top FROM r) SELECT code, day, age, {_rounded('(cs[age] / entry - 1) * 100', 'ret')}, {_rounded('(top / entry - 1) * 100', 'best')}, {_rounded('(1 - cs[age] / top) * 100', 'drop')}, {_rounded('CASE WHEN age > 1 THEN (cs[age] / cs[age - 1] - 1) * 100 END', 'change')} FROM b",
+        "held_states": f"WITH {sql.BARS}, w AS (SELECT code, day, v, lead(o) OVER (PARTITION BY code ORDER BY day) AS entry, list(c) OVER (PARTITION BY code ORDER BY day ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS cs FROM bars), r AS (SELECT *, unnest(range(1, len(cs) + 1)) AS age FROM w WHERE v >= 60 AND entry IS NOT NULL), b AS (SELECT *, greatest(entry, list_max(cs[1:age])) AS top FROM r) SELECT code, day, age, {_rounded('(cs[age] / entry - 1) * 100', 'ret')}, {_rounded('(top / entry - 1) * 100', 'best')}, {_rounded('(1 - cs[age] / top) * 100', 'drop')}, {_rounded('CASE WHEN age > 1 THEN (cs[age] / cs[age - 1] - 1) * 100 END', 'change')} FROM b",
         "stratified_evaluation": _report_sql("s AS (SELECT floor(score / 100000)::BIGINT AS stratum, label, p1 AS x FROM c)", "stratum", (5,), f"{_rounded('base', 'base')}, {_rounded('auc', 'auc')}, {lift(5)}"),
         "rule_baselines": _report_sql("q AS (SELECT 'p1' AS rule, label, p1 AS y FROM c UNION ALL SELECT 'p2 down', label, 100 - p2 FROM c UNION ALL SELECT 'p3', label, p3 FROM c UNION ALL SELECT 'score', label, score FROM c), s AS (SELECT rule, label, coalesce(y, min(y) OVER (PARTITION BY rule) - 1) AS x FROM q)", "rule", (5,), f"{_rounded('base', 'base')}, {_rounded('average_precision', 'average_precision')}, {_rounded('precision_5 / base', 'lift_5')}"),
     }

@@ -29,15 +29,15 @@ def _rounded(x: str, name: str, digits: int = 6) -> str:
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reports about a customer: orders whose key is not divisible by 3. The rows that ask are its other orders."""
-    return candidates(spark, sf_dir).where("id % 3 <> 0").groupBy("code", F.col("day").alias("at")).agg(F.max("p1").alias("ratio"), F.max("p2").alias("before"))
+    """Reports about a customer: its orders but those of low priority, which are the rows that ask."""
+    return candidates(spark, sf_dir).where("grp <> '5-LOW'").groupBy("code", F.col("day").alias("at")).agg(F.max("p1").alias("ratio"), F.max("p2").alias("before"))
 
 
-_FEED = f"{_CANDIDATES}, ev AS (SELECT code, day AS ad, max(p1) AS ratio, max(p2) AS before FROM c WHERE id % 3 <> 0 GROUP BY 1, 2), rw AS (SELECT id, code, day FROM c WHERE id % 3 = 0)"
+_FEED = f"{_CANDIDATES}, ev AS (SELECT code, day AS ad, max(p1) AS ratio, max(p2) AS before FROM c WHERE grp <> '5-LOW' GROUP BY 1, 2), rw AS (SELECT id, code, day FROM c WHERE grp = '5-LOW')"
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates(spark, sf_dir).where("id % 3 = 0").select("id", "code", "day")
+    return candidates(spark, sf_dir).where("grp = '5-LOW'").select("id", "code", "day")
 
 
 def large_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def major_holders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The holder statistics of the customer's latest order before or on the day."""
-    stats = holder_stats(spark, sf_dir).join(candidates(spark, sf_dir).where("id % 3 <> 0").select(F.col("id").alias("l_orderkey"), "code", F.col("day").alias("at")), "l_orderkey")
+    stats = holder_stats(spark, sf_dir).join(candidates(spark, sf_dir).where("grp <> '5-LOW'").select(F.col("id").alias("l_orderkey"), "code", F.col("day").alias("at")), "l_orderkey")
     stats = stats.groupBy("code", "at").agg(F.max("n_holders").alias("n_holders"), F.max("total").alias("total"))
     return feeds.event_features(_rows(spark, sf_dir), stats, "code", "day", "at", ["n_holders", "total"], {}).select("id", "days", "n_holders", "total")
 
@@ -77,7 +77,7 @@ def short_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = candidates(spark, sf_dir).where("id % 3 <> 0").withColumns({"period": F.year("day"), "at": F.col("day")})
+    d = candidates(spark, sf_dir).where("grp <> '5-LOW'").withColumns({"period": F.year("day"), "at": F.col("day")})
     d = feeds.revised(d, "code", "period", ["at", "id"], "score").where("revision IS NOT NULL")
     one = d.groupBy("code", "at").agg(F.max_by("revision", "id").alias("revision"))
     up, down = d.where("revision > 0"), d.where("revision < 0")
@@ -218,14 +218,14 @@ def oracle_sql() -> dict[str, str]:
     c = f"WITH {_CANDIDATES}"
     count = lambda e, n: f"(SELECT count(*) FROM {e} e WHERE e.code = rw.code AND e.ad <= rw.day AND e.ad > rw.day - {n})"
     last = lambda e, columns: f"x AS (SELECT rw.id, rw.code, rw.day, e.ad, {columns} FROM rw ASOF LEFT JOIN {e} e ON e.code = rw.code AND e.ad <= rw.day)"
-    holders = "SELECT o.code, o.day AS ad, max(h.n) AS n_holders, max(h.t) AS total FROM (SELECT l_orderkey, count(*) FILTER (WHERE l_quantity > 3) AS n, sum(l_quantity) FILTER (WHERE l_quantity > 3) AS t FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1) h JOIN c o ON o.id = l_orderkey WHERE o.id % 3 <> 0 GROUP BY 1, 2"
+    holders = "SELECT o.code, o.day AS ad, max(h.n) AS n_holders, max(h.t) AS total FROM (SELECT l_orderkey, count(*) FILTER (WHERE l_quantity > 3) AS n, sum(l_quantity) FILTER (WHERE l_quantity > 3) AS t FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1) h JOIN c o ON o.id = l_orderkey WHERE o.grp <> '5-LOW' GROUP BY 1, 2"
     return {
         "large_holdings": f"WITH {_FEED}, {last('ev', 'e.ratio, e.before')} SELECT id, day - ad AS days, ratio, {_rounded('ratio - before', 'change')}, {count('ev', 60).replace('rw.', 'x.')} AS n_60, {count('ev', 250).replace('rw.', 'x.')} AS n_250 FROM x",
         "buy_flags": f"WITH {_FEED} SELECT id, CASE WHEN day >= DATE '1996-01-01' THEN ({count('ev', 20)} > 0)::INT END AS buy_20, CASE WHEN day >= DATE '1996-01-01' THEN ({count('ev', 60)} > 0)::INT END AS buy_60 FROM rw",
         "major_holders": f"WITH {_FEED}, mh AS ({holders}), {last('mh', 'e.n_holders, e.total')} SELECT id, day - ad AS days, n_holders, total FROM x",
         "cross_holdings": f"WITH {_FEED}, {last('ev', 'e.ratio, e.before')} SELECT id, least(day - ad, 500) AS days, {_rounded('CASE WHEN c_acctbal > 0 THEN ratio / c_acctbal * 100 END', 'book_share')}, {_rounded('CASE WHEN c_acctbal > 0 THEN (ratio - before) / c_acctbal * 100 END', 'net_share')} FROM x LEFT JOIN customer ON c_custkey = x.code",
         "short_ratio": f"WITH {_FEED}, d AS (SELECT day, avg(label) * 100 AS ratio FROM c GROUP BY day), g AS (SELECT day, ratio, CASE WHEN count(*) OVER w = 20 THEN ratio - avg(ratio) OVER w END AS gap FROM d WINDOW w AS (ORDER BY day ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)), k AS (SELECT day, last_value(ratio IGNORE NULLS) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ratio, last_value(gap IGNORE NULLS) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS gap FROM g) SELECT id, {_rounded('ratio', 'ratio')}, {_rounded('gap', 'gap')} FROM rw ASOF LEFT JOIN k ON k.day <= rw.day + 1",
-        "forecast_revisions": f"""WITH {_FEED}, r0 AS (SELECT code, day AS ad, id, score, lag(score) OVER (PARTITION BY code, year(day) ORDER BY day, id) AS b FROM c WHERE id % 3 <> 0), r AS (SELECT code, ad, id, score / b * 100 - 100 AS revision FROM r0 WHERE b > 0), r1 AS (SELECT code, ad, arg_max(revision, id) AS revision FROM r GROUP BY 1, 2),
+        "forecast_revisions": f"""WITH {_FEED}, r0 AS (SELECT code, day AS ad, id, score, lag(score) OVER (PARTITION BY code, year(day) ORDER BY day, id) AS b FROM c WHERE grp <> '5-LOW'), r AS (SELECT code, ad, id, score / b * 100 - 100 AS revision FROM r0 WHERE b > 0), r1 AS (SELECT code, ad, arg_max(revision, id) AS revision FROM r GROUP BY 1, 2),
 {last('r1', 'e.revision')} SELECT id, least(day - ad, 365) AS days, {_rounded('revision', 'revision', 4)}, (revision > 0)::INT AS up, {count('r1', 250).replace('rw.', 'x.')} AS n_250, {count('(SELECT * FROM r WHERE revision > 0)', 250).replace('rw.', 'x.')} AS up_250, {count('(SELECT * FROM r WHERE revision < 0)', 250).replace('rw.', 'x.')} AS down_250 FROM x""",
         "disclosure_timing": f"WITH {_FEED} SELECT id, least(day - (SELECT max(ad) FROM ev e WHERE e.code = rw.code AND ad <= day), 400) AS since_any, least(day - (SELECT max(ad) FROM ev e WHERE e.code = rw.code AND ad <= day AND quarter(ad) = 1), 400) AS since_year FROM rw",
         "annual_filings": _filings_sql(),

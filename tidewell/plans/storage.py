@@ -44,7 +44,7 @@ def forgotten(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def readjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _bars(spark, sf_dir).select("code", "day", "c")
-    f = b.where("code % 4 = 0 AND day(day) = 17").select("code", F.date_add("day", 1).alias("at"), F.when(F.month("day") % 2 == 0, 0.5).otherwise(2.0).alias("factor"))
+    f = b.where("day(day) = 17").select("code", F.date_add("day", 1).alias("at"), F.when(F.month("day") % 2 == 0, 0.5).otherwise(2.0).alias("factor"))
     return sinks.readjusted(b, f, "code", "day", "c", "at", "factor")
 
 
@@ -63,7 +63,7 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = candidates(spark, sf_dir)
     per = lambda d: d.groupBy("day").agg(F.max("score").alias("x"))
-    return files.last_wins([per(c), per(c.where("id % 3 = 0")), per(c.where("id % 7 = 0"))], ["day"])
+    return files.last_wins([per(c), per(c.where("p1 > 60")), per(c.where("p2 > 80"))], ["day"])
 
 
 def covered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,10 +122,10 @@ def oracle_sql() -> dict[str, str]:
         "mart_info": f"WITH {sql.BARS} SELECT count(*) AS n_rows, min(day)::VARCHAR AS first, max(day)::VARCHAR AS last, 8::BIGINT AS n_columns FROM bars",
         "stored_days_read": "SELECT ts::DATE AS date, user_id, event_id, value FROM events WHERE ts::DATE BETWEEN DATE '2024-01-05' AND DATE '2024-01-09' AND user_id IN (3, 8, 21)",
         "forgotten_days": f"{c} SELECT DISTINCT day FROM c WHERE day < DATE '1999-03-01' OR day > DATE '1999-06-30'",
-        "store_readjusted": f"WITH {sql.BARS}, f AS (SELECT code, day + 1 AS t, CASE WHEN month(day) % 2 = 0 THEN 0.5 ELSE 2.0 END::DOUBLE AS f FROM bars WHERE code % 4 = 0 AND day(day) = 17) SELECT code, day, c, c * coalesce((SELECT product(f) FROM f WHERE f.code = bars.code AND f.t > bars.day), 1) AS adjusted FROM bars",
+        "store_readjusted": f"WITH {sql.BARS}, f AS (SELECT code, day + 1 AS t, CASE WHEN month(day) % 2 = 0 THEN 0.5 ELSE 2.0 END::DOUBLE AS f FROM bars WHERE day(day) = 17) SELECT code, day, c, c * coalesce((SELECT product(f) FROM f WHERE f.code = bars.code AND f.t > bars.day), 1) AS adjusted FROM bars",
         "version_spans": "WITH e AS (SELECT user_id, ts, event_id, json_extract(props, '$.k')::INTEGER % 2 AS odd, event_type AS kind FROM events), l AS (SELECT *, lag((odd, kind)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM e), k AS (SELECT * FROM l WHERE b IS NULL OR b <> (odd, kind)) SELECT user_id, odd, kind, event_id AS first_event, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_event FROM k",
         "long_series": f"{c} SELECT id, 'score' AS name, round(score, 2) AS value FROM c UNION ALL SELECT id, 'third', p3 FROM c WHERE p3 IS NOT NULL",
-        "last_part_wins": f"{c} SELECT day, coalesce(max(score) FILTER (WHERE id % 7 = 0), max(score) FILTER (WHERE id % 3 = 0), max(score)) AS x FROM c GROUP BY day",
+        "last_part_wins": f"{c} SELECT day, coalesce(max(score) FILTER (WHERE p2 > 80), max(score) FILTER (WHERE p1 > 60), max(score)) AS x FROM c GROUP BY day",
         "evaluation_keys": f"{c} SELECT grp, count(*) AS n_all, nullif(count(*) FILTER (WHERE p3 IS NOT NULL AND p1 > 50), 0) AS n_covered FROM c GROUP BY grp",
         "pivot_last": f"{c} SELECT day, " + ", ".join(f"arg_max(score, id) FILTER (WHERE grp = '{n}') AS v{n[0]}" for n in ("1-URGENT", "2-HIGH", "5-LOW")) + " FROM c GROUP BY day",
         "unstacked_groups": f"WITH {sql.BARS} SELECT day, " + ", ".join(f"sum(v) FILTER (WHERE code % 3 = {i}) AS g{i}" for i in range(3)) + " FROM bars GROUP BY day",

@@ -54,7 +54,9 @@ def zipped_csv(spark: SparkSession, path: str, schema: StructType, member: str =
                 for name in sorted(archive.namelist()):
                     if fnmatch.fnmatch(name, member):
                         rows = pd.read_csv(io.BytesIO(archive.read(name)), sep=separator, encoding=encoding, dtype=str, keep_default_na=False)
-                        yield rows.reindex(columns=names).assign(file=where, member=name)
+                        for missing in set(names) - set(rows.columns):
+                            rows[missing] = None
+                        yield rows[names].assign(file=where, member=name)
 
     ship(spark)
     text = StructType().add("file", "string").add("member", "string")
