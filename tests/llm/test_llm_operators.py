@@ -245,16 +245,32 @@ def test_passages_of_which_earlier_documents_hold_parts(spark):
 
 
 def test_passages_find_exact_repeats(spark):
+    """Every window of PASSAGE words that occurred in a document of smaller id lies in a row of its document, whatever its words are."""
     docs = documents(spark, DATA.replace("sf0.001", "sf0.01"))
-    found = {r.doc_id for r in substring_dedup.shared_passages(docs).collect()}
-    first, need = {}, set()
+    rows, first, size, n = defaultdict(list), {}, substring_dedup.PASSAGE, 0
+    for r in substring_dedup.shared_passages(docs).collect():
+        rows[r.doc_id].append((r.start, r.end))
     for r in sorted(docs.select("doc_id", "text").collect()):
         w = words(r.text)
-        for p in range(len(w) - 59):
-            window = tuple(w[p : p + 60])
-            if first.setdefault(window, r.doc_id) != r.doc_id and len(set(window)) > 12:
-                need.add(r.doc_id)
-    assert need <= found
+        for p in range(len(w) - size + 1):
+            if first.setdefault(tuple(w[p : p + size]), r.doc_id) != r.doc_id:
+                n += 1
+                assert any(a <= p and p + size <= b for a, b in rows[r.doc_id]), (r.doc_id, p)
+    assert n > 1000
+
+
+def test_large_gaps_are_aligned_exactly(monkeypatch):
+    """Halving a gap gives the words that agree in the best alignment, as one table does."""
+    rng = np.random.default_rng(6)
+    for n, m in ((300, 280), (40, 900), (700, 30), (1, 400)):
+        a, b = rng.integers(0, 12, n), rng.integers(0, 12, m)
+        steps = substring_dedup._path(a, b)
+        assert (sum(s[0] for s in steps), sum(s[1] for s in steps)) == (n, m)
+        best = substring_dedup._common(a, b)
+        assert best == sum(s[2] for s in steps)
+        with monkeypatch.context() as m_:
+            m_.setattr(substring_dedup, "GAP_CELLS", 10**9)
+            assert best == sum(s[2] for s in substring_dedup._path(a, b))
 
 
 def test_chain_is_brute_force():
