@@ -76,7 +76,7 @@ def complete_ratio(df: DataFrame, on: str, member: str, part: str, whole: str, m
 def flows(df: DataFrame, on: Column, kind: str, value: str, names: list[str]) -> DataFrame:
     """on with total and, for each kind, its sum and its share of the total: a fixed pivot, of one shuffle."""
     per = df.groupBy(on.alias("on")).agg(F.sum(value).alias("total"), *(F.sum(F.when(F.col(kind) == n, F.col(value))).alias(n) for n in names))
-    return per.select("on", "total", *(F.coalesce(F.col(n), F.lit(0)).alias(n) for n in names), *(F.when(F.col("total") > 0, F.coalesce(F.col(n), F.lit(0)) / F.col("total") * 100).alias(f"share_{n}") for n in names))
+    return per.select("on", "total", *(F.coalesce(F.col(n), F.lit(0)).alias(n) for n in names), *(F.when(F.col("total") > 0, F.coalesce(F.col(n), F.lit(0)).cast("double") / F.col("total").cast("double") * 100).alias(f"share_{n}") for n in names))
 
 
 def holders(df: DataFrame, key: str, nested: str, name: str, share: str, classes: dict[str, str]) -> DataFrame:
