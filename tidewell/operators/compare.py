@@ -19,8 +19,9 @@ def profile_windows(trades: DataFrame, bars: DataFrame, key: str, on: str, price
     bins = trades.groupBy(key, on, F.floor(F.col(price) / width).alias("_b")).agg(F.sum(shares).alias("_s"), F.sum(F.col(price) * F.col(shares)).alias("_a")).join(index.select(key, on, "_i"), [key, on])
     longest = max(spans)
     held = bins.select(key, "_b", "_s", "_a", F.explode(F.sequence(F.lit(0), F.lit(longest - 1))).alias("_age"), "_i").withColumn("_i", F.col("_i") + F.col("_age"))
-    span = F.explode(F.array(*(F.lit(n) for n in spans))).alias("span")
-    per = held.select("*", span).where(F.col("_age") < F.col("span")).groupBy(key, "_i", "span", "_b").agg(F.sum("_s").alias("_s"), F.sum("_a").alias("_a"))
+    within = lambda c, n: F.sum(F.when(F.col("_age") < n, F.col(c)))
+    per = held.groupBy(key, "_i", "_b").agg(*(within(c, n).alias(f"{c}{n}") for n in spans for c in ("_s", "_a")))
+    per = per.select(key, "_i", "_b", F.explode(F.array(*(F.struct(F.lit(n).alias("span"), F.col(f"_s{n}").alias("_s"), F.col(f"_a{n}").alias("_a")) for n in spans))).alias("w")).select(key, "_i", "_b", "w.*").where("_s IS NOT NULL")
     per = per.join(index, [key, "_i"]).where(F.col("_i") >= F.col("span"))
     middle = (F.col("_b") + 0.5) * width
     near = (middle >= F.col("_c") * 0.98) & (middle <= F.col("_c") * 1.02)
