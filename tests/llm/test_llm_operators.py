@@ -358,7 +358,7 @@ def test_links_beside_a_groups_first(spark, monkeypatch, group):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df, 3, 85).collect()} == want
     # every member against all others, as if all were of one table
     sets = common.materialise(near_dedup.shingle_sets(df, 3))
-    members = df.select(F.lit(1).alias("key"), F.col("doc_id").alias("node"), F.col("doc_id").alias("component"))
+    members = df.select(F.lit(1).alias("key"), F.lit(1).alias("ka"), F.col("doc_id").alias("node"), F.col("doc_id").alias("component"))
     each = {i: {tuple(words(t)[j : j + 3]) for j in range(len(words(t)) - 2)} for i, t in docs}
     links = {(i, j) for i in each for j in each if i < j and 100 * len(each[i] & each[j]) >= 85 * len(each[i] | each[j])}
     assert {(r.u, r.v) for r in near_dedup._links_left(members, sets, 85).collect()} == links

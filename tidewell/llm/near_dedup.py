@@ -142,10 +142,10 @@ def _prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _links_left(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) between members of one table that are in different components.
 
-    members: key, node, component, without the tables' smallest nodes, which have been compared with the others. Only tables with
+    members: key, ka (its first half), node, component, without the tables' smallest nodes, which have been compared with the others. Only tables with
     members in several components count. Of their members, those are compared that share one of their rarest shingles (see
     _prefixes()), are of similar size, and are in different components. A shingle of up to GROUP members gives their pairs, each
-    once, by id only; the members of others are dealt into blocks, see _links_in_blocks().
+    once, by id only; the members of others are compared by half keys in blocks, see _links_in_blocks().
     """
     open_keys = materialise(members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key"))
     rest = materialise(members.join(open_keys, "key", "left_semi").select("node", "component").distinct())
@@ -162,33 +162,39 @@ def _links_left(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     pairs = left.join(right, "shingle").where((F.col("node_u") < F.col("node_v")) & (F.col("component_u") != F.col("component_v")) & similar)
     pairs = materialise(pairs.select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct())
     links = confirmed(pairs, sets, percent)
-    hot = found.where(F.col("n") > GROUP)
-    return links if hot.isEmpty() else links.union(_links_in_blocks(hot, sets, percent)).distinct()
+    hot = materialise(found.where(F.col("n") > GROUP).groupBy("node").agg(F.max("size").alias("size")))
+    if hot.isEmpty():
+        return links
+    # by half keys, of which each member has few, and not by shingles, of which it may have many
+    by_half = members.join(open_keys, "key", "left_semi").join(hot, "node").select(F.col("ka").alias("group"), "node", "component", "size").distinct()
+    return links.union(_links_in_blocks(materialise(by_half), sets, percent)).distinct()
 
 
 def _links_in_blocks(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) between the members (shingle, node, component, size) of groups of one shingle, by pairs of blocks.
+    """Links (u, v) between the members (group, node, component, size) of each group, by pairs of blocks.
 
     In each group the members outside of its largest component make up the left side, all members the right side: the members of
-    one component, be it all copies of a text, are not compared with each other. Both sides are put into bands of size, which can
-    have links with their own and the next bands only, and these into blocks. A row for each member and opposite block is sent.
+    one component, be it all copies of a text, are not compared with each other. Where the left side is more than a block, both
+    sides are put into bands of size, which can have links with their own and the next bands only. Bands are dealt into blocks,
+    and a row for each member and opposite block is sent.
     """
+    per = found.groupBy("group", "component").agg(F.count("*").alias("m"))
+    main = per.groupBy("group").agg(F.max(F.struct("m", "component"))["component"].alias("main"), (F.sum("m") - F.max("m")).alias("others"))
+    found = found.join(materialise(main.where("others > 0")), "group")
     band = F.floor(F.log(F.col("size").cast("double")) / math.log(100 / percent) - 1e-9).cast("long")
-    found = found.withColumn("band", band)
-    per = found.groupBy("shingle", "component").agg(F.count("*").alias("m"))
-    main = materialise(per.groupBy("shingle").agg(F.max(F.struct("m", "component"))["component"].alias("main")))
-    found = materialise(found.join(main, "shingle").withColumn("outside", F.col("component") != F.col("main")))
+    found = found.withColumns({"band": F.when(F.col("others") > BLOCK, band).otherwise(F.lit(0).cast("long")), "outside": F.col("component") != F.col("main")}).drop("others")
+    found = materialise(found)
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("blocks")
     sides = {"left": found.where("outside"), "right": found}
-    sizes = {k: materialise(v.groupBy("shingle", "band").agg(blocks)) for k, v in sides.items()}
+    sizes = {k: materialise(v.groupBy("group", "band").agg(blocks)) for k, v in sides.items()}
     sent = None
     for own, other in (("left", "right"), ("right", "left")):
         # each band of the other side is met by its own and its neighbours
-        met = sizes[other].select("shingle", F.col("band").alias("other_band"), F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band"), F.col("blocks").alias("others"))
-        rows = sides[own].join(sizes[own], ["shingle", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).join(met, ["shingle", "band"])
-        rows = rows.select("shingle", "band", "other_band", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)).alias("other"), "node", "component")
+        met = sizes[other].select("group", F.col("band").alias("other_band"), F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band"), F.col("blocks").alias("others"))
+        rows = sides[own].join(sizes[own], ["group", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).join(met, ["group", "band"])
+        rows = rows.select("group", "band", "other_band", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)).alias("other"), "node", "component")
         first, second = ("", "other_") if own == "left" else ("other_", "")
-        rows = rows.select("shingle", F.col(f"{first}band").alias("left_band"), F.col(f"{second}band").alias("right_band"), F.col("block" if own == "left" else "other").alias("x"), F.col("other" if own == "left" else "block").alias("y"), F.lit(own == "left").alias("is_left"), "node", "component")
+        rows = rows.select("group", F.col(f"{first}band").alias("left_band"), F.col(f"{second}band").alias("right_band"), F.col("block" if own == "left" else "other").alias("x"), F.col("other" if own == "left" else "block").alias("y"), F.lit(own == "left").alias("is_left"), "node", "component")
         sent = rows if sent is None else sent.unionByName(rows)
 
     def compare(table: pa.Table) -> pa.Table:
@@ -219,8 +225,8 @@ def _links_in_blocks(found: DataFrame, sets: DataFrame, percent: int) -> DataFra
         return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
 
     ship(found.sparkSession)
-    work = sent.join(sets, "node").select("shingle", "left_band", "right_band", "x", "y", "is_left", "node", "component", "shingles")
-    return work.groupBy("shingle", "left_band", "right_band", "x", "y").applyInArrow(compare, "u long, v long")
+    work = sent.join(sets, "node").select("group", "left_band", "right_band", "x", "y", "is_left", "node", "component", "shingles")
+    return work.groupBy("group", "left_band", "right_band", "x", "y").applyInArrow(compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", half: int = HALF) -> DataFrame:
@@ -247,7 +253,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     # what is summed by a key is written before it is joined by it: such a join can be split where a key is hot
     shared = materialise(first.groupBy("ka").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("ka"))
     met = first.join(shared, "ka", "left_semi").join(classes.select("node", "b"), "node")
-    tables = met.select("node", "ka", F.explode("b").alias("kb")).select(F.xxhash64("ka", "kb").alias("key"), "node")
+    tables = met.select("node", "ka", F.explode("b").alias("kb")).select(F.xxhash64("ka", "kb").alias("key"), "ka", "node")
     heads = materialise(tables.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("y")).where("head < y").select("key", "head"))
     members = materialise(tables.join(heads, "key").where("node <> head"))
 
@@ -258,7 +264,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     found = materialise(connected_components(links))
 
     own = lambda c: F.coalesce("component", F.col(c)).alias("component")
-    late = materialise(_links_left(members.join(found, "node", "left").select("key", "node", own("node")), sets, percent))
+    late = materialise(_links_left(members.join(found, "node", "left").select("key", "ka", "node", own("node")), sets, percent))
     if not late.isEmpty():
         found = materialise(connected_components(links.union(late)))
 
