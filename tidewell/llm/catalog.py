@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import decontam, langid, license_scan, line_dedup, mixing, near_dedup, quality, sharding, substring_dedup, toxicity
+from tidewell.llm import decontam, importance, langid, license_scan, line_dedup, mixing, near_dedup, quality, sharding, substring_dedup, toxicity, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -238,6 +238,64 @@ FROM w LEFT JOIN h USING (rid) LEFT JOIN n USING (rid)
 """
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all embeddings: 16 parts, 64 entries, 2 rounds."""
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+OP12_SQL = """
+WITH RECURSIVE k AS (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT r, p, list_slice(v, p * (len(v) // 16) + 1, (p + 1) * (len(v) // 16)) AS x FROM k, range(16) AS t(p)),
+e0 AS (SELECT p, r - 1 AS e, x AS y FROM p WHERE r <= 64),
+a0 AS (SELECT r, p, x, min({'d': list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'e': e}) AS m FROM p JOIN e0 USING (p) GROUP BY ALL),
+e1 AS (SELECT p, e, coalesce(n.y, e0.y) AS y FROM e0 LEFT JOIN (
+  SELECT p, e, list(s ORDER BY i) AS y FROM (SELECT p, m.e AS e, i, (sum(x[i]) - ((sum(x[i]) % count(*)) + count(*)) % count(*))::BIGINT // count(*) AS s FROM a0, range(1, 1025) AS t(i) WHERE i <= len(x) GROUP BY ALL) GROUP BY ALL) n USING (p, e)),
+a1 AS (SELECT r, p, x, min({'d': list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'e': e}) AS m FROM p JOIN e1 USING (p) GROUP BY ALL),
+e2 AS (SELECT p, e, coalesce(n.y, e1.y) AS y FROM e1 LEFT JOIN (
+  SELECT p, e, list(s ORDER BY i) AS y FROM (SELECT p, m.e AS e, i, (sum(x[i]) - ((sum(x[i]) % count(*)) + count(*)) % count(*))::BIGINT // count(*) AS s FROM a1, range(1, 1025) AS t(i) WHERE i <= len(x) GROUP BY ALL) GROUP BY ALL) n USING (p, e)),
+a2 AS (SELECT r, p, min({'d': list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'e': e}) AS m FROM p JOIN e2 USING (p) GROUP BY ALL),
+c AS (SELECT r, string_agg(lower(printf('%02x', m.e)), '' ORDER BY p) AS code, sum(m.d)::BIGINT AS error FROM a2 GROUP BY r),
+h AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM e2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM k JOIN c USING (r), h
+"""
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights, scores and ranks of all documents towards the distribution of the benchmark's words."""
+    return importance.importance(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH crc AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(0, 256)) AS i)),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+dw AS (SELECT r, unnest(ws) AS w FROM d),
+bw AS (SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+x AS (SELECT w, string_split(hex(encode(w)), '') AS x FROM (SELECT DISTINCT w FROM (SELECT w FROM dw UNION ALL SELECT w FROM bw))),
+y AS (SELECT w, list_transform(range(1, len(x), 2), lambda i: (strpos('0123456789ABCDEF', x[i]) * 16 + strpos('0123456789ABCDEF', x[i + 1]) - 17)::BIGINT) AS bytes FROM x),
+b AS (SELECT w, xor(4294967295, list_reduce(list_concat([4294967295], bytes), lambda c, z: xor(c >> 8, t[(xor(c, z) & 255) + 1]))) % 10000 AS b FROM y, crc),
+s AS (SELECT b, count(*) AS s FROM dw JOIN b USING (w) GROUP BY b),
+t AS (SELECT b, count(*) AS t FROM bw JOIN b USING (w) GROUP BY b),
+g AS (
+  SELECT b, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * ((SELECT count(*) FROM dw)::DOUBLE + 10000) / ((coalesce(s, 0)::DOUBLE + 1) * ((SELECT count(*) FROM bw)::DOUBLE + 10000))))::BIGINT AS g
+  FROM (SELECT DISTINCT b FROM b) LEFT JOIN s USING (b) LEFT JOIN t USING (b)),
+v AS (SELECT r, count(*) AS n, sum(g)::BIGINT AS weight FROM dw JOIN b USING (w) JOIN g USING (b) GROUP BY r),
+o AS (
+  SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score
+  FROM d LEFT JOIN v USING (r)),
+k AS (SELECT 10 * count(*) // 100 AS k FROM o WHERE n_features >= 20),
+q AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place FROM o)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= k THEN place END AS rank
+FROM q, k
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_shard": op1_shard,
@@ -250,6 +308,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_quality": op9_quality,
         "op10_decontaminate": op10_decontaminate,
+        "op12_vector_codes": op12_vector_codes,
+        "op13_importance": op13_importance,
     }
 
 
@@ -262,4 +322,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_license": _license_sql(),
         "op9_quality": OP9_SQL,
         "op10_decontaminate": OP10_SQL,
+        "op12_vector_codes": OP12_SQL,
+        "op13_importance": OP13_SQL,
     }
