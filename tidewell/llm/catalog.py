@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import decontam, importance, langid, license_scan, line_dedup, mixing, near_dedup, quality, sharding, substring_dedup, toxicity, vector_codes
+from tidewell.llm import decontam, importance, langid, license_scan, line_dedup, mixing, near_dedup, quality, sharding, signature_tree, substring_dedup, toxicity, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -238,6 +238,14 @@ FROM w LEFT JOIN h USING (rid) LEFT JOIN n USING (rid)
 """
 
 
+def op11_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose sets of three-word shingles have a Jaccard similarity of 0.9 or more."""
+    return signature_tree.similar_documents(_table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+OP11_SQL = OP5_SQL.replace(">= 85 *", ">= 90 *").replace(", coalesce(m.component, w.doc_id) = w.doc_id AS kept", "")
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of all embeddings: 16 parts, 64 entries, 2 rounds."""
     return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
@@ -308,6 +316,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_quality": op9_quality,
         "op10_decontaminate": op10_decontaminate,
+        "op11_similar": op11_similar,
         "op12_vector_codes": op12_vector_codes,
         "op13_importance": op13_importance,
     }
@@ -322,6 +331,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_license": _license_sql(),
         "op9_quality": OP9_SQL,
         "op10_decontaminate": OP10_SQL,
+        "op11_similar": OP11_SQL,
         "op12_vector_codes": OP12_SQL,
         "op13_importance": OP13_SQL,
     }
