@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.frames import Frames
+from tidewell.operators.quantiles import percentiles
 
 
 def profile_windows(trades: DataFrame, bars: DataFrame, key: str, on: str, price: str, shares: str, spans: tuple[int, ...], width: float) -> DataFrame:
@@ -77,8 +78,8 @@ def pair_scale(cases: DataFrame, key: str, vector: str, pairs: int, seed: int =
 
 def scaled_states(df: DataFrame, key: str, columns: list[str], clip: tuple[float, float] = (0.01, 0.99), most: float = 6.0) -> DataFrame:
     """df with each column clipped to its key's quantiles, as asinh on the key's quartile range, less the mean on the deviation, within ``most``."""
-    points = df.groupBy(key).agg(*(F.percentile(c, [clip[0], 0.25, 0.75, clip[1]]).alias(f"_q_{c}") for c in columns))
-    out = df.join(points, key)
+    points = percentiles(df, [key], columns, [clip[0], 0.25, 0.75, clip[1]])
+    out = df.join(points.select(key, *(F.col(c).alias(f"_q_{c}") for c in columns)), key)
     for c in columns:
         q = F.col(f"_q_{c}")
         half = (q[2] - q[1]) / 2

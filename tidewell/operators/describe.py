@@ -7,10 +7,12 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.operators.quantiles import percentiles
+
 
 def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """For each column: rows, nulls, distinct values, zeros, mean, quartiles, extremes, and values beyond three quartile ranges, in two passes over the table."""
-    quartiles = df.agg(*(F.percentile(c, [0.25, 0.5, 0.75]).alias(c) for c in columns)).first()
+    """For each column: rows, nulls, distinct values, zeros, mean, quartiles, extremes, and values beyond three quartile ranges, in a few passes over the table: quartiles are exact (percentiles())."""
+    quartiles = percentiles(df, [], columns, [0.25, 0.5, 0.75]).first()
     parts = []
     for c in columns:
         q1, q2, q3 = quartiles[c] or [None] * 3

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.operators import evaluate
+from tidewell.operators.quantiles import percentiles
 from tidewell.session import ship
 
 #: Sessions of an embargo as calendar days.
@@ -184,7 +185,8 @@ def fitted(train: DataFrame, kinds: dict[str, str], clip: tuple[float, float] =
     Kinds: clip (to the quantiles), asinh (of the value on half the quartile range), log (of 1 + the value, negative ones as 0), each filled with its
     median; mode and max fill with these; a number fills with itself. Two passes over the training rows.
     """
-    quantiles = train.agg(*(F.percentile(c, [clip[0], 0.25, 0.5, 0.75, clip[1]]).alias(c) for c in kinds), *(F.max(c).alias(f"_max_{c}") for c in kinds), *(F.count_if(F.col(c).isNull()).alias(f"_null_{c}") for c in kinds)).first()
+    quantiles = percentiles(train, [], list(kinds), [clip[0], 0.25, 0.5, 0.75, clip[1]]).first()
+    ends = train.agg(*(F.max(c).alias(f"_max_{c}") for c in kinds), *(F.count_if(F.col(c).isNull()).alias(f"_null_{c}") for c in kinds)).first()
     modes = {}
     for c, kind in kinds.items():
         if kind == "mode":
@@ -204,10 +206,10 @@ def fitted(train: DataFrame, kinds: dict[str, str], clip: tuple[float, float] =
         elif kind == "mode":
             fill = modes[c]
         elif kind == "max":
-            fill = quantiles[f"_max_{c}"] or 0.0
+            fill = ends[f"_max_{c}"] or 0.0
         elif kind not in ("clip",):
             fill = float(kind)
-        out[c] = (F.coalesce(x, F.lit(float(fill))), F.col(c).isNull().cast("int") if quantiles[f"_null_{c}"] else None)
+        out[c] = (F.coalesce(x, F.lit(float(fill))), F.col(c).isNull().cast("int") if ends[f"_null_{c}"] else None)
     return out
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.operators.quantiles import percentiles
+
 
 def average_rank(by: list[str], x: str, descending: bool = False) -> Column:
     """Rank from 1, ties sharing the mean of theirs; null for null."""
@@ -62,7 +64,7 @@ def top_with_ties(df: DataFrame, by: list[str], score: str, k: int, target: str)
 
 def quantile_bands(df: DataFrame, x: str, bands: int) -> list[float]:
     """Inner edges of equal-frequency bands, with linear interpolation, equal ones once."""
-    values = df.agg(F.percentile(x, [i / bands for i in range(bands + 1)])).first()[0] or []
+    values = percentiles(df, [], [x], [i / bands for i in range(bands + 1)]).first()[0] or []
     return sorted(set(values))
 
 

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from tidewell.operators.panel import clean_bars
 from tidewell.session import ship
 
 def ema(x: np.ndarray, alpha: float) -> np.ndarray:
@@ -208,17 +209,23 @@ COLUMNS = {
 
 
 def recursive_indicators(bars: DataFrame, groups: tuple[str, ...] = tuple(GROUPS)) -> DataFrame:
-    """code and day of the bars with the COLUMNS of the groups, null where they are not defined yet."""
+    """code and day of the bars with the COLUMNS of the groups, null where they are not defined yet and in rows that were not traded (clean_bars())."""
     names = [c for g in groups for c in COLUMNS[g]]
 
     def work(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("day")
-        key, out = Key(*(rows[x].to_numpy().astype(np.float64) for x in ("o", "h", "l", "c", "v"))), {}
-        for g in groups:
-            out |= GROUPS[g](key)
-        columns = [pa.array(np.where(np.isfinite(out[c]), out[c], np.nan), pa.float64(), from_pandas=True) for c in names]
+        traded = np.flatnonzero(rows["traded"].to_numpy())
+        columns = [pa.nulls(len(rows), pa.float64()) for _ in names]
+        if len(traded):
+            key, out = Key(*(rows[x].to_numpy().astype(np.float64)[traded] for x in ("o", "h", "l", "c", "v"))), {}
+            for g in groups:
+                out |= GROUPS[g](key)
+            whole = np.full((len(names), len(rows)), np.nan)
+            for i, c in enumerate(names):
+                whole[i, traded] = np.where(np.isfinite(out[c]), out[c], np.nan)
+            columns = [pa.array(x, pa.float64(), from_pandas=True) for x in whole]
         return pa.Table.from_arrays([rows["code"], rows["day"], *columns], names=["code", "day", *names])
 
     ship(bars.sparkSession)
     schema = StructType([bars.schema["code"], bars.schema["day"], *(StructField(c, DoubleType()) for c in names)])
-    return bars.select("code", "day", "o", "h", "l", "c", "v").groupBy("code").applyInArrow(work, schema)
+    return clean_bars(bars).select("code", "day", "o", "h", "l", "c", "v", "traded").groupBy("code").applyInArrow(work, schema)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.operators.quantiles import percentiles_of_earlier
+
 
 def _place(by: list[str], *order: Column) -> Column:
     return F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order))
@@ -38,9 +40,7 @@ def best_per_day(df: DataFrame, on: str, score: str, key: str, seed: int = 0) ->
 
 def over_earlier_folds(df: DataFrame, fold: str, score: str, share: float, least: int) -> DataFrame:
     """Rows whose score is over the ``share`` quantile of all earlier folds' scores, of which there must be ``least``, with that threshold."""
-    folds = df.select(fold).distinct()
-    earlier = F.broadcast(folds.select(F.col(fold).alias("_f"))).join(df.select(F.col(fold).alias("_g"), F.col(score).alias("_s")).where("_s IS NOT NULL"), F.col("_g") < F.col("_f"))
-    lines = earlier.groupBy("_f").agg(F.percentile("_s", share).alias("threshold"), F.count("*").alias("_n")).where(F.col("_n") >= least)
+    lines = percentiles_of_earlier(df, fold, score, share).where(F.col("n") >= least).select(F.col(fold).alias("_f"), F.col("x").alias("threshold"), F.col("n").alias("_n"))  # a row for each fold
     return df.join(F.broadcast(lines), F.col(fold) == F.col("_f")).where(F.col(score) > F.col("threshold")).drop("_f", "_n")
 
 

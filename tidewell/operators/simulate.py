@@ -1,13 +1,15 @@
-"""Replays: outcomes of entries, slot-limited portfolios, permutation tests, folds, and percentiles over growing histories."""
+"""Replays: outcomes of entries, slot-limited portfolios, permutation tests, folds, and isotonic fits."""
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.operators.quantiles import percentiles
 from tidewell.operators.rank import average_rank
 from tidewell.session import ship
 
@@ -45,40 +47,6 @@ def slots(candidates: DataFrame, book: str, order: list[str], start: str, end: s
     return candidates.groupBy(book).applyInPandas(work, candidates.schema)
 
 
-def versioned_percentile(facts: DataFrame, bucket: str, key: list[str], on: str, value: str, order: str, least: int = 20) -> DataFrame:
-    """facts with pct: the mid-rank of the value among the current versions of all keys of its bucket on earlier days.
-
-    A reissue takes its older version's place. Rows of one day don't see each other. Null where fewer than ``least`` are known.
-    """
-
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([on, order], kind="stable").reset_index(drop=True)
-        known: list[float] = []
-        current: dict = {}
-        out: list[float | None] = [None] * len(rows)
-        keys = list(rows[key].itertuples(index=False, name=None))
-        days, values = rows[on].tolist(), rows[value].tolist()
-        i = 0
-        while i < len(rows):
-            j = i
-            while j < len(rows) and days[j] == days[i]:
-                if values[j] is not None and values[j] == values[j] and len(known) >= least:
-                    out[j] = (bisect_left(known, values[j]) + bisect_right(known, values[j])) / (2 * len(known))
-                j += 1
-            for k in range(i, j):
-                if values[k] is None or values[k] != values[k]:
-                    continue
-                if keys[k] in current:
-                    known.pop(bisect_left(known, current[keys[k]]))
-                current[keys[k]] = values[k]
-                insort(known, values[k])
-            i = j
-        return rows.assign(pct=pd.Series(out, dtype="object"))
-
-    ship(facts.sparkSession)
-    return facts.groupBy(bucket).applyInPandas(work, facts.withColumn("pct", F.lit(None).cast("double")).schema)
-
-
 def permutation_test(df: DataFrame, stratum: str, label: str, value: str, tie: str, draws: int, seed: int = 0) -> DataFrame:
     """draw (0: as observed) and diff: the mean of value where label is 1 less that where it is 0, labels being shuffled within strata.
 
@@ -112,24 +80,77 @@ def block_folds(df: DataFrame, on: str, folds: int, seed: int = 0) -> DataFrame:
     return df.join(months, F.trunc(on, "month") == F.col("_m")).drop("_m")
 
 
+def purged_folds(df: DataFrame, on: str, sessions: DataFrame, folds: int, purge: int, seed: int = 0) -> DataFrame:
+    """df with fold, the one that it validates (block_folds()), and left_out: the folds, in order, whose training leaves it out.
+
+    These are its own, and those with a validation day within ``purge`` sessions before or after. sessions: on, one row a session; each
+    validation day of a fold is widened to the sessions around it, what overlaps is merged, and rows of these sessions are
+    left out. Sessions and folds are few; rows of df meet one row each. A day that is no session has a null left_out.
+    """
+    index = sessions.select(on).distinct().withColumn("_i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(on)))  # one row a session
+    dealt = block_folds(df, on, folds, seed)
+    days = dealt.select(on, "fold").distinct().join(index, on)
+    near = days.select("fold", F.explode(F.sequence(F.col("_i") - purge, F.col("_i") + purge)).alias("_i")).distinct().groupBy("_i").agg(F.array_sort(F.collect_set("fold")).alias("left_out"))  # folds of a session
+    return dealt.join(F.broadcast(index.join(near, "_i", "left").select(on, F.coalesce("left_out", F.array().cast("array<int>")).alias("left_out"))), on, "left")
+
+
 def spearman(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     ranked = both.select(*by, average_rank(by, a).alias("_a"), average_rank(by, b).alias("_b"))
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("_a", "_b").alias("rho"))
 
 
+def pooled(rows: DataFrame) -> DataFrame:
+    """Rows (low, high, s, n), in order within each partition, with adjacent violators pooled: means s / n rise within a partition."""
+
+    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high, s, n = [], [], [], []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                a, b, sum_, count = row
+                while s and s[-1] * count >= sum_ * n[-1]:  # the mean before is no smaller
+                    a, sum_, count = low.pop(), sum_ + s.pop(), count + n.pop()
+                    high.pop()
+                low.append(a)
+                high.append(b)
+                s.append(sum_)
+                n.append(count)
+        for at in range(0, len(s), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 10_000], t) for x, t in ((low, pa.float64()), (high, pa.float64()), (s, pa.float64()), (n, pa.int64()))], names=["low", "high", "s", "n"])
+
+    return rows.select("low", "high", "s", "n").mapInArrow(pool, "low double, high double, s double, n long")
+
+
+def isotonic_pools(df: DataFrame, score: str, label: str) -> DataFrame:
+    """low, high, n and value: the stretches of score over which the isotonic fit of label is constant, by pooling adjacent violators.
+
+    Labels are summed by score first, so that ties count together. Each range of scores is pooled by itself, then the pools of all ranges
+    are pooled in one task: pooling may begin with any stretches, and with labels 0 and 1 about n ** (2 / 3) pools of n rows are the
+    most there can be. Rows without a score or label, and scores that aren't finite, are left out.
+    """
+    x = F.col(score).cast("double")
+    per = df.where(F.col(label).isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))).groupBy(x.alias("low")).agg(F.sum(F.col(label).cast("double")).alias("s"), F.count("*").alias("n"))
+    ranges = pooled(per.select("low", F.col("low").alias("high"), "s", "n").repartitionByRange("low").sortWithinPartitions("low"))
+    return pooled(ranges.repartition(1).sortWithinPartitions("low")).select("low", "high", "n", (F.col("s") / F.col("n")).alias("value"))
+
+
 def isotonic(df: DataFrame, score: str, label: str, points: int = 51) -> list[tuple[float, float]]:
-    """A monotone calibration table: (score, share of label 1), from counts in ``points`` score bands pooled until they rise."""
-    bands = df.where(F.col(score).isNotNull()).groupBy(F.least(F.floor(F.col(score) * points), F.lit(points - 1)).alias("b")).agg(F.avg(score).alias("x"), F.sum(F.col(label).cast("double")).alias("s"), F.count("*").alias("n"))
-    pools: list[list[float]] = []
-    for r in sorted(bands.collect(), key=lambda r: r.b):
-        pools.append([r.x, r.s, r.n, r.x])
-        while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
-            last = pools.pop()
-            pools[-1] = [pools[-1][0], pools[-1][1] + last[1], pools[-1][2] + last[2], last[3]]
+    """The isotonic fit of label at ``points`` quantiles of the score, equal ones once: a table that calibrated() reads.
+
+    Between two pools the fit is linear. Empty without a row that has both.
+    """
+    x = F.when(F.col(label).isNotNull(), F.col(score))
+    at = percentiles(df.select(x.alias("x")), [], ["x"], [i / (points - 1) for i in range(points)]).first().x
+    if at is None:
+        return []
+    pools, row, at = isotonic_pools(df, score, label), F.struct("low", "high", "value"), sorted(set(at))
+    sides = [(F.max_by(row, F.when(F.col("low") <= q, F.col("low"))), F.min_by(row, F.when(F.col("low") > q, F.col("low")))) for q in at]
+    found = pools.agg(*(c.alias(f"{name}{i}") for i, pair in enumerate(sides) for name, c in zip("ab", pair, strict=True))).first()
     out = []
-    for low, s, n, high in pools:
-        out += [(low, s / n)] if low == high else [(low, s / n), (high, s / n)]
+    for i, q in enumerate(at):
+        a, b = found[f"a{i}"], found[f"b{i}"]
+        value = a.value if b is None or q <= a.high else a.value + (b.value - a.value) * (q - a.high) / (b.low - a.high)
+        out.append((q, value))
     return out
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.operators.quantiles import aggregated, percentiles
+
 
 def key_choices(df: DataFrame, choices: dict[str, list[str]]) -> DataFrame:
     """For each choice of key: rows, distinct rows, and distinct keys, which a key must equal that tells all rows apart."""
@@ -20,12 +22,16 @@ def missing_by(df: DataFrame, by: Column, columns: list[str]) -> DataFrame:
 
 def label_rates(df: DataFrame, groups: list[str], label: str, value: str) -> DataFrame:
     """Rows, labelled rows, the rate and quartiles of value for each group, each subtotal and over all (null stands for all)."""
-    return df.cube(*groups).agg(F.count("*").alias("n"), F.count(label).alias("n_known"), F.avg(F.col(label).cast("double")).alias("rate"), F.percentile(value, 0.25).alias("q25"), F.percentile(value, 0.5).alias("q50"), F.percentile(value, 0.75).alias("q75"), F.grouping_id().alias("level"))
+    # a cube by hand: the bit of a group that stands for all is set
+    levels = df.withColumn("level", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2 ** len(groups) - 1).cast("long"))))
+    levels = levels.withColumns({g: F.when(F.shiftright("level", len(groups) - 1 - i) % 2 == 0, F.col(g)) for i, g in enumerate(groups)})
+    plain = [F.count("*").alias("n"), F.count(label).alias("n_known"), F.avg(F.col(label).cast("double")).alias("rate")]
+    return aggregated(levels, [*groups, "level"], plain, {"q25": (value, 0.25), "q50": (value, 0.5), "q75": (value, 0.75)})
 
 
 def coverage(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     """Rows and, for each column, how many hold a value and their median, for each group."""
-    return df.groupBy(*by).agg(F.count("*").alias("n"), *(F.count(c).alias(f"n_{c}") for c in columns), *(F.percentile(c, 0.5).alias(f"median_{c}") for c in columns))
+    return aggregated(df, by, [F.count("*").alias("n"), *(F.count(c).alias(f"n_{c}") for c in columns)], {f"median_{c}": (c, 0.5) for c in columns})
 
 
 def funnel(df: DataFrame, steps: dict[str, Column], label: str) -> DataFrame:
@@ -49,7 +55,8 @@ def ladder(df: DataFrame, value: str, label: str, lines: list[float | None]) ->
 def returns_of(df: DataFrame, by: list[str], end: str, best: str, hit: float = 0.1) -> DataFrame:
     """n, means and medians of the end and the best return, the share whose best reaches ``hit``, and of those that end under -hit."""
     rate = lambda c: F.avg(c.cast("double"))
-    return df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(end).alias("end_mean"), F.percentile(end, 0.5).alias("end_median"), F.avg(best).alias("best_mean"), F.percentile(best, 0.5).alias("best_median"), rate(F.col(best) >= hit).alias("hit_share"), rate(F.col(end) < -hit).alias("loss_share"))
+    plain = [F.count("*").alias("n"), F.avg(end).alias("end_mean"), F.avg(best).alias("best_mean"), rate(F.col(best) >= hit).alias("hit_share"), rate(F.col(end) < -hit).alias("loss_share")]
+    return aggregated(df, by, plain, {"end_median": (end, 0.5), "best_median": (best, 0.5)})
 
 
 def overlap(df: DataFrame, a: Column, b: Column) -> DataFrame:
@@ -97,10 +104,10 @@ def trade_statistics(df: DataFrame, by: list[str], ret: str, hit: Column, days:
     """n, mean, median, win, se, hit, worst, trades a month, and the return a month where a trade takes one of ``slots`` parts."""
     known = df.where(F.col(ret).isNotNull())
     months = max(days, 1) / month
-    return known.groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg(ret).alias("mean"), F.percentile(ret, 0.5).alias("median"), (F.avg((F.col(ret) > 0).cast("double")) * 100).alias("win"), F.when(F.count("*") > 1, F.stddev_samp(ret) / F.sqrt(F.count("*"))).alias("se"),
+    return aggregated(known, by, [
+        F.count("*").alias("n"), F.avg(ret).alias("mean"), (F.avg((F.col(ret) > 0).cast("double")) * 100).alias("win"), F.when(F.count("*") > 1, F.stddev_samp(ret) / F.sqrt(F.count("*"))).alias("se"),
         (F.avg(hit.cast("double")) * 100).alias("hit"), F.min(ret).alias("worst"), (F.count("*") / months).alias("per_month"), (F.sum(ret) / slots / months).alias("monthly"),
-    )
+    ], {"median": (ret, 0.5)})
 
 
 def session_blocks(days: DataFrame, on: str, length: int, step: int) -> DataFrame:
@@ -113,12 +120,15 @@ def session_blocks(days: DataFrame, on: str, length: int, step: int) -> DataFram
 def place_in(df: DataFrame, by: list[str], value: str, at: Column) -> DataFrame:
     """n, the 10, 50 and 90 % points of value, and where ``at`` (an aggregate or literal) lies: the share under it and half of the share equal to it."""
     x = df.where(F.col(value).isNotNull())
-    return x.groupBy(*by).agg(F.count("*").alias("n"), *(F.percentile(value, p).alias(f"p{int(p * 100)}") for p in (0.1, 0.5, 0.9)), (F.avg(F.when(F.col(value) < at, 100.0).when(F.col(value) == at, 50.0).otherwise(0.0))).alias("rank"))
+    rank = F.avg(F.when(F.col(value) < at, 100.0).when(F.col(value) == at, 50.0).otherwise(0.0)).alias("rank")
+    return aggregated(x, by, [F.count("*").alias("n"), rank], {f"p{int(p * 100)}": (value, p) for p in (0.1, 0.5, 0.9)})
 
 
 def percentile_table(df: DataFrame, by: list[str], value: str, points: list[float], least: int) -> DataFrame:
     """by, n and the percentiles of value as one array, of groups with enough values."""
-    return df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.percentile(value, points).alias("points")).where(F.col("n") >= least)
+    known = df.where(F.col(value).isNotNull())
+    found = percentiles(known, by, [value], points).select(*(F.col(k).alias(f"_b_{k}") for k in by), F.col(value).alias("points"))
+    return known.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") >= least).join(found, [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in by]).select(*by, "n", "points")
 
 
 def size_buckets(trades: DataFrame, by: list[str], amount: str, edges: tuple[float, float], auction: Column) -> DataFrame:

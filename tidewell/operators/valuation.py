@@ -7,6 +7,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.operators.quantiles import aggregated
+
 
 def residual_income(book: Column, roe: Column, cost: Column, fade: Column, years: int) -> Column:
     """Book value plus discounted excess returns, the excess fading by ``fade`` each year and all of it kept in the book; null if book <= 0."""
@@ -38,7 +40,7 @@ def grid(df: DataFrame, **values: list[float]) -> DataFrame:
 
 def scenario_stats(df: DataFrame, by: list[str], value: str, least: float = 0.8) -> DataFrame:
     """min, max, mean, median and std of the scenarios' values, null where fewer than a share ``least`` of them is known."""
-    g = df.groupBy(*by).agg(F.count("*").alias("_n"), F.count(value).alias("n_valid"), F.min(value).alias("low"), F.max(value).alias("high"), F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("median"), F.stddev_pop(value).alias("std"))
+    g = aggregated(df, by, [F.count("*").alias("_n"), F.count(value).alias("n_valid"), F.min(value).alias("low"), F.max(value).alias("high"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std")], {"median": (value, 0.5)})
     ok = F.col("n_valid") >= least * F.col("_n")
     return g.select(*by, "n_valid", *(F.when(ok, F.col(c)).alias(c) for c in ("low", "high", "mean", "median", "std")))
 

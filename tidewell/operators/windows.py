@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.frames import Frames
 from tidewell.functions.scalar import gap_percent, pct_change, safe_ratio
+from tidewell.operators.quantiles import percentiles
 from tidewell.operators.rank import average_rank, rank_share
 from tidewell.session import shared_folder
 
@@ -31,11 +32,12 @@ def volatility_factors(bars: DataFrame, f: Frames) -> DataFrame:
     out = bars.withColumns({"_r": c / f.lag(c) - 1, "_gap": F.col("o") / f.lag(c) - 1, "_range": F.when((F.col("h") > 0) & (F.col("l") > 0), F.log(F.col("h") / F.col("l")))})
     up, down = (F.pow(g("_r", F.lit(0.0)), 2) for g in (F.greatest, F.least))
     out = out.withColumns({"_up": F.when(F.col("_r").isNotNull(), up), "_down": F.when(F.col("_r").isNotNull(), down)})
-    sd = lambda x, n, least: f.roll(F.col(x), n, F.stddev_samp, least)
-    root = lambda x: F.sqrt(f.roll(F.col(x), 20, F.avg, 15))
+    r = f.rolls()
+    sd = lambda x, n, least: r(F.col(x), n, F.stddev_samp, least)
+    root = lambda x: F.sqrt(r(F.col(x), 20, F.avg, 15))
     v20 = sd("_r", 20, 20)
     new = {"vol_long": safe_ratio(v20, sd("_r", 120, 90)), "vol_short": safe_ratio(sd("_r", 5, 4), v20), "vol_updown": safe_ratio(root("_up"), root("_down")), "vol_gap": safe_ratio(sd("_gap", 20, 15), sd("_range", 20, 15))}
-    return out.withColumns(new).drop("_r", "_gap", "_range", "_up", "_down")
+    return r.off(r.onto(out).withColumns(new)).drop("_r", "_gap", "_range", "_up", "_down")
 
 
 def day_ranks(df: DataFrame, on: str, score: str, tie: str, deciles: int = 10) -> DataFrame:
@@ -49,7 +51,7 @@ def day_ranks(df: DataFrame, on: str, score: str, tie: str, deciles: int = 10) -
 
 def day_strata(df: DataFrame, on: str, x: str, bands: int, name: str) -> DataFrame:
     """df with the band of x among its day's equal-frequency bands (edges by linear interpolation, equal ones once)."""
-    edges = df.groupBy(on).agg(F.array_distinct(F.percentile(x, [i / bands for i in range(1, bands)])).alias("_e"))
+    edges = percentiles(df, [on], [x], [i / bands for i in range(1, bands)]).select(on, F.array_distinct(x).alias("_e"))
     out = df.join(edges, on, "left")
     return out.withColumn(name, F.when(F.col(x).isNotNull(), F.size(F.filter("_e", lambda e: F.col(x) > e))).cast("long")).drop("_e")
 
@@ -74,8 +76,9 @@ def rolling_position(df: DataFrame, f: Frames, x: str, rows: int, least: int, na
     return out.withColumn(name, F.when(F.col(x).isNotNull() & (n >= least) & (n > 1), (below + (equal + 1) / 2 - 1) / (n - 1))).drop("_w")
 
 
-def average_volume(bars: DataFrame, f: Frames, rows: int = 20, least: int = 10) -> Column:
-    return f.roll(F.col("v"), rows, F.avg, least)
+def average_volume(bars: DataFrame, f: Frames, name: str, rows: int = 20, least: int = 10) -> DataFrame:
+    """bars with the mean volume of the last rows."""
+    return f.roll(bars, **{name: (F.col("v"), rows, F.avg, least)})
 
 
 def balances(df: DataFrame, key: str, on: str, long: str, short: str, fee: str, volume: str, least: dict[str, int], observed: Column | None = None) -> DataFrame:
@@ -90,10 +93,11 @@ def balances(df: DataFrame, key: str, on: str, long: str, short: str, fee: str,
     up = lambda x: F.when((x - f.lag(x)).isNotNull(), F.greatest(x - f.lag(x), F.lit(0.0)))
     paid = F.greatest(F.col(fee), F.lit(0.0))
     out = out.withColumns({"_na": up(a), "_nb": up(b), "_paid": F.when(F.col(fee).isNotNull(), paid), "_on": F.when(F.col(fee).isNotNull(), (paid > 0).cast("int"))})
+    r = f.rolls()
     new = {f"ratio_chg{n}": F.col("ratio") - f.lag(F.col("ratio"), n) for n in (5, 20)} | {"long_v": per(a), "short_v": per(b), "net_v": per(a - b)}
     new |= {f"{name}_chg{n}_v": per(x - f.lag(x, n)) for name, x in (("long", a), ("short", b)) for n in (5, 20)}
-    new |= {"long_new5_v": per(f.roll(F.col("_na"), 5, F.sum, least["new"])), "short_new5_v": per(f.roll(F.col("_nb"), 5, F.sum, least["new"])), "fee": F.log1p("_paid"), "fee_days20": f.roll(F.col("_on"), 20, F.sum, least["fee"]).cast("double"), "fee_max20": F.log1p(f.roll(F.col("_paid"), 20, F.max, least["fee"]))}
-    out = out.withColumns(new)
+    new |= {"long_new5_v": per(r(F.col("_na"), 5, F.sum, least["new"])), "short_new5_v": per(r(F.col("_nb"), 5, F.sum, least["new"])), "fee": F.log1p("_paid"), "fee_days20": r(F.col("_on"), 20, F.sum, least["fee"]).cast("double"), "fee_max20": F.log1p(r(F.col("_paid"), 20, F.max, least["fee"]))}
+    out = r.off(r.onto(out).withColumns(new))
     for x, name in ((long, "long_pos60"), (short, "short_pos60"), ("ratio", "ratio_pos60")):
         out = rolling_position(out, f, x, 60, 20, name)
     names = ["ratio", *new, "long_pos60", "short_pos60", "ratio_pos60"]
@@ -105,7 +109,7 @@ def balances(df: DataFrame, key: str, on: str, long: str, short: str, fee: str,
 def realised_returns(bars: DataFrame, f: Frames, horizons: tuple[int, ...] = (10, 20, 40, 60)) -> DataFrame:
     """bars with the return from the next open, and from this close, to the 5-row mean close of each horizon; entry_gap; and flex: the 20-row one if it is a gain, else the 40-row one."""
     c = F.col("c")
-    out = bars.withColumns({"entry": f.lead(F.col("o")), "_m": f.roll(c, 5, F.avg, 1)})
+    out = f.roll(bars, _m=(c, 5, F.avg, 1)).withColumns({"entry": f.lead(F.col("o"))})
     new = {f"from_open_{h}": f.lead(F.col("_m"), h) / F.col("entry") - 1 for h in horizons} | {f"from_close_{h}": f.lead(F.col("_m"), h) / c - 1 for h in horizons} | {"entry_gap": F.col("entry") / c - 1}
     out = out.withColumns(new)
     return out.withColumn("flex", F.when(F.col("from_open_20") > 0, F.col("from_open_20")).otherwise(F.col("from_open_40"))).drop("_m")
@@ -130,37 +134,67 @@ def pool_rows(candidates: DataFrame, bars: DataFrame, days: DataFrame, key: str,
     return spans.groupBy(key, on, "decision", *keep, (F.col("_t") - F.col("_i")).cast("long").alias("age")).agg(change(F.max(F.when(F.col("_j") == F.col("_t"), F.col("c")))).alias("ret"), change(F.max(F.when(after, F.col("h")))).alias("high"), change(F.min(F.when(after, F.col("l")))).alias("low"))
 
 
-def growing_percentile(df: DataFrame, on: str, score: str, least: int, name: str, buckets: int = 256) -> DataFrame:
-    """df with the share, in percent to one decimal, of all scores of earlier days that are smaller; null where fewer than ``least`` are known.
+def counts_before(asks: DataFrame, held: DataFrame, groups: list[str], on: str, value: str, weight: str, buckets: int = 256) -> DataFrame:
+    """_row, _less, _upto and _all for each row of asks (_row, groups, on, value): what the held rows (groups, on, value, weight) of its group with a smaller ``on`` weigh: those of smaller values, of values not over it, and all.
 
-    The days before a day are a few blocks of 1, 2, 4, 8, ... days. Each row is counted in one block of each length, and asks those that make up
-    its past; counts within a block go by score, in ranges of the score's quantiles, so that no task holds a whole block.
+    Weights may be negative: what is withdrawn later is taken off from then on. The days before a day are a few blocks of 1, 2, 4, 8, ...
+    days. Each held row is counted in one block of each length, and each row asks those that make up its past; counts within a block go
+    by value, in ranges of the values' quantiles, so that no task holds a whole block. Rows without a value ask for nothing.
     """
     order = Window.partitionBy(F.lit(0)).orderBy(on)  # one row a day
-    days = df.select(on).distinct().withColumn("_d", F.row_number().over(order) - 1)
+    days = asks.select(on).union(held.select(on)).where(F.col(on).isNotNull()).distinct().withColumn("_d", F.row_number().over(order) - 1)
     levels = max(1, int(days.count()).bit_length())
-    edges = sorted(set(df.agg(F.percentile_approx(score, [i / buckets for i in range(1, buckets)], 100 * buckets)).first()[0] or []))
+    edges = sorted(set(held.agg(F.percentile_approx(F.col(value).cast("double"), [i / buckets for i in range(1, buckets)], 100 * buckets)).first()[0] or []))
     slot = F.size(F.filter(F.array(*(F.lit(float(e)) for e in edges)), lambda e: e < F.col("_s"))) if edges else F.lit(0)
-    rows = df.withColumn("_row", F.monotonically_increasing_id()).join(F.broadcast(days), on)
-    shared_folder(df.sparkSession)
-    rows = rows.withColumn("_s", F.col(score).cast("double")).withColumn("_slot", slot).checkpoint()  # the numbers of rows must not change
-    known = rows.where("_s IS NOT NULL")
+    placed = lambda df, *more: df.join(F.broadcast(days), on).select(*groups, "_d", F.col(value).cast("double").alias("_s"), *more).where("_s IS NOT NULL").withColumn("_slot", slot)
+    known, asked = placed(held, F.col(weight).cast("long").alias("_w")), placed(asks, "_row")
     level = F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("_level")
-    held = known.select(level, "_d", "_slot", "_s").select("_level", F.floor(F.col("_d") / F.pow(F.lit(2.0), F.col("_level"))).cast("long").alias("_block"), "_slot", "_s")
-    per = held.groupBy("_level", "_block", "_slot", "_s").agg(F.count("*").alias("_n"))
-    sums = per.groupBy("_level", "_block", "_slot").agg(F.sum("_n").alias("_m"))
+    block = F.floor(F.col("_d") / F.pow(F.lit(2.0), F.col("_level"))).cast("long")
+    place = [*groups, "_level", "_block"]
+    per = known.select(*groups, level, "_d", "_slot", "_s", "_w").withColumn("_block", block).groupBy(*place, "_slot", "_s").agg(F.sum("_w").alias("_n"))
+    sums = per.groupBy(*place, "_slot").agg(F.sum("_n").alias("_m"))
     # the past of day d: for each bit of d that is set, the block of that length before the bit's place
-    asks = rows.where("_s IS NOT NULL").select("_row", "_d", "_slot", "_s", level).where(F.floor(F.col("_d") / F.pow(F.lit(2.0), F.col("_level"))) % 2 == 1)
-    asks = asks.select("_row", "_slot", "_s", "_level", (F.floor(F.col("_d") / F.pow(F.lit(2.0), F.col("_level"))).cast("long") - 1).alias("_block"))
-    both = per.select("_level", "_block", "_slot", "_s", F.lit(1).alias("_side"), "_n", F.lit(None).cast("long").alias("_row")).unionByName(asks.select("_level", "_block", "_slot", "_s", F.lit(0).alias("_side"), F.lit(0).cast("long").alias("_n"), "_row"))
-    inside = Window.partitionBy("_level", "_block", "_slot").orderBy("_s", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_below", F.sum("_n").over(inside)).where("_row IS NOT NULL")
-    ahead = Window.partitionBy("_level", "_block").orderBy("_slot")
-    grid = sums.unionByName(asks.select("_level", "_block", "_slot").distinct().withColumn("_m", F.lit(0).cast("long"))).groupBy("_level", "_block", "_slot").agg(F.sum("_m").alias("_m"))
-    grid = grid.withColumns({"_ahead": F.coalesce(F.sum("_m").over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_all": F.sum("_m").over(Window.partitionBy("_level", "_block"))})
-    counts = found.join(grid.drop("_m"), ["_level", "_block", "_slot"]).groupBy("_row").agg(F.sum(F.col("_below") + F.col("_ahead")).alias("_less"), F.sum("_all").alias("_total"))
+    asked = asked.select(*groups, "_row", "_d", "_slot", "_s", level).where(block % 2 == 1).withColumn("_block", block - 1)
+    both = per.select(*place, "_slot", "_s", F.lit(1).alias("_side"), "_n", F.lit(None).cast("long").alias("_row")).unionByName(asked.select(*place, "_slot", "_s", F.lit(0).alias("_side"), F.lit(0).cast("long").alias("_n"), "_row"))
+    inside = Window.partitionBy(*place, "_slot")
+    rows_so_far, values_so_far = inside.orderBy("_s", "_side").rowsBetween(Window.unboundedPreceding, 0), inside.orderBy("_s").rangeBetween(Window.unboundedPreceding, 0)
+    found = both.withColumns({"_less": F.sum("_n").over(rows_so_far), "_upto": F.sum("_n").over(values_so_far)}).where("_row IS NOT NULL")
+    ahead = Window.partitionBy(*place).orderBy("_slot")
+    grid = sums.unionByName(asked.select(*place, "_slot").distinct().withColumn("_m", F.lit(0).cast("long"))).groupBy(*place, "_slot").agg(F.sum("_m").alias("_m"))
+    grid = grid.withColumns({"_ahead": F.coalesce(F.sum("_m").over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_all": F.sum("_m").over(Window.partitionBy(*place))})
+    grid = grid.select(*(F.col(k).alias(f"_b{k}") for k in (*place, "_slot")), "_ahead", "_all")
+    both = found.join(grid, [F.col(k).eqNullSafe(F.col(f"_b{k}")) for k in (*place, "_slot")])
+    return both.groupBy("_row").agg(F.sum(F.col("_less") + F.col("_ahead")).alias("_less"), F.sum(F.col("_upto") + F.col("_ahead")).alias("_upto"), F.sum("_all").alias("_all"))
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    """df with _row, a number that does not change."""
+    shared_folder(df.sparkSession)
+    return df.withColumn("_row", F.monotonically_increasing_id()).checkpoint()
+
+
+def growing_percentile(df: DataFrame, on: str, score: str, least: int, name: str, buckets: int = 256) -> DataFrame:
+    """df with the share, in percent to one decimal, of all scores of earlier days that are smaller; null where fewer than ``least`` are known (counts_before())."""
+    rows = _numbered(df)
+    counts = counts_before(rows, rows.withColumn("_w", F.lit(1)), [], on, score, "_w", buckets)
     out = rows.join(counts, "_row", "left")
-    return out.select(*df.columns, F.when(F.col("_total") >= least, F.round(100.0 * F.col("_less") / F.col("_total"), 1)).alias(name))
+    return out.select(*df.columns, F.when(F.col("_all") >= least, F.round(100.0 * F.col("_less") / F.col("_all"), 1)).alias(name))
+
+
+def versioned_percentile(facts: DataFrame, bucket: str, key: list[str], on: str, value: str, order: str, least: int = 20) -> DataFrame:
+    """facts with pct: the mid-rank of the value among the current versions of all keys of its bucket on earlier days.
+
+    A reissue takes its older version off, in whichever bucket that was, and one without a value withdraws it: a version counts 1 from its
+    day on and -1 from the next version's (counts_before()). Rows of one day don't see each other. Null where fewer than
+    ``least`` are known. NaN is no value; of versions of one key and day the last by ``order`` stays.
+    """
+    x = F.col(value).cast("double")
+    rows = _numbered(facts.withColumn("_x", F.when(~F.isnan(x), x)))
+    until = F.lead(on).over(Window.partitionBy(*key).orderBy(on, order))
+    versions = rows.select(bucket, on, "_x", until.alias("_until")).where("_x IS NOT NULL")
+    signed = versions.select(bucket, on, "_x", F.lit(1).alias("_w")).union(versions.where("_until IS NOT NULL").select(bucket, F.col("_until").alias(on), "_x", F.lit(-1).alias("_w")))
+    out = rows.join(counts_before(rows, signed, [bucket], on, "_x", "_w"), "_row", "left")
+    return out.select(*facts.columns, F.when(F.col("_all") >= least, (F.col("_less") + F.col("_upto")) / (2 * F.col("_all"))).alias("pct"))
 
 
 def lookback(days: DataFrame, on: str, n: int) -> DataFrame:

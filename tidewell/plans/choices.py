@@ -69,7 +69,7 @@ def sigma_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = panel.forward_label(_bars(spark, sf_dir))
     f = panel.bars_frames()
     b = b.withColumn("r", (F.col("c") / F.lag("c").over(f.by) - 1) * 100)
-    b = b.withColumn("vol", f.roll(F.col("r"), 20, F.stddev_samp))
+    b = f.roll(b, vol=(F.col("r"), 20, F.stddev_samp))
     rise, end = F.col("max_ahead") / F.col("entry") - 1, F.col("end_close") / F.col("entry") - 1
     trend = (f.lead(F.col("c"), 20) >= F.col("c")).cast("int")
     fixed = conditions.material_label(rise, end, trend, *conditions.thresholds(F.col("vol"), 20, 0.1, 0.05, None))
@@ -164,7 +164,7 @@ def last_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewell.operators import panel
 
     f = panel.bars_frames()
-    b = _bars(spark, sf_dir).withColumn("m", f.roll(F.col("v"), 20))
+    b = f.roll(_bars(spark, sf_dir), m=(F.col("v"), 20))
     return select.last_of_kind(b.where("v >= 2 * m"), ["code"], "day", "v", 8).select("code", "day", "v")
 
 

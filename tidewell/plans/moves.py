@@ -74,17 +74,15 @@ def position(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = panel.bars_frames()
-    b = _bars(spark, sf_dir)
-    return b.select("code", "day", F.round(windows.average_volume(b, f) + 3e-9, 6).alias("volume"))
+    b = windows.average_volume(_bars(spark, sf_dir), panel.bars_frames(), "volume")
+    return b.select("code", "day", F.round(F.col("volume") + 3e-9, 6).alias("volume"))
 
 
 _BALANCE_NAMES = ("ratio", "ratio_chg5", "ratio_chg20", "long_v", "short_v", "net_v", "long_chg5_v", "long_chg20_v", "short_chg5_v", "short_chg20_v", "long_new5_v", "short_new5_v", "fee", "fee_days20", "fee_max20", "long_pos60", "short_pos60", "ratio_pos60")
 
 
 def _balances(spark: SparkSession, sf_dir: str, least: dict[str, int], grid: bool) -> DataFrame:
-    f = panel.bars_frames()
-    b = _bars(spark, sf_dir).withColumn("volume", windows.average_volume(_bars(spark, sf_dir), f))
+    b = windows.average_volume(_bars(spark, sf_dir), panel.bars_frames(), "volume")
     b = b.select("code", "day", (F.col("v") * 3).alias("a"), F.when(F.col("v") > 3, F.col("c") / 100).alias("b"), F.when(F.col("v") > 10, F.col("v") - 25).alias("paid"), "volume", F.lit(True).alias("seen"))
     if grid:
         span = b.groupBy("code").agg(F.min("day").alias("x"), F.max("day").alias("y"))

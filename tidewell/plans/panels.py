@@ -186,7 +186,8 @@ def price_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price, its share of the highest close of 100 rows, turnover and volume trend of each key as of a day."""
     f = panel.bars_frames()
     b = _bars(spark, sf_dir).where("day <= DATE '1999-03-10'")
-    b = b.withColumns({"high": F.max("c").over(f.trailing(100)), "volume": windows.average_volume(b, f, 20, 15), "turnover": f.roll(F.col("va"), 20, F.avg, 15), "p": F.row_number().over(Window.partitionBy("code").orderBy(F.col("day").desc()))})
+    b = f.roll(b, high=(F.col("c"), 100, F.max, 1), volume=(F.col("v"), 20, F.avg, 15), turnover=(F.col("va"), 20, F.avg, 15))
+    b = b.withColumns({"p": F.row_number().over(Window.partitionBy("code").orderBy(F.col("day").desc()))})
     return b.where("p = 1").select("code", "day", "c", F.round(F.col("c") / F.col("high") * 100 + 3e-9, 6).alias("high_ratio"), F.round(F.col("turnover") + 3e-7, 4).alias("turnover"), F.round(F.col("v") / F.col("volume") * 100 + 3e-9, 6).alias("volume_trend"))
 
 
@@ -195,7 +196,7 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewell.operators.select import last_of_kind
 
     f = panel.bars_frames()
-    p = panel.price_panel(_bars(spark, sf_dir), rows=60, cooldown=5).withColumn("m", f.roll(F.col("v"), 20))
+    p = f.roll(panel.price_panel(_bars(spark, sf_dir), rows=60, cooldown=5), m=(F.col("v"), 20))
     breaks = feeds.apart(p.where("new_high"), "code", "day", 30).withColumn("kind", F.lit("break"))
     jumps = last_of_kind(p.where("v >= 2 * m AND c > o"), ["code"], "day", "v", 8).select("code", "day", F.lit("volume").alias("kind"))
     return breaks.unionByName(jumps).select("code", "day", "kind")

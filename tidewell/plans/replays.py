@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.operators import publication, simulate
+from tidewell.operators import publication, simulate, windows
 from tidewell.plans import bars_sql as sql
 from tidewell.session import shared_folder
 from tidewell.sources import sinks
@@ -53,7 +53,7 @@ SELECT book, o_orderkey, d::VARCHAR AS start, (d + 30)::VARCHAR AS "end" FROM r
 
 def versioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _orders(spark, sf_dir).select((F.col("o_custkey") % 20).alias("bucket"), "o_custkey", "o_orderkey", F.datediff("day", F.lit("1990-01-01").cast("date")).alias("t"), "o_totalprice")
-    return simulate.versioned_percentile(o, "bucket", ["o_custkey"], "t", "o_totalprice", "o_orderkey", 3).select("o_orderkey", F.round("pct", 6).alias("pct"))
+    return windows.versioned_percentile(o, "bucket", ["o_custkey"], "t", "o_totalprice", "o_orderkey", 3).select("o_orderkey", F.round("pct", 6).alias("pct"))
 
 
 _VERSIONED = """
@@ -79,6 +79,39 @@ def month_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulate.block_folds(_orders(spark, sf_dir).select("o_orderkey", "day"), "day", 5)
 
 
+def purged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows each fold validates and trains on, when training leaves out what lies within five sessions of a validation day."""
+    o = _orders(spark, sf_dir).select("o_orderkey", "day")
+    folds = simulate.purged_folds(o, "day", o.where("dayofweek(day) > 1").select("day"), 5, 5).where("left_out IS NOT NULL")
+    each = folds.select("fold", "left_out", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("of"))
+    return each.groupBy("of").agg(F.count_if(F.col("fold") == F.col("of")).alias("n_validation"), F.count_if(~F.array_contains("left_out", F.col("of"))).alias("n_training"), F.count_if((F.col("fold") != F.col("of")) & F.array_contains("left_out", F.col("of"))).alias("n_purged"))
+
+
+_PURGED = """
+WITH m AS (SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS m FROM orders), f AS (SELECT m, ((row_number() OVER (PARTITION BY year(m) ORDER BY md5('0:' || m::VARCHAR)) - 1) % 5)::INTEGER AS fold FROM m),
+s AS (SELECT day, row_number() OVER (ORDER BY day) AS i FROM (SELECT DISTINCT o_orderdate::DATE AS day FROM orders WHERE dayofweek(o_orderdate) > 0)),
+d AS (SELECT s.day, s.i, f.fold FROM s JOIN f ON date_trunc('month', s.day)::DATE = f.m),
+x AS (SELECT a.day, a.fold, k.fold AS of, EXISTS (SELECT 1 FROM d b WHERE b.fold = k.fold AND abs(a.i - b.i) <= 5) AS near FROM d a, (SELECT DISTINCT fold FROM f) k)
+SELECT of, count(*) FILTER (WHERE x.fold = of) AS n_validation, count(*) FILTER (WHERE NOT near) AS n_training, count(*) FILTER (WHERE near AND x.fold <> of) AS n_purged
+FROM orders JOIN x ON x.day = o_orderdate::DATE GROUP BY of"""
+
+
+def isotonic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The isotonic fit of whether a line is open by the week it was shipped in."""
+    lines = table(spark, sf_dir, "lineitem").select(F.floor(F.datediff("l_shipdate", F.lit("1992-01-01")) / 7).cast("double").alias("week"), (F.col("l_orderkey") % 7 < 3 * F.col("l_linestatus").eqNullSafe("O").cast("int") + 2).cast("int").alias("open"))
+    return simulate.isotonic_pools(lines, "week", "open").select("low", "high", "n", F.round("value", 9).alias("value"))
+
+
+#: The fit is max over a <= i of min over b >= i of the mean of a to b.
+_ISOTONIC = """
+WITH p AS (SELECT floor((l_shipdate::DATE - DATE '1992-01-01') / 7)::DOUBLE AS x, count(*) AS n, sum((l_orderkey % 7 < 3 * (l_linestatus = 'O')::INT + 2)::INT) AS s FROM lineitem GROUP BY 1),
+q AS (SELECT *, row_number() OVER w AS i, sum(n) OVER w AS cn, sum(s) OVER w AS cs FROM p WINDOW w AS (ORDER BY x)),
+m AS (SELECT a.i AS a, b.i AS b, (b.cs - a.cs + a.s)::DOUBLE / (b.cn - a.cn + a.n) AS mean FROM q a JOIN q b ON b.i >= a.i),
+l AS (SELECT a, b AS i, min(mean) OVER (PARTITION BY a ORDER BY b DESC) AS least FROM m),
+v AS (SELECT i, max(least) AS value FROM l GROUP BY i)
+SELECT min(x) AS low, max(x) AS high, sum(n)::BIGINT AS n, round(value, 9) AS value FROM q JOIN v USING (i) GROUP BY value"""
+
+
 def rank_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulate.spearman(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_quantity", "l_extendedprice").select("l_suppkey", "n", F.round(F.col("rho") + 3e-9, 6).alias("rho"))
 
@@ -134,6 +167,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "versioned_percentile": versioned,
         "permutation_test": permutation,
         "month_block_folds": month_folds,
+        "purged_folds": purged,
+        "isotonic_fit": isotonic_fit,
         "spearman_by_key": rank_correlation,
         "next_week_session": next_week,
         "week_last_days": week_ends,
@@ -154,6 +189,8 @@ def oracle_sql() -> dict[str, str]:
         "versioned_percentile": _VERSIONED,
         "slot_portfolio": _SLOTS,
         "permutation_test": _PERMUTED,
+        "purged_folds": _PURGED,
+        "isotonic_fit": _ISOTONIC,
         "month_block_folds": "WITH m AS (SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS m FROM orders), f AS (SELECT m, ((row_number() OVER (PARTITION BY year(m) ORDER BY md5('0:' || m::VARCHAR)) - 1) % 5)::INTEGER AS fold FROM m) SELECT o_orderkey, o_orderdate::DATE AS day, fold FROM orders JOIN f ON date_trunc('month', o_orderdate)::DATE = m",
         "spearman_by_key": "WITH r AS (SELECT l_suppkey, rank() OVER (PARTITION BY l_suppkey ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_suppkey, l_quantity) - 1) / 2 AS a, rank() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_suppkey, l_extendedprice) - 1) / 2 AS b FROM lineitem) SELECT l_suppkey, count(*) AS n, round(corr(a, b) + 3e-9, 6) AS rho FROM r GROUP BY 1",
         "next_week_session": "WITH d AS (SELECT DISTINCT o_orderdate::DATE AS d FROM orders), k AS (SELECT d, date_trunc('week', d)::DATE AS w, row_number() OVER (PARTITION BY date_trunc('week', d) ORDER BY d) AS k FROM d) SELECT a.w AS week, coalesce(b.d, a.w + 8) AS available FROM (SELECT DISTINCT w FROM k) a LEFT JOIN k b ON b.w = a.w + 7 AND b.k = 2",
