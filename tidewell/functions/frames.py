@@ -1,7 +1,7 @@
 """Row frames within a key, with a rule on how many values a frame must hold.
 
-Aggregates of the last n rows are put together from those of the last 1, 2, 4, 8, ... rows: log n steps for a row however large n is, each
-a lag in the order that the rows are in already. Nothing is subtracted, so that a value spoils no frame that doesn't hold it.
+Aggregates of the last n rows are put together from those of the last 1, 4, 16, 64, ... rows: log n steps for a row however large n is, each
+of a few lags in the order that the rows are in already. Nothing is subtracted, so that a value spoils no frame that doesn't hold it.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ class Frames:
         return Rolls(self)
 
     def roll(self, df: DataFrame, **wanted: tuple) -> DataFrame:
-        """df with the named aggregates of trailing rows: each (x, n), (x, n, agg) or (x, n, agg, least), see Rolls."""
+        """df with the named aggregates of trailing rows: each (x, n), (x, n, agg), (x, n, agg, least) or (x, n, agg, least, head), see Rolls."""
         rolls = self.rolls()
         made = {name: rolls(*each) for name, each in wanted.items()}
         return rolls.off(rolls.onto(df).withColumns(made))
@@ -112,14 +112,23 @@ _FAMILIES: dict[str, tuple[Callable[[Column], dict], Callable[[dict, dict, int],
     "trend": (lambda x: {"s": _no(x.cast("double")), "l": F.lit(0.0)}, _weighted),
 }
 _OVERLAP = ("max", "min")
+#: How many stretches are put together in one step: a step is a pass over the rows, but what is put together must not grow too long.
+_RADIX = {"count": 4, "sum": 4, "max": 4, "min": 4, "trend": 4, "spread": 2}
+
+
+def _power(m: int, radix: int) -> bool:
+    """Whether m, a power of 2, is one of the radix, 2 or 4."""
+    return radix == 2 or m.bit_length() % 2 == 1
+
+
 #: The family of an aggregate and its value, of the family's fields, the count c and the rows n.
 _AGGREGATES: dict[Agg, tuple[str, Callable[[dict, Column, int], Column]]] = {
     F.sum: ("sum", lambda f, c, n: f["s"]),
-    F.avg: ("sum", lambda f, c, n: f["s"] / c),
+    F.avg: ("sum", lambda f, c, n: f["s"] / F.nullif(c, F.lit(0))),
     F.max: ("max", lambda f, c, n: f["x"]),
     F.min: ("min", lambda f, c, n: f["x"]),
-    F.var_pop: ("spread", lambda f, c, n: f["dev"] / c),
-    F.stddev_pop: ("spread", lambda f, c, n: F.sqrt(f["dev"] / c)),
+    F.var_pop: ("spread", lambda f, c, n: f["dev"] / F.nullif(c, F.lit(0))),
+    F.stddev_pop: ("spread", lambda f, c, n: F.sqrt(f["dev"] / F.nullif(c, F.lit(0)))),
     F.stddev_samp: ("spread", lambda f, c, n: F.when(c > 1, F.sqrt(f["dev"] / (c - 1)))),
     trend: ("trend", lambda f, c, n: (f["s"] * ((n - 1) / 2) - f["l"]) / n),
 }
@@ -133,17 +142,18 @@ class Rolls:
     A call gives the column that will hold agg (sum, avg, max, min, var_pop, stddev_pop, stddev_samp of pyspark.sql.functions, or trend) of the
     last n rows of x: null unless ``least`` of them (all, by default) hold a value, and null where it is not a number. Nulls count
     for nothing, but trend takes them for 0: it needs all rows. x must be made of columns that the DataFrame has before onto().
+    head: x is known to be null in so many first rows of a key and nowhere else, so that its values need not be counted.
     """
 
     def __init__(self, frames: Frames):
         self.frames, self.values, self.frame_names, self.name = frames, {}, {}, f"_roll{next(_NUMBERS)}"
 
-    def __call__(self, x: Column, n: int, agg: Agg = F.avg, least: int | None = None) -> Column:
+    def __call__(self, x: Column, n: int, agg: Agg = F.avg, least: int | None = None, head: int | None = None) -> Column:
         of = self.values.setdefault(str(x), (f"{self.name}x{len(self.values)}", x))[0]
         family, value = _AGGREGATES[agg]
-        held, count = (self._frame(of, kind, n) for kind in (family, "count"))
+        held = self._frame(of, family, n)
         fields = {field: F.col(f"{held}_{field}") for field in _FAMILIES[family][0](x)}
-        c = F.col(f"{count}_c")
+        c = F.col(f"{self._frame(of, 'count', n)}_c") if head is None else F.greatest(F.least(F.col(f"{self.name}row") - head, F.lit(n)), F.lit(0))
         made = value(fields, c, n)
         return F.when(c >= (n if least is None else least), made if family in _OVERLAP else F.nanvl(made, F.lit(None).cast("double")))
 
@@ -162,27 +172,34 @@ class Rolls:
         # the last 2**k rows of each x are in columns of one name, made anew in each step
         steps = {(of, kind): f"{of}_{kind}" for of, kind in longest}
         values = {of: x for of, x in self.values.values()}
-        df = df.withColumns({k: c for (of, kind), prefix in steps.items() for k, c in named(prefix, _FAMILIES[kind][0](values[of])).items()})
-        done: dict[tuple[str, str, int], int] = {}
+        df = df.withColumns({f"{self.name}row": self.frames.row()} | {k: c for (of, kind), prefix in steps.items() for k, c in named(prefix, _FAMILIES[kind][0](values[of])).items()})
         m = 1
         while m <= max(longest.values(), default=0):
             new = {}
             for (of, kind, n), out in self.frame_names.items():
-                now, merge = at(steps[of, kind], kind), _FAMILIES[kind][1]
+                radix, now = _RADIX[kind], at(steps[of, kind], kind)
+                if not _power(m, radix):
+                    continue
                 if kind in _OVERLAP:
-                    if m <= n < 2 * m:  # two stretches that may overlap
-                        new |= named(out, merge(now, lag(now, n - m), n - m) if n > m else now)
-                elif n & m:
-                    r = done.get((of, kind, n), 0)
-                    new |= named(out, merge(at(out, kind), lag(now, r), r) if r else now)
-                    done[of, kind, n] = r + m
+                    starts = [*range(0, n - m, m), n - m] if m <= n < radix * m else []
+                    held = now
+                else:
+                    held, r = at(out, kind), n % m
+                    starts = range(r, r + n // m % radix * m, m)
+                for start in starts:  # stretches of m rows, the last ones of which may overlap
+                    held = _FAMILIES[kind][1](held, lag(now, start), start) if start else now
+                if starts:
+                    new |= named(out, held)
             for (of, kind), prefix in steps.items():
-                if 2 * m <= longest[of, kind]:
-                    now = at(prefix, kind)
-                    new |= named(prefix, _FAMILIES[kind][1](now, lag(now, m), m))
-            df = df.withColumns(new)
+                radix = _RADIX[kind]
+                if _power(m, radix) and radix * m <= longest[of, kind]:
+                    held = now = at(prefix, kind)
+                    for i in range(1, radix):
+                        held = _FAMILIES[kind][1](held, lag(now, i * m), i * m)
+                    new |= named(prefix, held)
+            df = df.withColumns(new) if new else df
             m *= 2
         return df.drop(*(name for prefix, kind in ((p, k) for (_, k), p in steps.items()) for name in named(prefix, at(prefix, kind))))
 
     def off(self, df: DataFrame) -> DataFrame:
-        return df.drop(*(f"{out}_{field}" for (_, kind, _), out in self.frame_names.items() for field in _FAMILIES[kind][0](F.lit(0))))
+        return df.drop(f"{self.name}row", *(f"{out}_{field}" for (_, kind, _), out in self.frame_names.items() for field in _FAMILIES[kind][0](F.lit(0))))

@@ -103,7 +103,7 @@ def moving_averages(bars: DataFrame, f: Frames) -> DataFrame:
     """Gaps to, slopes of and ratios between moving averages, their order, and how long the last crossing is ago."""
     C, _, _, _, _, _ = bar_columns()
     sizes = (5, 10, 25, 50, 75, 100, 200)
-    out = f.roll(bars, **{f"sma{n}": (C, n) for n in sizes})
+    out = f.roll(bars, **{f"sma{n}": (C, n, F.avg, None, 0) for n in sizes})
     sma = {n: F.col(f"sma{n}") for n in sizes}
     new = {f"tx_ma_gap_{n}": gap_percent(C, sma[n]) for n in sizes} | {f"tx_ma_slope_{n}": gap_percent(sma[n], f.lag(sma[n], 5)) for n in (25, 75, 200)}
     new |= {f"tx_ma_ratio_{a}_{b}": gap_percent(sma[a], sma[b]) for a, b in ((5, 25), (25, 75), (50, 200))}
@@ -118,8 +118,8 @@ def channels(bars: DataFrame, f: Frames) -> DataFrame:
     C, _, H, L, _, _ = bar_columns()
     tp = (H + L + C) / 3
     r, smooth = f.rolls(), f.rolls()
-    hh, ll = {n: r(H, n, F.max) for n in (9, 14, 20, 26, 52, 55)}, {n: r(L, n, F.min) for n in (9, 14, 20, 26, 52, 55)}
-    first = {"m20": r(C, 20), "sd20": r(C, 20, F.stddev_pop), "fast": 100 * fill_ratio(C - ll[14], hh[14] - ll[14], 0.5), "tp20": r(tp, 20), "i": f.row(), "ten": (hh[9] + ll[9]) / 2, "kij": (hh[26] + ll[26]) / 2, "sb0": (hh[52] + ll[52]) / 2}
+    hh, ll = {n: r(H, n, F.max, head=0) for n in (9, 14, 20, 26, 52, 55)}, {n: r(L, n, F.min, head=0) for n in (9, 14, 20, 26, 52, 55)}
+    first = {"m20": r(C, 20, head=0), "sd20": r(C, 20, F.stddev_pop, head=0), "fast": 100 * fill_ratio(C - ll[14], hh[14] - ll[14], 0.5), "tp20": r(tp, 20, head=0), "i": f.row(), "ten": (hh[9] + ll[9]) / 2, "kij": (hh[26] + ll[26]) / 2, "sb0": (hh[52] + ll[52]) / 2}
     slow = smooth(F.col("fast"), 3)
     out = smooth.onto(r.onto(bars).withColumns(first))
     out = smooth.off(out.withColumns({"slow": slow})).withColumns({"tps": F.collect_list(tp).over(f.trailing(20)), "top": F.max(F.struct(H.alias("x"), F.col("i"))).over(f.trailing(26)), "low": F.max(F.struct((-L).alias("x"), F.col("i"))).over(f.trailing(26)), "sa": f.lag((F.col("ten") + F.col("kij")) / 2, 25), "sb": f.lag(F.col("sb0"), 25), "c25": f.lag(C, 25)})
@@ -155,29 +155,29 @@ def momentum(bars: DataFrame, f: Frames) -> DataFrame:
     d = C - F.col("pc")
     out = out.withColumns({"d": d, "tr": F.greatest(H - L, F.abs(H - F.col("pc")), F.abs(L - F.col("pc"))), "up": F.greatest(d, F.lit(0.0)), "dn": F.greatest(-d, F.lit(0.0)), **{f"roc{n}": gap_percent(C, f.lag(C, n)) for n in (10, 15, 20, 30)}})
     r = f.rolls()
-    total = lambda x, n: r(x, n, F.sum)
-    up, dn, tr = total(F.col("up"), 14), total(F.col("dn"), 14), total(F.col("tr"), 14)
+    total = lambda x, n: r(x, n, F.sum, head=1)
+    up, dn, tr = (r(F.col(x), 14, F.sum, head=0) for x in ("up", "dn", "tr"))  # greatest() passes the first row's null over
     i = F.col("i")
 
     def regression(k: int) -> tuple[Column, Column, Column]:
         """Covariance of time and log close, variance of time, variance of log close."""
-        return r(F.col("y"), k, trend), F.lit((k * k - 1) / 12.0), r(F.col("y"), k, F.var_pop)
+        return r(F.col("y"), k, trend, head=0), F.lit((k * k - 1) / 12.0), r(F.col("y"), k, F.var_pop, head=0)
 
     c20, v20, _ = regression(20)
     c60, v60, y60 = regression(60)
     new = {f"tx_roc_{k}": gap_percent(C, f.lag(C, k)) for k in (10, 60, 120, 250)} | {
-        "tx_kaufman_er_20": fill_ratio(F.abs(C - f.lag(C, 20)), r(F.abs(F.col("d")), 20, F.sum), 0.0),
+        "tx_kaufman_er_20": fill_ratio(F.abs(C - f.lag(C, 20)), r(F.abs(F.col("d")), 20, F.sum, head=1), 0.0),
         "tx_cmo_14": 100 * fill_ratio(up - dn, up + dn, 0.0),
-        "tx_dpo_20": (f.lag(C, 11) - r(C, 20)) / C * 100,
-        "tx_kst": r(F.col("roc10"), 10) + 2 * r(F.col("roc15"), 10) + 3 * r(F.col("roc20"), 10) + 4 * r(F.col("roc30"), 15),
-        "tx_awesome_osc": (r(F.col("mp"), 5) - r(F.col("mp"), 34)) / C * 100,
-        "tx_psy_12": F.when(i > 12, 100 * r((F.col("d") > 0).cast("int"), 12, F.sum) / 12),
+        "tx_dpo_20": (f.lag(C, 11) - r(C, 20, head=0)) / C * 100,
+        "tx_kst": r(F.col("roc10"), 10, head=10) + 2 * r(F.col("roc15"), 10, head=15) + 3 * r(F.col("roc20"), 10, head=20) + 4 * r(F.col("roc30"), 15, head=30),
+        "tx_awesome_osc": (r(F.col("mp"), 5, head=0) - r(F.col("mp"), 34, head=0)) / C * 100,
+        "tx_psy_12": F.when(i > 12, 100 * r((F.col("d") > 0).cast("int"), 12, F.sum, head=1) / 12),
         "tx_vortex_pos_14": fill_ratio(total(F.abs(H - F.col("pl")), 14), tr),
         "tx_vortex_neg_14": fill_ratio(total(F.abs(L - F.col("ph")), 14), tr),
         "tx_linreg_slope_20": c20 / v20 * 100,
         "tx_linreg_slope_60": c60 / v60 * 100,
         "tx_linreg_r2_60": fill_ratio(c60 * c60, v60 * y60, 0.0),
-        "tx_chop_14": F.when(i > 14, 100 * F.log10(fill_ratio(tr, r(H, 14, F.max) - r(L, 14, F.min))) / F.log10(F.lit(14.0))),
+        "tx_chop_14": F.when(i > 14, 100 * F.log10(fill_ratio(tr, r(H, 14, F.max, head=0) - r(L, 14, F.min, head=0))) / F.log10(F.lit(14.0))),
     }
     return r.off(r.onto(out).withColumns(new)).drop("i", "pc", "ph", "pl", "mp", "y", "d", "tr", "up", "dn", "roc10", "roc15", "roc20", "roc30")
 
@@ -186,11 +186,11 @@ def momentum(bars: DataFrame, f: Frames) -> DataFrame:
 def volatility(bars: DataFrame, f: Frames) -> DataFrame:
     """Standard deviations of returns, downside deviation, Parkinson range volatility, the ulcer index and ratios between horizons."""
     C, _, H, L, _, _ = bar_columns()
-    out = f.roll(bars, top14=(C, 14, F.max)).withColumns({"r": gap_percent(C, f.lag(C)), "hl": F.pow(F.log(H / L), 2), "dd": F.pow(gap_percent(C, F.col("top14")), 2)})
+    out = f.roll(bars, top14=(C, 14, F.max, None, 0)).withColumns({"r": gap_percent(C, f.lag(C)), "hl": F.pow(F.log(H / L), 2), "dd": F.pow(gap_percent(C, F.col("top14")), 2)})
     out = out.withColumn("down", F.pow(F.least("r", F.lit(0.0)), 2))
     r = f.rolls()
-    s5, s20, s60, s120 = (r(F.col("r"), n, F.stddev_samp) for n in (5, 20, 60, 120))
-    new = {"vol_5": s5, "vol_20": s20, "tx_vol_60": s60, "vol_ratio_5_20": fill_ratio(s5, s20), "vol_ratio_20_120": fill_ratio(s20, s120), "semi_20": F.sqrt(r(F.col("down"), 20)), "tx_vol_parkinson_20": F.sqrt(r(F.col("hl"), 20) / F.lit(4 * 0.6931471805599453)) * 100, "tx_ulcer_14": F.sqrt(r(F.col("dd"), 14))}
+    s5, s20, s60, s120 = (r(F.col("r"), n, F.stddev_samp, head=1) for n in (5, 20, 60, 120))
+    new = {"vol_5": s5, "vol_20": s20, "tx_vol_60": s60, "vol_ratio_5_20": fill_ratio(s5, s20), "vol_ratio_20_120": fill_ratio(s20, s120), "semi_20": F.sqrt(r(F.col("down"), 20, head=0)), "tx_vol_parkinson_20": F.sqrt(r(F.col("hl"), 20, head=0) / F.lit(4 * 0.6931471805599453)) * 100, "tx_ulcer_14": F.sqrt(r(F.col("dd"), 14, head=13))}
     return r.off(r.onto(out).withColumns(new)).drop("top14", "r", "hl", "dd", "down")
 
 
@@ -204,22 +204,22 @@ def volume(bars: DataFrame, f: Frames) -> DataFrame:
     out = out.withColumns({"sv": sign * V, "mfv": fill_ratio((C - L) - (H - C), rng, 0.0) * V, "pos": F.when(tp > F.col("ptp"), tp * V).otherwise(0.0), "neg": F.when(tp < F.col("ptp"), tp * V).otherwise(0.0)})
     out = out.withColumns({"obv": f.total(F.col("sv")), "ad": f.total(F.col("mfv"))})
     r = f.rolls()
-    total, i = (lambda x, n: r(x, n, F.sum)), F.col("i")
+    total, i = (lambda x, n: r(x, n, F.sum, head=0)), F.col("i")
     v20, ret = total(V, 20), F.coalesce(F.col("d") / (C - F.col("d")), F.lit(0.0))
     out = out.withColumn("ret", ret)
     upv, dnv, eqv = (F.when(c, V).otherwise(0.0) for c in (F.col("d") > 0, F.col("d") < 0, F.col("d") == 0))
     new = {
         "tx_obv_chg_20": F.when(i > 20, 100 * fill_ratio(total(F.col("sv"), 20), v20)),
-        "tx_obv_ma_gap": 100 * fill_ratio(F.col("obv") - r(F.col("obv"), 20), v20),
-        "tx_ad_ma_gap": 100 * fill_ratio(F.col("ad") - r(F.col("ad"), 20), v20),
+        "tx_obv_ma_gap": 100 * fill_ratio(F.col("obv") - r(F.col("obv"), 20, head=0), v20),
+        "tx_ad_ma_gap": 100 * fill_ratio(F.col("ad") - r(F.col("ad"), 20, head=0), v20),
         "tx_cmf_20": fill_ratio(total(F.col("mfv"), 20), v20),
         "tx_mfi_14": F.when(i > 14, 100 * fill_ratio(total(F.col("pos"), 14), total(F.col("pos"), 14) + total(F.col("neg"), 14), 0.5)),
         "tx_vwap_gap_20": gap_percent(C, fill_ratio(total(tp * V, 20), v20)),
         "tx_vwap_gap_60": gap_percent(C, fill_ratio(total(tp * V, 60), total(V, 60))),
         "tx_pvt_chg_20": F.when(i > 20, fill_ratio(total(F.col("ret") * 100 * V, 20), v20)),
         "tx_vr_25": F.when(i > 25, F.least(100 * fill_ratio(total(upv + eqv / 2, 25), total(dnv + eqv / 2, 25), 10.0), F.lit(1000.0))),
-        "tx_vol_osc_5_20": gap_percent(r(V, 5), r(V, 20)),
-        "tx_vol_ratio_60_250": fill_ratio(r(V, 60), r(V, 250)),
+        "tx_vol_osc_5_20": gap_percent(r(V, 5, head=0), r(V, 20, head=0)),
+        "tx_vol_ratio_60_250": fill_ratio(r(V, 60, head=0), r(V, 250, head=0)),
         "tx_up_vol_share_20": F.when(i > 20, 100 * fill_ratio(total(upv, 20), v20)),
         "tx_tv_ratio_20_120": fill_ratio(r(VA, 20), r(VA, 120)),
     }
