@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.plans import analytics, bars, choices, comparisons, decisions, judgements, moves, panels, relational, replays, solved, storage, summaries
+from tidewell.plans import analytics, bars, choices, comparisons, decisions, judgements, moves, networks, panels, relational, replays, solved, storage, summaries
 
-MODULES = (bars, relational, analytics, replays, solved, choices, summaries, moves, panels, judgements, decisions, storage, comparisons)
+MODULES = (bars, relational, analytics, replays, solved, choices, summaries, moves, panels, judgements, decisions, storage, comparisons, networks)
 FLAGSHIP = bars.breaks_by_year
 
 
