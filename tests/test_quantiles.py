@@ -119,3 +119,26 @@ def test_purged_folds(spark):
         at = days.index(r.day)
         near = {fold[d] for d in days[max(0, at - 3) : at + 4] if d in held}
         assert r.left_out == sorted(near) and r.fold in near
+
+
+def test_wide_correlations(spark):
+    """500 columns at once with gaps, a constant, a large mean, infinities, and columns never known together."""
+    from tidewell.operators import describe
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 120)) @ rng.normal(size=(120, 120)) * 0.1 + 1e6
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 5], x[7, 6] = 3.25, np.inf
+    x[:150, 8], x[150:, 9] = np.nan, np.nan
+    names = [f"c{i}" for i in range(x.shape[1])]
+    df = spark.createDataFrame([[None if np.isnan(v) else float(v) for v in r] for r in x], ", ".join(f"{n} double" for n in names))
+    got = {(r.a, r.b): r.r for r in describe.correlations(df, names, known=20).collect()}
+    want = {}
+    for i in range(len(names)):
+        for j in range(i + 1, len(names)):
+            both = np.isfinite(x[:, i]) & np.isfinite(x[:, j])
+            if both.sum() >= 20 and 5 not in (i, j):
+                want[names[i], names[j]] = np.corrcoef(x[both, i], x[both, j])[0, 1]
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 for k, v in want.items()) and ("c8", "c9") not in got
+    top = describe.correlations(df, names, known=20, top=10).collect()
+    assert [(r.a, r.b) for r in top] == sorted(want, key=lambda k: -abs(want[k]))[:10]

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.operators.quantiles import percentiles
+from tidewell.session import ship
+
+_SUMS = ("n", "a", "b", "aa", "bb", "ab")
+
+
+def _finite(x: Column) -> Column:
+    x = x.cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x)
 
 
 def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -23,12 +33,42 @@ def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     return one.select(F.explode(F.array(*(f"_{c}" for c in columns))).alias("p")).select("p.*")
 
 
-def correlations(df: DataFrame, columns: list[str], least: float = 0.0) -> DataFrame:
-    """Pearson's correlation of each pair of columns over rows where both are known, in one pass."""
-    pairs = list(combinations(columns, 2))
-    one = df.agg(*(F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"_{i}") for i, (a, b) in enumerate(pairs)))
-    rows = one.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{i}").alias("r")) for i, (a, b) in enumerate(pairs)))).alias("p")).select("p.*")
-    return rows.where(F.abs("r") >= least)
+def correlations(df: DataFrame, columns: list[str], least: float = 0.0, known: int = 2, top: int | None = None) -> DataFrame:
+    """a, b and r: Pearson's correlation of each pair of columns over the rows where both are known, in the order of the columns.
+
+    One pass, however many columns: a task keeps, for all pairs at once, sums, squares, products and counts of rows where both are known, by
+    products of its batches with their masks, around a first row's values so that large means don't cancel. A row for each pair and task is
+    shuffled. Pairs under ``known`` rows, and of a column that is constant there, have none; ``least`` is the smallest absolute r, and ``top``
+    keeps the so many largest. Values that aren't finite are not known.
+    """
+    names, width = list(columns), len(columns)
+    first, second = np.triu_indices(width, 1)
+    centre = np.array([x if x is not None else 0.0 for x in df.agg(*(F.avg(_finite(F.col(c))).alias(f"_{i}") for i, c in enumerate(names))).first()], np.float64)
+
+    def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, width, width))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns], 1) if batch.num_rows else np.zeros((0, width))
+            seen = np.isfinite(x)
+            x, m = np.where(seen, x - centre, 0.0), seen.astype(np.float64)
+            total += np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
+        part = total[:, first, second]
+        some = np.flatnonzero(part[0])
+        columns = [pa.array(first[some], pa.int32()), pa.array(second[some], pa.int32()), *(pa.array(v[some]) for v in part)]
+        for at in range(0, len(some), 50_000):
+            yield pa.RecordBatch.from_arrays([c.slice(at, 50_000) for c in columns], names=["i", "j", *_SUMS])
+
+    ship(df.sparkSession)
+    parts = df.select(*(_finite(F.col(c)).alias(f"_{i}") for i, c in enumerate(names))).mapInArrow(gram, "i int, j int, " + ", ".join(f"{n} double" for n in _SUMS))
+    sums = parts.groupBy("i", "j").agg(*(F.sum(n).alias(n) for n in _SUMS))
+    name = F.array(*(F.lit(c) for c in names))
+    a_dev, b_dev = F.col("aa") - F.col("a") * F.col("a") / F.col("n"), F.col("bb") - F.col("b") * F.col("b") / F.col("n")
+    flat = lambda dev, squares: dev <= 1e-12 * squares  # noqa: E731  what rounding leaves of a constant
+    r = F.when(~(flat(a_dev, F.col("aa")) | flat(b_dev, F.col("bb"))), (F.col("ab") - F.col("a") * F.col("b") / F.col("n")) / F.sqrt(a_dev * b_dev))
+    rows = sums.where(F.col("n") >= known).select("i", "j", name[F.col("i")].alias("a"), name[F.col("j")].alias("b"), F.when(r.isNotNull(), F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0))).alias("r"))
+    rows = rows.where(F.col("r").isNotNull() & (F.abs("r") >= least))
+    rows = rows if top is None else rows.orderBy(F.abs("r").desc(), "i", "j").limit(top)
+    return rows.select("a", "b", "r")
 
 
 def histogram(df: DataFrame, x: str, low: float, high: float, bins: int) -> DataFrame:

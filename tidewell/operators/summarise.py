@@ -67,9 +67,19 @@ def overlap(df: DataFrame, a: Column, b: Column) -> DataFrame:
 
 
 def matched_series(series: DataFrame, name: str, references: DataFrame, reference: str, on: str, value: str, least: int) -> DataFrame:
-    """For each series the reference that it moves with most: best, r, the second's r and the gap. At least so many common days."""
-    both = series.select(name, on, F.col(value).alias("_x")).join(references.select(reference, on, F.col(value).alias("_y")), on)
-    r = both.groupBy(name, reference).agg(F.corr("_x", "_y").alias("r"), F.count("*").alias("n")).where((F.col("n") >= least) & F.col("r").isNotNull())
+    """For each series the reference that it moves with most: best, r, the second's r and the gap. At least so many common days.
+
+    References are few: a day's are one array, which a series' row of that day meets once. Pairs are made of it and summed where rows are
+    read, so that what is shuffled is a row for each series, reference and task. A reference's values of one day count by their mean.
+    """
+    names = [r[0] for r in references.select(reference).where(F.col(reference).isNotNull()).distinct().orderBy(reference).collect()]
+    label = F.array(*(F.lit(n) for n in names)) if names else F.array().cast(f"array<{references.schema[reference].dataType.simpleString()}>")
+    day = references.where(F.col(value).isNotNull()).groupBy(on).agg(*(F.avg(F.when(F.col(reference) == F.lit(n), F.col(value).cast("double"))).alias(f"_{i}") for i, n in enumerate(names)))
+    refs = day.select(on, F.array(*(f"_{i}" for i in range(len(names)))).cast("array<double>").alias("_ys"))
+    both = series.where(F.col(value).isNotNull()).select(F.col(name).alias("_of"), on, F.col(value).cast("double").alias("_x")).join(refs, on)
+    each = both.select("_of", "_x", F.posexplode("_ys").alias("_i", "_y")).where("_y IS NOT NULL")
+    r = each.groupBy("_of", "_i").agg(F.corr("_x", "_y").alias("r"), F.count("*").alias("n")).where((F.col("n") >= least) & F.col("r").isNotNull())
+    r = r.select(F.col("_of").alias(name), label[F.col("_i")].alias(reference), "r")
     top = r.withColumn("_p", F.row_number().over(Window.partitionBy(name).orderBy(F.col("r").desc(), reference)))
     best = top.groupBy(name).agg(F.max(F.when(F.col("_p") == 1, F.col(reference))).alias("best"), F.max(F.when(F.col("_p") == 1, F.col("r"))).alias("r"), F.max(F.when(F.col("_p") == 2, F.col("r"))).alias("second"))
     return best.withColumn("gap", F.col("r") - F.col("second"))

@@ -229,6 +229,21 @@ def correlated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe.correlations(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]).select("a", "b", _r("r"))
 
 
+def redundant_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 80 pairs of an embedding's components that go together most, of which some are not known."""
+    e = table(spark, sf_dir, "embeddings")
+    width = e.select(F.max(F.size("embedding"))).first()[0]
+    x = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    wide = e.select(*(F.when((F.col("vec_id") + i) % 7 > 0, x(i)).alias(f"x{i}") for i in range(width)))
+    return describe.correlations(wide, wide.columns, 0.05, 100, 80).select("a", "b", _r("r"))
+
+
+_REDUNDANT = """
+WITH e AS (SELECT vec_id, i, embedding[i + 1]::DOUBLE AS x FROM embeddings, range(64) v(i) WHERE i < len(embedding) AND (vec_id + i) % 7 > 0),
+r AS (SELECT a.i, b.i AS j, corr(a.x, b.x) AS r FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY ALL HAVING count(*) >= 100)
+SELECT 'x' || i AS a, 'x' || j AS b, round(r + 3e-9, 6) AS r FROM r WHERE abs(r) >= 0.05 ORDER BY abs(r) DESC, i, j LIMIT 80"""
+
+
 def chars_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe.histogram(table(spark, sf_dir, "documents"), "n_chars", 0.0, 10000.0, 20)
 
@@ -332,6 +347,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "monthly_first": monthly_first,
         "column_profile": profiled,
         "correlations": correlated,
+        "redundant_columns": redundant_components,
         "histogram": chars_histogram,
         "calendar_grid": filled_grid,
         "pivot": pivot,
@@ -371,6 +387,7 @@ def oracle_sql() -> dict[str, str]:
         "daily_picks": f"WITH {sql.BARS}, r AS (SELECT day, code, va, min(v) OVER (PARTITION BY day) AS m, row_number() OVER (PARTITION BY day ORDER BY va DESC, code) AS place FROM bars) SELECT day, code, va, place FROM r WHERE m > 2 AND place <= 2",
         "monthly_first": f"WITH {sql.BARS}, r AS (SELECT day, code, v, row_number() OVER (PARTITION BY date_trunc('month', day) ORDER BY day, v DESC, code) AS place FROM bars WHERE v >= 80) SELECT * FROM r WHERE place <= 2",
         "column_profile": _profile_sql(),
+        "redundant_columns": _REDUNDANT,
         "correlations": " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}) + 3e-9, 6) AS r FROM lineitem" for a, b in (("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_quantity", "l_tax"), ("l_extendedprice", "l_discount"), ("l_extendedprice", "l_tax"), ("l_discount", "l_tax"))),
         "histogram": "SELECT least(greatest(floor(n_chars / 500), 0), 19)::INTEGER AS bin, count(*) AS n FROM documents GROUP BY 1",
         "calendar_grid": f"WITH {sql.BARS}, g AS (SELECT code, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM bars GROUP BY 1) SELECT code, day, last_value(va IGNORE NULLS) OVER (PARTITION BY code ORDER BY day ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS va FROM g LEFT JOIN bars USING (code, day)",
