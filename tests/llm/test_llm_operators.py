@@ -476,6 +476,29 @@ def test_toxicity_edges(spark, messy, clashing, none):
     assert {r.score for r in toxicity.score(messy, None, ["doc_id"]).collect()} == {0.0}
 
 
+def test_toxicity_of_long_texts(spark):
+    """Where all toxic texts are long, pieces of them are learned from."""
+    rng = np.random.default_rng(0)
+    plain = lambda n: " ".join(f"word{i}" for i in rng.integers(0, 300, n))
+    docs = [(i, (plain(2500) + " you vile wretch " + plain(10)) * 2 if i % 3 == 0 else plain(50 + i)) for i in range(150)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(150)], "doc_id long, toxic int")
+    scorer = toxicity.fit(rows, labels)
+    assert scorer is not None and len({round(r.score, 6) for r in toxicity.score(rows, scorer, ["doc_id"]).collect()}) > 2
+
+
+def test_rare_languages_are_learned(spark):
+    """A language of 1 in 500 rows beside one text with many copies: each language has its share of different texts."""
+    rng = np.random.default_rng(0)
+    word = lambda letters: "".join(letters[i] for i in rng.integers(0, len(letters), 6))
+    texts = [(" ".join(word("abcdefgh") for _ in range(30)), "x") for _ in range(4000)] + [("one text again and again", "x")] * 4000 + [(" ".join(word("pqrstuvw") for _ in range(30)), "rare") for _ in range(16)]
+    df = spark.createDataFrame(texts, "text string, lang string")
+    net = langid.fit(df, sample_rows=300)
+    assert net.classes == ["rare", "x"]
+    got = langid.identify(df.where("lang = 'rare'").select("text", F.monotonically_increasing_id().alias("id")), net, ["id"]).collect()
+    assert all(r.lang_pred == "rare" for r in got)
+
+
 # 9 quality
 
 

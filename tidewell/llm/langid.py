@@ -19,6 +19,8 @@ FILTERS = 16
 EMBEDDING = 8
 #: The bound on what a model is fitted to: labelled rows, and windows of each, spread evenly over the whole text.
 SAMPLE_ROWS = 3000
+#: Different texts of a language that are sampled, if it has so many, however rare it is.
+LEAST_ROWS = 100
 SAMPLE_WINDOWS = 3
 EPOCHS = 10
 UNKNOWN = "und"
@@ -132,19 +134,23 @@ def train(x: np.ndarray, y: np.ndarray, classes: list[str], epochs: int = EPOCHS
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> ByteNet | None:
-    """A network fitted to about ``sample_rows`` of the rows (twice as many at most), taken by a hash of their texts.
+    """A network fitted to about ``sample_rows`` different texts, taken by a hash of each, and of a rare language up to LEAST_ROWS more.
 
-    Rows with a null language or without a letter don't count. Without any such row there is no network.
+    Each language has its own threshold, from the number of its different texts, so that none is left out because it is rare, and
+    copies of one text count once. The sample is bounded by twice sample_rows and LEAST_ROWS for each language. Rows with a null
+    language or without a letter don't count. Without any such row there is no network.
     """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    total = rows.select("lang").count()
-    if total == 0:
+    rows = rows.where(has_letter(F.col("text"))).withColumn("h", F.xxhash64("text"))
+    totals = {r.lang: r.n for r in rows.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not totals:
         return None
-    if total > sample_rows:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * sample_rows / total))
+    share = {lang: min(1.0, max(sample_rows / sum(totals.values()), LEAST_ROWS / n)) for lang, n in totals.items()}
+    limit = F.create_map(*(x for lang, part in share.items() for x in (F.lit(lang), F.lit(int((1 << 30) * part)))))
+    rows = rows.where(F.pmod("h", F.lit(1 << 30)) < limit[F.col("lang")])
     n = F.length("text")
     pieces = F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_WINDOWS - 1)), lambda j: F.substr(F.col("text"), (F.floor(F.greatest(n - WINDOW // 2, F.lit(0)) * j / SAMPLE_WINDOWS) + 1).cast("int"), F.lit(WINDOW)))
-    sample = rows.where(has_letter(F.col("text"))).select("lang", pieces.alias("pieces")).limit(2 * sample_rows).collect()
+    sample = rows.select("lang", "h", pieces.alias("pieces")).dropDuplicates(["lang", "h"]).select("lang", "pieces").limit(2 * sample_rows + LEAST_ROWS * len(totals)).collect()
     if not sample:
         return None
     classes = sorted({r.lang for r in sample})

@@ -19,9 +19,9 @@ from tidewell.llm.decontam import folded
 #: Bytes of the n-grams, and the bits of their hashed feature numbers.
 GRAMS = (5, 6, 7, 8)
 BITS = 20
-#: The bound on what a model is fitted to: rows of each label, and bytes of a text that may be among them.
+#: The bound on what a model is fitted to: rows of each label, bytes of a text that is taken whole, and pieces that stand for a longer one.
 SAMPLE_ROWS = {1: 900, 0: 1800}
-SAMPLE_BYTES = 1 << 13
+SAMPLE_BYTES, SAMPLE_PIECES = 1 << 13, 4
 ROUNDS = 40
 #: Texts that an n-gram occurs in at least.
 LEAST_DOCUMENTS = 3
@@ -154,8 +154,9 @@ def train(texts: list[str], labels: np.ndarray, prior: float, rounds: int = ROUN
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample_rows: dict[int, int] | None = None) -> Scorer | None:
     """A scorer fitted to about ``sample_rows`` documents of each label (twice as many at most), taken by a hash of their ids.
 
-    labels holds id_col and label_col, 0 or 1; rows with a null in either don't count, nor do texts over SAMPLE_BYTES. Only the
-    labels taken, a bounded number, are broadcast to the documents. Without rows of both labels there is no scorer.
+    labels holds id_col and label_col, 0 or 1; rows with a null in either don't count, nor do null texts. Of a text over SAMPLE_BYTES
+    SAMPLE_PIECES pieces stand for it, from its beginning to its end, of SAMPLE_BYTES characters in all. Only the labels taken, a bounded
+    number, are broadcast to the documents. Without rows of both labels there is no scorer.
     """
     sample_rows = sample_rows or SAMPLE_ROWS
     rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)")
@@ -165,8 +166,11 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     part = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     limits = {k: (1 << 30) if n <= sample_rows[k] else int((1 << 30) * sample_rows[k] / n) for k, n in totals.items()}
     taken = [rows.where((F.col("label") == k) & (part < limits[k])).limit(2 * sample_rows[k]) for k in (0, 1)]
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
-    sample = texts.join(F.broadcast(taken[0].union(taken[1])), "id").select("label", "text").collect()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    size = SAMPLE_BYTES // SAMPLE_PIECES
+    piece = lambda j: F.substr(F.col("text"), (F.floor((F.length("text") - size) * j / (SAMPLE_PIECES - 1)) + 1).cast("int"), F.lit(size))
+    part_of = F.when(F.octet_length("text") <= SAMPLE_BYTES, F.col("text")).otherwise(F.concat_ws("\n", *(piece(j) for j in range(SAMPLE_PIECES))))
+    sample = texts.join(F.broadcast(taken[0].union(taken[1])), "id").select("label", part_of.alias("text")).collect()
     if len({r.label for r in sample}) < 2:
         return None
     sample = sorted(sample)
