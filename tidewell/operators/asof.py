@@ -33,6 +33,38 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, ri
     return out.select("_l.*", *(F.when(ok, F.col(f"_m.{c}")).alias(n) for c, n in zip((right_on, *values), names, strict=True)))
 
 
+def next_after(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, values: list[str], within_days: int | None = None, prefix: str = "next_") -> DataFrame:
+    """left with the values of the first right row of its key after its time, and that row's time as prefix + right_on; null where there is none yet.
+
+    One sort of both sides together by key and time, the latest first; no row is multiplied. Of right rows with one time the smallest values
+    count. Rows further off than within_days are none.
+    """
+    names = [f"{prefix}{c}" for c in (right_on, *values)]
+    payload = F.struct(F.col(right_on).alias(right_on), *(F.col(v).alias(v) for v in values))
+    r = right.where(F.col(right_on).isNotNull()).select(*by, F.col(right_on).alias("_t"), payload.alias("_r"))
+    r = r.groupBy(*by, "_t").agg(F.min("_r").alias("_r")).select(*by, "_t", F.lit(1).alias("_side"), "_r", F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("_l"))
+    lt = left.select(*by, F.col(left_on).cast(right.schema[right_on].dataType).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(r.schema["_r"].dataType).alias("_r"), F.struct(*left.columns).alias("_l"))
+    w = Window.partitionBy(*by).orderBy(F.col("_t").desc(), "_side").rowsBetween(Window.unboundedPreceding, 0)  # a row before a right row of its time
+    out = r.unionByName(lt).withColumn("_m", F.last("_r", ignorenulls=True).over(w)).where("_l IS NOT NULL")
+    ok = F.col("_t").isNotNull()
+    if within_days is not None:
+        ok = ok & (F.datediff(F.col(f"_m.{right_on}"), "_t") <= within_days)
+    return out.select("_l.*", *(F.when(ok, F.col(f"_m.{c}")).alias(n) for c, n in zip((right_on, *values), names, strict=True)))
+
+
+def one_to_one(left: DataFrame, right: DataFrame, by: list[str], how: str = "left") -> DataFrame:
+    """The join of both sides by columns, which fails if a key is there twice on either: no row is lost or multiplied unnoticed.
+
+    Rows are counted where they are joined, in the job that uses the result: nothing is read twice, and the job fails with the name of the
+    side. Null keys match nothing and may repeat.
+    """
+    again = lambda df, name: df.withColumn(f"_{name}", F.when(F.greatest(*(F.col(c).isNull() for c in by), F.lit(False)), F.lit(1)).otherwise(F.count("*").over(Window.partitionBy(*by))))
+    both = again(left, "left").join(again(right, "right"), by, how)
+    once = (F.coalesce("_left", F.lit(1)) == 1) & (F.coalesce("_right", F.lit(1)) == 1)
+    checked = both.where(F.when(once, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("not one to one: "), F.when(F.col("_left") > 1, F.lit("left")).otherwise(F.lit("right")), F.lit(" has repeated keys"))).cast("boolean")))
+    return checked.drop("_left", "_right")
+
+
 def asof_calendar(left: DataFrame, right: DataFrame, left_on: str, right_on: str, values: list[str]) -> DataFrame:
     """asof_join() with a series that all keys share, by days: the series is filled forward over the calendar, then joined on the day.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.operators import positions, scoring, valuation
+from tidewell.operators import asof, positions, scoring, valuation
 from tidewell.operators.asof import session_index
 from tidewell.plans import bars_sql as sql
 from tidewell.plans.choices import _CANDIDATES, candidates
@@ -151,6 +151,33 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positions.without_cancelled(c, "kind", "ref", "entry")
 
 
+def settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of each entry of a log with predictions, limits, cancelled and repeated entries."""
+    c = candidates(spark, sf_dir)
+    name = lambda x: F.md5(x.cast("string"))
+    kind = F.when(F.col("id") % 13 == 0, "cancel").when(F.col("id") % 17 == 0, "note").when(F.col("id") % 5 < 2, "sell").when(F.col("id") % 5 == 2, "target").otherwise("buy")
+    log = c.select(
+        name(F.col("id")).alias("entry"), F.col("id").alias("seq"), kind.alias("kind"), F.col("code").alias("key"), F.when((F.col("id") % 5 >= 3) & (F.col("id") % 3 > 0), F.date_sub("day", 3)).alias("pick"), F.when(F.col("id") % 19 > 0, F.col("day")).alias("day"),
+        F.col("p1").alias("price"), F.when(F.col("id") % 2 == 0, F.col("p2")).alias("shares"), (F.col("p3") / 2).alias("percent"), F.when(F.col("id") % 13 == 0, F.substring(name(F.col("id") + 7), 1, (6 + F.col("id") % 9).cast("int"))).alias("ref"),
+    )
+    out = positions.settled_log(log)
+    return out.select("entry", "kind", "key", "issue", "pick", "bought", "price", "shares", "sold", "sold_price", F.size("targets").alias("n_targets"), F.size("entries").alias("n_entries"))
+
+
+def next_opens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first bar of each candidate's key after its day, within five days."""
+    bars = daily_bars(table(spark, sf_dir, "lineitem"))
+    out = asof.next_after(candidates(spark, sf_dir).select("id", "code", "day"), bars.select("code", "day", "o", "c"), ["code"], "day", "day", ["o", "c"], 5)
+    return out.select("id", "next_day", "next_o", "next_c")
+
+
+def outcomes_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates with the volume of their key's bar of that day, each at most once."""
+    bars = daily_bars(table(spark, sf_dir, "lineitem")).select("code", "day", "v")
+    one = candidates(spark, sf_dir).groupBy("code", "day").agg(F.max("id").alias("id"), F.count("*").alias("n"))
+    return asof.one_to_one(one, bars, ["code", "day"]).select("code", "day", "id", "n", "v")
+
+
 def from_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positions.matched_positions(_log(spark, sf_dir), "code", "day", "kind", "entry", "price")
 
@@ -171,7 +198,7 @@ def limit_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "eight_axes": axes, "eight_axes_by_pace": pace_axes, "decision_replay": replay, "day_verdicts": verdicts, "candidate_shapes": shapes, "stored_distribution": stored_positions, "asset_stress": stress, "peer_prices": peers, "availability_reasons": availability, "profit_flow": flows, "freshness": freshness, "run_gate": gate,
-        "positions_from_log": from_log, "limit_paths": limit_paths,
+        "positions_from_log": from_log, "settled_log": settled, "next_opens": next_opens, "joined_one_to_one": outcomes_joined, "limit_paths": limit_paths,
     }
 
 
@@ -192,6 +219,8 @@ e AS (SELECT id, sales, l, unnest(range(1, len(l) + 1)) AS step FROM s WHERE sal
 SELECT id, step, name, round(value + 3e-7, 4) AS value, round(CASE WHEN value <= 0 THEN b WHEN b > value THEN b - value END + 3e-7, 4) AS out, round(CASE WHEN value > 0 AND b < value THEN value - b END + 3e-7, 4) AS gain, value <= 0 AS loss FROM p WHERE worst IS NULL OR worst > 0""",
         "freshness": f"WITH {sql.BARS}, d AS (SELECT day, row_number() OVER (ORDER BY day) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT day FROM bars)), l AS (SELECT code, max(day) AS day FROM bars GROUP BY code) SELECT code, day, n - i AS age, n - i > 2 AS stale FROM l JOIN d USING (day)",
         "run_gate": f"WITH {sql.BARS}, g AS (SELECT unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM bars), s AS (SELECT day, count_if(v > 60) > 0 AS stored FROM bars GROUP BY day), j AS (SELECT g.day, stored IS NOT NULL AS session, max(CASE WHEN stored IS NOT NULL THEN g.day END) OVER w AS ls, max(CASE WHEN stored THEN g.day END) OVER w AS lt FROM g LEFT JOIN s USING (day) WINDOW w AS (ORDER BY g.day)), r AS (SELECT day, CASE WHEN session THEN 'session' WHEN lt IS NULL OR lt < ls THEN 'behind' ELSE 'closed' END AS reason FROM j) SELECT day, reason, reason <> 'closed' AS run FROM r",
+        "next_opens": f"""WITH {_CANDIDATES}, {sql.BARS} SELECT id, CASE WHEN b.day - c.day <= 5 THEN b.day END AS next_day, CASE WHEN b.day - c.day <= 5 THEN o END AS next_o, CASE WHEN b.day - c.day <= 5 THEN b.c END AS next_c FROM c ASOF LEFT JOIN bars b ON b.code = c.code AND b.day > c.day""",
+        "joined_one_to_one": f"WITH {_CANDIDATES}, {sql.BARS}, g AS (SELECT code, day, max(id) AS id, count(*) AS n FROM c GROUP BY 1, 2) SELECT code, day, id, n, v FROM g LEFT JOIN bars USING (code, day)",
         "positions_from_log": f"""WITH RECURSIVE {_LOG}, r AS (
   SELECT code, i, day, entry, price, kind, CASE WHEN kind = 'buy' THEN [entry] ELSE []::BIGINT[] END AS held, NULL::BIGINT AS closes FROM lg WHERE i = 1
   UNION ALL
