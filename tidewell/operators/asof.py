@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import datetime
+from collections.abc import Iterator
 from heapq import heappop, heappush
 
 import pyarrow as pa
@@ -88,34 +88,35 @@ def count_within(df: DataFrame, by: list[str], on: str, days: int, event: Column
 def next_scheduled(left: DataFrame, schedule: DataFrame, by: str, on: str, published: str, due: str, keep: list[str]) -> DataFrame:
     """For each row (keep names its columns): the earliest due date among its key's entries published by then and not yet past.
 
-    Rows and entries of a key meet by year, an entry in each year that it is open in; in each, one pass in the order of time keeps
-    the open entries in a heap by due date. So no row is joined with all entries of its key. Repeated rows count once.
+    Rows and entries of a key meet by year, an entry in each year that it is open in. A task reads its keys and years in the order of time, one
+    after the other, and keeps the open entries of one in a heap by due date: no row is joined with all entries of its key, and
+    no group is gathered. Repeated rows count once.
     """
     rows = left.select(*keep).distinct()
     entries = schedule.where((F.col(published) <= F.col(due)) & F.col(by).isNotNull()).select(F.col(by).alias("_k"), F.col(published).alias("_t"), F.col(due).alias("_due")).distinct()
     entries = entries.withColumn("_y", F.explode(F.sequence(F.year("_t"), F.year("_due")))).withColumn("_row", F.lit(None).cast(rows.select(F.struct("*")).schema[0].dataType))
     asked = rows.select(F.col(by).alias("_k"), F.col(on).alias("_t"), F.lit(None).cast(schedule.schema[due].dataType).alias("_due"), F.year(on).alias("_y"), F.struct("*").alias("_row"))
-    day = StructField("next_due", schedule.schema[due].dataType)
+    shape = StructType([StructField("_row", rows.select(F.struct("*")).schema[0].dataType), StructField("next_due", schedule.schema[due].dataType)])
 
-    def work(group: pa.Table) -> pa.Table:
-        times, dues = group["_t"].to_pylist(), group["_due"].to_pylist()
-        last = datetime.date.max
-        order = sorted(range(len(times)), key=lambda i: (times[i] or last, dues[i] is None))  # an entry before the rows of its day
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened: list = []
-        found: list = [None] * len(times)
-        for i in order:
-            if dues[i] is not None:
-                heappush(opened, dues[i])
-            elif times[i] is not None:
-                while opened and opened[0] < times[i]:
+        place: object = ()
+        for batch in batches:
+            found: list = []
+            for key, year, at, until in zip(*(batch[c].to_pylist() for c in ("_k", "_y", "_t", "_due")), strict=True):
+                if (key, year) != place:
+                    place, opened = (key, year), []
+                if until is not None:
+                    heappush(opened, until)
+                    continue
+                while at is not None and opened and opened[0] < at:
                     heappop(opened)
-                found[i] = opened[0] if opened else None
-        asked = pa.array([d is None for d in dues])
-        return pa.Table.from_arrays([group["_row"].filter(asked), pa.array(found, group["_due"].type).filter(asked)], names=["_row", "next_due"])
+                found.append(opened[0] if at is not None and opened else None)
+            yield pa.RecordBatch.from_arrays([batch["_row"].filter(batch["_due"].is_null()), pa.array(found, batch["_due"].type)], names=["_row", "next_due"])
 
     ship(left.sparkSession)
-    out = asked.unionByName(entries).groupBy("_k", "_y").applyInArrow(work, StructType([StructField("_row", rows.select(F.struct("*")).schema[0].dataType), day]))
-    return out.select("_row.*", "next_due")
+    both = asked.unionByName(entries).repartition("_k", "_y").sortWithinPartitions("_k", "_y", "_t", F.col("_due").isNull())  # an entry before the rows of its day
+    return both.mapInArrow(scan, shape).select("_row.*", "next_due")
 
 
 def within_intervals(rows: DataFrame, intervals: DataFrame, by: str, on: str, start: str, end: str) -> DataFrame:

@@ -5,18 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.operators.rank import average_rank
+
+def running_sums(per: DataFrame, by: list[str], score: str, sums: list[str], descending: bool = False, ranges: int = 500) -> DataFrame:
+    """per, which has a row for each score of a group, with upto_<c>: the sums over the scores up to and with this one, in their order.
+
+    Scores are put into ranges by quantiles; sums within a range are added to those of the ranges before, so that no task holds all
+    scores, also where there are no groups.
+    """
+    x = F.col(score).cast("double")
+    edges = sorted(set(per.agg(F.percentile_approx(x, [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] or []))
+    slot = F.size(F.filter(F.array(*(F.lit(float(e)) for e in edges)), lambda e: e < x)) if edges else F.lit(0)
+    sign = -1 if descending else 1
+    per = per.withColumn("_slot", sign * slot)
+    inside = Window.partitionBy(*by, "_slot").orderBy(F.col(score).desc() if descending else F.col(score)).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    before = per.groupBy(*by, "_slot").agg(*(F.sum(c).alias(f"_{c}") for c in sums)).select(*(F.col(k).alias(f"_b_{k}") for k in (*by, "_slot")), *(F.coalesce(F.sum(f"_{c}").over(ahead), F.lit(0)).alias(f"_before_{c}") for c in sums))
+    both = per.withColumns({f"_in_{c}": F.sum(c).over(inside) for c in sums}).join(before, [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in (*by, "_slot")])
+    return both.select(*(c for c in per.columns if c != "_slot"), *((F.col(f"_before_{c}") + F.col(f"_in_{c}")).alias(f"upto_{c}") for c in sums))
 
 
 def auc(df: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
-    """by with n, n_pos and auc (ties half), null where a class is missing."""
-    d = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).withColumn("_g", F.lit(0))
-    d = d.withColumn("_r", average_rank([*by, "_g"], score))
-    pos = F.sum(F.col(label).cast("long"))
-    out = d.groupBy(*by, "_g").agg(F.count("*").alias("n"), pos.alias("n_pos"), F.sum(F.when(F.col(label) == 1, F.col("_r"))).alias("_s"))
-    wins = F.col("_s") - F.col("n_pos") * (F.col("n_pos") + 1) / 2
+    """by with n, n_pos and auc (ties half), null where a class is missing. Rows are summed by score first; then see running_sums()."""
+    d = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    ones = F.sum((F.col(label) == 1).cast("long"))
+    per = d.groupBy(*by, score).agg(F.count("*").alias("_n"), F.sum(F.col(label).cast("long")).alias("_p"), ones.alias("_one")).withColumn("_zero", F.col("_n") - F.col("_one"))
+    per = running_sums(per, by, score, ["_zero"])
+    wins = F.sum(F.col("_one") * (F.col("upto__zero") - F.col("_zero") / 2))
+    out = per.groupBy(*by).agg(F.sum("_n").alias("n"), F.sum("_p").alias("n_pos"), wins.alias("_s"))
     pairs = F.col("n_pos") * (F.col("n") - F.col("n_pos"))
-    return out.select(*by, "n", "n_pos", F.when(pairs > 0, wins).alias("wins"), pairs.alias("pairs"), F.when(pairs > 0, wins / pairs).alias("auc"))
+    return out.select(*by, "n", "n_pos", F.when(pairs > 0, F.col("_s")).alias("wins"), pairs.alias("pairs"), F.when(pairs > 0, F.col("_s") / pairs).alias("auc"))
 
 
 def pooled_auc(df: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
@@ -25,11 +42,10 @@ def pooled_auc(df: DataFrame, by: list[str], score: str, label: str) -> DataFram
 
 
 def average_precision(df: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
-    """Area under the step curve of precision and recall, tied scores taken together."""
+    """Area under the step curve of precision and recall, tied scores taken together (running_sums())."""
     per = df.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count("*").alias("_n"), F.sum(F.col(label).cast("long")).alias("_p"))
-    w = Window.partitionBy(*by).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    curve = per.select(*by, "_p", F.sum("_n").over(w).alias("_cn"), F.sum("_p").over(w).alias("_cp"))
-    return curve.groupBy(*by).agg((F.sum(F.col("_p") * F.col("_cp") / F.col("_cn")) / F.sum("_p")).alias("average_precision"))
+    curve = running_sums(per, by, score, ["_n", "_p"], descending=True)
+    return curve.groupBy(*by).agg((F.sum(F.col("_p") * F.col("upto__p") / F.col("upto__n")) / F.sum("_p")).alias("average_precision"))
 
 
 def ndcg(df: DataFrame, by: list[str], score: str, gain: str, k: int, tie: str) -> DataFrame:

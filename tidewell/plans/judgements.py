@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.operators import evaluate, judge, rank, simulate
+from tidewell.operators import evaluate, judge, learners, rank, simulate
 from tidewell.plans import bars_sql as sql
 from tidewell.plans.choices import _CANDIDATES, candidates
 from tidewell.sources.tables import daily_bars, table
@@ -86,6 +86,24 @@ def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.floor(F.col("s") * 10).alias("band"), simulate.calibrated(F.col("s"), points).alias("chance")).groupBy("band").agg(F.count("*").alias("n"), F.min("chance").alias("low"), F.max("chance").alias("high")).select("band", "n", _r("low"), _r("high"))
 
 
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of candidates by three rounds of k-means on two scores: size, rate of the label, and mean scores."""
+    c = candidates(spark, sf_dir)
+    centres = learners.kmeans(c, ["p1", "p2"], "id", 8, 3)
+    return c.withColumn("cell", learners.nearest_centre(["p1", "p2"], centres)).groupBy("cell").agg(F.count("*").alias("n"), F.avg("label").alias("rate"), F.avg("p1").alias("p1"), F.avg("p2").alias("p2")).select("cell", "n", _r("rate"), _r("p1"), _r("p2"))
+
+
+def _cells_sql() -> str:
+    step = lambda i: f"a{i} AS (SELECT c.id, min({{'d': pow(c.p1 - e.x, 2) + pow(c.p2 - e.y, 2), 'e': e.e}}).e AS e FROM c, e{i} e GROUP BY c.id), e{i + 1} AS (SELECT e.e, coalesce(n.x, e.x) AS x, coalesce(n.y, e.y) AS y FROM e{i} e LEFT JOIN (SELECT e, avg(p1) AS x, avg(p2) AS y FROM a{i} JOIN c USING (id) GROUP BY e) n USING (e))"
+    return f"WITH {_CANDIDATES}, e0 AS (SELECT row_number() OVER (ORDER BY md5('0:' || id)) - 1 AS e, p1 AS x, p2 AS y FROM c QUALIFY e < 8), {step(0)}, {step(1)}, {step(2)}, {step(3)} SELECT e AS cell, count(*) AS n, round(avg(label) + 3e-9, 6) AS rate, round(avg(p1) + 3e-9, 6) AS p1, round(avg(p2) + 3e-9, 6) AS p2 FROM a3 JOIN c USING (id) GROUP BY e"
+
+
+def chances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chances of the label by a logit on four columns, fitted outside of each row's fold."""
+    c = candidates(spark, sf_dir).withColumns({"fold": F.col("id") % 5, "year": F.year("day")})
+    return learners.out_of_fold_chances(c, "fold", ["p1", "p3", "score", "year"], "label").select("id", "fold", _r("oof"))
+
+
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge.cluster_error(candidates(spark, sf_dir), ["grp"], "p3", "code").select("grp", "n", "clusters", _r("mean"), _r("error"))
 
@@ -128,7 +146,7 @@ def baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "sign_tests": signs, "holdout_split": holdout, "stratified_folds": strata, "time_series_folds": time_folds, "evaluation_report": reported, "bootstrap_interval": bootstrap_interval, "paired_bootstrap": paired, "bootstrap_observed": observed, "band_lookup": bands, "consensus_percentile": consensus, "calibration_bands": calibration,
+        "sign_tests": signs, "holdout_split": holdout, "stratified_folds": strata, "time_series_folds": time_folds, "evaluation_report": reported, "bootstrap_interval": bootstrap_interval, "paired_bootstrap": paired, "bootstrap_observed": observed, "band_lookup": bands, "consensus_percentile": consensus, "calibration_bands": calibration, "kmeans_cells": cells, "out_of_fold_chances": chances,
         "cluster_errors": clusters, "distribution_areas": areas, "fitted_transforms": transforms, "unusual_rows": odd_rows, "exit_rule": exit_rule, "held_states": states, "stratified_evaluation": in_strata, "rule_baselines": baselines,
     }
 
@@ -149,6 +167,7 @@ def oracle_sql() -> dict[str, str]:
     c = f"WITH {_CANDIDATES}"
     lift = lambda p: f"{_rounded(f'precision_{p}', f'precision_{p}')}, {_rounded(f'precision_{p} / base', f'lift_{p}')}"
     return {
+        "kmeans_cells": _cells_sql(),
         "sign_tests": f"{c}, m AS (SELECT date_trunc('month', day)::DATE AS month, count_if(p1 > p3) AS wins, count_if(p1 < p3) AS losses FROM c WHERE p3 IS NOT NULL GROUP BY 1) SELECT month, wins, losses, {_rounded('least(1, 2 * list_sum(list_transform(range(greatest(wins, losses)::BIGINT, (wins + losses + 1)::BIGINT), lambda i: exp(lgamma(wins + losses + 1) - lgamma(i + 1) - lgamma(wins + losses - i + 1) - (wins + losses) * ln(2)))))', 'p')} FROM m",
         "holdout_split": f"{c}, b AS (SELECT (max(day) - INTERVAL 12 MONTH)::DATE AS t FROM c) SELECT CASE WHEN day >= t THEN 'test' WHEN day > t - 87 THEN 'embargo' ELSE 'train' END AS part, count(*) AS n, min(day) AS first, max(day) AS last FROM c, b GROUP BY 1",
         "stratified_folds": f"{c}, k AS (SELECT id, label, year(day)::INTEGER AS year, floor(score / 20000)::BIGINT AS band FROM c), s AS (SELECT id, CASE WHEN count(*) OVER (PARTITION BY label, year, band) >= 5 THEN '0|' || label || '|' || year || '|' || band WHEN count(*) OVER (PARTITION BY label, year) >= 5 THEN '1|' || label || '|' || year ELSE '2|' || label END AS stratum FROM k) SELECT id, stratum, (row_number() OVER (PARTITION BY stratum ORDER BY md5('0:' || id), id) - 1) % 5 AS fold FROM s",
