@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.functions.scalar import clip_to_null, symmetric_change
+
 
 def latest_version(facts: DataFrame, key: list[str], by: list[str]) -> DataFrame:
     """One row for each key: the last by the columns ``by``."""
@@ -101,3 +103,31 @@ def split_adjusted(df: DataFrame, key: str, on: str, price: str, factor: str) ->
     """df with adjusted: the price times the product of all later factors of its key (null factors are 1)."""
     w = Window.partitionBy(key).orderBy(F.col(on).desc()).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn("adjusted", F.col(price) * F.coalesce(F.product(F.coalesce(F.col(factor), F.lit(1.0))).over(w), F.lit(1.0)))
+
+
+def book_ratios(panel: DataFrame, entity: str, year: str, quarter: str, disclosed: str, factor: Column | None = None) -> DataFrame:
+    """panel with what an entity's disclosures say about cash, flows, growth from within, dividends and shares; null where a part is missing.
+
+    panel: cash, cfo, cfi, cff (since the year's start), roe and payout (percent), sales_ttm, equity, dps, bps, shares, and standard (the
+    accounting standard). factor brings shares and bps to today's units (the splits since the disclosure). cash_last is the last cash of
+    this and the three disclosures before; cash_chg1 and cash_chg2 its symmetric change on the one known before, and that one's own.
+    Changes on the year go to the same quarter of the entity's fiscal year before among those that it has; _p1 is the same a year earlier.
+    """
+    f = F.lit(1.0) if factor is None else F.coalesce(factor.cast("double"), F.lit(1.0))
+    by, same = Window.partitionBy(entity).orderBy(disclosed, year, quarter), Window.partitionBy(entity, quarter).orderBy(year)
+    recent = lambda c: F.last(c, ignorenulls=True).over(by.rowsBetween(-3, 0))
+    known = Window.partitionBy(entity, F.col("cash").isNull()).orderBy(disclosed, year, quarter)
+    earlier = lambda k: F.when(F.col("cash").isNotNull(), F.lag("cash", k).over(known))
+    growth, turnover = F.col("roe") * (1 - F.col("payout") / 100), F.when(F.col("equity") > 0, F.col("sales_ttm") / F.col("equity"))
+    out = panel.withColumns({"_c1": earlier(1), "_c2": earlier(2), "sustainable_growth": clip_to_null(growth, -500, 500), "equity_turnover": clip_to_null(turnover, 0, 100), "_shares": F.col("shares") * f, "_bps": F.col("bps") / f, "_fcf": F.col("cfo") + F.col("cfi")})
+    out = out.withColumns({"cash_last": recent("cash"), "_c1": recent("_c1"), "_c2": recent("_c2")})
+    new = {"cash_chg1": symmetric_change(F.col("cash_last"), F.col("_c1")), "cash_chg2": symmetric_change(F.col("_c1"), F.col("_c2"))}
+    for c in ("sustainable_growth", "equity_turnover"):
+        new |= {f"{c}_chg1": F.col(c) - F.lag(c).over(by), f"{c}_chg2": F.lag(c).over(by) - F.lag(c, 2).over(by)}
+    back = lambda c, k: F.lag(c, k).over(same) if k else F.col(c)
+    for c, name in (("cfo", "cfo"), ("_fcf", "fcf"), ("cfi", "cfi"), ("cff", "cff"), ("dps", "dividend")):
+        new |= {f"{name}_yoy{p}": symmetric_change(back(c, k), back(c, k + 1)) for k, p in ((0, ""), (1, "_p1"))}
+    for c, name, low, high in (("_bps", "bps", -100, 300), ("_shares", "shares", -50, 200)):
+        new |= {f"{name}_yoy{p}": clip_to_null(F.when(back(c, k + 1) > 0, (back(c, k) - back(c, k + 1)) / back(c, k + 1) * 100), low, high) for k, p in ((0, ""), (1, "_p1"))}
+    new |= {"dividend_up": (F.col("dps") > F.lag("dps").over(same)).cast("double"), "foreign_standard": F.when(F.col("standard").isin("JP", "IFRS", "US", "Foreign"), (F.col("standard") != "JP").cast("double"))}
+    return out.withColumns(new).drop("_c1", "_c2", "_shares", "_bps", "_fcf")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.operators import feeds, panel, windows
+from tidewell.operators import facts, feeds, panel, windows
 from tidewell.operators.asof import asof_calendar, asof_join
 from tidewell.operators.facts import known_at
 from tidewell.plans import bars_sql as sql
@@ -182,6 +182,41 @@ def credit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("code", "day", F.round(F.col("long") / F.when(F.col("short") > 0, F.col("short")) + 3e-9, 6).alias("ratio"))
 
 
+_BOOK = ("cash_last", "cash_chg1", "cash_chg2", "sustainable_growth", "sustainable_growth_chg1", "sustainable_growth_chg2", "equity_turnover", "equity_turnover_chg1", "equity_turnover_chg2", *(f"{c}_yoy{p}" for c in ("cfo", "fcf", "cfi", "cff", "dividend", "bps", "shares") for p in ("", "_p1")), "dividend_up", "foreign_standard")
+
+
+def book_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cash, flows, dividends and shares of quarterly disclosures made of each customer's orders."""
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("entity"), F.year("o_orderdate").alias("fy"), F.quarter("o_orderdate").alias("q")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("x"), F.count("*").cast("double").alias("n"), F.max("o_orderkey").alias("k"))
+    p = o.select(
+        "entity", "fy", "q", F.date_add(F.make_date("fy", F.col("q") * 3, F.lit(28)), 40).alias("disclosed"), F.when(F.col("q") % 2 == 0, F.col("x")).alias("cash"), (F.col("x") / 10 - 20000).alias("cfo"), F.when(F.col("k") % 5 > 0, 9000 - F.col("x") / 20).alias("cfi"), (F.col("n") * 1000 - 2500).alias("cff"),
+        (F.col("x") / 10000).alias("roe"), F.when(F.col("k") % 4 > 0, F.col("k") % 90).alias("payout"), (F.col("x") * 4).alias("sales_ttm"), (F.col("x") - 50000).alias("equity"), (F.col("k") % 7).cast("double").alias("dps"), (F.col("x") / 100).alias("bps"), (F.col("n") * 100).alias("shares"),
+        F.element_at(F.array(F.lit("JP"), F.lit("IFRS"), F.lit("US"), F.lit("other")), (F.col("k") % 4 + 1).cast("int")).alias("standard"), F.when(F.col("fy") < 1995, 2.0).alias("splits"),
+    )
+    out = facts.book_ratios(p, "entity", "fy", "q", "disclosed", F.col("splits"))
+    return out.select("entity", "fy", "q", *(_r(c, 5) for c in _BOOK))
+
+
+def _book_sql() -> str:
+    sym = lambda a, b: f"CASE WHEN abs({a}) + abs({b}) > 0 THEN ({a} - {b}) / (abs({a}) + abs({b})) * 100 END"
+    back = lambda c, k: f"lag({c}, {k}) OVER y" if k else c
+    clip = lambda x, low, high: f"CASE WHEN {x} BETWEEN {low} AND {high} THEN {x} END"
+    new = {"cash_last": "cash_last", "cash_chg1": sym("cash_last", "c1"), "cash_chg2": sym("c1", "c2")}
+    for c in ("sustainable_growth", "equity_turnover"):
+        new |= {c: c, f"{c}_chg1": f"{c} - lag({c}) OVER d", f"{c}_chg2": f"lag({c}) OVER d - lag({c}, 2) OVER d"}
+    for c, name in (("cfo", "cfo"), ("fcf", "fcf"), ("cfi", "cfi"), ("cff", "cff"), ("dps", "dividend")):
+        new |= {f"{name}_yoy{p}": sym(back(c, k), back(c, k + 1)) for k, p in ((0, ""), (1, "_p1"))}
+    for c, low, high in (("bps", -100, 300), ("shares", -50, 200)):
+        new |= {f"{c}_yoy{p}": clip(f"(CASE WHEN {back(c, k + 1)} > 0 THEN ({back(c, k)} - {back(c, k + 1)}) / ({back(c, k + 1)}) * 100 END)", low, high) for k, p in ((0, ""), (1, "_p1"))}
+    new |= {"dividend_up": "(dps > lag(dps) OVER y)::INT::DOUBLE", "foreign_standard": "CASE WHEN k % 4 < 3 THEN (k % 4 > 0)::INT::DOUBLE END"}
+    return f"""
+WITH o AS (SELECT o_custkey AS entity, year(o_orderdate)::INTEGER AS fy, quarter(o_orderdate)::INTEGER AS q, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS x, count(*)::DOUBLE AS n, max(o_orderkey) AS k FROM orders GROUP BY ALL),
+p AS (SELECT entity, fy, q, k, (make_date(fy, q * 3, 28) + 40)::DATE AS t, CASE WHEN q % 2 = 0 THEN x END AS cash, x / 10 - 20000 AS cfo, CASE WHEN k % 5 > 0 THEN 9000 - x / 20 END AS cfi, n * 1000 - 2500 AS cff, {clip('(x / 10000 * (1 - CASE WHEN k % 4 > 0 THEN k % 90 END / 100::DOUBLE))', -500, 500)} AS sustainable_growth, {clip('(CASE WHEN x > 50000 THEN x * 4 / (x - 50000) END)', 0, 100)} AS equity_turnover, (k % 7)::DOUBLE AS dps, x / 100 / CASE WHEN fy < 1995 THEN 2 ELSE 1 END AS bps, n * 100 * CASE WHEN fy < 1995 THEN 2 ELSE 1 END AS shares FROM o),
+l AS (SELECT *, cfo + cfi AS fcf, CASE WHEN cash IS NOT NULL THEN lag(cash) OVER w END AS l1, CASE WHEN cash IS NOT NULL THEN lag(cash, 2) OVER w END AS l2 FROM p WINDOW w AS (PARTITION BY entity, cash IS NULL ORDER BY t, fy, q)),
+m AS (SELECT *, last_value(cash IGNORE NULLS) OVER f AS cash_last, last_value(l1 IGNORE NULLS) OVER f AS c1, last_value(l2 IGNORE NULLS) OVER f AS c2 FROM l WINDOW f AS (PARTITION BY entity ORDER BY t, fy, q ROWS BETWEEN 3 PRECEDING AND CURRENT ROW))
+SELECT entity, fy, q, {', '.join(f'round({new[c]} + 3e-9, 5) AS {c}' for c in _BOOK)} FROM m WINDOW d AS (PARTITION BY entity ORDER BY t, fy, q), y AS (PARTITION BY entity, q ORDER BY fy)"""
+
+
 def price_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price, its share of the highest close of 100 rows, turnover and volume trend of each key as of a day."""
     f = panel.bars_frames()
@@ -210,6 +245,7 @@ def known_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "book_ratios": book_ratios,
         "large_holdings": large_holdings, "buy_flags": flags, "major_holders": major_holders, "cross_holdings": cross_holdings, "short_ratio": short_ratio, "forecast_revisions": revisions, "disclosure_timing": timing, "annual_filings": filings, "capital_efficiency": capital, "relative_position": relative,
         "progress_benchmark": benchmark, "trailing_year_known": ttm, "credit_as_of": credit, "price_metrics_as_of": price_metrics, "event_timeline": timeline, "facts_known_by_year": known_facts,
     }
@@ -221,6 +257,7 @@ def oracle_sql() -> dict[str, str]:
     last = lambda e, columns: f"x AS (SELECT rw.id, rw.code, rw.day, e.ad, {columns} FROM rw ASOF LEFT JOIN {e} e ON e.code = rw.code AND e.ad <= rw.day)"
     holders = "SELECT o.code, o.day AS ad, max(h.n) AS n_holders, max(h.t) AS total FROM (SELECT l_orderkey, count(*) FILTER (WHERE l_quantity > 3) AS n, sum(l_quantity) FILTER (WHERE l_quantity > 3) AS t FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1) h JOIN c o ON o.id = l_orderkey WHERE o.grp <> '5-LOW' GROUP BY 1, 2"
     return {
+        "book_ratios": _book_sql(),
         "large_holdings": f"WITH {_FEED}, {last('ev', 'e.ratio, e.before')} SELECT id, day - ad AS days, ratio, {_rounded('ratio - before', 'change')}, {count('ev', 60).replace('rw.', 'x.')} AS n_60, {count('ev', 250).replace('rw.', 'x.')} AS n_250 FROM x",
         "buy_flags": f"WITH {_FEED} SELECT id, CASE WHEN day >= DATE '1996-01-01' THEN ({count('ev', 20)} > 0)::INT END AS buy_20, CASE WHEN day >= DATE '1996-01-01' THEN ({count('ev', 60)} > 0)::INT END AS buy_60 FROM rw",
         "major_holders": f"WITH {_FEED}, mh AS ({holders}), {last('mh', 'e.n_holders, e.total')} SELECT id, day - ad AS days, n_holders, total FROM x",
