@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.operators import evaluate, judge, learners, rank, simulate
+from tidewell.operators import edges, evaluate, judge, learners, rank, simulate
 from tidewell.plans import bars_sql as sql
 from tidewell.plans.choices import _CANDIDATES, candidates
 from tidewell.sources.tables import daily_bars, table
@@ -86,6 +86,25 @@ def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.floor(F.col("s") * 10).alias("band"), simulate.calibrated(F.col("s"), points).alias("chance")).groupBy("band").agg(F.count("*").alias("n"), F.min("chance").alias("low"), F.max("chance").alias("high")).select("band", "n", _r("low"), _r("high"))
 
 
+def _edge(spark: SparkSession, sf_dir: str, draws: int) -> DataFrame:
+    c = candidates(spark, sf_dir).withColumn("gain", F.col("p1") + F.col("score") / 10000)
+    return edges.edge_draws(c, "day", "score", "gain", 5.0, draws)
+
+
+def edge_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the best 5 % by score have over all in the median, and the interval of 200 draws of days."""
+    return judge.interval(_edge(spark, sf_dir, 201).where("draw > 0"), "diff")
+
+
+def edge_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edge(spark, sf_dir, 1).select("n", _r("top_median"), _r("all_median"), _r("diff"))
+
+
+_EDGE = f"""
+WITH {_CANDIDATES}, g AS (SELECT score, p1 + score / 10000 AS gain FROM c), t AS (SELECT * FROM g QUALIFY row_number() OVER (ORDER BY score DESC) <= (SELECT floor(count(*) * 0.05::DOUBLE + 1e-9) FROM g))
+SELECT count(*) AS n, round((SELECT median(gain) FROM t) + 3e-9, 6) AS top_median, round(median(gain) + 3e-9, 6) AS all_median, round((SELECT median(gain) FROM t) - median(gain) + 3e-9, 6) AS diff FROM g"""
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of candidates by three rounds of k-means on two scores: size, rate of the label, and mean scores."""
     c = candidates(spark, sf_dir)
@@ -146,7 +165,7 @@ def baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "sign_tests": signs, "holdout_split": holdout, "stratified_folds": strata, "time_series_folds": time_folds, "evaluation_report": reported, "bootstrap_interval": bootstrap_interval, "paired_bootstrap": paired, "bootstrap_observed": observed, "band_lookup": bands, "consensus_percentile": consensus, "calibration_bands": calibration, "kmeans_cells": cells, "out_of_fold_chances": chances,
+        "sign_tests": signs, "holdout_split": holdout, "stratified_folds": strata, "time_series_folds": time_folds, "evaluation_report": reported, "bootstrap_interval": bootstrap_interval, "paired_bootstrap": paired, "bootstrap_observed": observed, "band_lookup": bands, "consensus_percentile": consensus, "calibration_bands": calibration, "kmeans_cells": cells, "edge_interval": edge_interval, "edge_observed": edge_observed, "out_of_fold_chances": chances,
         "cluster_errors": clusters, "distribution_areas": areas, "fitted_transforms": transforms, "unusual_rows": odd_rows, "exit_rule": exit_rule, "held_states": states, "stratified_evaluation": in_strata, "rule_baselines": baselines,
     }
 
@@ -168,6 +187,7 @@ def oracle_sql() -> dict[str, str]:
     lift = lambda p: f"{_rounded(f'precision_{p}', f'precision_{p}')}, {_rounded(f'precision_{p} / base', f'lift_{p}')}"
     return {
         "kmeans_cells": _cells_sql(),
+        "edge_observed": _EDGE,
         "sign_tests": f"{c}, m AS (SELECT date_trunc('month', day)::DATE AS month, count_if(p1 > p3) AS wins, count_if(p1 < p3) AS losses FROM c WHERE p3 IS NOT NULL GROUP BY 1) SELECT month, wins, losses, {_rounded('least(1, 2 * list_sum(list_transform(range(greatest(wins, losses)::BIGINT, (wins + losses + 1)::BIGINT), lambda i: exp(lgamma(wins + losses + 1) - lgamma(i + 1) - lgamma(wins + losses - i + 1) - (wins + losses) * ln(2)))))', 'p')} FROM m",
         "holdout_split": f"{c}, b AS (SELECT (max(day) - INTERVAL 12 MONTH)::DATE AS t FROM c) SELECT CASE WHEN day >= t THEN 'test' WHEN day > t - 87 THEN 'embargo' ELSE 'train' END AS part, count(*) AS n, min(day) AS first, max(day) AS last FROM c, b GROUP BY 1",
         "stratified_folds": f"{c}, k AS (SELECT id, label, year(day)::INTEGER AS year, floor(score / 20000)::BIGINT AS band FROM c), s AS (SELECT id, CASE WHEN count(*) OVER (PARTITION BY label, year, band) >= 5 THEN '0|' || label || '|' || year || '|' || band WHEN count(*) OVER (PARTITION BY label, year) >= 5 THEN '1|' || label || '|' || year ELSE '2|' || label END AS stratum FROM k) SELECT id, stratum, (row_number() OVER (PARTITION BY stratum ORDER BY md5('0:' || id), id) - 1) % 5 AS fold FROM s",
