@@ -140,7 +140,10 @@ def test_zipped_csv_and_gzip(spark, tmp_path):
         z.writestr("facts_2.csv", "n,code\n7,1303\n")
         z.writestr("readme.txt", "code,n,x\n1,1,1\n")
     (tmp_path / "b.zip").write_bytes(b"not an archive")
-    got = sorted((r.member, r.code, r.n, r.x) for r in files.zipped_csv(spark, f"file://{tmp_path}/*.zip", SCHEMA, "facts_*.csv").collect())
+    (tmp_path / "c.zip").write_bytes((tmp_path / "a.zip").read_bytes().replace(b"1301,5,2.5", b"1301,5,2.6"))
+    read = files.zipped_csv(spark, f"file://{tmp_path}/*.zip", SCHEMA, "facts_*.csv").collect()
+    assert sorted((r.file[-5:], r.member, r.problem) for r in read if r.problem) == [("b.zip", None, "broken archive"), ("c.zip", "facts_1.csv", "BadZipFile")]
+    got = sorted((r.member, r.code, r.n, r.x) for r in read if r.problem is None and r.file.endswith("a.zip"))
     assert got == [("facts_1.csv", "1301", 5, 2.5), ("facts_1.csv", "1302", None, None), ("facts_2.csv", "1303", 7, None)]
     whole = io.BytesIO()
     with gzip.GzipFile(fileobj=whole, mode="wb") as f:

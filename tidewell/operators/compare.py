@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.frames import Frames
+from tidewell.operators.profile import value_area
 from tidewell.operators.quantiles import percentiles
 
 
-def profile_windows(trades: DataFrame, bars: DataFrame, key: str, on: str, price: str, shares: str, spans: tuple[int, ...], width: float) -> DataFrame:
+def profile_windows(trades: DataFrame, bars: DataFrame, key: str, on: str, price: str, shares: str, spans: tuple[int, ...], width: float, area: float | None = None) -> DataFrame:
     """For each bar and span of its key's sessions up to it: shares, vwap, poc (middle of the fullest bin, the lower of two), and the share above and within 2 % of the close.
 
+    With ``area`` also value_low and value_high (value_area()), poc_share in percent and c, the close.
+
     Shares are summed by bin and session first; a session's bins then count in the windows of its key that hold it, at most the longest span. Sessions
     are the key's own bars; a window that is not full has no row.
     """
@@ -28,7 +31,39 @@ def profile_windows(trades: DataFrame, bars: DataFrame, key: str, on: str, price
     near = (middle >= F.col("_c") * 0.98) & (middle <= F.col("_c") * 1.02)
     total = F.sum("_s")
     poc = F.max(F.struct(F.col("_s").alias("s"), (-F.col("_b")).alias("b")))
-    return per.groupBy(key, on, "span").agg(total.alias("shares"), (F.sum("_a") / total).alias("vwap"), ((-poc["b"] + 0.5) * width).alias("poc"), (F.sum(F.when(middle > F.col("_c"), F.col("_s")).otherwise(0)) / total * 100).alias("above"), (F.sum(F.when(near, F.col("_s")).otherwise(0)) / total * 100).alias("near"))
+    found = [total.alias("shares"), (F.sum("_a") / total).alias("vwap"), ((-poc["b"] + 0.5) * width).alias("poc"), (F.sum(F.when(middle > F.col("_c"), F.col("_s")).otherwise(0)) / total * 100).alias("above"), (F.sum(F.when(near, F.col("_s")).otherwise(0)) / total * 100).alias("near")]
+    if area is None:
+        return per.groupBy(key, on, "span").agg(*found)
+    listed = F.sort_array(F.collect_list(F.struct(F.col("_b").alias("bin"), F.col("_s").cast("double").alias("s")))).alias("_bins")  # the bins of one window
+    out = per.groupBy(key, on, "span").agg(*found, listed, (-poc["b"]).alias("_p"), poc["s"].alias("_held"), F.first("_c").alias("c"))
+    out = out.withColumn("_va", value_area("_bins", F.col("_p"), F.col("_held"), F.col("shares"), area))
+    return out.select(key, on, "span", "shares", "vwap", "poc", "above", "near", (F.col("_va.lo") * width).alias("value_low"), ((F.col("_va.hi") + 1) * width).alias("value_high"), (F.col("_held") / F.col("shares") * 100).alias("poc_share"), "c")
+
+
+#: What profile_features() says of each window, and the parts of a session.
+PROFILE_METRICS = ("poc_gap", "vwap_gap", "value_low_gap", "value_high_gap", "poc_share", "above_close_share", "near_close_share")
+SESSION_PARTS = ("opening", "morning", "afternoon", "closing")
+
+
+def profile_features(trades: DataFrame, sessions: DataFrame, bars: DataFrame, key: str, on: str, price: str, shares: str, spans: tuple[int, ...], width: float, area: float = 0.7) -> DataFrame:
+    """A row for each bar: of its profile over each span of sessions (profile_windows()) eleven features, named <feature>_<span>d.
+
+    Gaps of poc, vwap and the value area's ends to the close, the shares of the fullest bin, over and near the close, and the shares that traded at
+    the opening, in the morning, in the afternoon and at the close (auction_sessions()), all as parts of 1. A span of which a
+    session has no trades or an invalid one has none.
+    """
+    f = Frames(key, order=on)
+    day = bars.select(key, on).join(sessions.where("status = 'ok'").select(key, on, *SESSION_PARTS), [key, on], "left")
+    day = f.roll(day, **{f"_{part}_{n}": (F.col(part), n, F.sum) for n in spans for part in SESSION_PARTS})
+    windows = profile_windows(trades, bars, key, on, price, shares, spans, width, area)
+    gap = lambda c: F.col(c) / F.col("c") - 1
+    each = windows.select(key, on, "span", gap("poc").alias("poc_gap"), gap("vwap").alias("vwap_gap"), gap("value_low").alias("value_low_gap"), gap("value_high").alias("value_high_gap"), *((F.col(c) / 100).alias(n) for c, n in (("poc_share", "poc_share"), ("above", "above_close_share"), ("near", "near_close_share"))))
+    wide = each.groupBy(key, on).agg(*(F.max(F.when(F.col("span") == n, F.col(m))).alias(f"_{m}_{n}") for n in spans for m in PROFILE_METRICS))
+    out = day.join(wide, [key, on], "left")
+    whole = {n: sum((F.col(f"_{part}_{n}") for part in SESSION_PARTS), F.lit(0.0)) for n in spans}  # null unless all sessions are there
+    columns = [F.when(whole[n] > 0, F.col(f"_{m}_{n}")).alias(f"{m}_{n}d") for n in spans for m in PROFILE_METRICS]
+    columns += [F.when(whole[n] > 0, F.col(f"_{part}_{n}") / whole[n]).alias(f"{part}_share_{n}d") for n in spans for part in SESSION_PARTS]
+    return out.select(key, on, *columns)
 
 
 def reconciled(profile: DataFrame, bars: DataFrame, keys: list[str]) -> DataFrame:

@@ -229,6 +229,38 @@ def correlated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe.correlations(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]).select("a", "b", _r("r"))
 
 
+def auctions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as trades of their user: what traded in auctions and between them, with a closing auction that moves on 20 January."""
+    t = _ticks(spark, sf_dir).withColumns({"price": F.col("value") + 1, "lot": F.when(F.col("event_id") % 97 > 0, F.col("k"))})
+    out = profile.auction_sessions(t, "user_id", "ts", "price", "lot", "event_id", None, "2024-01-20", (200.0, 2000.0))
+    return out.select("user_id", "day", "status", "opening", "morning", "afternoon", "closing", *(_r(f"{c}_amount") for c in ("small", "medium", "large")), "n_small", "n_medium", "n_large")
+
+
+_AUCTIONS = """
+WITH t AS (SELECT user_id, event_id AS o, ts, ts::DATE AS day, hour(ts) * 60 + minute(ts) AS m, value + 1 AS p, CASE WHEN event_id % 97 > 0 THEN json_extract(props, '$.k')::DOUBLE END AS s FROM events),
+h AS (SELECT *, m < 720 AS am, CASE WHEN day >= DATE '2024-01-20' THEN 925 ELSE 900 END AS e FROM t),
+f AS (SELECT *, ts = first_value(ts) OVER w AND p = first_value(p) OVER w AS opens, bool_or(am) OVER (PARTITION BY user_id, day) AS has_am, p IS NULL OR p <= 0 OR s IS NULL OR s <= 0 AS odd FROM h WINDOW w AS (PARTITION BY user_id, day, am ORDER BY o)),
+g AS (SELECT *, opens AND am = has_am AS day_open, NOT am AND m >= e AND NOT (opens AND am = has_am) AS closes, NOT (opens OR (am AND m >= 690) OR (NOT am AND m >= e)) AS normal, p * s AS v FROM f)
+SELECT user_id, day, CASE WHEN bool_or(odd) THEN 'invalid' ELSE 'ok' END AS status, CASE WHEN NOT bool_or(odd) THEN coalesce(sum(s) FILTER (WHERE day_open), 0) END AS opening, CASE WHEN NOT bool_or(odd) THEN coalesce(sum(s) FILTER (WHERE am AND NOT day_open), 0) END AS morning,
+  CASE WHEN NOT bool_or(odd) THEN coalesce(sum(s) FILTER (WHERE NOT am AND NOT closes AND NOT day_open), 0) END AS afternoon, CASE WHEN NOT bool_or(odd) THEN coalesce(sum(s) FILTER (WHERE closes), 0) END AS closing,
+  CASE WHEN NOT bool_or(odd) THEN round(coalesce(sum(v) FILTER (WHERE normal AND v < 200), 0) + 3e-9, 6) END AS small_amount, CASE WHEN NOT bool_or(odd) THEN round(coalesce(sum(v) FILTER (WHERE normal AND v >= 200 AND v < 2000), 0) + 3e-9, 6) END AS medium_amount, CASE WHEN NOT bool_or(odd) THEN round(coalesce(sum(v) FILTER (WHERE normal AND v >= 2000), 0) + 3e-9, 6) END AS large_amount,
+  CASE WHEN NOT bool_or(odd) THEN count(*) FILTER (WHERE normal AND v < 200) END AS n_small, CASE WHEN NOT bool_or(odd) THEN count(*) FILTER (WHERE normal AND v >= 200 AND v < 2000) END AS n_medium, CASE WHEN NOT bool_or(odd) THEN count(*) FILTER (WHERE normal AND v >= 2000) END AS n_large
+FROM g GROUP BY user_id, day"""
+
+
+def profiles_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far apart each user's profiles by value are: of all events, and of clicks."""
+    t = _ticks(spark, sf_dir).select("user_id", F.floor("value").alias("bin"), "k", "event_type")
+    return profile.profile_distance(t, t.where("event_type = 'click'"), ["user_id"], "bin", "k").select("user_id", _r("distance"))
+
+
+_APART = """
+WITH t AS (SELECT user_id, floor(value) AS bin, json_extract(props, '$.k')::DOUBLE AS k, event_type FROM events),
+b AS (SELECT user_id, bin, sum(k) AS x, coalesce(sum(k) FILTER (WHERE event_type = 'click'), 0) AS y FROM t GROUP BY 1, 2),
+c AS (SELECT *, sum(x) OVER u AS tx, sum(y) OVER u AS ty FROM b WINDOW u AS (PARTITION BY user_id))
+SELECT user_id, round(sum(abs(x / tx - y / ty)) / 2 + 3e-9, 6) AS distance FROM c WHERE tx > 0 AND ty > 0 GROUP BY 1"""
+
+
 def redundant_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 80 pairs of an embedding's components that go together most, of which some are not known."""
     e = table(spark, sf_dir, "embeddings")
@@ -337,6 +369,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "knn_wasserstein": _near("wasserstein", 0),
         "knn_graph": graph,
         "session_buckets": sessions,
+        "auction_sessions": auctions,
+        "profiles_apart": profiles_apart,
         "minute_bars": minute_bars,
         "volume_profile": volume_profile,
         "volume_value_area": value_area,
@@ -376,6 +410,8 @@ def oracle_sql() -> dict[str, str]:
         "knn_apart": _near_sql(_L2, 20),
         "knn_wasserstein": _near_sql(_W1, 0),
         "knn_graph": f"WITH n AS ({_near_sql(_L2, 20)}) SELECT a.label, count(*) AS n_edges, count(DISTINCT n.id) AS n_targets, max(distance) AS furthest, round(avg((a.label = b.label)::INT) + 3e-9, 6) AS same_label FROM n JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = n.id GROUP BY a.label",
+        "auction_sessions": _AUCTIONS,
+        "profiles_apart": _APART,
         "session_buckets": "WITH t AS (SELECT user_id, ts::DATE AS day, hour(ts) * 60 + minute(ts) AS m, value, json_extract(props, '$.k')::BIGINT AS k FROM events) SELECT user_id, day, CASE WHEN m < 540 THEN 'before' WHEN m < 690 THEN 'morning' WHEN m < 750 THEN 'break' WHEN m < 925 THEN 'afternoon' ELSE 'close' END AS session, count(*) AS n, sum(k)::BIGINT AS shares, round(sum(value * k) / nullif(sum(k), 0) + 3e-9, 6) AS vwap FROM t GROUP BY ALL",
         "minute_bars": "SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS at, arg_min(value, (ts, event_id)) AS o, max(value) AS h, min(value) AS l, arg_max(value, (ts, event_id)) AS c, sum(json_extract(props, '$.k')::BIGINT)::BIGINT AS v FROM events GROUP BY ALL",
         "volume_profile": _PROFILE,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.operators import compare, feeds, panel, windows
+from tidewell.operators import compare, feeds, panel, profile, windows
 from tidewell.operators.asof import asof_calendar, asof_join
 from tidewell.plans import bars_sql as sql
 from tidewell.plans.choices import _CANDIDATES, candidates
@@ -36,6 +36,16 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("code", "day", F.col("span").cast("long").alias("span"), "shares", _r("vwap", 5), "poc", _r("above", 5), _r("near", 5))
 
 
+def profile_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eleven features of each of three windows of a key's trades, which an order's number puts into a time of the day."""
+    t = _trades(spark, sf_dir)
+    lines = table(spark, sf_dir, "lineitem")
+    ticks = lines.select(F.col("l_suppkey").alias("code"), F.timestamp_seconds(F.unix_timestamp(F.col("l_shipdate").cast("timestamp")) + 9 * 3600 + (F.col("l_orderkey") * 7919 + F.col("l_linenumber")) % 23400).alias("ts"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("p"), F.col("l_quantity").alias("s"))
+    sessions = profile.auction_sessions(ticks, "code", "ts", "p", "s", "ts")
+    out = compare.profile_features(t, sessions, _bars(spark, sf_dir), "code", "day", "p", "s", (1, 5, 20), 100.0)
+    return out.select("code", "day", *(_r(c, 5) for c in out.columns if c not in ("code", "day")))
+
+
 _PROFILES = f"""WITH {sql.BARS}, ix AS (SELECT code, day, c, {sql.ROW} AS i FROM bars), t AS (SELECT l_suppkey AS code, l_shipdate::DATE AS day, floor(l_extendedprice / l_quantity / 100) AS b, sum(l_quantity) AS s, sum(l_extendedprice / l_quantity * l_quantity) AS a FROM lineitem GROUP BY ALL),
 k AS (SELECT code, i, b, s, a FROM t JOIN ix USING (code, day)), j AS (SELECT x.code, x.day, x.c, n AS span, b, sum(s) AS s, sum(a) AS a FROM ix x, (VALUES (1), (5), (20)) v(n), k WHERE k.code = x.code AND k.i <= x.i AND k.i > x.i - n AND x.i >= n GROUP BY ALL)
 SELECT code, day, span::BIGINT AS span, sum(s) AS shares, {_rounded('sum(a) / sum(s)', 'vwap', 5)}, (arg_max(b, (s, -b)) + 0.5) * 100::DOUBLE AS poc, {_rounded('sum(CASE WHEN (b + 0.5) * 100 > c THEN s ELSE 0 END) / sum(s) * 100', 'above', 5)}, {_rounded('sum(CASE WHEN (b + 0.5) * 100 >= c * 0.98::DOUBLE AND (b + 0.5) * 100 <= c * 1.02::DOUBLE THEN s ELSE 0 END) / sum(s) * 100', 'near', 5)} FROM j GROUP BY code, day, span"""
@@ -148,7 +158,7 @@ FROM rw LEFT JOIN mk USING (day) ASOF LEFT JOIN ev e ON e.code = rw.code AND e.t
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "profile_windows": profiles, "profile_reconciled": checked, "case_shapes": shapes, "pair_scale": pair_scale, "scaled_states": states, "label_definitions": definitions, "out_of_fold": out_of_fold, "fixed_test_folds": fixed_folds, "fetch_order": fetch_order, "aligned_ids": aligned, "day_json": day_json, "hash_check": hashes, "index_bars": index_bars,
+        "profile_windows": profiles, "profile_features": profile_features, "profile_reconciled": checked, "case_shapes": shapes, "pair_scale": pair_scale, "scaled_states": states, "label_definitions": definitions, "out_of_fold": out_of_fold, "fixed_test_folds": fixed_folds, "fetch_order": fetch_order, "aligned_ids": aligned, "day_json": day_json, "hash_check": hashes, "index_bars": index_bars,
         "seasonal_progress": seasonal, "feature_mart": mart,
     }
 

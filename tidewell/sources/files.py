@@ -6,6 +6,7 @@ import fnmatch
 import gzip
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -38,32 +39,38 @@ def last_wins(parts: list[DataFrame], key: list[str]) -> DataFrame:
 
 
 def zipped_csv(spark: SparkSession, path: str, schema: StructType, member: str = "*.csv", encoding: str = "utf-8", separator: str = ",") -> DataFrame:
-    """The rows of the CSV members of ZIP archives, with file and member. One archive is one row of a task: archives are small, their number is not.
+    """The rows of the CSV members of ZIP archives, with file, member and problem. One archive is one row of a task: archives are small, their number is not.
 
-    A broken archive gives no rows.
+    A broken archive, or a member that can't be read, gives one row with its problem and nulls, so that nothing is missing unnoticed.
     """
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.name for f in schema]
         for batch in batches:
             for where, content in zip(batch["path"], batch["content"], strict=True):
+                lost = lambda name, problem, where=where: pd.DataFrame([[None] * len(names)], columns=names, dtype=object).assign(file=where, member=name, problem=problem)
                 try:
                     archive = zipfile.ZipFile(io.BytesIO(content))
                 except zipfile.BadZipFile:
+                    yield lost(None, "broken archive")
                     continue
                 for name in sorted(archive.namelist()):
                     if fnmatch.fnmatch(name, member):
-                        rows = pd.read_csv(io.BytesIO(archive.read(name)), sep=separator, encoding=encoding, dtype=str, keep_default_na=False)
+                        try:
+                            rows = pd.read_csv(io.BytesIO(archive.read(name)), sep=separator, encoding=encoding, dtype=str, keep_default_na=False)
+                        except (zipfile.BadZipFile, OSError, ValueError, zlib.error) as problem:
+                            yield lost(name, type(problem).__name__)
+                            continue
                         for missing in set(names) - set(rows.columns):
                             rows[missing] = None
-                        yield rows[names].assign(file=where, member=name)
+                        yield rows[names].assign(file=where, member=name, problem=None)
 
     ship(spark)
-    text = StructType().add("file", "string").add("member", "string")
+    text = StructType().add("file", "string").add("member", "string").add("problem", "string")
     for f in schema:
         text = text.add(f.name, "string")
-    raw = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpack, StructType([*text.fields[2:], *text.fields[:2]]))
-    return raw.select("file", "member", *(F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema))
+    raw = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpack, StructType([*text.fields[3:], *text.fields[:3]]))
+    return raw.select("file", "member", "problem", *(F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema))
 
 
 def gzip_check(spark: SparkSession, path: str) -> DataFrame:
