@@ -244,6 +244,65 @@ def test_passages_of_which_earlier_documents_hold_parts(spark):
     assert {tuple(r)[:6] for r in got} >= want and {r.doc_id % 10 for r in got if r.doc_id < 400} == {5}
 
 
+def test_fuzzy_passages_of_which_earlier_documents_hold_parts(spark):
+    """No earlier document with some of a passage's seeds, and no earlier place in the same one, keeps two from being linked; nor do many others with a part."""
+    new = iter(range(10**6))
+    text = lambda n: [f"k{next(new) * 7919 % 10**6}" for _ in range(n)]
+    docs, want = [], set()
+    common = text(20)
+    for case in range(40):
+        p, i = text(64), 10 * case
+        fuzzy = [w if k % 16 != 15 else f"changed{case}" for k, w in enumerate(p)]
+        if case % 4 == 1:  # words of one side are missing
+            fuzzy = p[:21] + p[23:43] + p[44:]
+        parts = [p[:16], p[16:32], p[32:48], p[48:]]
+        if case % 4 == 2:  # the parts are in the document itself, ahead and in another order
+            docs.append((i + 4, text(30) + parts[3] + text(5) + parts[1] + text(5) + parts[2] + text(9) + parts[0] + text(20) + p + text(21)))
+        elif case % 4 == 3:  # a part of both is common
+            p, fuzzy = p[:22] + common + p[42:], fuzzy[:22] + common + fuzzy[42:]
+            docs += [(i + k, text(30) + part + text(30)) for k, part in enumerate([p[:14], p[14:22] + common, common + p[42:50], p[50:]])]
+            docs.append((i + 4, text(37) + p + text(21)))
+        else:
+            docs += [(i + k, text(30) + part + text(30)) for k, part in enumerate(parts)]
+            docs.append((i + 4, text(37) + p + text(21)))
+        docs.append((i + 5, text(11) + fuzzy + text(50)))
+        want.add((i + 5, i + 4))
+    got = substring_dedup.shared_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in docs], "doc_id long, text string")).collect()
+    passed = {(r.doc_id, r.other_id) for r in got if r.end - r.start >= 55}
+    assert passed == want == {(r.doc_id, r.other_id) for r in got}
+    # many with a part, more than one block
+    p = text(60)
+    docs = [(k, text(30) + p[:20] + text(30)) for k in range(2500)] + [(3000, text(20) + p[:50] + ["other"] + p[51:] + text(8))]
+    docs += [(3001, text(40) + p[:25] + ["changed"] + p[26:] + text(30))]
+    got = substring_dedup.shared_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in docs], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.other_id, r.start, r.end) for r in got} == {(3001, 3000, 40, 100)}
+
+
+def test_what_may_hold_a_passage_is_brute_force():
+    """likely() against all pairs of rows: equal words at the same distance, or six in a row at another and enough of them near."""
+    rng, n = np.random.default_rng(3), 60
+    words = rng.integers(2, 250, (n, 2 * substring_dedup.AROUND + substring_dedup.KMER)).astype(np.uint8)
+    for i in range(1, n, 2):
+        k, at = int(rng.integers(10, 60)), int(rng.integers(0, 40))
+        words[i, at : at + k] = words[i - 1, at : at + k]
+        if i % 4 == 1:
+            words[i, at + 10 :] = np.roll(words[i - 1], -3)[at + 10 :]
+    words[5, :30] = words[9, 70:] = 0
+    group = np.sort(rng.integers(0, 6, n // 2)).repeat(2)
+    open_ = np.concatenate([np.arange(c) < c - 2 for c in np.bincount(group) if c])
+    got = {(int(i), int(j)) for p, q in substring_dedup.likely(words, group, open_, 40, lambda i, j: (i + j) % 7 != 0) for i, j in zip(p, q, strict=True)}
+    want, g = set(), substring_dedup.KMER
+    for i in range(n):
+        for j in range(i + 1, n):
+            if group[i] == group[j] and open_[i] and (i + j) % 7:
+                a, b = words[i], words[j]
+                near = sum(any(a[x] == b[y] > 0 for y in range(max(0, x - 16), min(len(b), x + 17))) for x in range(len(a)))
+                grams = [{(bytes(w[x : x + g]), x) for x in range(len(w) - g + 1) if w[x : x + g].all() and x != substring_dedup.AROUND} for w in (a, b)]
+                if np.count_nonzero((a == b) & (a > 0)) >= 40 or near >= 40 and any(u == v and x != y for u, x in grams[0] for v, y in grams[1]):
+                    want.add((i, j))
+    assert got == want and len(want) > 10
+
+
 def test_passages_find_exact_repeats(spark):
     """Every window of PASSAGE words that occurred in a document of smaller id lies in a row of its document, whatever its words are."""
     docs = documents(spark, DATA.replace("sf0.001", "sf0.01"))
