@@ -278,6 +278,37 @@ def test_fuzzy_passages_of_which_earlier_documents_hold_parts(spark):
     assert {(r.doc_id, r.other_id, r.start, r.end) for r in got} == {(3001, 3000, 40, 100)}
 
 
+def test_fuzzy_passages_of_many_documents_are_few_rows(spark):
+    """Of n documents with a fuzzy passage of which earlier ones hold the parts, all are linked, by a few pairs each and not by all."""
+    new, n = iter(range(10**6)), 40
+    text = lambda n: [f"k{next(new) * 7919 % 10**6}" for _ in range(n)]
+    p = text(96)
+    docs = [(k, text(30) + p[k * 16 : k * 16 + 16] + text(30)) for k in range(6)]
+    docs += [(10 + k, text(20) + [w if i % 16 != 15 else f"changed{k}" for i, w in enumerate(p)] + text(20)) for k in range(n)]
+    got = substring_dedup.shared_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in docs], "doc_id long, text string")).collect()
+    part = {i: i for i, _ in docs}
+    for r in got:
+        a, b = part[r.doc_id], part[r.other_id]
+        part = {k: min(a, b) if v in (a, b) else v for k, v in part.items()}
+    assert [part[i] for i, _ in docs] == [*range(6), *[10] * n]
+    # a seed that only some of them chose, for the words beside it, has a first document of its own
+    assert n - 1 <= len({(r.doc_id, r.other_id) for r in got}) < 5 * n
+
+
+def test_extents_bound_those_of_the_words():
+    """extents() against _extend() on words of which a byte is known; what may go on beyond AROUND words has more."""
+    rng, around, kmer = np.random.default_rng(11), substring_dedup.AROUND, substring_dedup.KMER
+    a = rng.integers(2, 250, (300, 2 * around + kmer)).astype(np.uint8)
+    b = np.where(rng.random(a.shape) < rng.random((300, 1)), a, rng.integers(2, 250, a.shape)).astype(np.uint8)
+    b[:, around : around + kmer] = a[:, around : around + kmer]
+    a[:60, :30], b[40:90, 70:] = 0, 0
+    for i, (before, behind, agree) in enumerate(zip(*substring_dedup.extents(a, b), strict=True)):
+        x, y = np.where(a[i] > 0, a[i].astype(int), -1), np.where(b[i] > 0, b[i].astype(int), -2)
+        sides = [substring_dedup._extend(x[:around][::-1], y[:around][::-1]), substring_dedup._extend(x[around + kmer :], y[around + kmer :])]
+        assert all(n in (take, around + 1) for n, (take, _) in zip((before, behind), sides, strict=True))
+        assert agree == np.count_nonzero(x[around : around + kmer] == y[around : around + kmer]) + sum(same for _, same in sides)
+
+
 def test_what_may_hold_a_passage_is_brute_force():
     """likely() against all pairs of rows: equal words at the same distance, or six in a row at another and enough of them near."""
     rng, n = np.random.default_rng(3), 60
