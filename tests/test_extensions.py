@@ -5,7 +5,9 @@ from __future__ import annotations
 import datetime
 import gzip
 import io
+import math
 import zipfile
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -98,6 +100,14 @@ def test_scores_by_hand(spark):
     assert value(judge.sign_test(F.lit(8), F.lit(2))) == pytest.approx(0.109375) and value(judge.sign_test(F.lit(0), F.lit(0))) is None
 
 
+def test_sign_test_of_many(spark):
+    counts = [(8, 2), (2, 8), (5, 5), (1, 0), (7, 6), (864, 842), (842, 864), (1500, 1500), (900, 0), (52_000, 51_300), (None, 3), (0, 0)]
+    got = [r[0] for r in spark.createDataFrame(counts, "w long, l long").coalesce(1).select(judge.sign_test(F.col("w"), F.col("l"))).collect()]
+    for (w, l), p in zip(counts[:9], got, strict=False):
+        assert p == pytest.approx(min(1.0, float(Fraction(2 * sum(math.comb(w + l, i) for i in range(max(w, l), w + l + 1)), 2 ** (w + l)))), rel=1e-11)
+    assert got[5] == got[6] and got[9] == pytest.approx(math.erfc(699 / math.sqrt(2 * 103_300)), rel=1e-3) and got[10:] == [None, None]
+
+
 def test_flow_stops_at_a_loss(spark):
     steps = [("operating", F.lit(30.0)), ("ordinary", F.lit(None).cast("double")), ("net", F.lit(-5.0)), ("never", F.lit(1.0))]
     got = spark.range(1).select(valuation.flow(F.lit(100.0), steps)).first()[0]

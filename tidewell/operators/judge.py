@@ -18,12 +18,20 @@ CALENDAR = 1.45
 
 
 def sign_test(wins: Column, losses: Column) -> Column:
-    """Two-sided binomial test that a win is as likely as a loss; null without any. Ties count for neither."""
-    n, k = (wins + losses).cast("int"), F.greatest(wins, losses).cast("int")
+    """Two-sided binomial test that a win is as likely as a loss; null without any. Ties count for neither.
+
+    Terms are taken from the middle outwards, as multiples of the middle one, over their sum: 0.5 ** n would be 0 from n = 1,075 on. Beyond 20 roots of n
+    from the middle a multiple is under exp(-800), which is 0 as a double.
+    """
+    n, k = (wins + losses).cast("long"), F.greatest(wins, losses).cast("long")
+    half = F.ceil(n / 2)
     # each term from the one before: C(n, i + 1) = C(n, i) (n - i) / (i + 1)
-    start = F.struct(F.pow(F.lit(0.5), n).alias("term"), F.lit(0.0).alias("tail"))
-    step = lambda a, i: F.struct((a["term"] * (n - i) / (i + 1)).alias("term"), (a["tail"] + F.when(i >= k, a["term"]).otherwise(0.0)).alias("tail"))
-    return F.when(n > 0, F.least(2 * F.aggregate(F.sequence(F.lit(0), n), start, step, lambda a: a["tail"]), F.lit(1.0)))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("upper"), F.lit(0.0).alias("tail"))
+    step = lambda a, i: F.struct((a["term"] * (n - i) / (i + 1)).alias("term"), (a["upper"] + a["term"]).alias("upper"), (a["tail"] + F.when(i >= k, a["term"]).otherwise(0.0)).alias("tail"))
+    last = F.least(n, half + F.ceil(20 * F.sqrt(n)))
+    # the lower half mirrors the upper one; of an even n the middle is in both
+    p = F.aggregate(F.sequence(half, last), start, step, lambda a: 2 * a["tail"] / (2 * a["upper"] - (1 - n % 2)))
+    return F.when(n > 0, F.least(p, F.lit(1.0)))
 
 
 def holdout(df: DataFrame, on: str, months: int, embargo: int) -> DataFrame:
