@@ -108,6 +108,18 @@ def test_sign_test_of_many(spark):
     assert got[5] == got[6] and got[9] == pytest.approx(math.erfc(699 / math.sqrt(2 * 103_300)), rel=1e-3) and got[10:] == [None, None]
 
 
+def test_peer_prices(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, int(g), float(m), 100.0 + i) for i, (g, m) in enumerate(zip(rng.integers(0, 4, 90), rng.integers(-2, 12, 90), strict=True))]
+    out = valuation.peer_prices(spark.createDataFrame(rows, "id int, g int, m double, price double").withColumn("g", F.when(F.col("g") > 0, F.col("g"))), ["g"], "id", "m", "price", 5)
+    assert "join" not in out._jdf.queryExecution().optimizedPlan().toString().lower()  # nothing that may be broadcast
+    got = {r.id: r for r in out.collect()}
+    assert sorted(got) == [i for i, _, m, _ in rows if m > 0]
+    for i, r in got.items():
+        peers = np.array([m for j, g, m, _ in rows if j != i and g == rows[i][1] and m > 0])
+        assert r.peers == len(peers) and np.allclose([r.low, r.p10, r.p50, r.p90, r.high, r["mean"], r.deviation], np.array([*np.quantile(peers, [0, 0.1, 0.5, 0.9, 1]), peers.mean(), peers.std()]) * r.price / r.m)
+
+
 def test_flow_stops_at_a_loss(spark):
     steps = [("operating", F.lit(30.0)), ("ordinary", F.lit(None).cast("double")), ("net", F.lit(-5.0)), ("never", F.lit(1.0))]
     got = spark.range(1).select(valuation.flow(F.lit(100.0), steps)).first()[0]

@@ -64,8 +64,8 @@ def asset_stress(df: DataFrame, hair: dict[str, tuple[float, ...]], net: str, ca
 def peer_prices(df: DataFrame, by: list[str], key: str, multiple: str, price: str, least: int) -> DataFrame:
     """df with peers (others of the group with a multiple over 0) and the price at their multiples: low, high, mean, deviation, p10, p50, p90.
 
-    Means come from sums and places from the group's order, each looked up by number with the row itself left out: the group meets no row of its own
-    but in one sort and one join of a few places a row. Null under ``least`` peers.
+    Means come from sums, places from the group's order with the row itself left out: for a row that stands at a place or before it, that is the next
+    one's value. So a group needs three values for each place, which windows over it look up: nothing is joined. Null under ``least`` peers.
     """
     known = df.where(F.col(multiple) > 0)
     w = Window.partitionBy(*by)
@@ -75,16 +75,19 @@ def peer_prices(df: DataFrame, by: list[str], key: str, multiple: str, price: st
     square = (F.col("_q") - x * x) / F.col("_n") - mean * mean
     places = {"low": 0.0, "p10": 0.1, "p50": 0.5, "p90": 0.9, "high": 1.0}
     at = lambda p: F.lit(p) * (F.col("_n") - 1)
-    skip = lambda k: F.when(k >= F.col("_i"), k + 1).otherwise(k)
-    asks = known.where(F.col("_n") >= least).select(*by, key, F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.floor(at(p)).alias("a"), F.ceil(at(p)).alias("b"), (at(p) - F.floor(at(p))).alias("f")) for n, p in places.items()))).alias("k"), "_i")
-    asks = asks.select(*by, key, "k.name", "k.f", F.explode(F.array(F.struct(F.lit(0).alias("side"), skip(F.col("k.a")).alias("at")), F.struct(F.lit(1).alias("side"), skip(F.col("k.b")).alias("at")))).alias("e"))
-    order = known.select(*by, F.col("_i").cast("long").alias("at"), x.alias("v"))
-    found = asks.select(*by, key, "name", "f", "e.side", F.col("e.at").cast("long").alias("at")).join(order, [*by, "at"])
-    values = found.groupBy(*by, key).agg(*(F.sum(F.when(F.col("name") == n, F.col("v") * F.when(F.col("side") == 0, 1 - F.col("f")).otherwise(F.col("f")))).alias(n) for n in places))
+    known = known.withColumns({f"_{n}{j}": F.max(F.when(F.col("_i") == F.floor(at(p)) + j, x)).over(w) for n, p in places.items() for j in range(3)})
+
+    def value(n: str, p: float) -> Column:
+        place = F.floor(at(p))
+        part = at(p) - place
+        below = F.when(F.col("_i") <= place, F.col(f"_{n}1")).otherwise(F.col(f"_{n}0"))
+        above = F.when(F.col("_i") <= place + 1, F.col(f"_{n}2")).otherwise(F.col(f"_{n}1"))
+        return F.when(part > 0, below * (1 - part) + above * part).otherwise(below)
+
     scale = F.col(price) / x
-    out = known.join(values, [*by, key], "left").withColumns({n: F.col(n) * scale for n in places})
     enough = F.col("_n") >= least
-    return out.withColumns({"peers": F.col("_n"), "mean": F.when(enough, mean * scale), "deviation": F.when(enough, F.sqrt(F.greatest(square, F.lit(0.0))) * scale)}).drop("_i", "_n", "_s", "_q")
+    out = known.withColumns({n: F.when(enough, value(n, p) * scale) for n, p in places.items()})
+    return out.withColumns({"peers": F.col("_n"), "mean": F.when(enough, mean * scale), "deviation": F.when(enough, F.sqrt(F.greatest(square, F.lit(0.0))) * scale)}).drop("_i", "_n", "_s", "_q", *(f"_{n}{j}" for n in places for j in range(3)))
 
 
 def reasons(rules: dict[str, Column], separator: str = "; ") -> Column:
