@@ -93,3 +93,37 @@ def test_profile_distance(spark):
     b = spark.createDataFrame([(1, 1, 1.0), (1, 2, 1.0), (2, 0, 5.0), (3, 0, 1.0)], "k int, b int, s double")
     assert {r.k: r.distance for r in profile.profile_distance(a, b, ["k"], "b", "s").collect()} == {1: 0.5, 2: 0.0}
     assert profile.profile_distance(a, b.where(F.lit(False)), ["k"], "b", "s").count() == 0
+
+
+def test_profile_windows_in_small_batches(spark):
+    """Keys and sessions that go on in the next batch, trades without a bar, bars without trades and prices that are unknown; and nothing is shuffled but trades and bars, once."""
+    rng = np.random.default_rng(5)
+    days = [date(2024, 1, 1) + timedelta(i) for i in range(12)]
+    trades = [(int(k), days[int(d)], None if p < 905 else float(p), float(s)) for k, d, p, s in zip(rng.integers(0, 4, 150), rng.integers(0, 11, 150), rng.integers(900, 1000, 150), rng.integers(1, 9, 150), strict=True) if d != 5]
+    bars = [(k, d, float(rng.integers(900, 1000))) for k in range(4) for d in days if (k + d.day) % 6]
+    df, marks = spark.createDataFrame(trades, "code int, day date, p double, s double"), spark.createDataFrame(bars, "code int, day date, c double")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        out = compare.profile_windows(df, marks, "code", "day", "p", "s", (1, 4), 20.0)
+        assert out._jdf.queryExecution().sparkPlan().toString().count("Join") == 0 and out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 1
+        got = {(r.code, r.day, r.span): r for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    n_found = 0
+    for k in range(4):
+        own = sorted((d, c) for key, d, c in bars if key == k)
+        for i, (d, c) in enumerate(own):
+            for n in (1, 4):
+                held = [(p, s) for key, e, p, s in trades if key == k and i + 1 >= n and e in [x for x, _ in own[i + 1 - n : i + 1]]]
+                assert ((k, d, n) in got) == bool(held)
+                if held:
+                    r, total, bins = got[k, d, n], sum(s for _, s in held), {}
+                    for p, s in held:
+                        bins[None if p is None else p // 20] = bins.get(None if p is None else p // 20, 0.0) + s
+                    top = max(bins, key=lambda b: (bins[b], -1e9 if b is None else -b))
+                    known, mid, n_found = {b: s for b, s in bins.items() if b is not None}, lambda b: (b + 0.5) * 20, n_found + 1
+                    assert r.shares == total and r.poc == (None if top is None else mid(top))
+                    assert np.isclose(r.above, sum(s for b, s in known.items() if mid(b) > c) / total * 100) and np.isclose(r.near, sum(s for b, s in known.items() if c * 0.98 <= mid(b) <= c * 1.02) / total * 100)
+                    assert (r.vwap is None) == (not known) and (r.vwap is None or np.isclose(r.vwap, sum(p * s for p, s in held if p is not None) / total))
+    assert n_found > 50

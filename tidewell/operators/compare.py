@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.frames import Frames
-from tidewell.operators.profile import value_area
 from tidewell.operators.quantiles import percentiles
+from tidewell.operators.window_profiles import scan_profiles
 
 
 def profile_windows(trades: DataFrame, bars: DataFrame, key: str, on: str, price: str, shares: str, spans: tuple[int, ...], width: float, area: float | None = None) -> DataFrame:
@@ -15,29 +15,15 @@ def profile_windows(trades: DataFrame, bars: DataFrame, key: str, on: str, price
 
     With ``area`` also value_low and value_high (value_area()), poc_share in percent and c, the close.
 
-    Shares are summed by bin and session first; a session's bins then count in the windows of its key that hold it, at most the longest span. Sessions
-    are the key's own bars; a window that is not full has no row.
+    Sessions are the key's own bars; a window that is not full has no row. See scan_profiles().
     """
-    order = Window.partitionBy(key).orderBy(on)
-    index = bars.select(key, on, F.col("c").alias("_c"), F.row_number().over(order).alias("_i"))
-    bins = trades.groupBy(key, on, F.floor(F.col(price) / width).alias("_b")).agg(F.sum(shares).alias("_s"), F.sum(F.col(price) * F.col(shares)).alias("_a")).join(index.select(key, on, "_i"), [key, on])
-    longest = max(spans)
-    held = bins.select(key, "_b", "_s", "_a", F.explode(F.sequence(F.lit(0), F.lit(longest - 1))).alias("_age"), "_i").withColumn("_i", F.col("_i") + F.col("_age"))
-    within = lambda c, n: F.sum(F.when(F.col("_age") < n, F.col(c)))
-    per = held.groupBy(key, "_i", "_b").agg(*(within(c, n).alias(f"{c}{n}") for n in spans for c in ("_s", "_a")))
-    per = per.select(key, "_i", "_b", F.explode(F.array(*(F.struct(F.lit(n).alias("span"), F.col(f"_s{n}").alias("_s"), F.col(f"_a{n}").alias("_a")) for n in spans))).alias("w")).select(key, "_i", "_b", "w.*").where("_s IS NOT NULL")
-    per = per.join(index, [key, "_i"]).where(F.col("_i") >= F.col("span"))
-    middle = (F.col("_b") + 0.5) * width
-    near = (middle >= F.col("_c") * 0.98) & (middle <= F.col("_c") * 1.02)
-    total = F.sum("_s")
-    poc = F.max(F.struct(F.col("_s").alias("s"), (-F.col("_b")).alias("b")))
-    found = [total.alias("shares"), (F.sum("_a") / total).alias("vwap"), ((-poc["b"] + 0.5) * width).alias("poc"), (F.sum(F.when(middle > F.col("_c"), F.col("_s")).otherwise(0)) / total * 100).alias("above"), (F.sum(F.when(near, F.col("_s")).otherwise(0)) / total * 100).alias("near")]
+    rows = scan_profiles(trades, bars, key, on, price, shares, spans, width, area)
+    ends = ("top", "low", "high") if area is not None else ()
+    each = F.array(*(F.struct(F.lit(n).alias("span"), *(F.col(f"{x}_{n}").alias(x) for x in ("shares", "vwap", "poc", "above", "near", *ends))) for n in spans))
+    out = rows.select(key, on, "c", F.explode(F.filter(each, lambda w: w["shares"].isNotNull())).alias("w")).select(key, on, "w.*", "c").withColumn("poc", (F.col("poc") + 0.5) * width)
     if area is None:
-        return per.groupBy(key, on, "span").agg(*found)
-    listed = F.sort_array(F.collect_list(F.struct(F.col("_b").alias("bin"), F.col("_s").cast("double").alias("s")))).alias("_bins")  # the bins of one window
-    out = per.groupBy(key, on, "span").agg(*found, listed, (-poc["b"]).alias("_p"), poc["s"].alias("_held"), F.first("_c").alias("c"))
-    out = out.withColumn("_va", value_area("_bins", F.col("_p"), F.col("_held"), F.col("shares"), area))
-    return out.select(key, on, "span", "shares", "vwap", "poc", "above", "near", (F.col("_va.lo") * width).alias("value_low"), ((F.col("_va.hi") + 1) * width).alias("value_high"), (F.col("_held") / F.col("shares") * 100).alias("poc_share"), "c")
+        return out.drop("c")
+    return out.select(key, on, "span", "shares", "vwap", "poc", "above", "near", (F.col("low") * width).alias("value_low"), ((F.col("high") + 1) * width).alias("value_high"), F.col("top").alias("poc_share"), "c")
 
 
 #: What profile_features() says of each window, and the parts of a session.
@@ -52,17 +38,17 @@ def profile_features(trades: DataFrame, sessions: DataFrame, bars: DataFrame, ke
     the opening, in the morning, in the afternoon and at the close (auction_sessions()), all as parts of 1. A span of which a
     session has no trades or an invalid one has none.
     """
-    f = Frames(key, order=on)
-    day = bars.select(key, on).join(sessions.where("status = 'ok'").select(key, on, *SESSION_PARTS), [key, on], "left")
-    day = f.roll(day, **{f"_{part}_{n}": (F.col(part), n, F.sum) for n in spans for part in SESSION_PARTS})
-    windows = profile_windows(trades, bars, key, on, price, shares, spans, width, area)
-    gap = lambda c: F.col(c) / F.col("c") - 1
-    each = windows.select(key, on, "span", gap("poc").alias("poc_gap"), gap("vwap").alias("vwap_gap"), gap("value_low").alias("value_low_gap"), gap("value_high").alias("value_high_gap"), *((F.col(c) / 100).alias(n) for c, n in (("poc_share", "poc_share"), ("above", "above_close_share"), ("near", "near_close_share"))))
-    wide = each.groupBy(key, on).agg(*(F.max(F.when(F.col("span") == n, F.col(m))).alias(f"_{m}_{n}") for n in spans for m in PROFILE_METRICS))
-    out = day.join(wide, [key, on], "left")
-    whole = {n: sum((F.col(f"_{part}_{n}") for part in SESSION_PARTS), F.lit(0.0)) for n in spans}  # null unless all sessions are there
-    columns = [F.when(whole[n] > 0, F.col(f"_{m}_{n}")).alias(f"{m}_{n}d") for n in spans for m in PROFILE_METRICS]
-    columns += [F.when(whole[n] > 0, F.col(f"_{part}_{n}") / whole[n]).alias(f"{part}_share_{n}d") for n in spans for part in SESSION_PARTS]
+    day = bars.select(key, on, "c").join(sessions.where("status = 'ok'").select(key, on, *SESSION_PARTS), [key, on], "left")
+    out = scan_profiles(trades, day, key, on, price, shares, spans, width, area, SESSION_PARTS)
+    gap = lambda v: v / F.col("c") - 1
+
+    def metric(m: str, n: int) -> Column:
+        at = lambda x: F.col(f"{x}_{n}")
+        return {"poc_gap": gap((at("poc") + 0.5) * width), "vwap_gap": gap(at("vwap")), "value_low_gap": gap(at("low") * width), "value_high_gap": gap((at("high") + 1) * width), "poc_share": at("top") / 100, "above_close_share": at("above") / 100, "near_close_share": at("near") / 100}[m]
+
+    whole = {n: sum((F.col(f"{part}_{n}") for part in SESSION_PARTS), F.lit(0.0)) for n in spans}  # null unless all sessions are there
+    columns = [F.when(whole[n] > 0, metric(m, n)).alias(f"{m}_{n}d") for n in spans for m in PROFILE_METRICS]
+    columns += [F.when(whole[n] > 0, F.col(f"{part}_{n}") / whole[n]).alias(f"{part}_share_{n}d") for n in spans for part in SESSION_PARTS]
     return out.select(key, on, *columns)
 
 

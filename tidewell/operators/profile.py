@@ -31,9 +31,9 @@ def auction_sessions(ticks: DataFrame, code: str, ts: str, price: str, shares: s
     ``close_since``, the close. The day opens with the first auction that it has. status is invalid, and all else null, on a day
     with a price or number of shares that isn't finite and over 0, or shares that aren't whole. Windows are over one key's day.
     """
-    minute = F.hour(ts) * 60 + F.minute(ts)
     side = F.lit(None).cast("string") if half is None else F.col(half).cast("string")
-    t = ticks.where(F.col(code).isNotNull() & F.col(ts).isNotNull()).select(F.col(code).alias("k"), F.col(ts).cast("date").alias("day"), F.col(ts).alias("ts"), minute.alias("m"), F.col(price).cast("double").alias("p"), F.col(shares).cast("double").alias("s"), F.col(order).alias("o"), side.alias("half"))
+    t = ticks.where(F.col(code).isNotNull() & F.col(ts).isNotNull()).select(F.col(code).alias("k"), F.col(ts).cast("date").alias("day"), F.col(ts).alias("ts"), F.col(price).cast("double").alias("p"), F.col(shares).cast("double").alias("s"), F.col(order).alias("o"), side.alias("half"))
+    t = t.repartition("k", "day").withColumn("m", F.hour("ts") * 60 + F.minute("ts"))  # one exchange for all that follows
     t = t.withColumns({"am": F.when(F.col("half") == "01", True).when(F.col("half") == "02", False).otherwise(F.col("m") < NOON), "v": F.col("p") * F.col("s")})
     first = Window.partitionBy("k", "day", "am").orderBy("o")
     t = t.withColumns({"opens": (F.col("ts") == F.first("ts").over(first)) & F.col("p").eqNullSafe(F.first("p").over(first)), "has_am": F.max("am").over(Window.partitionBy("k", "day"))})
