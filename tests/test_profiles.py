@@ -127,3 +127,11 @@ def test_profile_windows_in_small_batches(spark):
                     assert np.isclose(r.above, sum(s for b, s in known.items() if mid(b) > c) / total * 100) and np.isclose(r.near, sum(s for b, s in known.items() if c * 0.98 <= mid(b) <= c * 1.02) / total * 100)
                     assert (r.vwap is None) == (not known) and (r.vwap is None or np.isclose(r.vwap, sum(p * s for p, s in held if p is not None) / total))
     assert n_found > 50
+
+
+def test_profile_features_join_sessions_only(spark):
+    """A key's bars meet their sessions in one join; neither features nor windows are joined or grouped again."""
+    bars, df = spark.createDataFrame([], "code int, day date, c double"), spark.createDataFrame([], "code int, day date, p double, s double")
+    sessions = spark.createDataFrame([], "code int, day date, status string, opening double, morning double, afternoon double, closing double")
+    plan = compare.profile_features(df, sessions, bars, "code", "day", "p", "s", (1, 5), 20.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 1 and "Aggregate" not in plan and "MapInArrow" in plan
