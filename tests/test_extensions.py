@@ -10,6 +10,7 @@ import zipfile
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
@@ -120,6 +121,30 @@ def test_peer_prices(spark):
         assert r.peers == len(peers) and np.allclose([r.low, r.p10, r.p50, r.p90, r.high, r["mean"], r.deviation], np.array([*np.quantile(peers, [0, 0.1, 0.5, 0.9, 1]), peers.mean(), peers.std()]) * r.price / r.m)
 
 
+@pytest.mark.parametrize("kind", ["squared", "wasserstein"])
+def test_nearest_among_copies_in_tiles(spark, monkeypatch, kind):
+    """Ties go by id however many copies there are, and no task holds distances of more pairs than a tile's, however many queries a block has."""
+    rng = np.random.default_rng(2)
+    x = rng.integers(-2, 3, (700, 4)).astype(float)
+    x[rng.permutation(700)[:300]] = [1.0, 0.0, -1.0, 1.0]
+    x[5], x[9] = [1e25, 0.0, 0.0, 1.0], [np.nan, 0.0, 0.0, 0.0]
+    order = rng.permutation(700)
+    df = spark.createDataFrame([(int(i), [float(v) for v in x[i]]) for i in order], "id long, v array<double>").coalesce(2)
+    scan = similar._best_of(type("Sent", (), {"value": (np.arange(700), x)}), 4, kind, 2)
+    shapes, rough = [], similar._rough
+    monkeypatch.setattr(similar, "_rough", lambda *a: shapes.append((out := rough(*a))[0].shape) or out)
+    [found] = list(scan(iter([pa.RecordBatch.from_arrays([pa.array(order), pa.array(list(x[order]))], names=["id", "v"])])))
+    assert max(a * b for a, b in shapes) <= similar.QUERIES * similar.ROWS < 700 * 700
+    spread = {(r.query_id, r.place): (r.id, r.distance) for r in similar.nearest(df, df, "id", "v", 4, kind, 2).collect()}
+    y = x if kind == "squared" else np.sort(x, 1)
+    for i in range(700):
+        far = ((y - y[i]) ** 2).sum(1) if kind == "squared" else np.abs(y - y[i]).mean(1)
+        far[np.abs(np.arange(700) - i) <= 2] = np.inf
+        want = [j for j in np.lexsort((np.arange(700), far)) if np.isfinite(far[j])][:4]
+        assert [spread[i, p][0] for p in range(1, 5) if (i, p) in spread] == want
+    assert sorted(zip(*(found[n].to_pylist() for n in ("query_id", "id", "distance")), strict=True)) == sorted((q, *v) for (q, _), v in spread.items())
+
+
 def test_flow_stops_at_a_loss(spark):
     steps = [("operating", F.lit(30.0)), ("ordinary", F.lit(None).cast("double")), ("net", F.lit(-5.0)), ("never", F.lit(1.0))]
     got = spark.range(1).select(valuation.flow(F.lit(100.0), steps)).first()[0]
