@@ -5,10 +5,11 @@ from __future__ import annotations
 from datetime import date, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.operators import cases, recurrence, solvers
+from tidewell.operators import cases, recurrence, similar, solvers
 
 DAY = date(2020, 1, 1)
 
@@ -103,3 +104,18 @@ def test_unchanged_entities_are_carried_over(spark):
     again = recurrence.digests(spark.createDataFrame([*reversed(rows[:2]), ("b", 1, 5.5), ("d", 1, 0.0)], "e string, t int, x double"), "e", ["t", "x"])
     new, kept = recurrence.to_build(again, stored, "e")
     assert {r.e for r in new.collect()} == {"b", "d"} and [(r.e, r.result) for r in kept.collect()] == [("a", "old")]
+
+
+def test_nearest_before_in_tiles(monkeypatch):
+    """Pairs are compared by tiles, however many queries a block has: not one row of the pool at a time."""
+    rng = np.random.default_rng(4)
+    q, x, gates, done = rng.normal(size=(900, 24)), rng.normal(size=(1300, 24)), np.sort(rng.integers(0, 50, 900)), rng.integers(0, 50, 1300)
+    calls, rough = [], similar._rough
+    monkeypatch.setattr(similar, "_rough", lambda *a: calls.append(1) or rough(*a))
+    sent = type("Sent", (), {"value": (np.arange(900), gates, q)})
+    [found] = list(cases._best_before(sent, 7)(iter([pa.RecordBatch.from_arrays([pa.array(np.arange(1300)), pa.array(done), pa.array(list(x))], names=["id", "done", "v"])])))
+    assert 0 < len(calls) <= -(-900 // similar.QUERIES) * -(-1300 // similar.ROWS)
+    far = np.abs(q[:, None, :] - x[None, :, :]).sum(-1)
+    far[gates[:, None] <= done[None, :]] = np.inf
+    want = {(i, int(j)) for i in range(900) for j in np.argsort(far[i])[:7] if np.isfinite(far[i, j])}
+    assert set(zip(found["query_id"].to_pylist(), found["id"].to_pylist(), strict=True)) == want

@@ -11,31 +11,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.operators.compare import pair_scale
+from tidewell.operators.similar import Best, matrix, scan_tiles
 from tidewell.session import shared_folder, ship
 
-#: Bytes of query vectors that are broadcast at once, and differences that are made at once.
-BLOCK_BYTES, AT_ONCE = 32 << 20, 1 << 22
+#: Bytes of query vectors that are broadcast at once.
+BLOCK_BYTES = 8 << 20
 
 
 def _best_before(sent: Broadcast, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, gates, q = sent.value
-        best, names = np.full((len(q), k), np.inf), np.full((len(q), k), -1, np.int64)
+        best = Best(len(q), k)
         for batch in batches:
-            ids, done = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-            if not len(ids) or not len(q):
-                continue
-            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-            rows = max(1, AT_ONCE // max(1, q.size))
-            for lo in range(0, len(ids), rows):
-                part, some = x[lo : lo + rows], ids[lo : lo + rows]
-                far = np.abs(q[:, None, :] - part[None, :, :]).sum(-1)
-                far[gates[:, None] <= done[None, lo : lo + rows]] = np.inf
-                every, all_names = np.concatenate([best, far], 1), np.concatenate([names, np.broadcast_to(some, far.shape)], 1)
-                order = np.lexsort((all_names, every), axis=1)[:, :k]
-                best, names = np.take_along_axis(every, order, 1), np.take_along_axis(all_names, order, 1)
-        i, j = np.nonzero(np.isfinite(best))
-        yield pa.RecordBatch.from_arrays([pa.array(asked[i]), pa.array(names[i, j]), pa.array(best[i, j])], names=["query_id", "id", "distance"])
+            if batch.num_rows and len(q):
+                ids, done = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+                order = np.argsort(done, kind="stable")  # with queries in the order of their days, tiles that are all too late pass by
+                barred = lambda lo, hi, a, b, done=done[order]: gates[lo:hi, None] <= done[None, a:b]
+                scan_tiles(best, q, matrix(batch.column(2))[order], ids[order], "absolute", barred)
+        yield best.batch(asked)
 
     return scan
 
@@ -55,8 +48,8 @@ def nearest_before(pool: DataFrame, queries: DataFrame, id_col: str, done: str,
     size = queries.agg(F.count("*").alias("n"), F.max(F.size("_v")).alias("width")).first()
     blocks, out = -(-size.n * (size.width or 1) * 8 // BLOCK_BYTES), spark.createDataFrame([], "query_id long, id long, distance double, place int")
     for i in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("_q"), F.lit(blocks)) == i).collect()
-        sent = spark.sparkContext.broadcast((np.array([r._q for r in rows], np.int64), np.array([r._d for r in rows], np.int64), np.array([r._v for r in rows], np.float64).reshape(len(rows), -1)))
+        rows = queries.where(F.pmod(F.xxhash64("_q"), F.lit(blocks)) == i).toArrow().sort_by("_d").combine_chunks()
+        sent = spark.sparkContext.broadcast((rows["_q"].to_numpy(), rows["_d"].to_numpy(), matrix(rows["_v"].combine_chunks())))
         found = known.mapInArrow(_best_before(sent, k), "query_id long, id long, distance double")
         found = found.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("place") <= k).checkpoint()
         sent.destroy()
