@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import date, datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,3 +106,37 @@ def test_live_totals_over_restarts_and_late_rows(spark, tmp_path):
         got = {(r["key"], (r["at"] - start).days): (r.total, r.holders) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     kept = [r for part in parts for r in part if r[1] != "late"]
     assert got == timeline(kept, 6, 1.0, 20) and len(got) > 10
+
+
+def test_live_totals_take_parts_of_state(spark):
+    """State is read and written by parts of holders, not by holder."""
+    trips = []
+
+    class Held(dict):
+        def containsKey(self, k):
+            return trips.append(k) or k in self
+
+        def getValue(self, k):
+            return trips.append(k) or self[k]
+
+        def updateValue(self, k, v):
+            trips.append(k)
+            self[k] = v
+
+        def removeKey(self, k):
+            trips.append(k)
+            del self[k]
+
+    timers = set()
+    handle = type("Handle", (), {"getMapState": lambda self, *a: Held(), "registerTimer": lambda self, at: timers.add(at)})()
+    live = expiring._processor(10, 2.0, 4)
+    live.init(handle)
+    rows = pd.DataFrame({"at": [i % 3 for i in range(6000)], "holder": [f"h{i % 1000}" for i in range(6000)], "value": [float(i % 5) for i in range(6000)], "number": range(6000)})
+    list(live.handleInputRows(("k",), iter([rows[:2500], rows[2500:]]), None))
+    got = {at: next(live.handleExpiredTimer(("k",), None, type("Info", (), {"getExpiryTimeInMs": lambda self, at=at: at})())).iloc[0] for at in sorted(timers)}
+    assert sorted(got) == [0, 1, 2, 10, 11, 12] and len(trips) < 200
+    last: dict[str, tuple[int, float]] = {}
+    for at in got:
+        last |= {r.holder: (at, r.value) for r in rows[rows["at"] == at].itertuples()}
+        counted = [v for since, v in last.values() if since + 10 > at and v >= 2.0]
+        assert (got[at]["total"], got[at]["holders"]) == (sum(counted), len(counted))
