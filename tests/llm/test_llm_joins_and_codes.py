@@ -9,6 +9,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
@@ -228,3 +230,14 @@ def test_matrix_of_long_texts_and_words(spark):
             assert b.n_words[k] == b.n_features[k] == got[i].total()
     assert got == want
     assert importance.column_sums(blocks, 997) == sum(want.values(), Counter())
+
+
+def test_blocks_come_in_small_batches(spark):
+    """A task reads and passes on a few blocks of a megabyte at once, however large its partition is."""
+    blocks = spark.range(40, numPartitions=1).select(F.transform(F.sequence(F.lit(0), F.lit(262_143)), lambda i: F.hash("id", i)).alias("x"))
+    sizes = common.map_arrow(blocks, lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long").collect()
+    assert len(sizes) > 2 and max(r.n for r in sizes) <= 2 * common.GROUP_BYTES
+    held, drop = common.stored(blocks, "blocks", common.GROUP_BYTES)
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in held.inputFiles()]
+    assert sum(g.num_rows for g in groups) == 40 and max(g.row_group(i).num_rows for g in groups for i in range(g.num_row_groups)) < 20
+    drop()

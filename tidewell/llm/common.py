@@ -16,6 +16,8 @@ from tidewell.session import ship
 #: Bytes of text that one vectorised step looks at. A longer text is a slice of its own, which the kernels go through in pieces.
 SLICE_BYTES = 1 << 20
 PIECE_BYTES = 4 << 20
+#: Bytes of a row group, and of an Arrow batch, of tables whose rows are blocks of about a megabyte.
+GROUP_BYTES = 8 << 20
 
 #: The bytes of [\x20\x09-\x0D].
 BLANKS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -42,8 +44,9 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
-    """mapInArrow() on workers that have this package."""
+    """mapInArrow() on workers that have this package, in batches of GROUP_BYTES at most (or one row), whatever the rows are like and however large a partition is."""
     ship(df.sparkSession)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", GROUP_BYTES)
     return df.mapInArrow(function, schema)
 
 
@@ -59,13 +62,14 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, Callable[[], None]]:
+def stored(df: DataFrame, name: str, group_bytes: int | None = None) -> tuple[DataFrame, Callable[[], None]]:
     """df as a table of the shared folder, and a function that removes it, for what is needed for some steps only.
 
-    As Parquet it takes a fraction of a checkpoint's space.
+    As Parquet it takes a fraction of a checkpoint's space. group_bytes: of a row group, where rows are large; Spark reads up to 4,096 rows of a group at once.
     """
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    writer = df.write if group_bytes is None else df.write.option("parquet.block.size", group_bytes).option("parquet.page.size.row.check.min", 1).option("parquet.block.size.row.check.min", 1)
+    writer.parquet(path)
 
     return spark.read.parquet(path), lambda: remove(spark, path)
 

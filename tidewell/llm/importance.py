@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import map_arrow, materialise, stored, text_slices
+from tidewell.llm.common import GROUP_BYTES, map_arrow, materialise, stored, text_slices
 from tidewell.llm.decontam import folded
 
 #: Buckets of features, the longest run of words that is a feature, and the factor of integer gains and noise.
@@ -137,7 +137,7 @@ def importance(
     buckets gain. Only the two columns named are read. The matrix is written once, as CSR blocks, and read for the column sums
     and for the product; ranks come from one sort by ranges of score and id, however many documents share a score.
     """
-    blocks, drop = stored(count_matrix(docs, buckets, longest, id_col, text_col), "csr")
+    blocks, drop = stored(count_matrix(docs, buckets, longest, id_col, text_col), "csr", GROUP_BYTES)
     gains = log_gains(column_sums(blocks, buckets), column_sums(count_matrix(target, buckets, longest, target_id, target_text), buckets), buckets, scale)
     long_enough = blocks.select(F.sum(F.size(F.filter("n_words", lambda n: n >= least_words))).alias("n")).first().n or 0
     drawn = percent * long_enough // 100
